@@ -63,8 +63,8 @@ def dedup_exact(v: Views):
 
 def merge_input(v: Views):
     """Repeated reports per (code, day): rates near 10, amounts near a million, coarser on some events, some NULL."""
-    kind = F.col("event_type")
-    rate = F.lit(10).cast(RATE) + F.when(kind == "click", F.round(F.col("value") / 4000, 2)).otherwise(F.round(F.col("value") / 4000, 4))
+    kind, share = F.col("event_type"), F.col("value") * F.lit("0.00025").cast("decimal(6,5)")
+    rate = F.lit(10).cast(RATE) + F.when(kind == "click", F.round(share, 2)).otherwise(F.round(share, 4))
     amount = F.lit(1_000_000).cast(RATE) + F.when(kind == "view", F.round("value", 0)).otherwise(F.col("value"))
     return v.ticks.select(
         "code", "trade_date", "event_id", F.when(kind != "signup", kind).alias("name"),
@@ -74,28 +74,38 @@ def merge_input(v: Views):
 MERGE = dd.MergeRules(["code", "trade_date"], "event_id", free=["name"], rate=["rate"], money=["amount"])
 
 
-@query("dedup_merge", """
+def merge_sql(keys: str) -> str:
+    """Ordered fold per key as a recursive statement ending in ``folded`` (one row per key)."""
+    same = " AND ".join(f"s.{k} = f.{k}" for k in keys.split(", "))
+    left = ", ".join(f"f.{k}" for k in keys.split(", "))
+    places = "greatest(1, length(rtrim(split_part(CAST({} AS VARCHAR), '.', 2), '0')))"
+    finer = {c: f"{places.format('s.' + c)} > {places.format('f.' + c)}" for c in ("rate", "amount")}
+    return f"""
     WITH RECURSIVE src AS (
-      SELECT code, trade_date, row_number() OVER (PARTITION BY code, trade_date ORDER BY event_id) AS rn,
+      SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY event_id) AS rn,
              CASE WHEN event_type <> 'signup' THEN event_type END AS name,
-             CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'click' THEN CAST(10 + round(CAST(value AS DECIMAL(20,8)) / 4000, 2) AS DECIMAL(18,6))
-                  ELSE CAST(10 + round(CAST(value AS DECIMAL(20,8)) / 4000, 4) AS DECIMAL(18,6)) END AS rate,
+             CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'click' THEN CAST(10 + round(CAST(value AS DECIMAL(12,6)) * 0.00025, 2) AS DECIMAL(18,6))
+                  ELSE CAST(10 + round(CAST(value AS DECIMAL(12,6)) * 0.00025, 4) AS DECIMAL(18,6)) END AS rate,
              CASE WHEN event_type = 'view' THEN 1000000 + CAST(round(value, 0) AS DECIMAL(18,6)) ELSE CAST(1000000 + value AS DECIMAL(18,6)) END AS amount
       FROM v_ticks),
     fold AS (
-      SELECT code, trade_date, rn, name, rate, amount, false AS dead, false AS touched FROM src WHERE rn = 1
+      SELECT {keys}, rn, name, rate, amount, false AS dead, false AS touched FROM src WHERE rn = 1
       UNION ALL
-      SELECT f.code, f.trade_date, s.rn, coalesce(f.name, s.name),
-             CASE WHEN f.rate IS NULL THEN s.rate WHEN s.rate IS NULL THEN f.rate
-                  WHEN greatest(1, length(rtrim(split_part(CAST(s.rate AS VARCHAR), '.', 2), '0'))) > greatest(1, length(rtrim(split_part(CAST(f.rate AS VARCHAR), '.', 2), '0'))) THEN s.rate ELSE f.rate END,
-             CASE WHEN greatest(1, length(rtrim(split_part(CAST(s.amount AS VARCHAR), '.', 2), '0'))) > greatest(1, length(rtrim(split_part(CAST(f.amount AS VARCHAR), '.', 2), '0'))) THEN s.amount ELSE f.amount END,
+      SELECT {left}, s.rn, coalesce(f.name, s.name),
+             CASE WHEN f.rate IS NULL THEN s.rate WHEN s.rate IS NULL THEN f.rate WHEN {finer["rate"]} THEN s.rate ELSE f.rate END,
+             CASE WHEN {finer["amount"]} THEN s.amount ELSE f.amount END,
              f.dead OR coalesce(abs(f.rate - s.rate) > 0.01 OR abs(f.rate - s.rate) > greatest(abs(f.rate), abs(s.rate)) * 0.001, false)
                     OR abs(f.amount - s.amount) > 500 OR abs(f.amount - s.amount) > greatest(abs(f.amount), abs(s.amount)) * 0.001,
              f.touched OR f.name IS DISTINCT FROM s.name OR f.rate IS DISTINCT FROM s.rate OR f.amount IS DISTINCT FROM s.amount
-      FROM fold f JOIN src s ON s.code = f.code AND s.trade_date = f.trade_date AND s.rn = f.rn + 1)
+      FROM fold f JOIN src s ON {same} AND s.rn = f.rn + 1),
+    folded AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY rn DESC) AS last FROM fold) WHERE last = 1)"""
+
+
+@query("dedup_merge", f"""
+    {merge_sql("code, trade_date")}
     SELECT code, trade_date, CASE WHEN dead THEN 'quarantined' WHEN touched THEN 'merged' ELSE 'kept' END AS status,
            CASE WHEN NOT dead THEN name END AS name, CAST(CASE WHEN NOT dead THEN rate END AS DOUBLE) AS rate, CAST(CASE WHEN NOT dead THEN amount END AS DOUBLE) AS amount
-    FROM (SELECT *, row_number() OVER (PARTITION BY code, trade_date ORDER BY rn DESC) AS last FROM fold) WHERE last = 1""")
+    FROM folded""")
 def dedup_merge(v: Views):
     return dd.merge_compatible(merge_input(v), MERGE)
 
@@ -131,8 +141,8 @@ def dedup_segment(v: Views):
 
 
 @query("dedup_segment_latest", f"""WITH RECURSIVE {_SEGMENT},
-    z AS (SELECT trade_date, segment_start, count(*) AS n, max(captured) AS at FROM seg GROUP BY ALL),
-    p AS (SELECT trade_date, segment_start FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY n DESC, at DESC, segment_start) AS rn FROM z) WHERE rn = 1)
+    z AS (SELECT trade_date, segment_start, count(*) AS n, max(captured) AS newest FROM seg GROUP BY ALL),
+    p AS (SELECT trade_date, segment_start FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY n DESC, newest DESC, segment_start) AS rn FROM z) WHERE rn = 1)
     SELECT trade_date, event_id, code, rank FROM seg SEMI JOIN p USING (trade_date, segment_start)""")
 def dedup_segment_latest(v: Views):
     seg = dd.segment_snapshots(v.hot, ["trade_date"], "event_id", "code", "rank")

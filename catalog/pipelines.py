@@ -1 +1,177 @@
-"""Registered queries."""
+"""Dataset presets run on raw-shaped views of the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import query
+from catalog.dedup import merge_sql
+from tapeloom.plans import datasets as ds
+from tapeloom.sources.views import Views
+
+
+
+def text_day():
+    return F.date_format("trade_date", "yyyyMMdd")
+
+
+def null(kind: str):
+    return F.lit(None).cast(kind)
+
+
+def raw_quotes(v: Views):
+    """Daily feed: retired codes also delivered under the new code on busier days."""
+    base = v.px.select(
+        F.col("code").alias("ts_code"), text_day().alias("trade_date"), *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "pre_close")],
+        (F.col("close") - F.col("open")).cast("double").alias("change"), F.col("pct_chg").cast("double"), F.col("volume").cast("double").alias("vol"),
+        F.col("amount").cast("double"), null("double").alias("ah_vol"), null("double").alias("ah_amount"))
+    again = base.where("vol >= 2").join(v.aliases, F.col("ts_code") == F.col("old_code")).withColumn("ts_code", F.col("new_code")).drop("old_code", "new_code")
+    return base.unionByName(again).withColumn("_ord", F.concat_ws("|", "trade_date", "ts_code"))
+
+
+def master(v: Views):
+    listed = v.sec.select(F.col("code").alias("ts_code"), "list_status")
+    return listed.unionByName(v.aliases.select(F.col("new_code").alias("ts_code"), F.lit("L").alias("list_status")))
+
+
+@query("pipe_core", """
+    SELECT coalesce(a.new_code, p.code) AS ts_code, p.trade_date, CAST(p.close AS DOUBLE) AS close, CAST(p.change AS DOUBLE) AS change, CAST(p.pct_chg AS DOUBLE) AS pct_chg,
+           CAST(p.volume * 100 AS DOUBLE) AS volume, CAST(p.amount * 1000 AS DOUBLE) AS amount, 1.5::DOUBLE AS adj_factor,
+           CASE WHEN p.volume BETWEEN 2 AND 3 THEN CAST(p.volume AS DOUBLE) END AS turnover_rate, CASE WHEN p.volume BETWEEN 2 AND 3 THEN CAST(p.high AS DOUBLE) END AS pe,
+           CASE WHEN p.volume BETWEEN 2 AND 3 THEN CAST(p.volume * 10000 AS DOUBLE) END AS total_share
+    FROM v_px p LEFT JOIN v_aliases a ON a.old_code = p.code WHERE p.pre_close IS NOT NULL""")
+def pipe_core(v: Views):
+    """Alias dedup, factor coverage, tolerant valuation join and recomputed change, all dates at once."""
+    daily = raw_quotes(v)
+    off = F.when(F.col("vol") == 1, F.col("close") + 1).otherwise(F.col("close"))
+    empty = {c: null("double") for c in "turnover_rate_f volume_ratio pe_ttm pb ps ps_ttm dv_ratio dv_ttm float_share free_share total_mv circ_mv".split()}
+    basic = daily.where("vol < 4").select("ts_code", "trade_date", off.alias("close"), F.col("vol").alias("turnover_rate"), F.col("high").alias("pe"),
+                                          F.col("vol").alias("total_share"), "_ord", *[c.alias(n) for n, c in empty.items()])
+    factor = daily.select("ts_code", "trade_date", F.lit(1.5).alias("adj_factor"), "_ord")
+    out = ds.stock_daily_core(daily, basic, factor, v.aliases, master(v)).rows
+    return out.select("ts_code", "trade_date", "close", "change", "pct_chg", "volume", "amount", "adj_factor", "turnover_rate", "pe", "total_share")
+
+
+@query("pipe_optional_factor", """
+    SELECT p.code AS ts_code, p.trade_date, CAST(p.close AS DOUBLE) AS close, CAST(p.volume * 100 AS DOUBLE) AS volume, CAST(f.net_mf_vol + 1 AS DOUBLE) AS adj_factor
+    FROM v_px p LEFT JOIN v_flow f ON f.code = p.code AND f.trade_date = p.trade_date WHERE p.pre_close IS NOT NULL AND p.code IN (SELECT code FROM v_sec WHERE list_status = 'L')""")
+def pipe_optional_factor(v: Views):
+    daily = v.px.where("pre_close IS NOT NULL").select(
+        F.col("code").alias("ts_code"), text_day().alias("trade_date"), "open", "high", "low", "close", "pre_close", "change", "pct_chg",
+        F.col("volume").alias("vol"), "amount")
+    factor = v.flow.select(F.col("code").alias("ts_code"), text_day().alias("trade_date"), (F.col("net_mf_vol") + 1).alias("adj_factor"))
+    funds = v.sec.where("list_status = 'L'").select(F.col("code").alias("ts_code"))
+    return ds.etf_daily(daily, factor, funds).rows.select("ts_code", "trade_date", "close", "volume", "adj_factor")
+
+
+@query("pipe_hot_rank", """
+    WITH RECURSIVE linked AS (SELECT trade_date, event_id, code, rank, date_trunc('second', captured) AS captured,
+        greatest(coalesce(lag(event_id) OVER (PARTITION BY trade_date, code ORDER BY event_id), -1), coalesce(lag(event_id) OVER (PARTITION BY trade_date, rank ORDER BY event_id), -1)) AS prev FROM v_hot),
+    links AS (SELECT trade_date, event_id, (SELECT min(b.event_id) FROM linked b WHERE b.trade_date = a.trade_date AND b.prev >= a.event_id) AS nxt FROM linked a),
+    starts AS (SELECT trade_date, min(event_id) AS event_id FROM linked GROUP BY trade_date
+        UNION ALL SELECT l.trade_date, l.nxt FROM starts s JOIN links l ON l.trade_date = s.trade_date AND l.event_id = s.event_id WHERE l.nxt IS NOT NULL),
+    seg AS (SELECT l.*, s.event_id AS start FROM linked l ASOF JOIN starts s ON s.trade_date = l.trade_date AND s.event_id <= l.event_id),
+    pick AS (SELECT trade_date, start FROM (SELECT trade_date, start, row_number() OVER (PARTITION BY trade_date ORDER BY count(*) DESC, max(captured) DESC, start) AS rn FROM seg GROUP BY trade_date, start) WHERE rn = 1),
+    ths AS (SELECT 'THS' AS source, trade_date, 'A股' AS market_type, 'FINAL' AS rank_type, code AS ts_code, rank, strftime(captured, '%Y-%m-%d %H:%M:%S') AS rank_time FROM seg SEMI JOIN pick USING (trade_date, start)),
+    sz AS (SELECT trade_date, event_type, slot, count(*) AS n FROM v_hot GROUP BY ALL),
+    dcp AS (SELECT trade_date, event_type, slot FROM (SELECT *, row_number() OVER (PARTITION BY trade_date, event_type ORDER BY n DESC, slot DESC) AS rn FROM sz) WHERE rn = 1),
+    dc AS (SELECT 'DC', trade_date, 'A股市场', event_type, code, rank, strftime(CAST(trade_date AS TIMESTAMP) + slot * INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') FROM v_hot SEMI JOIN dcp USING (trade_date, event_type, slot))
+    SELECT source, trade_date, market_type, rank_type, ts_code, CAST(rank AS BIGINT) AS rank, rank_time, 'A|B' AS concept
+    FROM (SELECT * FROM ths UNION ALL SELECT * FROM dc) WHERE ts_code IN (SELECT code FROM v_sec)""")
+def pipe_hot_rank(v: Views):
+    raw = v.hot.select(
+        text_day().alias("trade_date"), F.lit("hot").alias("data_type"), F.col("code").alias("ts_code"), null("string").alias("ts_name"), "rank",
+        null("double").alias("pct_change"), F.col("score").alias("current_price"), F.lit("{A, B}").alias("concept"), F.col("score").alias("hot"),
+        "event_id", "slot", "event_type", "captured")
+    ordered = raw.select("*", F.lit("why").alias("rank_reason"), F.date_format("captured", "HHmmss").alias("rank_time"), F.lit("market=hot").alias("scope_key"),
+                         F.col("event_id").alias("_pos")).drop("captured", "slot", "event_type", "event_id")
+    captured = raw.select("*", F.format_string("%02d:00:00", F.col("slot") * 6).alias("rank_time"),
+                          F.concat(F.lit("market=A;hot_type="), "event_type").alias("scope_key")).drop("captured", "slot", "event_type", "event_id")
+    out = ds.stock_hot_rank_daily(ordered, captured, v.sec.select(F.col("code").alias("ts_code")), chunk_rows=256).rows
+    return out.select("source", "trade_date", "market_type", "rank_type", "ts_code", "rank", "rank_time", F.concat_ws("|", "concept").alias("concept"))
+
+
+@query("pipe_top_list", f"""
+    {merge_sql("code, trade_date, event_type")}
+    SELECT code AS ts_code, trade_date, event_type AS reason, name, CAST(rate AS DOUBLE) AS close, CAST(amount AS DOUBLE) AS amount FROM folded
+    WHERE NOT dead AND code IN (SELECT code FROM v_sec)""")
+def pipe_top_list(v: Views):
+    """Reports repeated per (code, day, reason), with close and amount near each other or not."""
+    share = F.col("value") * F.lit("0.00025").cast("decimal(6,5)")
+    kind = F.col("event_type")
+    rate = F.lit(10).cast("decimal(30,10)") + F.when(kind == "click", F.round(share, 2)).otherwise(F.round(share, 4))
+    amount = F.lit(1_000_000).cast("decimal(30,10)") + F.when(kind == "view", F.round("value", 0)).otherwise(F.col("value"))
+    spare = {c: null("double") for c in "pct_change turnover_rate l_sell l_buy l_amount net_amount net_rate amount_rate float_values".split()}
+    raw = v.ticks.select(
+        text_day().alias("trade_date"), F.col("code").alias("ts_code"), F.when(kind != "signup", kind).alias("name"),
+        F.when(kind != "error", rate).cast("double").alias("close"), amount.cast("double").alias("amount"), kind.alias("reason"),
+        F.format_string("%015d", "event_id").alias("_ord"), *[c.alias(n) for n, c in spare.items()])
+    out = ds.stock_top_list_daily(raw, v.sec.select(F.col("code").alias("ts_code"))).rows
+    return out.select("ts_code", "trade_date", "reason", "name", "close", "amount")
+
+
+@query("pipe_board_flow", """
+    SELECT 'CONCEPT' AS board_type, trade_date, event_type AS board_name, count(DISTINCT code) AS company_num, CAST(max(value) AS DOUBLE) AS lead_stock_price,
+           CAST(min(value) AS DOUBLE) AS board_index, CAST(count(*) AS DOUBLE) * 100000000 AS net_amount FROM v_ticks GROUP BY ALL
+    UNION ALL SELECT 'INDUSTRY', trade_date, industry, count(DISTINCT code), CAST(max(high) AS DOUBLE), CAST(min(low) AS DOUBLE), CAST(sum(volume) AS DOUBLE) * 100000000
+    FROM v_bars JOIN v_sec USING (code) GROUP BY ALL""")
+def pipe_board_flow(v: Views):
+    spare = [null("string").alias("ts_code"), null("string").alias("lead_stock"), *[null("double").alias(c) for c in ("pct_change", "pct_change_stock", "net_buy_amount", "net_sell_amount")]]
+    concept = v.ticks.groupBy("trade_date", F.col("event_type").alias("name")).agg(
+        F.count_distinct("code").alias("company_num"), F.max("value").alias("close_price"), F.min("value").alias("industry_index"), F.count("*").alias("net_amount"))
+    industry = v.bars.join(v.sec, "code").groupBy("trade_date", "industry").agg(
+        F.count_distinct("code").alias("company_num"), F.max("high").alias("close"), F.min("low").alias("close_price"), F.sum("volume").alias("net_amount"))
+    text = text_day().alias("trade_date")
+    out = ds.ths_board_moneyflow_daily(
+        concept.select(text, "name", "company_num", "close_price", "industry_index", "net_amount", *spare),
+        industry.select(text, "industry", "company_num", "close", "close_price", "net_amount", *spare)).rows
+    return out.select("board_type", "trade_date", "board_name", "company_num", "lead_stock_price", "board_index", "net_amount")
+
+
+@query("pipe_member", """
+    SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS trade_date, 'T' || l_suppkey AS theme_code, 'P' || l_partkey AS ts_code, CAST(l_linenumber AS BIGINT) AS hot_num
+    FROM lineitem WHERE 'P' || l_partkey IN (SELECT member FROM v_parts WHERE kind <> 'ECONOMY')""")
+def pipe_member(v: Views):
+    spare = [null("string").alias(c) for c in ("name", "industry_code", "industry", "reason")]
+    raw = v.table("lineitem").select(
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("ts_code"), F.date_format(F.date_trunc("month", "l_shipdate"), "yyyyMMdd").alias("trade_date"),
+        F.concat(F.lit("T"), F.col("l_suppkey").cast("string")).alias("theme_code"), F.col("l_linenumber").alias("hot_num"), *spare)
+    stocks = v.parts.where("kind <> 'ECONOMY'").select(F.col("member").alias("ts_code"))
+    return ds.market_theme_member_daily(raw, stocks).rows.select("trade_date", "theme_code", "ts_code", "hot_num")
+
+
+@query("pipe_month_weight", """
+    SELECT DISTINCT 'T' || l_suppkey AS index_code, 'P' || l_partkey AS con_code, CAST(l_shipdate AS DATE) AS snapshot_date, CAST(max(l_quantity) AS DOUBLE) AS weight
+    FROM lineitem WHERE 'T' || l_suppkey IN (SELECT topic FROM v_topics WHERE kind = 'N') AND 'P' || l_partkey IN (SELECT member FROM v_parts WHERE kind <> 'PROMO') GROUP BY ALL""")
+def pipe_month_weight(v: Views):
+    raw = v.table("lineitem").groupBy(
+        F.concat(F.lit("T"), F.col("l_suppkey").cast("string")).alias("index_code"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("con_code"),
+        F.date_format("l_shipdate", "yyyyMMdd").alias("trade_date")).agg(F.max("l_quantity").alias("weight"))
+    out = ds.market_index_weight(raw, v.topics.where("kind = 'N'").select(F.col("topic").alias("ts_code")),
+                                 v.parts.where("kind <> 'PROMO'").select(F.col("member").alias("ts_code")))
+    return out.rows
+
+
+@query("pipe_calendar", """
+    SELECT CASE exchange WHEN 'ASIA' THEN 'SSE' WHEN 'EUROPE' THEN 'SZSE' ELSE exchange END AS exchange, cal_date, is_open, cal_date - 1 AS pretrade_date FROM v_cal""")
+def pipe_calendar(v: Views):
+    name = F.when(F.col("exchange") == "ASIA", "SSE").when(F.col("exchange") == "EUROPE", "SZSE").otherwise(F.col("exchange"))
+    raw = v.cal.select(name.alias("exchange"), F.date_format("cal_date", "yyyyMMdd").alias("cal_date"), F.col("is_open").cast("long").alias("is_open"),
+                       F.date_format(F.date_sub("cal_date", 1), "yyyyMMdd").alias("pretrade_date"))
+    return ds.trade_calendar(raw).rows
+
+
+@query("pipe_limit_event", """
+    SELECT trade_date, code AS ts_code, event_type, CASE event_type WHEN 'click' THEN 'U' WHEN 'view' THEN 'D' ELSE 'Z' END AS limit_type,
+           min(strftime(ts, '%H:%M:%S')) AS first_time, max(strftime(ts, '%H:%M:%S')) AS last_time, count(*) AS limit_times, CAST(sum(value) AS DOUBLE) AS amount_raw
+    FROM v_ticks WHERE event_type IN ('click', 'view', 'purchase') AND code IN (SELECT code FROM v_sec) GROUP BY ALL""".replace(", event_type, CASE", ", CASE"))
+def pipe_limit_event(v: Views):
+    """Clock text without leading zeros, and amounts kept in the provider's unit."""
+    kind = F.when(F.col("event_type") == "click", "U").when(F.col("event_type") == "view", "D").otherwise("Z")
+    stamp = F.date_format("ts", "HHmmss")
+    raw = v.ticks.where(F.col("event_type").isin("click", "view", "purchase")).groupBy(text_day().alias("trade_date"), F.col("code").alias("ts_code"), kind.alias("limit")).agg(
+        F.regexp_replace(F.min(stamp), "^0+", "").alias("first_time"), F.max(stamp).alias("last_time"), F.count("*").alias("limit_times"), F.sum("value").alias("amount"))
+    spare = [null("string").alias(c) for c in ("industry", "name", "up_stat")] + [
+        null("double").alias(c) for c in "close pct_chg limit_amount float_mv total_mv turnover_ratio fd_amount open_times".split()]
+    out = ds.stock_limit_event_daily(raw.select("*", *spare), v.sec.select(F.col("code").alias("ts_code"))).rows
+    return out.select("trade_date", "ts_code", "limit_type", "first_time", "last_time", "limit_times", "amount_raw")

@@ -1 +1,160 @@
-"""Registered queries."""
+"""Publishing strategies, release log and the batch form of the streaming jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import query
+from tapeloom import types as tt
+from tapeloom.operators import publish as pb
+from tapeloom.sources.views import Views
+from tapeloom.streaming import jobs as st
+
+KEY = ["code", "trade_date"]
+WEIGHT_KEYS = ["index_code", "con_code", "snapshot_date"]
+
+
+@query("pub_upsert", """
+    SELECT coalesce(b.code, f.code) AS code, coalesce(b.trade_date, f.trade_date) AS trade_date, b.volume,
+           CAST(CASE WHEN f.code IS NOT NULL THEN f.net_mf_amount ELSE b.amount END AS DOUBLE) AS amount, '2024-02-01 00:00:00' AS synced_at
+    FROM (SELECT * FROM v_bars WHERE volume >= 2) b FULL JOIN v_flow f ON f.code = b.code AND f.trade_date = b.trade_date""")
+def pub_upsert(v: Views):
+    target = v.bars.where("volume >= 2").select(*KEY, "volume", "amount")
+    stage = v.flow.select(*KEY, F.col("net_mf_amount").alias("amount"))
+    return pb.stamp(pb.upsert(target, stage, KEY, ["amount"]), F.lit("2024-02-01").cast("timestamp_ntz"))
+
+
+@query("pub_insert_only", """
+    SELECT code, trade_date, volume AS n FROM v_bars WHERE volume >= 2
+    UNION ALL SELECT code, trade_date, net_mf_vol FROM v_flow ANTI JOIN (SELECT * FROM v_bars WHERE volume >= 2) USING (code, trade_date)""")
+def pub_insert_only(v: Views):
+    target = v.bars.where("volume >= 2").select(*KEY, F.col("volume").alias("n"))
+    return pb.upsert(target, v.flow.select(*KEY, F.col("net_mf_vol").alias("n")), KEY, [])
+
+
+@query("pub_replace_rows", """
+    SELECT code, trade_date, net_mf_vol AS n FROM v_flow
+    UNION ALL SELECT code, trade_date, volume FROM v_bars ANTI JOIN v_flow USING (code, trade_date)""")
+def pub_replace_rows(v: Views):
+    target = v.bars.select(*KEY, F.col("volume").alias("n"))
+    return pb.upsert(target, v.flow.select(*KEY, F.col("net_mf_vol").alias("n")), KEY)
+
+
+@query("pub_replace_date", """
+    WITH d AS (SELECT DISTINCT trade_date FROM v_rel WHERE dataset = 'view')
+    SELECT code, trade_date, volume AS n FROM v_bars WHERE trade_date NOT IN (SELECT trade_date FROM d)
+    UNION ALL SELECT code, trade_date, net_mf_vol FROM v_flow WHERE trade_date IN (SELECT trade_date FROM d) AND net_mf_vol > 0""")
+def pub_replace_date(v: Views):
+    """Every released date is replaced; a date whose stage is empty would be cleared."""
+    dates = v.rel.where("dataset = 'view'").select("trade_date").distinct()
+    stage = v.flow.where("net_mf_vol > 0").join(dates, "trade_date", "left_semi").select(*KEY, F.col("net_mf_vol").alias("n"))
+    return pb.replace_dates(v.bars.select(*KEY, F.col("volume").alias("n")), stage, dates, "trade_date")
+
+
+@query("pub_replace_entity", """
+    SELECT kind AS source, topic, topic_name AS label FROM v_topics WHERE kind <> 'TH'
+    UNION ALL SELECT 'TH', member, name FROM v_parts""")
+def pub_replace_entity(v: Views):
+    target = v.topics.select(F.col("kind").alias("source"), "topic", F.col("topic_name").alias("label"))
+    stage = v.parts.select(F.lit("TH").alias("source"), F.col("member").alias("topic"), F.col("name").alias("label"))
+    return pb.replace_slice(target, stage, F.col("source") == "TH")
+
+
+@query("pub_patch", """
+    SELECT b.code, b.trade_date, CAST(b.close AS DOUBLE) AS close, CASE WHEN f.code IS NOT NULL THEN f.net_mf_vol ELSE b.volume END AS volume
+    FROM v_bars b LEFT JOIN v_flow f ON f.code = b.code AND f.trade_date = b.trade_date""")
+def pub_patch(v: Views):
+    stage = v.flow.select(*KEY, F.col("net_mf_vol").alias("volume"))
+    return pb.patch_columns(v.bars.select(*KEY, "close", "volume"), stage, KEY, ["volume"])
+
+
+@query("pub_unpatched", "SELECT code, trade_date FROM v_suspend ANTI JOIN v_tech USING (code, trade_date)")
+def pub_unpatched(v: Views):
+    return pb.unpatched(v.tech, v.suspend, KEY)
+
+
+def weights(v: Views, flag: str):
+    return v.table("lineitem").where(flag).groupBy(
+        F.concat(F.lit("T"), F.col("l_suppkey").cast("string")).alias("index_code"),
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("con_code"), F.to_date("l_shipdate").alias("snapshot_date"),
+    ).agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("weight"))
+
+
+_W = """SELECT 'T' || l_suppkey AS index_code, 'P' || l_partkey AS con_code, CAST(l_shipdate AS DATE) AS snapshot_date,
+    CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS weight FROM lineitem WHERE {} GROUP BY ALL"""
+
+
+@query("pub_replace_month", f"""
+    WITH t AS ({_W.format("l_returnflag <> 'R'")}), s AS ({_W.format("l_returnflag = 'R'")}),
+    m AS (SELECT DISTINCT index_code, date_trunc('month', snapshot_date) AS mon FROM s)
+    SELECT t.* FROM t ANTI JOIN m ON m.index_code = t.index_code AND m.mon = date_trunc('month', t.snapshot_date) UNION ALL SELECT * FROM s""")
+def pub_replace_month(v: Views):
+    return pb.replace_month(weights(v, "l_returnflag <> 'R'"), weights(v, "l_returnflag = 'R'"), "index_code", "snapshot_date")
+
+
+@query("pub_stale_parent", """
+    WITH p AS (SELECT trade_date, event_type AS theme, max(slot) AS synced_at, count(*) AS n FROM v_hot WHERE rank < 20 GROUP BY ALL)
+    SELECT p.* FROM p SEMI JOIN (SELECT trade_date, max(synced_at) AS synced_at FROM p GROUP BY ALL) m USING (trade_date, synced_at)""")
+def pub_stale_parent(v: Views):
+    parents = v.hot.where("rank < 20").groupBy("trade_date", F.col("event_type").alias("theme")).agg(
+        F.max("slot").alias("synced_at"), F.count("*").alias("n"))
+    return pb.drop_stale(parents, "trade_date")
+
+
+@query("pub_carry_over", """
+    SELECT p.code, p.trade_date, CAST(p.close AS DOUBLE) AS close,
+           CAST(CASE WHEN f.net_mf_vol > 0 AND p.trade_date IN (SELECT trade_date FROM v_rel WHERE dataset = 'view') THEN f.net_mf_amount END AS DOUBLE) AS up_limit
+    FROM v_px p LEFT JOIN v_flow f ON f.code = p.code AND f.trade_date = p.trade_date WHERE p.pre_close IS NOT NULL""")
+def pub_carry_over(v: Views):
+    """Previous version with moved closes on some rows; dates with a stale patch are left out."""
+    fresh = v.px.where("pre_close IS NOT NULL").select(*KEY, "close", "pre_close")
+    moved = (F.col("close") + F.when(F.col("net_mf_vol") > 0, 0).otherwise(1)).cast(tt.PRICE)
+    previous = fresh.join(v.flow, KEY).select(*KEY, moved.alias("close"), "pre_close", F.col("net_mf_amount").alias("up_limit"))
+    valid = v.rel.where("dataset = 'view'")
+    return pb.carry_over(fresh, previous, KEY, ["up_limit"], valid_dates=valid).select(*KEY, "close", "up_limit")
+
+
+@query("pub_release_log", """
+    SELECT dataset, trade_date, slot, row_count, version FROM (SELECT *, row_number() OVER (PARTITION BY dataset, trade_date ORDER BY published_at DESC, version DESC) AS rn
+    FROM v_release_log) WHERE rn = 1""")
+def pub_release_log(v: Views):
+    return pb.current_releases(v.release_log, ["dataset", "trade_date"]).select("dataset", "trade_date", "slot", "row_count", "version")
+
+
+@query("lin_stale", """
+    WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, trade_date ORDER BY published_at DESC, version DESC) AS rn FROM v_release_log) WHERE rn = 1)
+    SELECT strftime(c.trade_date, '%Y-%m-%d') AS scope_key, c.version AS dep_version, u.version AS up_version, l.version AS upstream_version,
+           l.version IS DISTINCT FROM u.version AS stale
+    FROM cur c JOIN cur u ON u.trade_date = c.trade_date AND u.dataset = 'view'
+    LEFT JOIN v_release_log l ON l.trade_date = c.trade_date AND l.dataset = 'view' AND l.slot = c.slot WHERE c.dataset = 'click'""")
+def lin_stale(v: Views):
+    """Was the current click release computed against the current view release (same slot)?"""
+    day = F.date_format("trade_date", "yyyy-MM-dd")
+    log = v.release_log.select("dataset", F.lit("DATE").alias("scope_type"), day.alias("scope_key"), "version", "published_at", "slot")
+    views = log.where("dataset = 'view'").select("scope_key", "slot", F.col("version").alias("upstream_version"))
+    lineage = log.where("dataset = 'click'").join(views, ["scope_key", "slot"]).withColumn("upstream", F.lit("view"))
+    return pb.stale_lineage(log, lineage, dependent="click", upstream="view")
+
+
+# ---------------------------------------------------------------- batch form of the streams
+
+
+@query("stream_publish", "SELECT code, trade_date, arg_max(value, event_id)::DOUBLE AS value, max(event_id) AS revision FROM v_ticks GROUP BY ALL")
+def stream_publish(v: Views):
+    rows = v.ticks.select(*KEY, "value", F.col("event_id").alias("revision"))
+    return st.newest_revision(rows, KEY, "revision")
+
+
+@query("stream_quota", """
+    SELECT endpoint, strftime(time_bucket(INTERVAL 10 MINUTE, requested_at), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS used,
+           count(*) FILTER (WHERE wait_ms > 0) AS delayed, count(*) FILTER (WHERE status = 'SUCCESS') AS success FROM v_req GROUP BY ALL""")
+def stream_quota(v: Views):
+    return st.quota_windows(v.req, "10 minutes")
+
+
+@query("stream_snapshot", """
+    WITH z AS (SELECT trade_date, slot, count(*) AS n FROM v_hot GROUP BY ALL)
+    SELECT trade_date, n, slot FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY n DESC, slot DESC) AS rn FROM z) WHERE rn = 1""")
+def stream_snapshot(v: Views):
+    sizes = v.hot.groupBy("trade_date", "slot").agg(F.count("*").alias("n"))
+    return st.latest_complete(sizes, ["trade_date"], "slot", "n")

@@ -46,9 +46,8 @@ def q_truncation(v: Views):
 
 
 @query("q_calendar_complete", """
-    SELECT o_orderpriority AS exchange, CAST(year(o_orderdate) AS INTEGER) AS year, count(DISTINCT CAST(o_orderdate AS DATE)) AS n_days,
-           CAST(dayofyear(make_date(year(o_orderdate), 12, 31)) AS INTEGER) AS expected,
-           count(DISTINCT CAST(o_orderdate AS DATE)) = dayofyear(make_date(year(o_orderdate), 12, 31)) AS complete FROM orders GROUP BY ALL""")
+    SELECT exchange, CAST(y AS INTEGER) AS year, n_days, CAST(dayofyear(make_date(y, 12, 31)) AS INTEGER) AS expected, n_days = dayofyear(make_date(y, 12, 31)) AS complete
+    FROM (SELECT o_orderpriority AS exchange, year(o_orderdate) AS y, count(DISTINCT CAST(o_orderdate AS DATE)) AS n_days FROM orders GROUP BY ALL)""")
 def q_calendar_complete(v: Views):
     cal = v.table("orders").select(F.col("o_orderpriority").alias("exchange"), F.to_date("o_orderdate").alias("cal_date"))
     return qa.calendar_completeness(cal)

@@ -13,6 +13,7 @@ INDICATOR = T.DecimalType(20, 8)
 SCORE = T.DecimalType(24, 6)
 WEIGHT = T.DecimalType(14, 8)
 NAV = T.DecimalType(20, 8)
+EXACT = T.DecimalType(30, 10)  # unrounded source value, for comparing repeated reports
 
 # Tolerances and gate bounds.
 PRICE_TOLERANCE = "0.001"
