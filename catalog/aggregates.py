@@ -8,6 +8,7 @@ from catalog import query
 from tapeloom.operators import aggregates as ag
 from tapeloom.operators.asof import joint_dates
 from tapeloom.functions.scalar import month_key
+from tapeloom.sources.assets import read_assets
 from tapeloom.sources.grid import expand, month_axis, scope_text
 from tapeloom.sources.views import Views
 
@@ -97,9 +98,11 @@ def scope_grid(v: Views):
 
 
 @query("src_union_assets", """
-    SELECT 'bars' AS asset, count(*) AS rows_read, count(DISTINCT code) AS codes FROM v_bars
-    UNION ALL SELECT 'flow', count(*), count(DISTINCT code) FROM v_flow UNION ALL SELECT 'suspend', count(*), count(DISTINCT code) FROM v_suspend""")
+    SELECT 'orders.parquet' AS asset, count(*) AS rows_read, 0 AS first_row, count(*) - 1 AS last_row, count(DISTINCT o_orderkey) AS keys FROM orders""")
 def src_union_assets(v: Views):
-    from tapeloom.operators.sets import union_tagged
-    rows = union_tagged({"bars": v.bars.select("code"), "flow": v.flow.select("code"), "suspend": v.suspend.select("code")}, "asset")
-    return rows.groupBy("asset").agg(F.count("*").alias("rows_read"), F.count_distinct("code").alias("codes"))
+    """One declared-schema scan with file and row lineage; column pruning keeps only the key."""
+    path = f"{v.folder}/orders.parquet"
+    rows = read_assets(v.spark, v.table("orders").schema, [path])
+    name = F.substring_index("_asset", "/", -1)
+    return rows.groupBy(name.alias("asset")).agg(
+        F.count("*").alias("rows_read"), F.min("_row").alias("first_row"), F.max("_row").alias("last_row"), F.count_distinct("o_orderkey").alias("keys"))

@@ -21,8 +21,7 @@ def q_natural_key(v: Views):
 
 
 @query("q_business_date", """
-    SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS raw_date FROM orders WHERE CAST(o_orderdate AS DATE) <> CAST(date_trunc('month', o_orderdate) AS DATE)
-    UNION ALL SELECT NULL, NULL WHERE false""")
+    SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS raw_date FROM orders WHERE CAST(o_orderdate AS DATE) <> CAST(date_trunc('month', o_orderdate) AS DATE)""")
 def q_business_date(v: Views):
     """Asset date is the first of the month, so all later days disagree."""
     rows = v.table("orders").select("o_orderkey", F.date_format("o_orderdate", "yyyyMMdd").alias("raw_date"),

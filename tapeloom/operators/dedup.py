@@ -256,18 +256,22 @@ def segment_snapshots(
 ) -> DataFrame:
     """Cut an ordered feed into snapshots: a new one starts when a code or rank repeats.
 
-    ``order`` is a whole-number position, unique inside a scope. The rule is sequential, but
+    ``order`` is a whole-number position, unique inside a scope; ``chunk_rows`` is a power of
+    two. The rule is sequential, but
     a run is described by its start alone once each row knows where its code or rank last
     occurred: a row opens a snapshot when that place is not before the current start. So
     the feed is cut into chunks of bounded size that work in parallel. Each chunk tells,
     for every possible incoming start, the start it hands on; these short tables are
     chained per scope in chunk order; then all chunks label their rows.
     """
+    if chunk_rows < 1 or chunk_rows & (chunk_rows - 1):
+        raise ValueError("chunk_rows must be a power of two")
     scope = list(scope)
     key_cols = [*scope, "_chunk"]
-    chunk = F.floor(F.col(order) / chunk_rows).cast("bigint")
+    position = F.col(order).cast("bigint")
+    chunk = F.shiftright(position, chunk_rows.bit_length() - 1)
     rows = feed.select(
-        *scope, chunk.alias("_chunk"), F.col(order).cast("bigint").alias("_o"),
+        *scope, chunk.alias("_chunk"), position.alias("_o"),
         F.coalesce(F.col(code).cast("string"), F.lit("\0")).alias("_code"),
         F.coalesce(F.col(rank).cast("string"), F.lit("\0")).alias("_rank"),
     )

@@ -129,9 +129,12 @@ class VersionedTable:
         return rows
 
     def publish_scopes(self, stage: DataFrame, scope: Column, version: str) -> None:
-        """Publish every scope of the stage in one job, then all their pointers in one append."""
+        """Publish every scope of the stage in one job, then all their pointers in one append.
+
+        REBALANCE keeps one scope in few files and splits a hot one over several tasks.
+        """
         tagged = stage.withColumn("scope_key", scope).withColumn("version", F.lit(version))
-        tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+        tagged.hint("rebalance", "scope_key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
             "compression", "zstd").partitionBy("scope_key", "version").parquet(f"{self.root}/data")
         written = self._data().where(F.col("version") == version)
         pointers = written.groupBy("scope_key").agg(F.count("*").alias("row_count"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,12 @@ from tapeloom.operators.sets import one_sided
 from tapeloom.sources.feeds import Feed
 
 
+def schema_fingerprint(schema: T.StructType) -> str:
+    """Stable hash of field names, order and types, kept in the asset manifest."""
+    text = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in schema)
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def check_schema(found: T.StructType, declared: T.StructType, name: str) -> None:
     """Refuse field names, order or types that differ from the declaration."""
     have = [(f.name, f.dataType.simpleString()) for f in found]
@@ -19,30 +28,33 @@ def check_schema(found: T.StructType, declared: T.StructType, name: str) -> None
         raise SchemaMismatch(f"{name}: declared {want}, found {have}")
 
 
-def read_assets(spark: SparkSession, feed: Feed, paths: list[str]) -> DataFrame:
-    """All assets of a feed as one frame, with ``_asset``, ``_row`` and ``_ord`` lineage.
+def foreign_assets(manifest: DataFrame, declared: T.StructType) -> DataFrame:
+    """Manifest rows whose recorded schema fingerprint is not the declared one."""
+    return manifest.where(~F.col("fingerprint").eqNullSafe(F.lit(schema_fingerprint(declared))))
+
+
+def read_assets(
+    spark: SparkSession, declared: T.StructType, paths: Sequence[str], *, scopes: DataFrame | None = None,
+    base_path: str | None = None, scope_on: str = "task_id",
+) -> DataFrame:
+    """All assets of a feed in one scan, with ``_asset``, ``_row`` and ``_ord`` lineage.
 
-    ``_ord`` is a sortable text key (scope position, file, row), so "first row wins" rules
-    survive any shuffle. Each path's footer is checked against the declared schema.
+    The merged footer schema (one distributed footer pass) must equal the declared one.
+    With ``base_path`` the Hive-style folders become columns, and ``scopes`` (scope_on,
+    scope_key) puts the request scope first in the order. ``_ord`` is a sortable text key
+    (scope, file, row), so "first row wins" rules survive any shuffle.
     """
-    for path in paths:
-        check_schema(spark.read.parquet(path).schema, feed.schema, path)
-    frames = []
-    for position, path in enumerate(paths):
-        frame = spark.read.schema(feed.schema).parquet(path)
-        frames.append(
-            frame.select(
-                "*",
-                F.col("_metadata.file_path").alias("_asset"),
-                F.col("_metadata.row_index").alias("_row"),
-                F.lit(position).alias("_scope_pos"),
-            )
-        )
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    order = F.format_string("%08d|%s|%015d", F.col("_scope_pos"), F.col("_asset"), F.col("_row"))
-    return out.withColumn("_ord", order).drop("_scope_pos")
+    options = {"basePath": base_path} if base_path else {}
+    merged = spark.read.options(**options, mergeSchema=True).parquet(*paths).schema
+    folders = [f for f in merged if f.name not in declared.fieldNames()] if base_path else []
+    check_schema(T.StructType([f for f in merged if f not in folders]), declared, "assets")
+    frame = spark.read.options(**options).schema(T.StructType([*declared, *folders])).parquet(*paths).select(
+        "*", F.col("_metadata.file_path").alias("_asset"), F.col("_metadata.row_index").alias("_row"))
+    scope = F.lit("")
+    if scopes is not None:
+        frame = frame.join(scopes.select(scope_on, "scope_key"), scope_on)
+        scope = F.col("scope_key")
+    return frame.withColumn("_ord", F.format_string("%s|%s|%015d", scope, F.col("_asset"), F.col("_row")))
 
 
 def seal(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
@@ -54,12 +66,11 @@ def seal(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
 def write_monthly(df: DataFrame, path: str, day: str = "trade_date", sort: str = "ts_code") -> None:
     """Lay a fact table out by month, clustered by code inside each file.
 
-    A second hash on the code spreads a large month over several tasks.
+    REBALANCE lets AQE size the files: small months share a task, a huge month is split.
     """
-    spread = F.pmod(F.xxhash64(sort), F.lit(16))
     (
         df.withColumn("trade_month", F.trunc(day, "MM"))
-        .repartition("trade_month", spread)
+        .hint("rebalance", "trade_month")
         .sortWithinPartitions("trade_month", sort)
         .write.mode("errorifexists").partitionBy("trade_month").option("compression", "zstd").parquet(path)
     )
