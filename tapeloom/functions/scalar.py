@@ -30,20 +30,24 @@ def strict_date(value: Column | str) -> Column:
     return F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
 
 
-def decimal_value(value: Column | str, dtype: T.DecimalType = tt.PRICE) -> Column:
-    """Decimal of the shortest text form; blank, invalid, NaN and infinite are NULL."""
-    return clean_text(value).try_cast(dtype)
+def decimal_value(value: Column | str, dtype: T.DecimalType = tt.PRICE, *, text: bool = True) -> Column:
+    """Decimal of the shortest text form; blank, invalid, NaN and infinite are NULL.
+
+    ``text=False`` is for numeric sources: a double casts to the decimal of its shortest
+    form directly, without the detour over a string.
+    """
+    return (clean_text(value) if text else _col(value)).try_cast(dtype)
 
 
-def scaled(value: Column | str, factor: int, dtype: T.DecimalType = tt.QUANTITY) -> Column:
+def scaled(value: Column | str, factor: int, dtype: T.DecimalType = tt.QUANTITY, *, text: bool = True) -> Column:
     """Bring a provider unit (lots, thousands, 1e4, 1e8) to single units."""
-    exact = clean_text(value).try_cast(T.DecimalType(27, 9))
+    exact = decimal_value(value, T.DecimalType(27, 9), text=text)
     return (exact * F.lit(factor).cast(T.DecimalType(10, 0))).cast(dtype)
 
 
-def exact_integer(value: Column | str) -> Column:
+def exact_integer(value: Column | str, *, text: bool = True) -> Column:
     """Whole numbers only: 3 and 3.0 pass, 3.5 is NULL."""
-    number = clean_text(value).try_cast(T.DecimalType(38, 10))
+    number = decimal_value(value, T.DecimalType(38, 10), text=text)
     return F.when(number == F.floor(number), number.try_cast("bigint"))
 
 
@@ -241,6 +245,6 @@ def reject_reason(*checks: tuple[Column, str]) -> Column:
     return F.coalesce(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(why)) for bad, why in checks))
 
 
-def unparsable(source: Column | str, parsed: Column) -> Column:
-    """True where the source holds text that did not parse."""
-    return clean_text(source).isNotNull() & parsed.isNull()
+def unparsable(source: Column | str, parsed: Column, *, text: bool = True) -> Column:
+    """True where the source holds a value that did not parse."""
+    return (clean_text(source) if text else _col(source)).isNotNull() & parsed.isNull()

@@ -7,12 +7,14 @@ streamed in order with constant state, and only for the few keys that need it.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from decimal import Decimal
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,9 @@ from pyspark.sql import types as T
 from tapeloom import types as tt
 from tapeloom.operators.ranking import latest_per_key
 
+# the small helpers below travel to the executors by value, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # ---------------------------------------------------------------- code aliases
 
 
@@ -79,20 +84,24 @@ def dedup_exact(df: DataFrame, keys: Sequence[str], order: str | None = None) ->
 
 def digits(value: Column) -> Column:
     """Decimal places of the shortest text form, at least one."""
-    fraction = F.regexp_replace(F.split_part(value.cast("string"), F.lit("."), F.lit(2)), "0+$", "")
-    return F.greatest(F.lit(1), F.length(fraction))
+    fraction = F.split_part(value.cast(tt.EXACT).cast("string"), F.lit("."), F.lit(2))
+    return F.greatest(F.lit(1), F.length(F.rtrim(fraction, F.lit("0"))))
 
 
 def _py_digits(value: Decimal) -> int:
     return max(1, -value.normalize().as_tuple().exponent)
 
 
+def _py_exact(value: object) -> Decimal:
+    return value if isinstance(value, Decimal) else Decimal(str(value))
+
+
 class MergeRules:
     """Which columns may differ and by how much.
 
     ``free`` columns keep their first value, ``money`` and ``rate`` columns may differ inside
-    an absolute and a relative bound and keep the value with more decimals; every other
-    non-key column must agree. NULL agrees with anything.
+    an absolute and a relative bound and keep the value with more decimals (doubles count by
+    their shortest form); every other non-key column must agree. NULL agrees with anything.
     """
 
     def __init__(self, keys: Sequence[str], order: str, *, free: Sequence[str] = (), money: Sequence[str] = (), rate: Sequence[str] = (), strict: Sequence[str] = ()) -> None:
@@ -121,11 +130,11 @@ def _merge_shape(variants: DataFrame, rules: MergeRules) -> DataFrame:
     wide = T.DecimalType(38, 14)
     checks = []
     for c, bound in rules.bounds.items():
-        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
+        lo, hi = F.col(f"_lo_{c}").cast(tt.EXACT), F.col(f"_hi_{c}").cast(tt.EXACT)
         spread = (hi - lo).cast(wide)
-        scale = F.when(F.col("_n") == 2, F.greatest(F.abs(lo), F.abs(hi))).otherwise(F.col(f"_mag_{c}"))
+        scale = F.when(F.col("_n") == 2, F.greatest(F.abs(lo), F.abs(hi))).otherwise(F.col(f"_mag_{c}").cast(tt.EXACT))
         relative = (scale * F.lit(tt.MERGE_REL).cast("decimal(4,3)")).cast(wide)
-        checks.append(lo.isNull() | ((spread <= F.lit(bound).cast("decimal(10,2)")) & (spread <= relative)) | (spread == 0))
+        checks.append((F.col("_n") == 1) | lo.isNull() | ((spread <= F.lit(bound).cast("decimal(10,2)")) & (spread <= relative)) | (spread == 0))
     for c in rules.strict:
         checks.append(F.col(f"_lo_{c}").isNull() | (F.col(f"_lo_{c}") == F.col(f"_hi_{c}")))
     ok = reduce(lambda a, b: a & b, checks, F.lit(True))
@@ -152,14 +161,12 @@ def merge_compatible(df: DataFrame, rules: MergeRules) -> DataFrame:
         rank = F.struct((-digits(F.col(c))).alias("d"), F.col("_first").alias("o")) if c in rules.bounds else F.col("_first")
         return F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c)
 
-    settled = routed.where(F.col("_route") != "fold").groupBy(*rules.keys).agg(
-        F.first("_route").alias("_route"), F.first("variants").alias("_n"), *[pick(c) for c in rules.fields])
-    conflict = F.col("_route") == "conflict"
-    settled = settled.select(
-        *rules.keys,
-        F.when(conflict, "quarantined").when(F.col("_n") > 1, "merged").otherwise("kept").alias("status"),
-        *[F.when(~conflict, F.col(c)).alias(c) for c in rules.fields],
-    )
+    single = routed.where("variants = 1").select(*rules.keys, F.lit("kept").alias("status"), *rules.fields)
+    close = routed.where("variants > 1 AND _route = 'merge'").groupBy(*rules.keys).agg(*[pick(c) for c in rules.fields])
+    merged = close.select(*rules.keys, F.lit("merged").alias("status"), *rules.fields)
+    conflicts = shape.where("_route = 'conflict'").select(
+        *rules.keys, F.lit("quarantined").alias("status"), *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in rules.fields])
+    settled = single.unionByName(merged).unionByName(conflicts)
     hard = df.join(shape.where(F.col("_route") == "fold").select(*rules.keys), rules.keys, "left_semi")
     return settled.unionByName(_fold_in_order(hard, rules))
 
@@ -183,10 +190,11 @@ def _fold_in_order(df: DataFrame, rules: MergeRules) -> DataFrame:
             if a is None:
                 out[c] = b
             elif c in bounds:
-                gap = abs(a - b)
-                if gap > bounds[c] or gap > max(abs(a), abs(b)) * relative:
+                x, y = _py_exact(a), _py_exact(b)
+                gap = abs(x - y)
+                if gap > bounds[c] or gap > max(abs(x), abs(y)) * relative:
                     return None
-                if _py_digits(b) > _py_digits(a):
+                if _py_digits(y) > _py_digits(x):
                     out[c] = b
             elif c not in free:
                 return None

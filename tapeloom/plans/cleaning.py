@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -26,48 +26,66 @@ class Out:
     why: str = ""
 
 
-def _split(names: str) -> list[str]:
-    return names.split()
+@dataclass(frozen=True)
+class Parsed:
+    """An output column whose parser depends on whether the source is text or numeric."""
+
+    name: str
+    source: str
+    parse: Callable[[Column, bool], Column]
+    required: bool
+
+    def resolve(self, schema: T.StructType) -> Out:
+        text_source = isinstance(schema[self.source].dataType, T.StringType)
+        source = F.col(self.source)
+        value = self.parse(source, text_source)
+        if self.required:
+            return Out(self.name, value, value.isNull(), f"invalid {self.name}")
+        return Out(self.name, value, sc.unparsable(source, value, text=text_source), f"invalid {self.name}")
 
 
 def text(names: str, *, required: bool = False) -> list[Out]:
     return [
         Out(n, sc.clean_text(n), sc.clean_text(n).isNull() if required else None, f"{n} is required")
-        for n in _split(names)
+        for n in names.split()
     ]
 
 
-def _parsed(name: str, source: Column, value: Column, required: bool) -> Out:
-    missing = sc.clean_text(source).isNull() if required else F.lit(False)
-    return Out(name, value, missing | sc.unparsable(source, value), f"invalid {name}")
+def _pairs(names: str, renamed: dict[str, str]) -> list[tuple[str, str]]:
+    return [*((n, n) for n in names.split()), *renamed.items()]
 
 
-def days(names: str, *, required: bool = False) -> list[Out]:
-    return [_parsed(n, F.col(n), sc.strict_date(n), required) for n in _split(names)]
+def days(names: str, *, required: bool = False) -> list[Parsed]:
+    return [Parsed(n, n, lambda c, _: sc.strict_date(c), required) for n in names.split()]
 
 
-def numbers(dtype: T.DecimalType, names: str = "", *, required: bool = False, **renamed: str) -> list[Out]:
+def numbers(dtype: T.DecimalType, names: str = "", *, required: bool = False, **renamed: str) -> list[Parsed]:
     """Decimals; keyword arguments map output name to source name."""
-    pairs = {**{n: n for n in _split(names)}, **renamed}
-    return [_parsed(out, F.col(src), sc.decimal_value(src, dtype), required) for out, src in pairs.items()]
+    return [Parsed(o, s, lambda c, t: sc.decimal_value(c, dtype, text=t), required) for o, s in _pairs(names, renamed)]
+
+
+def floats(names: str) -> list[Out]:
+    """Finite doubles, left as they are so repeated reports can be compared exactly."""
+    return [
+        Out(n, F.col(n).cast("double"), F.isnan(F.col(n).cast("double")) | (F.abs(F.col(n).cast("double")) == float("inf")), f"invalid {n}")
+        for n in names.split()
+    ]
 
 
-def scaled(factor: int, names: str = "", *, required: bool = False, dtype: T.DecimalType = tt.QUANTITY, **renamed: str) -> list[Out]:
-    pairs = {**{n: n for n in _split(names)}, **renamed}
-    return [_parsed(out, F.col(src), sc.scaled(src, factor, dtype), required) for out, src in pairs.items()]
+def scaled(factor: int, names: str = "", *, required: bool = False, dtype: T.DecimalType = tt.QUANTITY, **renamed: str) -> list[Parsed]:
+    return [Parsed(o, s, lambda c, t: sc.scaled(c, factor, dtype, text=t), required) for o, s in _pairs(names, renamed)]
 
 
-def whole(names: str = "", *, required: bool = False, **renamed: str) -> list[Out]:
-    pairs = {**{n: n for n in _split(names)}, **renamed}
-    return [_parsed(out, F.col(src), sc.exact_integer(src), required) for out, src in pairs.items()]
+def whole(names: str = "", *, required: bool = False, **renamed: str) -> list[Parsed]:
+    return [Parsed(o, s, lambda c, t: sc.exact_integer(c, text=t), required) for o, s in _pairs(names, renamed)]
 
 
-def flags(names: str) -> list[Out]:
-    return [_parsed(n, F.col(n), sc.flag(n), True) for n in _split(names)]
+def flags(names: str) -> list[Parsed]:
+    return [Parsed(n, n, lambda c, _: sc.flag(c), True) for n in names.split()]
 
 
-def clocks(names: str) -> list[Out]:
-    return [_parsed(n, F.col(n), sc.clock(n), False) for n in _split(names)]
+def clocks(names: str) -> list[Parsed]:
+    return [Parsed(n, n, lambda c, _: sc.clock(c), False) for n in names.split()]
 
 
 def choice(name: str, allowed: Sequence[object], *, nullable: bool = False, source: str | None = None, number: bool = False) -> list[Out]:
@@ -90,9 +108,10 @@ def dated(business_date: Column | None, name: str = "trade_date") -> list[Out]:
     return [Out(name, value, bad, f"wrong {name}")]
 
 
-def cleaned(df: DataFrame, *groups: list[Out], keep: Sequence[str] = ()) -> DataFrame:
+def cleaned(df: DataFrame, *groups: Sequence[Out | Parsed], keep: Sequence[str] = ()) -> DataFrame:
     """Typed rows with the reject reason in ``_bad``; extra raw columns can be kept."""
-    outs = [o for group in groups for o in group]
+    schema = df.schema
+    outs = [o.resolve(schema) if isinstance(o, Parsed) else o for group in groups for o in group]
     checks = [(o.bad, o.why) for o in outs if o.bad is not None]
     reason = sc.reject_reason(*checks) if checks else F.lit(None).cast("string")
     return df.select(*keep, *[o.value.alias(o.name) for o in outs], reason.alias(BAD))
@@ -100,9 +119,12 @@ def cleaned(df: DataFrame, *groups: list[Out], keep: Sequence[str] = ()) -> Data
 
 @dataclass
 class Check:
-    """A frame that must be empty, or whose verdict column must be true everywhere."""
+    """A frame that must be empty, or whose verdict column must be true everywhere.
 
-    frame: DataFrame
+    Frames are given as functions: a check that is not run costs no plan analysis.
+    """
+
+    frame: Callable[[], DataFrame]
     message: str
     verdict: str | None = None
 
@@ -113,22 +135,25 @@ class Prepared:
 
     rows: DataFrame
     checks: list[Check] = field(default_factory=list)
-    reports: dict[str, DataFrame] = field(default_factory=dict)
+    reports: dict[str, Callable[[], DataFrame]] = field(default_factory=dict)
     required: list[tuple[DataFrame, str]] = field(default_factory=list)
 
     def verify(self) -> "Prepared":
         """Run the checks; each reads at most one row to the driver."""
         for check in self.checks:
-            qa.enforce(check.frame, check.message, verdict=check.verdict)
+            qa.enforce(check.frame(), check.message, verdict=check.verdict)
         for frame, message in self.required:
             qa.enforce_any(frame, message)
         return self
 
+    def report(self, name: str) -> DataFrame:
+        return self.reports[name]()
+
 
 def usable(df: DataFrame, name: str) -> tuple[DataFrame, Check]:
     """Clean rows, and the check that there were no others."""
-    return df.where(F.col(BAD).isNull()).drop(BAD), Check(df.where(F.col(BAD).isNotNull()), f"{name}: invalid rows")
+    return df.where(F.col(BAD).isNull()).drop(BAD), Check(lambda: df.where(F.col(BAD).isNotNull()), f"{name}: invalid rows")
 
 
 def unique(df: DataFrame, keys: Sequence[str], name: str) -> Check:
-    return Check(qa.natural_key_violations(df, keys), f"{name}: key not unique")
+    return Check(lambda: qa.natural_key_violations(df, keys), f"{name}: key not unique")

@@ -27,6 +27,8 @@ from tapeloom.plans.cleaning import Check, Prepared
 KEY = ["ts_code", "trade_date"]
 PRICES = "open high low close pre_close"
 
+Report = Callable[[], DataFrame]
+
 # Code lists.
 LISTING = ("L", "D", "P", "G")
 EXCHANGES = ("SSE", "SZSE", "BSE")
@@ -40,15 +42,11 @@ FLOW_VOLUMES = "buy_sm_vol sell_sm_vol buy_md_vol sell_md_vol buy_lg_vol sell_lg
 FLOW_AMOUNTS = FLOW_VOLUMES.replace("_vol", "_amount")
 
 
-def _listed(rows: DataFrame, stock: DataFrame, name: str, *, active: bool = False, column: str = "ts_code") -> tuple[DataFrame, DataFrame]:
-    """Rows in the stock master (optionally not delisted), and the rejected ones."""
+def _listed(rows: DataFrame, master: DataFrame, *, active: bool = False) -> tuple[DataFrame, Report]:
+    """Rows in a master (optionally not delisted), and how to get the rejected ones."""
     gone = F.col("list_status") == "D" if active else None
-    mapping = {column: "ts_code"}
-    return jn.in_master(rows, stock, mapping, exclude=gone), jn.not_in_master(rows, stock, mapping, exclude=gone)
-
-
-def _in_master(rows: DataFrame, master: DataFrame, key: str = "ts_code") -> tuple[DataFrame, DataFrame]:
-    return jn.in_master(rows, master, {key: "ts_code"}), jn.not_in_master(rows, master, {key: "ts_code"})
+    mapping = {"ts_code": "ts_code"}
+    return jn.in_master(rows, master, mapping, exclude=gone), lambda: jn.not_listed(rows, master, mapping, exclude=gone)
 
 
 def _simple(df: DataFrame, name: str, keys: list[str], *groups: list[cl.Out]) -> Prepared:
@@ -63,9 +61,9 @@ def trade_calendar(raw: DataFrame, required: tuple[str, ...] = ("SSE", "SZSE"))
     out = _simple(raw, "trade_calendar", ["exchange", "cal_date"], cl.text("exchange", required=True),
                   cl.days("cal_date", required=True), cl.flags("is_open"), cl.days("pretrade_date"))
     out.checks += [
-        Check(qa.missing_exchanges(out.rows, required), "trade_calendar: exchange missing"),
-        Check(out.rows.where(~F.col("exchange").isin(*required)), "trade_calendar: unexpected exchange"),
-        Check(qa.calendar_completeness(out.rows), "trade_calendar: year incomplete", "complete"),
+        Check(lambda: qa.missing_exchanges(out.rows, required), "trade_calendar: exchange missing"),
+        Check(lambda: out.rows.where(~F.col("exchange").isin(*required)), "trade_calendar: unexpected exchange"),
+        Check(lambda: qa.calendar_completeness(out.rows), "trade_calendar: year incomplete", "complete"),
     ]
     return out
 
@@ -83,7 +81,7 @@ def stock_company(raw: DataFrame, stock_master: DataFrame) -> Prepared:
         raw, "stock_company", ["ts_code"], cl.text("ts_code", required=True),
         cl.text("com_name com_id exchange chairman manager secretary"), cl.scaled(10_000, "reg_capital"), cl.days("setup_date"),
         cl.text("province city introduction website email office"), cl.whole("employees"), cl.text("main_business business_scope"))
-    out.rows, out.reports["rejected"] = _listed(out.rows, stock_master, "stock_company")
+    out.rows, out.reports["rejected"] = _listed(out.rows, stock_master)
     return out
 
 
@@ -114,9 +112,9 @@ def etf_daily(daily: DataFrame, factor: DataFrame, etf_master: DataFrame, busine
         cl.scaled(1_000, amount="amount", required=True)), "fund_daily")
     factors, factors_ok = cl.usable(cl.cleaned(
         factor, cl.text("ts_code", required=True), cl.dated(business_date), cl.numbers(tt.FACTOR, "adj_factor", required=True)), "fund_adj")
-    rows, rejected = _in_master(jn.optional_enrich(bars, factors, KEY, ["adj_factor"]), etf_master)
+    rows, rejected = _listed(jn.optional_enrich(bars, factors, KEY, ["adj_factor"]), etf_master)
     return Prepared(rows, [bars_ok, factors_ok, cl.unique(bars, KEY, "fund_daily"), cl.unique(factors, KEY, "fund_adj")],
-                    {"rejected": rejected, "extra_factors": jn.extra_keys(factors, bars, KEY)}, [(rows, "etf_daily: empty day")])
+                    {"rejected": rejected, "extra_factors": lambda: jn.extra_keys(factors, bars, KEY)}, [(rows, "etf_daily: empty day")])
 
 
 def etf_share_size_daily(raw: DataFrame, etf_master: DataFrame, business_date: Column | None = None) -> Prepared:
@@ -127,8 +125,8 @@ def etf_share_size_daily(raw: DataFrame, etf_master: DataFrame, business_date: C
         kept, "etf_share_size_daily", KEY, cl.text("ts_code", required=True), cl.dated(business_date), cl.text("etf_name"),
         cl.scaled(10_000, "total_share total_size", required=True), cl.numbers(tt.NAV, "nav"), cl.numbers(tt.PRICE, "close"),
         cl.choice("exchange", EXCHANGES))
-    out.rows, out.reports["rejected"] = _in_master(out.rows, etf_master)
-    out.reports["dropped"] = dropped
+    out.rows, out.reports["rejected"] = _listed(out.rows, etf_master)
+    out.reports["dropped"] = lambda: dropped
     return out
 
 
@@ -137,7 +135,7 @@ def market_index_daily(raw: DataFrame, index_master: DataFrame, business_date: C
         raw, "market_index_daily", KEY, cl.text("ts_code", required=True), cl.dated(business_date), cl.numbers(tt.PRICE, "close", required=True),
         cl.numbers(tt.PRICE, "open high low pre_close change"), cl.numbers(tt.RATIO, "pct_chg"), cl.scaled(100, volume="vol"),
         cl.scaled(1_000, "amount"))
-    out.rows, out.reports["rejected"] = _in_master(out.rows, index_master)
+    out.rows, out.reports["rejected"] = _listed(out.rows, index_master)
     out.required.append((out.rows, "market_index_daily: empty day"))
     return out
 
@@ -147,7 +145,7 @@ def index_daily_basic(raw: DataFrame, index_master: DataFrame, business_date: Co
         raw, "index_daily_basic", KEY, cl.text("ts_code", required=True), cl.dated(business_date),
         cl.numbers(tt.QUANTITY, "total_mv float_mv total_share float_share free_share"), cl.numbers(tt.RATIO, "turnover_rate turnover_rate_f"),
         cl.numbers(tt.PRICE, "pe pe_ttm pb"))
-    out.rows, out.reports["rejected"] = _in_master(out.rows, index_master)
+    out.rows, out.reports["rejected"] = _listed(out.rows, index_master)
     return out
 
 
@@ -165,13 +163,12 @@ def market_index_weight(raw: DataFrame, index_master: DataFrame, stock_master: D
 # ---------------------------------------------------------------- stock facts
 
 
-def _canonical(raw: DataFrame, aliases: DataFrame, name: str, keys: list[str], matching: list[str] | None = None) -> tuple[DataFrame, list[Check], dict[str, DataFrame]]:
+def _canonical(raw: DataFrame, aliases: DataFrame, name: str, keys: list[str], matching: list[str] | None = None) -> tuple[DataFrame, list[Check], dict[str, Report]]:
     """Alias-mapped, deduplicated raw rows with their conflict check and report."""
     mapped = dd.map_alias(raw, aliases)
     fields = matching or [c for c in raw.columns if c not in (*keys, "_ord", "_asset", "_row")]
-    conflicts = dd.alias_conflicts(mapped, keys, fields)
     rows = dd.dedup_alias(mapped, keys, "_ord").drop("is_alias", "source_code")
-    return rows, [Check(conflicts, f"{name}: alias conflict")], {f"{name}_aliases": dd.alias_report(mapped, keys)}
+    return rows, [Check(lambda: dd.alias_conflicts(mapped, keys, fields), f"{name}: alias conflict")], {f"{name}_aliases": lambda: dd.alias_report(mapped, keys)}
 
 
 def stock_daily_core(
@@ -199,8 +196,8 @@ def stock_daily_core(
         b_raw, *base, cl.numbers(tt.PRICE, basic_close="close"), cl.numbers(tt.RATIO, RATIOS), cl.numbers(tt.PRICE, MULTIPLES),
         cl.scaled(10_000, SHARES)), "daily_basic")
     factors, factors_ok = cl.usable(cl.cleaned(f_raw, *base, cl.numbers(tt.FACTOR, "adj_factor", required=True)), "adj_factor")
-    checks += [ok, values_ok, factors_ok, Check(jn.uncovered(quotes, factors, KEY), "adj_factor does not cover daily"),
-               Check(quotes.where(ohlc_invalid() | (F.col("pre_close") <= 0)), "daily: inconsistent prices")]
+    checks += [ok, values_ok, factors_ok, Check(lambda: jn.uncovered(quotes, factors, KEY), "adj_factor does not cover daily"),
+               Check(lambda: quotes.where(ohlc_invalid() | (F.col("pre_close") <= 0)), "daily: inconsistent prices")]
 
     bse = F.col("ts_code").endswith(".BJ")
     pairs = quotes.join(values.select(*KEY, "basic_close"), KEY)
@@ -210,28 +207,34 @@ def stock_daily_core(
     enriched = jn.tolerant_enrich(
         tagged, values, KEY, left_close="close", right_close="basic_close", columns=columns,
         isolate=bse & F.coalesce("lagging", F.lit(False))).drop("lagging")
-    extra = jn.extra_keys(values, quotes, KEY)
-    issues = enriched.select(*KEY, "enrich_issue", F.lit(True).alias("quoted")).unionByName(
-        extra.select(*KEY, F.lit("no daily row").alias("enrich_issue"), F.lit(False).alias("quoted")))
-    required = ~F.col("ts_code").endswith(".BJ")
+
+    def issues() -> DataFrame:
+        extra = jn.extra_keys(values, quotes, KEY)
+        return enriched.select(*KEY, "enrich_issue", F.lit(True).alias("quoted")).unionByName(
+            extra.select(*KEY, F.lit("no daily row").alias("enrich_issue"), F.lit(False).alias("quoted")))
+
+    def gate() -> DataFrame:
+        required = ~F.col("ts_code").endswith(".BJ")
+        return qa.anomaly_gate(
+            issues(), ["trade_date"], F.col("enrich_issue").isNotNull(), counted=required, total=required & F.col("quoted"))
+
     checks += [
-        Check(qa.anomaly_gate(issues, ["trade_date"], F.col("enrich_issue").isNotNull(), counted=required, total=required & F.col("quoted")),
-              "daily_basic: too many anomalies", "passed"),
-        Check(qa.anomaly_gate(quotes, ["trade_date"], F.col("pre_close").isNull()), "daily: too many rows without pre_close", "passed"),
+        Check(gate, "daily_basic: too many anomalies", "passed"),
+        Check(lambda: qa.anomaly_gate(quotes, ["trade_date"], F.col("pre_close").isNull()), "daily: too many rows without pre_close", "passed"),
     ]
-    priced = enriched.where(F.col("pre_close").isNotNull())
     flags = sc.correction_flags("close", "pre_close", "source_change", "source_pct")
-    rows = jn.covered_join(priced, factors, KEY, ["adj_factor"]).withColumns({
-        "change": sc.price_change("close", "pre_close"), "pct_chg": sc.pct_change("close", "pre_close"), "corrected": flags,
+    priced = jn.covered_join(enriched.where(F.col("pre_close").isNotNull()), factors, KEY, ["adj_factor"])
+    rows = priced.withColumns({
+        "change": sc.price_change("close", "pre_close"), "pct_chg": sc.pct_change("close", "pre_close"),
         "limit_status": F.lit(None).cast("smallint"), "up_limit": F.lit(None).cast(tt.PRICE), "down_limit": F.lit(None).cast(tt.PRICE)})
     reports |= {
-        "corrections": rows.where(F.size("corrected") > 0).select(*KEY, "corrected"),
-        "enrich_issues": issues.where(F.col("enrich_issue").isNotNull()).drop("quoted"),
-        "price_issues": enriched.where(F.col("pre_close").isNull()).select(*KEY),
-        "extra_factors": jn.extra_keys(factors, quotes, KEY),
+        "corrections": lambda: priced.select(*KEY, flags.alias("corrected")).where(F.size("corrected") > 0),
+        "enrich_issues": lambda: issues().where(F.col("enrich_issue").isNotNull()).drop("quoted"),
+        "price_issues": lambda: enriched.where(F.col("pre_close").isNull()).select(*KEY),
+        "extra_factors": lambda: jn.extra_keys(factors, quotes, KEY),
     }
-    rows = rows.drop("source_change", "source_pct", "enrich_issue", "corrected")
-    rows, reports["rejected"] = _listed(rows, stock_master, "stock_daily.core", active=True)
+    rows = rows.drop("source_change", "source_pct", "enrich_issue")
+    rows, reports["rejected"] = _listed(rows, stock_master, active=True)
     if previous is not None:
         rows = pb.carry_over(rows, previous, KEY, ["limit_status", "up_limit", "down_limit"], valid_dates=patch_dates)
     return Prepared(rows, checks, reports, [(rows, "stock_daily.core: empty day")])
@@ -244,8 +247,8 @@ def stock_daily_limit(raw: DataFrame, aliases: DataFrame, core: DataFrame, busin
         src, cl.text("ts_code", required=True), cl.dated(business_date), cl.numbers(tt.PRICE, source_pre_close="pre_close"),
         cl.numbers(tt.PRICE, "up_limit down_limit")), "stk_limit")
     same = {k: k for k in KEY}
-    checks += [ok, Check(jn.inconsistent(core, rows, KEY, "pre_close", "source_pre_close"), "stk_limit: pre_close differs from core")]
-    reports["rejected"] = jn.not_in_master(rows, core, same)
+    checks += [ok, Check(lambda: jn.inconsistent(core, rows, KEY, "pre_close", "source_pre_close"), "stk_limit: pre_close differs from core")]
+    reports["rejected"] = jn.not_listed(rows, core, same)
     return Prepared(jn.in_master(rows, core, same).drop("source_pre_close"), checks, reports, [(rows, "stock_daily.limit: empty day")])
 
 
@@ -255,8 +258,8 @@ def stock_technical_daily(raw: DataFrame, aliases: DataFrame, stock_master: Data
     rows, ok = cl.usable(cl.cleaned(
         src, cl.text("ts_code", required=True), cl.dated(business_date), cl.numbers(tt.PRICE, source_close="close", required=True),
         cl.numbers(tt.PRICE, ADJUSTED), cl.numbers(tt.INDICATOR, INDICATORS)), "stk_factor")
-    kept, reports["rejected"] = _listed(rows, stock_master, "stock_technical_daily", active=True)
-    checks += [ok, Check(jn.inconsistent(core, kept, KEY, "close", "source_close"), "stk_factor: close differs from core")]
+    kept, reports["rejected"] = _listed(rows, stock_master, active=True)
+    checks += [ok, Check(lambda: jn.inconsistent(core, kept, KEY, "close", "source_close"), "stk_factor: close differs from core")]
     return Prepared(kept.drop("source_close"), checks, reports, [(rows, "stock_technical_daily: empty day")])
 
 
@@ -264,7 +267,7 @@ def stock_moneyflow_daily(raw: DataFrame, aliases: DataFrame, stock_master: Data
     src, checks, reports = _canonical(raw, aliases, "moneyflow", KEY)
     rows, ok = cl.usable(cl.cleaned(
         src, cl.text("ts_code", required=True), cl.dated(business_date), cl.scaled(100, FLOW_VOLUMES), cl.scaled(10_000, FLOW_AMOUNTS)), "moneyflow")
-    kept, reports["rejected"] = _listed(rows, stock_master, "stock_moneyflow_daily", active=True)
+    kept, reports["rejected"] = _listed(rows, stock_master, active=True)
     return Prepared(kept, checks + [ok], reports, [(rows, "stock_moneyflow_daily: empty day")])
 
 
@@ -273,7 +276,7 @@ def stock_suspend_daily(raw: DataFrame, aliases: DataFrame, stock_master: DataFr
     src, checks, reports = _canonical(raw, aliases, "suspend_d", [*KEY, "suspend_type"])
     rows, ok = cl.usable(cl.cleaned(
         src, cl.text("ts_code", required=True), cl.dated(business_date), cl.choice("suspend_type", ("S", "R")), cl.text("suspend_timing")), "suspend_d")
-    kept, reports["rejected"] = _listed(rows, stock_master, "stock_suspend_daily", active=True)
+    kept, reports["rejected"] = _listed(rows, stock_master, active=True)
     return Prepared(kept, checks + [ok], reports)
 
 
@@ -302,9 +305,9 @@ def _board_daily(raw: DataFrame, boards: DataFrame, name: str, business_date: Co
         raw.where(~missing), name, KEY, cl.const("source", "THS"), cl.text("ts_code", required=True), cl.dated(business_date),
         cl.numbers(tt.PRICE, "close", required=True), cl.numbers(tt.PRICE, "open high low pre_close avg_price change"),
         cl.numbers(tt.RATIO, "pct_change turnover_rate"), cl.scaled(100, volume="vol"), cl.numbers(tt.QUANTITY, "total_mv float_mv"))
-    out.checks.append(Check(qa.anomaly_gate(day, ["trade_date"], F.col("missing")), f"{name}: too many missing closes", "passed"))
-    out.rows, out.reports["rejected"] = _in_master(out.rows, boards)
-    out.reports["isolated"] = raw.where(missing)
+    out.checks.append(Check(lambda: qa.anomaly_gate(day, ["trade_date"], F.col("missing")), f"{name}: too many missing closes", "passed"))
+    out.rows, out.reports["rejected"] = _listed(out.rows, boards)
+    out.reports["isolated"] = lambda: raw.where(missing)
     return out
 
 
@@ -349,9 +352,9 @@ def market_theme_member_daily(raw: DataFrame, stock_master: DataFrame, business_
         cl.text("name industry_code industry reason"), cl.whole("hot_num")), "dc_concept_cons")
     keys = ["source", "trade_date", "theme_code", "ts_code"]
     single, conflicts = dd.dedup_exact(rows, keys)
-    kept, rejected = _listed(single, stock_master, "market_theme_member_daily")
-    return Prepared(kept.drop("copies"), [ok, Check(conflicts, "dc_concept_cons: conflicting duplicates")],
-                    {"rejected": rejected, "duplicates": single.where("copies > 1")})
+    kept, rejected = _listed(single, stock_master)
+    return Prepared(kept.drop("copies"), [ok, Check(lambda: conflicts, "dc_concept_cons: conflicting duplicates")],
+                    {"rejected": rejected, "duplicates": lambda: single.where("copies > 1")})
 
 
 def ths_board_moneyflow_daily(concept: DataFrame, industry: DataFrame, business_date: Column | None = None) -> Prepared:
@@ -412,9 +415,9 @@ def stock_hot_rank_daily(
         parts.append(_hot_rows(newest, "DC", sc.scope_param(scope, "hot_type"), business_date))
     merged = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     rows, ok = cl.usable(merged, "hot_rank")
-    doubled = dd.snapshot_duplicates(rows, ["source", "trade_date", "market_type", "rank_type"], "ts_code", "rank")
-    kept, rejected = _listed(rows, stock_master, "stock_hot_rank_daily")
-    return Prepared(kept, [ok, Check(doubled, "hot_rank: snapshot not unique")], {"rejected": rejected})
+    scope_cols = ["source", "trade_date", "market_type", "rank_type"]
+    kept, rejected = _listed(rows, stock_master)
+    return Prepared(kept, [ok, Check(lambda: dd.snapshot_duplicates(rows, scope_cols, "ts_code", "rank"), "hot_rank: snapshot not unique")], {"rejected": rejected})
 
 
 TOP_LIST_MONEY = "amount l_sell l_buy l_amount net_amount float_values"
@@ -423,18 +426,17 @@ TOP_LIST_RATES = "close pct_change turnover_rate net_rate amount_rate"
 
 def stock_top_list_daily(raw: DataFrame, stock_master: DataFrame, business_date: Column | None = None) -> Prepared:
     """Top list with repeated reports merged; keys in real conflict are quarantined and reported."""
-    exact = tt.EXACT
     rows, ok = cl.usable(cl.cleaned(
         raw, cl.dated(business_date), cl.text("ts_code reason", required=True), cl.text("name"),
-        cl.numbers(exact, TOP_LIST_RATES), cl.numbers(exact, TOP_LIST_MONEY), keep=["_ord"]), "top_list")
+        cl.floats(f"{TOP_LIST_RATES} {TOP_LIST_MONEY}"), keep=["_ord"]), "top_list")
     rules = dd.MergeRules(["trade_date", "ts_code", "reason"], "_ord", free=["name"], money=TOP_LIST_MONEY.split(), rate=TOP_LIST_RATES.split())
     merged = dd.merge_compatible(rows, rules)
     types = {**{c: tt.RATIO for c in TOP_LIST_RATES.split()}, "close": tt.PRICE, **{c: tt.QUANTITY for c in TOP_LIST_MONEY.split()}}
     final = merged.where("status <> 'quarantined'").drop("status").withColumns({c: F.col(c).cast(t) for c, t in types.items()})
-    kept, rejected = _listed(final, stock_master, "stock_top_list_daily")
+    kept, rejected = _listed(final, stock_master)
     return Prepared(kept, [ok], {
-        "rejected": rejected, "quarantined": merged.where("status = 'quarantined'").select(*rules.keys),
-        "merged": merged.where("status = 'merged'").select(*rules.keys)})
+        "rejected": rejected, "quarantined": lambda: merged.where("status = 'quarantined'").select(*rules.keys),
+        "merged": lambda: merged.where("status = 'merged'").select(*rules.keys)})
 
 
 def stock_top_inst_daily(raw: DataFrame, stock_master: DataFrame, business_date: Column | None = None) -> Prepared:
@@ -442,7 +444,7 @@ def stock_top_inst_daily(raw: DataFrame, stock_master: DataFrame, business_date:
     rows, ok = cl.usable(cl.cleaned(
         raw, cl.dated(business_date), cl.text("ts_code exalter", required=True), cl.choice("side", (0, 1), number=True),
         cl.numbers(tt.QUANTITY, "buy sell net_buy"), cl.numbers(tt.RATIO, "buy_rate sell_rate"), cl.text("reason", required=True)), "top_inst")
-    kept, rejected = _listed(rows, stock_master, "stock_top_inst_daily")
+    kept, rejected = _listed(rows, stock_master)
     return Prepared(kept, [ok], {"rejected": rejected})
 
 
@@ -454,7 +456,7 @@ def stock_limit_event_daily(raw: DataFrame, stock_master: DataFrame, business_da
         cl.numbers(tt.RATIO, "pct_chg turnover_ratio"),
         cl.numbers(tt.QUANTITY, amount_raw="amount", limit_amount_raw="limit_amount", float_mv_raw="float_mv", total_mv_raw="total_mv", fd_amount_raw="fd_amount"),
         cl.clocks("first_time last_time"), cl.whole("open_times limit_times"))
-    out.rows, out.reports["rejected"] = _listed(out.rows, stock_master, "stock_limit_event_daily")
+    out.rows, out.reports["rejected"] = _listed(out.rows, stock_master)
     return out
 
 
@@ -463,7 +465,7 @@ def stock_limit_step_daily(raw: DataFrame, stock_master: DataFrame, business_dat
     out = _simple(
         raw, "stock_limit_step_daily", KEY, cl.dated(business_date), cl.text("ts_code", required=True), cl.text("name"),
         [cl.Out("nums", steps, F.coalesce(steps <= 0, F.lit(True)), "invalid nums")])
-    out.rows, out.reports["rejected"] = _listed(out.rows, stock_master, "stock_limit_step_daily")
+    out.rows, out.reports["rejected"] = _listed(out.rows, stock_master)
     return out
 
 
