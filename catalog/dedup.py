@@ -107,7 +107,7 @@ def merge_sql(keys: str) -> str:
            CASE WHEN NOT dead THEN name END AS name, CAST(CASE WHEN NOT dead THEN rate END AS DOUBLE) AS rate, CAST(CASE WHEN NOT dead THEN amount END AS DOUBLE) AS amount
     FROM folded""")
 def dedup_merge(v: Views):
-    return dd.merge_compatible(merge_input(v), MERGE)
+    return dd.merge_compatible(merge_input(v), MERGE).drop("event_id")
 
 
 @query("dedup_latest_snapshot", """

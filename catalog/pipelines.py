@@ -26,7 +26,7 @@ def raw_quotes(v: Views):
         (F.col("close") - F.col("open")).cast("double").alias("change"), F.col("pct_chg").cast("double"), F.col("volume").cast("double").alias("vol"),
         F.col("amount").cast("double"), null("double").alias("ah_vol"), null("double").alias("ah_amount"))
     again = base.where("vol >= 2").join(v.aliases, F.col("ts_code") == F.col("old_code")).withColumn("ts_code", F.col("new_code")).drop("old_code", "new_code")
-    return base.unionByName(again).withColumn("_ord", F.concat_ws("|", "trade_date", "ts_code"))
+    return base.unionByName(again).withColumn("_ord", F.xxhash64("trade_date", "ts_code"))
 
 
 def master(v: Views):
@@ -84,7 +84,7 @@ def pipe_hot_rank(v: Views):
         null("double").alias("pct_change"), F.col("score").alias("current_price"), F.lit("{A, B}").alias("concept"), F.col("score").alias("hot"),
         "event_id", "slot", "event_type", "captured")
     ordered = raw.select("*", F.lit("why").alias("rank_reason"), F.date_format("captured", "HHmmss").alias("rank_time"), F.lit("market=hot").alias("scope_key"),
-                         F.col("event_id").alias("_pos")).drop("captured", "slot", "event_type", "event_id")
+                         F.col("event_id").alias("_ord")).drop("captured", "slot", "event_type", "event_id")
     captured = raw.select("*", F.format_string("%02d:00:00", F.col("slot") * 6).alias("rank_time"),
                           F.concat(F.lit("market=A;hot_type="), "event_type").alias("scope_key")).drop("captured", "slot", "event_type", "event_id")
     out = ds.stock_hot_rank_daily(ordered, captured, v.sec.select(F.col("code").alias("ts_code")), chunk_rows=256).rows
@@ -105,7 +105,7 @@ def pipe_top_list(v: Views):
     raw = v.ticks.select(
         text_day().alias("trade_date"), F.col("code").alias("ts_code"), F.when(kind != "signup", kind).alias("name"),
         F.when(kind != "error", rate).cast("double").alias("close"), amount.cast("double").alias("amount"), kind.alias("reason"),
-        F.format_string("%015d", "event_id").alias("_ord"), *[c.alias(n) for n, c in spare.items()])
+        F.col("event_id").alias("_ord"), *[c.alias(n) for n, c in spare.items()])
     out = ds.stock_top_list_daily(raw, v.sec.select(F.col("code").alias("ts_code"))).rows
     return out.select("ts_code", "trade_date", "reason", "name", "close", "amount")
 

@@ -121,7 +121,7 @@ def _merge_shape(variants: DataFrame, rules: MergeRules) -> DataFrame:
     pair is close and no order of merging can fail. With exactly two variants the pair rule
     itself is evaluated, so "not compatible" then means a definite conflict.
     """
-    aggs = [F.count("*").alias("_n")]
+    aggs = [F.count("*").alias("_n"), F.min("_first").alias("_at")]
     for c in rules.bounds:
         aggs += [F.min(c).alias(f"_lo_{c}"), F.max(c).alias(f"_hi_{c}"), F.min(F.abs(c)).alias(f"_mag_{c}")]
     for c in rules.strict:
@@ -139,12 +139,14 @@ def _merge_shape(variants: DataFrame, rules: MergeRules) -> DataFrame:
         checks.append(F.col(f"_lo_{c}").isNull() | (F.col(f"_lo_{c}") == F.col(f"_hi_{c}")))
     ok = reduce(lambda a, b: a & b, checks, F.lit(True))
     route = F.when(ok, "merge").when(F.col("_n") == 2, "conflict").otherwise("fold")
-    return shape.select(*rules.keys, F.col("_n").alias("variants"), route.alias("_route"))
+    return shape.select(*rules.keys, "_at", F.col("_n").alias("variants"), route.alias("_route"))
 
 
 def merge_compatible(df: DataFrame, rules: MergeRules) -> DataFrame:
     """One row per key, with ``status`` kept / merged / quarantined (measures then NULL).
 
+    The order column of the result is the key's first position in the source.
+
     Rows of a key are folded in source order: an equal or NULL-subset row is absorbed, close
     values are merged, a real conflict removes the key for good. Exact copies collapse in a
     partial aggregation first. Keys whose variants are all mutually close are then merged by
@@ -161,20 +163,21 @@ def merge_compatible(df: DataFrame, rules: MergeRules) -> DataFrame:
         rank = F.struct((-digits(F.col(c))).alias("d"), F.col("_first").alias("o")) if c in rules.bounds else F.col("_first")
         return F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c)
 
-    single = routed.where("variants = 1").select(*rules.keys, F.lit("kept").alias("status"), *rules.fields)
-    close = routed.where("variants > 1 AND _route = 'merge'").groupBy(*rules.keys).agg(*[pick(c) for c in rules.fields])
-    merged = close.select(*rules.keys, F.lit("merged").alias("status"), *rules.fields)
+    head = [*rules.keys, F.col("_at").alias(rules.order)]
+    single = routed.where("variants = 1").select(*head, F.lit("kept").alias("status"), *rules.fields)
+    close = routed.where("variants > 1 AND _route = 'merge'").groupBy(*rules.keys).agg(
+        F.first("_at").alias("_at"), *[pick(c) for c in rules.fields])
+    merged = close.select(*head, F.lit("merged").alias("status"), *rules.fields)
     conflicts = shape.where("_route = 'conflict'").select(
-        *rules.keys, F.lit("quarantined").alias("status"), *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in rules.fields])
-    settled = single.unionByName(merged).unionByName(conflicts)
-    hard = df.join(shape.where(F.col("_route") == "fold").select(*rules.keys), rules.keys, "left_semi")
-    return settled.unionByName(_fold_in_order(hard, rules))
+        *head, F.lit("quarantined").alias("status"), *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in rules.fields])
+    hard = df.join(shape.where("_route = 'fold'").select(*rules.keys, "_at"), rules.keys)
+    return single.unionByName(merged).unionByName(conflicts).unionByName(_fold_in_order(hard, rules))
 
 
 def _fold_in_order(df: DataFrame, rules: MergeRules) -> DataFrame:
     """Ordered fold: rows stream key by key, the state is one row."""
     schema = T.StructType([
-        *[df.schema[k] for k in rules.keys], T.StructField("status", T.StringType()),
+        *[df.schema[k] for k in rules.keys], df.schema[rules.order], T.StructField("status", T.StringType()),
         *[T.StructField(c, df.schema[c].dataType) for c in rules.fields],
     ])
     keys, fields, free = rules.keys, rules.fields, set(rules.free)
@@ -201,22 +204,22 @@ def _fold_in_order(df: DataFrame, rules: MergeRules) -> DataFrame:
         return out
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, changed = None, None, False
-        names = [*keys, *fields]
+        key, first, state, changed = None, None, None, False
+        names = [*keys, "_at", *fields]
 
         def emit() -> list:
             status = "quarantined" if state is None else ("merged" if changed else "kept")
-            return [*key, status, *[None if state is None else state[c] for c in fields]]
+            return [*key, first, status, *[None if state is None else state[c] for c in fields]]
 
         for pdf in batches:
             done = []
             values = pdf[names].astype(object).where(pdf[names].notna(), None)
             for record in values.itertuples(index=False, name=None):
-                k, row = record[: len(keys)], dict(zip(fields, record[len(keys):]))
+                k, at, row = record[: len(keys)], record[len(keys)], dict(zip(fields, record[len(keys) + 1:]))
                 if k != key:
                     if key is not None:
                         done.append(emit())
-                    key, state, changed = k, row, False
+                    key, first, state, changed = k, at, row, False
                 elif state is not None and row != state:
                     state, changed = absorb(state, row), True
             yield pd.DataFrame(done, columns=[f.name for f in schema])

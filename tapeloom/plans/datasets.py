@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom import types as tt
@@ -376,13 +376,6 @@ def ths_board_moneyflow_daily(concept: DataFrame, industry: DataFrame, business_
 # ---------------------------------------------------------------- hot lists, top lists, limits
 
 
-def feed_position(raw: DataFrame, scope: list[str]) -> DataFrame:
-    """Whole-number position ``_pos`` in a scope: file rank, then row; files come in scope order."""
-    files = raw.groupBy(*scope, "_asset").agg(F.min("_ord").alias("_first"))
-    ranked = files.withColumn("_file", F.row_number().over(Window.partitionBy(*scope).orderBy("_first"))).drop("_first")
-    return raw.join(ranked, [*scope, "_asset"]).withColumn("_pos", F.shiftleft(F.col("_file").cast("bigint"), 40) + F.col("_row"))
-
-
 def _hot_rows(df: DataFrame, source: str, rank_type: Column, business_date: Column | None) -> DataFrame:
     market = {"THS": "A股", "DC": "A股市场"}[source]
     reason = [] if "rank_reason" in df.columns else cl.const("rank_reason", F.lit(None).cast("string"))
@@ -400,13 +393,13 @@ def stock_hot_rank_daily(
     """Newest complete snapshot of each hot list.
 
     ``ordered`` is the feed without usable capture times per row: snapshots are cut where a
-    code or rank repeats, in ``_pos`` order. ``captured`` groups rows by capture time; its
+    code or rank repeats, in ``_ord`` order. ``captured`` groups rows by capture time; its
     rank type is the ``hot_type`` of the request scope.
     """
     parts = []
     if ordered is not None:
         ordered = ordered.withColumn("_captured", sc.capture_time("rank_time", sc.strict_date("trade_date")))
-        segments = dd.segment_snapshots(ordered, [scope, "trade_date"], "_pos", "ts_code", "rank", chunk_rows=chunk_rows)
+        segments = dd.segment_snapshots(ordered, [scope, "trade_date"], "_ord", "ts_code", "rank", chunk_rows=chunk_rows)
         newest = dd.latest_complete_segment(segments, [scope, "trade_date"], "_captured")
         parts.append(_hot_rows(newest, "THS", F.lit("FINAL"), business_date))
     if captured is not None:
@@ -432,7 +425,7 @@ def stock_top_list_daily(raw: DataFrame, stock_master: DataFrame, business_date:
     rules = dd.MergeRules(["trade_date", "ts_code", "reason"], "_ord", free=["name"], money=TOP_LIST_MONEY.split(), rate=TOP_LIST_RATES.split())
     merged = dd.merge_compatible(rows, rules)
     types = {**{c: tt.RATIO for c in TOP_LIST_RATES.split()}, "close": tt.PRICE, **{c: tt.QUANTITY for c in TOP_LIST_MONEY.split()}}
-    final = merged.where("status <> 'quarantined'").drop("status").withColumns({c: F.col(c).cast(t) for c, t in types.items()})
+    final = merged.where("status <> 'quarantined'").drop("status", "_ord").withColumns({c: F.col(c).cast(t) for c, t in types.items()})
     kept, rejected = _listed(final, stock_master)
     return Prepared(kept, [ok], {
         "rejected": rejected, "quarantined": lambda: merged.where("status = 'quarantined'").select(*rules.keys),

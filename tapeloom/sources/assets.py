@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from tapeloom.errors import SchemaMismatch
 from tapeloom.operators.sets import one_sided
 from tapeloom.sources.feeds import Feed
 
+_SCHEME = "^[a-zA-Z0-9]+:/*"
+
 
 def schema_fingerprint(schema: T.StructType) -> str:
     """Stable hash of field names, order and types, kept in the asset manifest."""
@@ -33,28 +36,30 @@ def foreign_assets(manifest: DataFrame, declared: T.StructType) -> DataFrame:
     return manifest.where(~F.col("fingerprint").eqNullSafe(F.lit(schema_fingerprint(declared))))
 
 
-def read_assets(
-    spark: SparkSession, declared: T.StructType, paths: Sequence[str], *, scopes: DataFrame | None = None,
-    base_path: str | None = None, scope_on: str = "task_id",
-) -> DataFrame:
+def read_assets(spark: SparkSession, declared: T.StructType, paths: Sequence[str]) -> DataFrame:
     """All assets of a feed in one scan, with ``_asset``, ``_row`` and ``_ord`` lineage.
 
-    The merged footer schema (one distributed footer pass) must equal the declared one.
-    With ``base_path`` the Hive-style folders become columns, and ``scopes`` (scope_on,
-    scope_key) puts the request scope first in the order. ``_ord`` is a sortable text key
-    (scope, file, row), so "first row wins" rules survive any shuffle.
+    ``paths`` come in scope order. The merged footer schema (one distributed footer pass)
+    must equal the declared one. ``_ord`` is a whole number (file rank, then row), so "first
+    row wins" rules survive any shuffle and aggregate in hash tables; the file ranks are a
+    table of one row per file.
     """
-    options = {"basePath": base_path} if base_path else {}
-    merged = spark.read.options(**options, mergeSchema=True).parquet(*paths).schema
-    folders = [f for f in merged if f.name not in declared.fieldNames()] if base_path else []
-    check_schema(T.StructType([f for f in merged if f not in folders]), declared, "assets")
-    frame = spark.read.options(**options).schema(T.StructType([*declared, *folders])).parquet(*paths).select(
+    merged = spark.read.option("mergeSchema", True).parquet(*paths)
+    check_schema(merged.schema, declared, "assets")
+    frame = spark.read.schema(declared).parquet(*paths).select(
         "*", F.col("_metadata.file_path").alias("_asset"), F.col("_metadata.row_index").alias("_row"))
-    scope = F.lit("")
-    if scopes is not None:
-        frame = frame.join(scopes.select(scope_on, "scope_key"), scope_on)
-        scope = F.col("scope_key")
-    return frame.withColumn("_ord", F.format_string("%s|%s|%015d", scope, F.col("_asset"), F.col("_row")))
+
+    def rank(file: str) -> tuple[int, str]:
+        at = next((i for i, p in enumerate(paths) if p.rstrip("/").split(":", 1)[-1].lstrip("/") in file), len(paths))
+        return at, file
+
+    files = sorted(merged.inputFiles(), key=rank)
+    # file:/x and file:///x name the same file, so the scheme is left out of the key
+    ranks = spark.createDataFrame([(re.sub(_SCHEME, "", f), i) for i, f in enumerate(files)], "_key string, _file long")
+    return (
+        frame.withColumn("_key", F.regexp_replace("_asset", _SCHEME, "")).join(ranks, "_key")
+        .withColumn("_ord", F.shiftleft("_file", 40) + F.col("_row")).drop("_file", "_key")
+    )
 
 
 def seal(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
