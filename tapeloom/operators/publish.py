@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom import types as tt
 from tapeloom.functions.scalar import within
@@ -25,7 +26,7 @@ def upsert(target: DataFrame, stage: DataFrame, keys: Sequence[str], update: Seq
     keys = list(keys)
     new_keys = stage.join(target.select(*keys), keys, "left_anti")
     if update is None:
-        return target.join(stage.select(*keys), keys, "left_anti").unionByName(stage)
+        return target.join(stage.select(*keys), keys, "left_anti").select(*target.columns).unionByName(stage)
     if not update:
         return target.unionByName(new_keys, allowMissingColumns=True)
     return patch_columns(target, stage, keys, update).unionByName(new_keys, allowMissingColumns=True)
@@ -51,21 +52,21 @@ def replace_slice(target: DataFrame, stage: DataFrame, slice_: Column) -> DataFr
 
 def replace_dates(target: DataFrame, stage: DataFrame, dates: DataFrame, day: str) -> DataFrame:
     """Set-wise date replace for every date being published."""
-    return target.join(dates.select(day).distinct(), day, "left_anti").unionByName(stage)
+    return target.join(dates.select(day).distinct(), day, "left_anti").select(*target.columns).unionByName(stage)
 
 
 def replace_month(target: DataFrame, stage: DataFrame, entity: str, day: str) -> DataFrame:
     """Replace the staged months of the staged entities only."""
     month = F.trunc(day, "MM")
     touched = stage.select(entity, month.alias("_month")).distinct()
-    kept = target.withColumn("_month", month).join(touched, [entity, "_month"], "left_anti").drop("_month")
-    return kept.unionByName(stage)
+    kept = target.withColumn("_month", month).join(touched, [entity, "_month"], "left_anti")
+    return kept.select(*target.columns).unionByName(stage)
 
 
 def drop_stale(parents: DataFrame, day: str, synced: str = "synced_at") -> DataFrame:
     """Remove parents of a date that the date's latest sync did not refresh."""
     newest = parents.groupBy(day).agg(F.max(synced).alias(synced))
-    return parents.join(newest, [day, synced], "left_semi")
+    return parents.join(newest, [day, synced], "left_semi").select(*parents.columns)
 
 
 def carry_over(
@@ -128,24 +129,31 @@ class VersionedTable:
             "append").parquet(self.log_path)
         return rows
 
-    def publish_scopes(self, stage: DataFrame, scope: Column, version: str) -> None:
+    def publish_scopes(self, stage: DataFrame, scope: Column, version: str, scopes: DataFrame | None = None) -> None:
         """Publish every scope of the stage in one job, then all their pointers in one append.
 
-        REBALANCE keeps one scope in few files and splits a hot one over several tasks.
+        ``scopes`` (scope_key) names scopes to release even when the stage has no row for
+        them, which clears them. REBALANCE keeps one scope in few files and splits a hot one
+        over several tasks.
         """
         tagged = stage.withColumn("scope_key", scope).withColumn("version", F.lit(version))
         tagged.hint("rebalance", "scope_key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
             "compression", "zstd").partitionBy("scope_key", "version").parquet(f"{self.root}/data")
-        written = self._data().where(F.col("version") == version)
+        written = self._data(stage.schema).where(F.col("version") == version)
         pointers = written.groupBy("scope_key").agg(F.count("*").alias("row_count"))
+        if scopes is not None:
+            pointers = scopes.select("scope_key").distinct().join(pointers, "scope_key", "left")
         pointers.select(
             F.lit(self.dataset).alias("dataset"), F.lit(self.scope_type).alias("scope_type"), "scope_key",
-            F.lit(version).alias("version"), "row_count", F.current_timestamp().alias("published_at"),
+            F.lit(version).alias("version"), F.coalesce("row_count", F.lit(0)).alias("row_count"), F.current_timestamp().alias("published_at"),
         ).coalesce(1).write.mode("append").parquet(self.log_path)
 
-    def _data(self) -> DataFrame:
-        data = self.spark.read.parquet(f"{self.root}/data")
-        return data.withColumns({"scope_key": F.col("scope_key").cast("string"), "version": F.col("version").cast("string")})
+    def _data(self, schema: T.StructType | None = None) -> DataFrame:
+        """All versions. Folder names are read as text, so 001 stays 001."""
+        path = f"{self.root}/data"
+        folders = ("scope_key", "version")
+        body = [f for f in (schema or self.spark.read.parquet(path).schema) if f.name not in folders]
+        return self.spark.read.schema(T.StructType([*body, *[T.StructField(n, T.StringType()) for n in folders]])).parquet(path)
 
     def releases(self) -> DataFrame:
         return current_releases(self.spark.read.parquet(self.log_path))
@@ -170,7 +178,3 @@ def stale_lineage(
         "scope_key", F.col("version").alias("dep_version"), "upstream_version")
     return dep.join(up, "scope_key").join(used, ["scope_key", "dep_version"], "left").withColumn(
         "stale", ~F.col("upstream_version").eqNullSafe(F.col("up_version")))
-
-
-def key_map(columns: Sequence[str]) -> Mapping[str, str]:
-    return {c: c for c in columns}
