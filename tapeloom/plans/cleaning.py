@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom import types as tt
+from tapeloom.errors import QualityError
 from tapeloom.functions import scalar as sc
 from tapeloom.operators import quality as qa
 
@@ -108,13 +110,40 @@ def dated(business_date: Column | None, name: str = "trade_date") -> list[Out]:
     return [Out(name, value, bad, f"wrong {name}")]
 
 
-def cleaned(df: DataFrame, *groups: Sequence[Out | Parsed], keep: Sequence[str] = ()) -> DataFrame:
-    """Typed rows with the reject reason in ``_bad``; extra raw columns can be kept."""
+@dataclass(frozen=True)
+class Cleaned:
+    """A typed projection of a raw frame, not yet split into good and bad rows."""
+
+    source: DataFrame
+    outs: list[Out]
+    keep: Sequence[str]
+
+    def _columns(self) -> list[Column | str]:
+        return [*self.keep, *[o.value.alias(o.name) for o in self.outs]]
+
+    def rows(self) -> DataFrame:
+        """Rows that pass every column's check.
+
+        The checks are separate conjuncts ahead of the projection: one expression over all
+        columns would make the optimizer derive a constraint for every subset of them.
+        """
+        good = self.source
+        for out in self.outs:
+            if out.bad is not None:
+                good = good.where(~F.coalesce(out.bad, F.lit(False)))
+        return good.select(*self._columns())
+
+    def rejects(self) -> DataFrame:
+        """The other rows, with the first reason in ``_bad``."""
+        checks = [(o.bad, o.why) for o in self.outs if o.bad is not None]
+        reason = sc.reject_reason(*checks) if checks else F.lit(None).cast("string")
+        return self.source.select(*self._columns(), reason.alias(BAD)).where(F.col(BAD).isNotNull())
+
+
+def cleaned(df: DataFrame, *groups: Sequence[Out | Parsed], keep: Sequence[str] = ()) -> Cleaned:
+    """Resolve the output columns against the source types; extra raw columns can be kept."""
     schema = df.schema
-    outs = [o.resolve(schema) if isinstance(o, Parsed) else o for group in groups for o in group]
-    checks = [(o.bad, o.why) for o in outs if o.bad is not None]
-    reason = sc.reject_reason(*checks) if checks else F.lit(None).cast("string")
-    return df.select(*keep, *[o.value.alias(o.name) for o in outs], reason.alias(BAD))
+    return Cleaned(df, [o.resolve(schema) if isinstance(o, Parsed) else o for group in groups for o in group], keep)
 
 
 @dataclass
@@ -139,20 +168,34 @@ class Prepared:
     required: list[tuple[DataFrame, str]] = field(default_factory=list)
 
     def verify(self) -> "Prepared":
-        """Run the checks; each reads at most one row to the driver."""
-        for check in self.checks:
-            qa.enforce(check.frame(), check.message, verdict=check.verdict)
-        for frame, message in self.required:
-            qa.enforce_any(frame, message)
+        """Run all checks as one job and raise on the first that fails.
+
+        Each check contributes at most one row, so the driver sees a handful of rows and the
+        checks share their scans and shuffles.
+        """
+        parts = []
+        for place, check in enumerate(self.checks):
+            frame = check.frame()
+            bad = frame.where(~F.col(check.verdict)) if check.verdict else frame
+            parts.append(bad.limit(1).select(
+                F.lit(place).alias("place"), F.lit(check.message).alias("message"), F.to_json(F.struct(*bad.columns)).alias("example")))
+        for place, (frame, message) in enumerate(self.required, len(parts)):
+            none = frame.limit(1).agg(F.count("*").alias("n")).where("n = 0")
+            parts.append(none.select(F.lit(place).alias("place"), F.lit(message).alias("message"), F.lit("no rows").alias("example")))
+        if parts:
+            failed = reduce(lambda a, b: a.unionByName(b), parts).collect()
+            if failed:
+                first = min(failed)
+                raise QualityError(f"{first['message']}: {first['example']}")
         return self
 
     def report(self, name: str) -> DataFrame:
         return self.reports[name]()
 
 
-def usable(df: DataFrame, name: str) -> tuple[DataFrame, Check]:
+def usable(clean: Cleaned, name: str) -> tuple[DataFrame, Check]:
     """Clean rows, and the check that there were no others."""
-    return df.where(F.col(BAD).isNull()).drop(BAD), Check(lambda: df.where(F.col(BAD).isNotNull()), f"{name}: invalid rows")
+    return clean.rows(), Check(clean.rejects, f"{name}: invalid rows")
 
 
 def unique(df: DataFrame, keys: Sequence[str], name: str) -> Check:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def _listed(rows: DataFrame, master: DataFrame, *, active: bool = False) -> tupl
     """Rows in a master (optionally not delisted), and how to get the rejected ones."""
     gone = F.col("list_status") == "D" if active else None
     mapping = {"ts_code": "ts_code"}
-    return jn.in_master(rows, master, mapping, exclude=gone), lambda: jn.not_listed(rows, master, mapping, exclude=gone)
+    return jn.in_master(rows, master, mapping, exclude=gone), lambda: jn.not_in_master(rows, master, mapping, exclude=gone)
 
 
 def _simple(df: DataFrame, name: str, keys: list[str], *groups: list[cl.Out]) -> Prepared:
@@ -248,7 +249,7 @@ def stock_daily_limit(raw: DataFrame, aliases: DataFrame, core: DataFrame, busin
         cl.numbers(tt.PRICE, "up_limit down_limit")), "stk_limit")
     same = {k: k for k in KEY}
     checks += [ok, Check(lambda: jn.inconsistent(core, rows, KEY, "pre_close", "source_pre_close"), "stk_limit: pre_close differs from core")]
-    reports["rejected"] = jn.not_listed(rows, core, same)
+    reports["rejected"] = lambda: jn.not_in_master(rows, core, same)
     return Prepared(jn.in_master(rows, core, same).drop("source_pre_close"), checks, reports, [(rows, "stock_daily.limit: empty day")])
 
 
@@ -359,24 +360,25 @@ def market_theme_member_daily(raw: DataFrame, stock_master: DataFrame, business_
 
 def ths_board_moneyflow_daily(concept: DataFrame, industry: DataFrame, business_date: Column | None = None) -> Prepared:
     """Concept and industry flow feeds, which name price and index columns differently."""
-    def side(df: DataFrame, board: str, price: str, index: str, code: list[cl.Out]) -> DataFrame:
+    def side(df: DataFrame, board: str, price: str, index: str, code: list[cl.Out]) -> cl.Cleaned:
         return cl.cleaned(
             df, [cl.Out("board_name", sc.clean_text(board), sc.clean_text(board).isNull(), "board_name is required")], code, cl.dated(business_date),
             cl.text("lead_stock"), cl.numbers(tt.PRICE, lead_stock_price=price, board_index=index), cl.numbers(tt.RATIO, "pct_change"),
             cl.whole("company_num"), cl.numbers(tt.RATIO, lead_stock_pct_change="pct_change_stock"),
             cl.scaled(100_000_000, "net_buy_amount net_sell_amount net_amount"))
 
-    both = union_tagged({
-        "CONCEPT": side(concept, "name", "close_price", "industry_index", cl.text("ts_code")),
-        "INDUSTRY": side(industry, "industry", "close", "close_price", cl.text("ts_code"))}, "board_type")
-    rows, ok = cl.usable(both, "board_moneyflow")
-    return Prepared(rows, [ok, cl.unique(rows, ["board_type", "trade_date", "board_name"], "board_moneyflow")])
+    parts = {
+        "CONCEPT": cl.usable(side(concept, "name", "close_price", "industry_index", cl.text("ts_code")), "moneyflow_cnt_ths"),
+        "INDUSTRY": cl.usable(side(industry, "industry", "close", "close_price", cl.text("ts_code")), "moneyflow_ind_ths")}
+    rows = union_tagged({name: frame for name, (frame, _) in parts.items()}, "board_type")
+    checks = [check for _, check in parts.values()]
+    return Prepared(rows, [*checks, cl.unique(rows, ["board_type", "trade_date", "board_name"], "board_moneyflow")])
 
 
 # ---------------------------------------------------------------- hot lists, top lists, limits
 
 
-def _hot_rows(df: DataFrame, source: str, rank_type: Column, business_date: Column | None) -> DataFrame:
+def _hot_rows(df: DataFrame, source: str, rank_type: Column, business_date: Column | None) -> cl.Cleaned:
     market = {"THS": "A股", "DC": "A股市场"}[source]
     reason = [] if "rank_reason" in df.columns else cl.const("rank_reason", F.lit(None).cast("string"))
     return cl.cleaned(
@@ -401,16 +403,16 @@ def stock_hot_rank_daily(
         ordered = ordered.withColumn("_captured", sc.capture_time("rank_time", sc.strict_date("trade_date")))
         segments = dd.segment_snapshots(ordered, [scope, "trade_date"], "_ord", "ts_code", "rank", chunk_rows=chunk_rows)
         newest = dd.latest_complete_segment(segments, [scope, "trade_date"], "_captured")
-        parts.append(_hot_rows(newest, "THS", F.lit("FINAL"), business_date))
+        parts.append(cl.usable(_hot_rows(newest, "THS", F.lit("FINAL"), business_date), "ths_hot"))
     if captured is not None:
         captured = captured.withColumn("_captured", sc.capture_time("rank_time", sc.strict_date("trade_date")))
         newest = dd.latest_complete_snapshot(captured, [scope, "trade_date"], "_captured")
-        parts.append(_hot_rows(newest, "DC", sc.scope_param(scope, "hot_type"), business_date))
-    merged = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    rows, ok = cl.usable(merged, "hot_rank")
+        parts.append(cl.usable(_hot_rows(newest, "DC", sc.scope_param(scope, "hot_type"), business_date), "dc_hot"))
+    rows = reduce(lambda a, b: a.unionByName(b), [frame for frame, _ in parts])
+    checks = [check for _, check in parts]
     scope_cols = ["source", "trade_date", "market_type", "rank_type"]
     kept, rejected = _listed(rows, stock_master)
-    return Prepared(kept, [ok, Check(lambda: dd.snapshot_duplicates(rows, scope_cols, "ts_code", "rank"), "hot_rank: snapshot not unique")], {"rejected": rejected})
+    return Prepared(kept, [*checks, Check(lambda: dd.snapshot_duplicates(rows, scope_cols, "ts_code", "rank"), "hot_rank: snapshot not unique")], {"rejected": rejected})
 
 
 TOP_LIST_MONEY = "amount l_sell l_buy l_amount net_amount float_values"
