@@ -22,7 +22,7 @@ def releases_of(v: Views):
 _RELEASE = "(SELECT task_name, business_date, max(finished_at) AS newest FROM v_proc WHERE status = 'SUCCESS' GROUP BY ALL)"
 _HEALTH = """SELECT endpoint, count(*) AS request_count, count(*) FILTER (WHERE status = 'SUCCESS') AS success_count,
     count(*) FILTER (WHERE wait_ms > 0) AS throttled_count, count(*) FILTER (WHERE row_count = 0) AS empty_count,
-    strftime(max(requested_at), '%Y-%m-%d %H:%M:%S') AS last_requested_at, quantile_cont(duration_ms, 0.5) AS p50, quantile_cont(duration_ms, 0.95) AS p95
+    strftime(max(requested_at), '%Y-%m-%d %H:%M:%S') AS last_requested_at, round(quantile_cont(duration_ms, 0.5), 6) AS p50, round(quantile_cont(duration_ms, 0.95), 6) AS p95
     FROM v_req WHERE requested_at >= TIMESTAMP '2024-01-10' GROUP BY endpoint"""
 
 
@@ -35,7 +35,8 @@ _HEALTH = """SELECT endpoint, count(*) AS request_count, count(*) FILTER (WHERE
 def ops_endpoints(v: Views):
     names = [f"ep_{d}" for d in [*DATASETS, "dividend"]]
     registry = v.spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("endpoint"))
-    return ops.endpoint_health(v.req, F.lit("2024-01-10").cast("timestamp_ntz"), registry)
+    out = ops.endpoint_health(v.req, F.lit("2024-01-10").cast("timestamp_ntz"), registry)
+    return out.withColumns({c: F.round(c, 6) for c in ("p50", "p95")})  # interpolation differs in the last bit
 
 
 @query("ops_overview", f"""
@@ -46,11 +47,12 @@ def ops_endpoints(v: Views):
       (SELECT count(*) FROM v_proc p LEFT JOIN {_RELEASE} n USING (task_name, business_date) WHERE p.status = 'QUEUED' AND NOT coalesce(n.newest > p.queued_at, false)) AS blocked,
       (SELECT t.s + r.s FROM t, r) AS task_success, (SELECT t.t + r.t FROM t, r) AS task_terminal,
       (SELECT count(*) FROM recent) AS provider_total, (SELECT count(*) FROM recent WHERE status = 'SUCCESS') AS provider_success,
-      (SELECT quantile_cont(duration_ms, 0.95) FROM recent) AS provider_p95)
+      (SELECT round(quantile_cont(duration_ms, 0.95), 6) FROM recent) AS provider_p95)
     SELECT *, CAST(task_success AS DOUBLE) / task_terminal AS task_ratio, CAST(provider_success AS DOUBLE) / provider_total AS provider_ratio FROM x""")
 def ops_overview(v: Views):
-    return ops.overview(v.bat, v.tsk, v.proc, v.req, releases_of(v), task_since=F.lit("1999-01-01").cast("timestamp_ntz"),
-                        request_since=F.lit("2024-01-10").cast("timestamp_ntz"), scope=SCOPE)
+    out = ops.overview(v.bat, v.tsk, v.proc, v.req, releases_of(v), task_since=F.lit("1999-01-01").cast("timestamp_ntz"),
+                       request_since=F.lit("2024-01-10").cast("timestamp_ntz"), scope=SCOPE)
+    return out.withColumn("provider_p95", F.round("provider_p95", 6))
 
 
 @query("ops_batches", """
