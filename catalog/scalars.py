@@ -138,8 +138,13 @@ def x_scope_key(v: Views):
     SELECT process_id, CASE WHEN status = 'FAILED' THEN NULL ELSE
       greatest(0, CAST(epoch_ms(coalesce(finished_at, TIMESTAMP '1998-01-01')) - epoch_ms(queued_at) AS BIGINT)) END AS duration_ms FROM v_proc""")
 def x_duration(v: Views):
-    started = F.when(F.col("status") != "FAILED", F.col("queued_at"))
-    return v.proc.select("process_id", sc.duration_ms(started, "finished_at", F.lit("1998-01-01").cast("timestamp")).alias("duration_ms"))
+    """The zone-less times are read as UTC instants, whatever the session zone is."""
+    def instant(name):
+        return F.concat(F.date_format(name, "yyyy-MM-dd HH:mm:ss"), F.lit("Z")).cast("timestamp")
+
+    started = F.when(F.col("status") != "FAILED", instant("queued_at"))
+    now = F.lit("1998-01-01 00:00:00Z").cast("timestamp")
+    return v.proc.select("process_id", sc.duration_ms(started, instant("finished_at"), now).alias("duration_ms"))
 
 
 @query("x_status_label", """
