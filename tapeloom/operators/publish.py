@@ -155,6 +155,11 @@ class VersionedTable:
         body = [f for f in (schema or self.spark.read.parquet(path).schema) if f.name not in folders]
         return self.spark.read.schema(T.StructType([*body, *[T.StructField(n, T.StringType()) for n in folders]])).parquet(path)
 
+    def exists(self) -> bool:
+        """Has anything been published yet?"""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.log_path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def releases(self) -> DataFrame:
         return current_releases(self.spark.read.parquet(self.log_path))
 

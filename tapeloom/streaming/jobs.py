@@ -79,12 +79,11 @@ def latest_complete(sizes: DataFrame, scope: Sequence[str], captured: str, size:
 def snapshot_state(table: VersionedTable, scope: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` handler keeping the running latest complete capture per scope."""
     def apply(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():  # no window closed in this trigger
+            return
         key = F.concat_ws("|", *[F.col(c).cast("string") for c in scope])
-        try:
-            known = table.read().select(*batch.columns)
-        except Exception:  # noqa: BLE001 - nothing published yet
-            known = batch.where(F.lit(False))
-        merged = latest_complete(known.unionByName(batch), scope, "captured", "n").select(*batch.columns)
+        rows = table.read().select(*batch.columns).unionByName(batch) if table.exists() else batch
+        merged = latest_complete(rows, scope, "captured", "n").select(*batch.columns)
         table.publish_scopes(merged, key, f"{batch_id:012d}")
 
     return apply
