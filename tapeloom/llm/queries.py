@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe_count, byte_bpe, decontaminate
+from tapeloom.llm import bpe_count, byte_bpe, decontaminate, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,19 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return bpe_count.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
+
+
+@query("op6_substring_dedup", """
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM w WHERE len(w) >= 35)),
+repeated AS (SELECT doc_id, i FROM windows WHERE k IN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1)),
+gone AS (SELECT doc_id, list(DISTINCT j) AS js FROM (SELECT doc_id, unnest(generate_series(i, i + 34)) AS j FROM repeated) GROUP BY doc_id),
+kept AS (
+  SELECT x.doc_id, string_agg(word, ' ' ORDER BY j) AS body, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS j FROM w) x LEFT JOIN gone g USING (doc_id)
+  WHERE g.js IS NULL OR NOT list_contains(g.js, j) GROUP BY x.doc_id)
+SELECT w.doc_id, coalesce(len(w.w), 0) AS n_words, coalesce(len(w.w), 0) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.body, '')) AS kept_sha256
+FROM w LEFT JOIN kept k USING (doc_id)
+""")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.digests(table(spark, folder, "documents"))
