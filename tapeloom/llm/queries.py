@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe_count, byte_bpe, decontaminate, substring
+from tapeloom.llm import bpe_count, byte_bpe, chosen_path, decontaminate, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,8 @@ FROM w LEFT JOIN kept k USING (doc_id)
 """)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return substring.digests(table(spark, folder, "documents"))
+
+
+@query("op2_chosen_path_join")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return chosen_path.links(table(spark, folder, "documents"))
