@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe_count, byte_bpe, chosen_path, decontaminate, substring
+from tapeloom.llm import bpe_count, byte_bpe, chosen_path, decontaminate, quadratic, quality_rules, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,38 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_chosen_path_join")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.links(table(spark, folder, "documents"))
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return quadratic.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+_STOP_SQL = ", ".join(f"'{x}'" for x in quality_rules.STOP_WORDS)
+
+
+@query("op9_quality_rules", f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 5)),
+repeated AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS j FROM repeated) GROUP BY doc_id),
+line AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+stop AS (
+  SELECT doc_id, count(*) AS n FROM (SELECT doc_id, regexp_replace(lower(unnest(w)), '[.,;:!?]+$', '') AS x FROM d) WHERE x IN ({_STOP_SQL}) GROUP BY doc_id),
+s AS (
+  SELECT d.doc_id, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+         coalesce(n_dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(stop.n, 0) AS n_stop_words,
+         len(regexp_extract_all(text, '\\p{{Lu}}')) AS n_shouted
+  FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN line USING (doc_id) LEFT JOIN stop USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (n_words < 20 OR word_chars / n_words BETWEEN 2.0 AND 20.0) AND n_symbols / greatest(n_words, 10) <= 0.2
+       AND (n_words < 100 OR n_stop_words / n_words >= 0.01) AND (n_words < 20 OR n_dup_lines / greatest(n_lines, 1) <= 0.5)
+       AND (n_words < 20 OR n_shouted / greatest(word_chars, 1) <= 0.5) AS kept
+FROM b
+""")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
