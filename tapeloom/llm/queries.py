@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe_count, byte_bpe, chosen_path, decontaminate, quadratic, quality_rules, substring
+from tapeloom.llm import bpe_count, byte_bpe, chat_format, chosen_path, decontaminate, quadratic, quality_rules, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,27 @@ FROM b
 """)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+def _turns(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and conversation -7 that says control strings."""
+    extra = spark.range(0, 2, 1, 1).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+
+
+@query("op10_chat_format", """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
+         sum(23 + length(role) + length(text) + len(regexp_extract_all(role, '<\\\\*\\|')) + len(regexp_extract_all(text, '<\\\\*\\|'))) AS formatted_chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
+""")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _turns(spark, folder).withColumn("parts", chat_format.text_parts(F.col("text")))
+    return chat_format.digests(chat_format.format_chats(turns))
