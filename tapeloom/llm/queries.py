@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe_count, byte_bpe, chat_format, chosen_path, decontaminate, quadratic, quality_rules, substring
+from tapeloom.llm import bpe_count, byte_bpe, chat_format, chosen_path, decontaminate, html_text, quadratic, quality_rules, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +142,21 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     turns = _turns(spark, folder).withColumn("parts", chat_format.text_parts(F.col("text")))
     return chat_format.digests(chat_format.format_chats(turns))
+
+
+@query("op1_warc_index", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS digest FROM p),
+m AS (SELECT digest, max(page_id) AS best FROM d WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, d.digest AS payload_digest, CASE WHEN best IS NULL OR best IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN best IS NULL OR best IS NOT DISTINCT FROM page_id THEN NULL ELSE best END AS refers_to
+FROM d LEFT JOIN m ON d.digest = m.digest AND d.n >= 1000
+""")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    index = warc.archive(table(spark, folder, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_html_text")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_column(table(spark, folder, "pages").select("page_id", "html")).withColumn("n_chars", F.length("text"))
