@@ -8,7 +8,8 @@ from catalog import query
 from tapeloom.operators import aggregates as ag
 from tapeloom.operators.asof import joint_dates
 from tapeloom.functions.scalar import month_key
-from tapeloom.sources.assets import read_assets
+from tapeloom.session import scratch_path
+from tapeloom.sources.assets import read_assets, seal
 from tapeloom.sources.grid import expand, month_axis, scope_text
 from tapeloom.sources.views import Views
 
@@ -98,11 +99,17 @@ def scope_grid(v: Views):
 
 
 @query("src_union_assets", """
-    SELECT 'orders.parquet' AS asset, count(*) AS rows_read, 0 AS first_row, count(*) - 1 AS last_row, count(DISTINCT o_orderkey) AS keys FROM orders""")
+    SELECT p AS asset, count(*) AS rows_read, 0 AS first_row, count(*) - 1 AS last_row, count(DISTINCT o_orderkey) AS keys, row_number() OVER (ORDER BY p DESC) - 1 AS place
+    FROM (SELECT o_orderkey, o_orderkey % 11 AS p FROM orders) WHERE p IN (1, 2, 10) GROUP BY p""")
 def src_union_assets(v: Views):
-    """One declared-schema scan with file and row lineage; column pruning keeps only the key."""
-    path = f"{v.folder}/orders.parquet"
-    rows = read_assets(v.spark, v.table("orders").schema, [path])
-    name = F.substring_index("_asset", "/", -1)
+    """Assets a10, a2 and a1 (names that begin alike), sealed as one file each and read in that order, with file and row lineage."""
+    root = scratch_path(v.spark, "assets")
+    orders = v.table("orders").select("o_orderkey", "o_totalprice")
+    paths = [f"{root}/a{n}" for n in (10, 2, 1)]
+    for path in paths:
+        seal(orders.where(F.col("o_orderkey") % 11 == int(path.rsplit("a", 1)[1])).coalesce(1), path)
+    rows = read_assets(v.spark, orders.schema, paths)
+    name = F.regexp_extract("_asset", "/a([0-9]+)/[^/]*$", 1).cast("bigint")
     return rows.groupBy(name.alias("asset")).agg(
-        F.count("*").alias("rows_read"), F.min("_row").alias("first_row"), F.max("_row").alias("last_row"), F.count_distinct("o_orderkey").alias("keys"))
+        F.count("*").alias("rows_read"), F.min("_row").alias("first_row"), F.max("_row").alias("last_row"), F.count_distinct("o_orderkey").alias("keys"),
+        F.max(F.shiftright("_ord", 40)).alias("place"))

@@ -125,7 +125,7 @@ def snapshot(v: Views):
     JOIN v_flow f ON f.code = p.code AND f.trade_date = p.trade_date
     WHERE p.trade_date IN ({joint(PAIR)})""")
 def hist_adjusted(v: Views):
-    return mk.stock_history(v.px, v.rel, datasets=PAIR, technical=v.tech, moneyflow=v.flow, adjustment="qfq", limit=1000)
+    return mk.stock_history(v.px, v.rel, datasets=PAIR, technical=v.tech, moneyflow=v.flow, adjustment="qfq", limit=None)
 
 
 _HIST = """SELECT code, trade_date, CAST(open AS DOUBLE) AS open, CAST(high AS DOUBLE) AS high, CAST(low AS DOUBLE) AS low,
@@ -135,7 +135,7 @@ _HIST = """SELECT code, trade_date, CAST(open AS DOUBLE) AS open, CAST(high AS D
 
 @query("hist_release_gated", f"{_HIST} FROM v_px WHERE trade_date IN ({joint(ALL)})")
 def hist_release_gated(v: Views):
-    return mk.stock_history(v.px, v.rel, datasets=ALL, limit=1000)
+    return mk.stock_history(v.px, v.rel, datasets=ALL, limit=None)
 
 
 @query("hist_range", f"""{_HIST} FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY trade_date) AS rn FROM v_px
@@ -289,14 +289,14 @@ def asset_history(v: Views):
     m AS (SELECT index_code, max(snapshot_date) AS snapshot_date FROM w WHERE snapshot_date <= DATE '2000-06-15' GROUP BY ALL)
     SELECT index_code, snapshot_date, con_code, weight, name, industry FROM (
       SELECT w.*, p.name, p.industry, row_number() OVER (PARTITION BY index_code ORDER BY weight DESC, con_code) AS rn
-      FROM w JOIN m USING (index_code, snapshot_date) JOIN v_parts p ON p.member = w.con_code) WHERE rn <= 500""")
+      FROM w JOIN m USING (index_code, snapshot_date) JOIN v_parts p ON p.member = w.con_code) WHERE rn <= 1000""")
 def asset_constituents(v: Views):
     weights = v.table("lineitem").groupBy(
         F.concat(F.lit("T"), F.col("l_suppkey").cast("string")).alias("index_code"),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("con_code"),
         F.to_date(F.date_trunc("month", "l_shipdate")).alias("snapshot_date"),
     ).agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("weight"))
-    return mk.constituents(weights, v.parts.select("member", "name", "industry"), F.lit("2000-06-15").cast("date"), stock_key="member")
+    return mk.constituents(weights, v.parts.select("member", "name", "industry"), F.lit("2000-06-15").cast("date"), stock_key="member", limit=1000)
 
 
 @query("data_status", """

@@ -118,13 +118,12 @@ def ops_unresolved(v: Views):
               UNION ALL SELECT 'scheduler', 'action_required', j.execution_id, j.job_id, CAST(j.k AS VARCHAR), j.created_at, 'scheduler:' || j.job_id FROM v_jobs j
                   LEFT JOIN (SELECT job_id, max(created_at) AS ok FROM v_jobs WHERE status = 'SUCCESS' GROUP BY ALL) s USING (job_id)
                   WHERE j.status = 'FAILED' AND NOT coalesce(s.ok > j.created_at, false)),
-    ranked AS (SELECT *, count(*) OVER w AS alert_count, row_number() OVER (PARTITION BY category, source, group_key ORDER BY occurred_at DESC NULLS LAST, id) AS rn
+    ranked AS (SELECT *, count(*) OVER w AS alert_count, row_number() OVER (PARTITION BY category, source, group_key ORDER BY occurred_at DESC NULLS LAST, id, message) AS rn
                FROM rows_ WINDOW w AS (PARTITION BY category, source, group_key))
-    SELECT category, source, group_key, alert_count, id, CASE WHEN alert_count > 1 AND source = 'acquisition' THEN NULL ELSE
-             CASE WHEN alert_count > 1 THEN '同类告警共 ' || alert_count || ' 条，已聚合显示；最新记录：' || message ELSE message END END AS message,
+    SELECT category, source, group_key, alert_count, id,
+           CASE WHEN alert_count > 1 THEN '同类告警共 ' || alert_count || ' 条，已聚合显示；最新记录：' || message ELSE message END AS message,
            strftime(occurred_at, '%Y-%m-%d %H:%M:%S') AS occurred_at FROM ranked WHERE rn = 1""")
 def ops_alerts(v: Views):
-    """Five branches; acquisition messages are blanked where ties leave the newest row's text open."""
     def branch(df, ident, task, message, at, group):
         return df.select(F.col(ident).alias("id"), F.col(task).alias("task_name"), message.alias("message"), F.col(at).alias("occurred_at"), group.alias("group_key"))
 
@@ -144,8 +143,7 @@ def ops_alerts(v: Views):
         "processing/quality": ("quality", branch(warned, "process_id", "task_name", F.col("name"), "queued_at", F.concat_ws(":", F.lit("warning"), "task_name"))),
         "scheduler/failure": ("action_required", branch(broken, "execution_id", "job_id", F.col("k").cast("string"), "created_at", F.concat_ws(":", F.lit("scheduler"), "job_id"))),
     })
-    open_text = (F.col("source") == "acquisition") & (F.col("alert_count") > 1)
-    return out.select("category", "source", "group_key", "alert_count", "id", F.when(~open_text, F.col("message")).alias("message"), "occurred_at")
+    return out.select("category", "source", "group_key", "alert_count", "id", "message", "occurred_at")
 
 
 @query("ops_sync_report", """

@@ -1,4 +1,4 @@
-"""Publishing strategies, release log and the batch form of the streaming jobs."""
+"""Publishing strategies, release log and the streaming jobs."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import query
 from tapeloom import types as tt
 from tapeloom.operators import publish as pb
+from tapeloom.session import scratch_path
 from tapeloom.sources.views import Views
 from tapeloom.streaming import jobs as st
 
@@ -136,20 +137,38 @@ def lin_stale(v: Views):
     return pb.stale_lineage(log, lineage, dependent="click", upstream="view")
 
 
-# ---------------------------------------------------------------- batch form of the streams
+# ---------------------------------------------------------------- streams over landed files
+
+
+def _landed(v: Views, rows, at: str):
+    """The rows landed as three files in the order of ``at``, and a stream that reads one file a micro-batch."""
+    path = scratch_path(v.spark, "landing")
+    rows.repartitionByRange(3, at).write.parquet(path)
+    return st.landing(v.spark, path, rows.schema, files_per_batch=1)
 
 
 @query("stream_publish", "SELECT code, trade_date, arg_max(value, event_id)::DOUBLE AS value, max(event_id) AS revision FROM v_ticks GROUP BY ALL")
 def stream_publish(v: Views):
-    rows = v.ticks.select(*KEY, "value", F.col("event_id").alias("revision"))
-    return st.newest_revision(rows, KEY, "revision")
+    """Ticks in three micro-batches; most dates arrive in more than one."""
+    stream = _landed(v, v.ticks.select(*KEY, "value", F.col("event_id").alias("revision")), "revision")
+    table = pb.VersionedTable(v.spark, scratch_path(v.spark, "ticks"), "ticks")
+    day = F.date_format(F.col("trade_date").cast("timestamp_ntz"), "yyyy-MM-dd")
+    st.publish_stream(stream, table, lambda b: b, day, scratch_path(v.spark, "state"), keys=KEY, revision="revision").awaitTermination()
+    return table.read().select(*KEY, "value", "revision")
 
 
 @query("stream_quota", """
     SELECT endpoint, strftime(time_bucket(INTERVAL 10 MINUTE, requested_at), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS used,
            count(*) FILTER (WHERE wait_ms > 0) AS delayed, count(*) FILTER (WHERE status = 'SUCCESS') AS success FROM v_req GROUP BY ALL""")
 def stream_quota(v: Views):
-    return st.quota_windows(v.req, "10 minutes")
+    """Windows updated over three micro-batches in any order; the newest count of a window is its largest."""
+    requests = v.req.select("endpoint", F.col("requested_at").cast("timestamp").alias("requested_at"), "wait_ms", "status")
+    table = pb.VersionedTable(v.spark, scratch_path(v.spark, "quota"), "quota")
+    windows = st.quota_stream(_landed(v, requests, "requested_at"), "10 minutes", "40 days")
+    handler = st.merge_into(table, F.date_format("window_start", "yyyy-MM-dd"), lambda rows: st.newest_revision(rows, ["endpoint", "window_start"], "used"))
+    job = windows.writeStream.outputMode("update").foreachBatch(handler).option("checkpointLocation", scratch_path(v.spark, "state")).trigger(availableNow=True)
+    job.start().awaitTermination()
+    return table.read().select("endpoint", "window_start", "used", "delayed", "success")
 
 
 @query("stream_snapshot", """

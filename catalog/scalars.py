@@ -12,12 +12,15 @@ from tapeloom.sources.views import Views
 
 
 @query("x_text_clean", """
-    SELECT doc_id, nullif(trim(replace(concat('  ', lang, chr(0), ' '), chr(0), '')), '') AS lang,
-           nullif(trim(CASE WHEN n_chars > 500 THEN '   ' ELSE source END), '') AS source FROM documents""")
+    SELECT doc_id, nullif(trim(replace(concat('  ', chr(12288), lang, chr(9), chr(0), chr(10), ' '), chr(0), ''), concat(' ', chr(9), chr(10), chr(12288))), '') AS lang,
+           nullif(trim(CASE WHEN n_chars > 500 THEN concat(' ', chr(10), chr(12288)) ELSE source END, concat(' ', chr(10), chr(12288))), '') AS source,
+           md5(trim(replace(text, chr(0), ''), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(28), chr(29), chr(30), chr(31), chr(133), chr(160), chr(12288)))) AS body
+    FROM documents""")
 def x_text_clean(v: Views):
     return v.table("documents").select(
-        "doc_id", sc.clean_text(F.concat(F.lit("  "), "lang", F.lit("\0 "))).alias("lang"),
-        sc.clean_text(F.when(F.col("n_chars") > 500, "   ").otherwise(F.col("source"))).alias("source"))
+        "doc_id", sc.clean_text(F.concat(F.lit("  \u3000"), "lang", F.lit("\t\0\n "))).alias("lang"),
+        sc.clean_text(F.when(F.col("n_chars") > 500, " \n\u3000").otherwise(F.col("source"))).alias("source"),
+        F.md5(F.coalesce(sc.clean_text("text"), F.lit(""))).alias("body"))
 
 
 @query("x_date_parse", """

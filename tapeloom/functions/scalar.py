@@ -18,10 +18,14 @@ def _col(value: Column | str) -> Column:
 # ---------------------------------------------------------------- text, dates, numbers
 
 
+# The characters that count as white space at the ends of a text.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def clean_text(value: Column | str) -> Column:
-    """Strip NUL characters and blanks; empty text becomes NULL."""
+    """Drop NUL characters, strip white space of any kind; empty text becomes NULL."""
     text = F.replace(_col(value).cast("string"), F.lit("\0"), F.lit(""))
-    return F.nullif(F.trim(text), F.lit(""))
+    return F.nullif(F.btrim(text, F.lit(BLANKS)), F.lit(""))
 
 
 def strict_date(value: Column | str) -> Column:
@@ -46,8 +50,8 @@ def scaled(value: Column | str, factor: int, dtype: T.DecimalType = tt.QUANTITY,
 
 
 def exact_integer(value: Column | str, *, text: bool = True) -> Column:
-    """Whole numbers only: 3 and 3.0 pass, 3.5 is NULL."""
-    number = decimal_value(value, T.DecimalType(38, 10), text=text)
+    """Whole numbers only: 3 and 3.0 pass; 3.5 is NULL, and so is any other fraction a 38-digit decimal can hold."""
+    number = decimal_value(value, T.DecimalType(38, 18), text=text)
     return F.when(number == F.floor(number), number.try_cast("bigint"))
 
 
@@ -111,7 +115,7 @@ def json_list(value: Column | str) -> Column:
 def scope_param(scope_key: Column | str, name: str) -> Column:
     """One parameter of a ``k=v;k=v`` scope key; the first occurrence wins."""
     pairs = F.filter(F.split(_col(scope_key), ";"), lambda p: p.startswith(f"{name}="))
-    return F.substring(F.try_element_at(pairs, F.lit(1)), len(name) + 2, 1_000_000)
+    return F.substr(F.try_element_at(pairs, F.lit(1)), F.lit(len(name) + 2))
 
 
 # ---------------------------------------------------------------- recoding and keys

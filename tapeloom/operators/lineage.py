@@ -9,7 +9,7 @@ from tapeloom.operators.aggregates import readiness
 from tapeloom.session import checkpoint_dir
 
 
-def affected_closure(edges: DataFrame, seeds: DataFrame, *, max_rounds: int = 64) -> DataFrame:
+def affected_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Datasets reachable from changed endpoints, with the fewest steps to each.
 
     Breadth-first over the dependency edges (upstream, downstream). Each round joins only
@@ -20,7 +20,9 @@ def affected_closure(edges: DataFrame, seeds: DataFrame, *, max_rounds: int = 64
     hops = edges.select("upstream", "downstream").distinct()
     reached = seeds.select(F.col("name"), F.lit(0).alias("depth")).distinct().checkpoint()
     frontier = reached
-    for depth in range(1, max_rounds + 1):
+    depth = 0
+    while True:
+        depth += 1
         frontier = (
             frontier.join(hops, F.col("name") == F.col("upstream"))
             .select(F.col("downstream").alias("name")).distinct()
@@ -30,7 +32,6 @@ def affected_closure(edges: DataFrame, seeds: DataFrame, *, max_rounds: int = 64
         if frontier.isEmpty():
             return reached
         reached = reached.unionByName(frontier)
-    raise RuntimeError("dependency graph deeper than the round limit")
 
 
 def resolve_dependencies(dependencies: DataFrame, current: DataFrame, prior: DataFrame) -> DataFrame:

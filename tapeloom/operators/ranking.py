@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 
 from tapeloom.errors import QueryError
 
-MAX_K = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
-
-
 def top_k_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank_as: str | None = None
 ) -> DataFrame:
-    """First ``k`` rows of each key in the given order."""
-    if not 1 <= k <= MAX_K:
-        raise QueryError("INVALID_REQUEST", f"k must be within 1..{MAX_K}")
+    """First ``k`` rows of each key in the given order, for any ``k``.
+
+    Up to ``spark.sql.optimizer.windowGroupLimitThreshold`` rows Spark trims before the shuffle; beyond it the
+    result is the same without the trim.
+    """
+    if k < 1:
+        raise QueryError("INVALID_REQUEST", "k must be at least 1")
     name = rank_as or "_rn"
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     kept = ranked.where(F.col(name) <= k)
@@ -81,6 +82,23 @@ def page_or_total(df: DataFrame, order: Sequence[Column], offset: int, limit: in
     return page(df, order, offset, limit), df.agg(F.count("*").alias("total"))
 
 
+def top_k_or_all(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None) -> DataFrame:
+    """First ``k`` rows of each key, or all rows."""
+    return df if k is None else top_k_per_key(df, keys, order, k)
+
+
+def row_limit(limit: int | None, most: int, *, single: bool) -> int | None:
+    """The limit of a question: within 1..``most`` for one subject, as its contract has it; any number of 1 or more, or
+    None for all rows, where it applies to every subject of a whole table."""
+    if limit is None:
+        return None
+    if single:
+        return clamp(limit, 1, most)
+    if limit < 1:
+        raise QueryError("INVALID_REQUEST", "limit must be at least 1")
+    return limit
+
+
 def clamp(value: int, low: int, high: int) -> int:
     return min(max(value, low), high)
 

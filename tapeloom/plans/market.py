@@ -27,7 +27,7 @@ from tapeloom.functions.predicates import (
 )
 from tapeloom.functions.scalar import adjusted_columns
 from tapeloom.operators.asof import asof_snapshot, gate, latest_joint
-from tapeloom.operators.ranking import clamp, latest_per_key, top_k_per_key
+from tapeloom.operators.ranking import clamp, latest_per_key, row_limit, top_k_or_all
 from tapeloom.operators.sets import union_tagged
 
 # ---------------------------------------------------------------- search
@@ -97,14 +97,17 @@ def stock_snapshot(
 def stock_history(
     core: DataFrame, releases: DataFrame, *, datasets: Sequence[str], technical: DataFrame | None = None,
     moneyflow: DataFrame | None = None, adjustment: str = "raw", code: str | None = None,
-    start: str | None = None, end: str | None = None, order: str = "desc", limit: int = 250,
+    start: str | None = None, end: str | None = None, order: str = "desc", limit: int | None = 250,
     extra: Sequence[str] = ("pct_chg", "volume", "amount"), flow_columns: Sequence[str] = ("net_mf_vol", "net_mf_amount"),
     key: str = "code", day: str = "trade_date",
 ) -> DataFrame:
-    """Released history with raw or adjusted prices; ``limit`` applies to each code."""
+    """Released history with raw or adjusted prices; ``limit`` applies to each code, None gives all days.
+
+    For one code the limit is held within 1,000, as the question's contract has it; the form over all codes takes any.
+    """
     if adjustment not in ("raw", "qfq", "hfq") or order not in ("asc", "desc"):
         raise QueryError("INVALID_REQUEST", "unknown adjustment or order")
-    limit = clamp(limit, 1, 1000)
+    limit = row_limit(limit, 1000, single=code is not None)
     picked = date_range(day, start, end)
     rows = core.where(picked if code is None else picked & (F.col(key) == F.lit(code.upper())))
     prices = adjusted_columns(adjustment)
@@ -119,7 +122,7 @@ def stock_history(
         columns += list(flow_columns)
     rows = gate(rows, releases, datasets).select(key, day, *[c.alias(n) for n, c in prices.items()], *columns)
     by_day = F.col(day).asc() if order == "asc" else F.col(day).desc()
-    return top_k_per_key(rows, [key], [by_day], limit)
+    return top_k_or_all(rows, [key], [by_day], limit)
 
 
 def screen_frame(stock: DataFrame, core: DataFrame, technical: DataFrame, moneyflow: DataFrame, *, key: str = "code", day: str = "trade_date") -> DataFrame:
@@ -159,7 +162,7 @@ def screen(
     rows = screen_frame(listed, quotes, technical, moneyflow, key=key, day=day).where(predicate)
     ordering = [*order, F.col(key).asc()]
     if every_date:
-        kept = rows if limit is None else top_k_per_key(rows, [day], ordering, clamp(limit, 1, 200))
+        kept = top_k_or_all(rows, [day], ordering, row_limit(limit, 200, single=False))
         return kept.select(day, *columns)
     ranked = rows.orderBy(*ordering)
     return (ranked if limit is None else ranked.limit(clamp(limit, 1, 200))).select(day, *columns)
@@ -170,15 +173,15 @@ def screen(
 
 def stock_events(
     sections: Mapping[str, DataFrame], releases: DataFrame | None, *, datasets: Mapping[str, str] | None = None,
-    code: str | None = None, start: str | None = None, end: str | None = None, limit_per_type: int = 50,
+    code: str | None = None, start: str | None = None, end: str | None = None, limit_per_type: int | None = 50,
     key: str = "code", day: str = "trade_date", tie: Sequence[str] = (),
 ) -> DataFrame:
-    """Latest ``limit_per_type`` rows of every section per code, in one long frame.
+    """Latest ``limit_per_type`` rows (None: all) of every section per code, in one long frame.
 
     Dated sections are gated on their own dataset's releases; section columns are packed
     into JSON, so sections with different columns share one schema.
     """
-    k = clamp(limit_per_type, 1, 200)
+    k = row_limit(limit_per_type, 200, single=code is not None)
     parts = {}
     for name, rows in sections.items():
         if code is not None:
@@ -188,7 +191,7 @@ def stock_events(
             rows = gate(rows, releases, [datasets[name]])
         body = [c for c in rows.columns if c not in (key, day)]
         order = [F.col(day).desc(), *[F.col(c) for c in tie if c in rows.columns]]
-        parts[name] = top_k_per_key(rows, [key], order, k).select(key, day, F.to_json(F.struct(*body)).alias("payload"))
+        parts[name] = top_k_or_all(rows, [key], order, k).select(key, day, F.to_json(F.struct(*body)).alias("payload"))
     return union_tagged(parts, "section")
 
 
@@ -223,15 +226,16 @@ def ranking_order(kind: str) -> list[Column]:
 
 def market_ranking(
     kind: str, facts: DataFrame, releases: DataFrame, *, requested: str | None = None, where: Column | None = None,
-    limit: int = 50, dataset: str | None = None, day: str = "trade_date", every_date: bool = False,
+    limit: int | None = 50, dataset: str | None = None, day: str = "trade_date", every_date: bool = False,
 ) -> DataFrame:
-    """A ranking of one released date, or of every released date with the limit per date."""
+    """A ranking of one released date, or of every released date with the limit per date (None: whole rankings)."""
     name = dataset or RANKING_DATASET[kind]
-    order, limit = ranking_order(kind), clamp(limit, 1, 200)
+    order, limit = ranking_order(kind), row_limit(limit, 200, single=not every_date)
     rows = facts if where is None else facts.where(where)
     if every_date:
-        return top_k_per_key(gate(rows, releases, [name]), [day], order, limit)
-    return on_date(rows, latest_joint(releases, [name], requested), day).orderBy(*order).limit(limit)
+        return top_k_or_all(gate(rows, releases, [name]), [day], order, limit)
+    ranked = on_date(rows, latest_joint(releases, [name], requested), day).orderBy(*order)
+    return ranked if limit is None else ranked.limit(limit)
 
 
 # ---------------------------------------------------------------- topics
@@ -264,10 +268,10 @@ def require_topic(topics: DataFrame, identifier: str, **columns: str) -> dict:
     return rows[0].asDict()
 
 
-def top_members(members: DataFrame, *, topic: str = "topic", member: str = "member", weight: str = "weight", limit: int = 200, historical: bool = False) -> DataFrame:
-    """Heaviest members of every topic; none for a historical date, as only the current list is kept."""
+def top_members(members: DataFrame, *, topic: str = "topic", member: str = "member", weight: str = "weight", limit: int | None = 200, historical: bool = False) -> DataFrame:
+    """Heaviest members of every topic (None: all of them); none for a historical date, as only the current list is kept."""
     rows = members.where(F.lit(False)) if historical else members
-    return top_k_per_key(rows, [topic], [F.col(weight).desc_nulls_first(), F.col(member).asc()], clamp(limit, 1, 500))
+    return top_k_or_all(rows, [topic], [F.col(weight).desc_nulls_first(), F.col(member).asc()], row_limit(limit, 500, single=False))
 
 
 # ---------------------------------------------------------------- index and ETF
@@ -279,16 +283,32 @@ def asset_snapshot(bars: DataFrame, sizes: DataFrame, releases: DataFrame, *, da
     return picked.join(sizes, [key, day])
 
 
-def asset_history(bars: DataFrame, releases: DataFrame, *, dataset: str, start: str | None = None, end: str | None = None, limit: int = 250, key: str = "code", day: str = "trade_date") -> DataFrame:
+def asset_history(bars: DataFrame, releases: DataFrame, *, dataset: str, start: str | None = None, end: str | None = None, limit: int | None = 250, key: str = "code", day: str = "trade_date") -> DataFrame:
+    """Released bars of every code, newest first, ``limit`` per code (None: all days)."""
     rows = gate(bars.where(date_range(day, start, end)), releases, [dataset])
-    return top_k_per_key(rows, [key], [F.col(day).desc()], clamp(limit, 1, 1000))
+    return top_k_or_all(rows, [key], [F.col(day).desc()], row_limit(limit, 1000, single=False))
 
 
-def constituents(weights: DataFrame, stocks: DataFrame, through: Column, *, index: str = "index_code", snapshot: str = "snapshot_date", member: str = "con_code", stock_key: str = "ts_code", limit: int = 500) -> DataFrame:
-    """Members of each index's newest snapshot not after ``through``, heaviest first."""
-    newest = asof_snapshot(weights, [index], snapshot, through)
+def constituents(
+    weights: DataFrame, stocks: DataFrame, through: Column | None = None, *, releases: DataFrame | None = None, dataset: str = "market_index_weight",
+    requested: str | None = None, index: str = "index_code", snapshot: str = "snapshot_date", member: str = "con_code", stock_key: str = "ts_code",
+    limit: int | None = 250,
+) -> DataFrame:
+    """Members of each index's newest snapshot, heaviest first, ``limit`` per index (None: all members).
+
+    With ``releases`` (dataset, trade_date = first day of a released month) the snapshot must lie in the newest month of
+    ``dataset`` released not after ``requested``; otherwise, or besides, it must not be after ``through``.
+    """
+    rows = weights
+    if releases is not None:
+        month = latest_joint(releases, [dataset], requested)
+        rows = rows.where(F.trunc(snapshot, "MM") <= F.trunc(month, "MM"))
+        through = F.last_day(month) if through is None else F.least(through, F.last_day(month))
+    if through is None:
+        raise QueryError("INVALID_REQUEST", "a date or releases are needed")
+    newest = asof_snapshot(rows, [index], snapshot, through)
     named = newest.join(stocks.withColumnRenamed(stock_key, member), member)
-    return top_k_per_key(named, [index], [F.col("weight").desc_nulls_first(), F.col(member).asc()], clamp(limit, 1, 500))
+    return top_k_or_all(named, [index], [F.col("weight").desc_nulls_first(), F.col(member).asc()], row_limit(limit, 1000, single=False))
 
 
 # ---------------------------------------------------------------- status

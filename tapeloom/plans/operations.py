@@ -231,7 +231,7 @@ def alerts(branches: dict[str, tuple[str, DataFrame]], *, category: str = "all",
         if source in (None, origin) and category in ("all", kind):
             chosen[name] = frame.withColumns({"source": F.lit(origin), "category": F.lit(kind)})
     rows = union_tagged(chosen, "branch").drop("branch")
-    newest = F.struct(F.col("occurred_at").isNull(), -micros("occurred_at"), F.col("id"))
+    newest = F.struct(F.col("occurred_at").isNull(), -micros("occurred_at"), F.col("id"), F.col("message"))
     grouped = representative(rows, ["category", "source", "group_key"], newest, ["id", "task_name", "message", "occurred_at"], "alert_count")
     many = F.concat(
         F.lit("同类告警共 "), F.col("alert_count").cast("string"), F.lit(" 条，已聚合显示；最新记录："),

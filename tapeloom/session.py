@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -32,6 +33,11 @@ def get_session(app: str = "tapeloom", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for derived tables below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a local one only where none is configured."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

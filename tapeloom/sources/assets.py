@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +24,11 @@ def schema_fingerprint(schema: T.StructType) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def check_schema(found: T.StructType, declared: T.StructType, name: str) -> None:
-    """Refuse field names, order or types that differ from the declaration."""
+def schema_error(found: T.StructType, declared: T.StructType, name: str) -> str | None:
+    """What differs in field names, order or types from the declaration, or None."""
     have = [(f.name, f.dataType.simpleString()) for f in found]
     want = [(f.name, f.dataType.simpleString()) for f in declared]
-    if have != want:
-        raise SchemaMismatch(f"{name}: declared {want}, found {have}")
+    return None if have == want else f"{name}: declared {want}, found {have}"
 
 
 def foreign_assets(manifest: DataFrame, declared: T.StructType) -> DataFrame:
@@ -36,26 +36,35 @@ def foreign_assets(manifest: DataFrame, declared: T.StructType) -> DataFrame:
     return manifest.where(~F.col("fingerprint").eqNullSafe(F.lit(schema_fingerprint(declared))))
 
 
+def path_key(path: str) -> str:
+    """A path without its scheme and trailing slashes: file:/x and file:///x name the same file."""
+    return re.sub(_SCHEME, "", path).strip("/")
+
+
+def asset_of(file: str, places: dict[str, int]) -> int:
+    """Rank of the longest declared path that is the file or a folder above it."""
+    key = path_key(file)
+    while key not in places and "/" in key:
+        key = key.rsplit("/", 1)[0]
+    return places.get(key, len(places))
+
+
 def read_assets(spark: SparkSession, declared: T.StructType, paths: Sequence[str]) -> DataFrame:
     """All assets of a feed in one scan, with ``_asset``, ``_row`` and ``_ord`` lineage.
 
-    ``paths`` come in scope order. The merged footer schema (one distributed footer pass)
-    must equal the declared one. ``_ord`` is a whole number (file rank, then row), so "first
-    row wins" rules survive any shuffle and aggregate in hash tables; the file ranks are a
-    table of one row per file.
+    ``paths`` come in scope order. The footer of every file must have the declared schema (footers are read 16 at a time;
+    the error names all files that differ). ``_ord`` is a whole number (file rank, then row), so "first row wins" rules
+    survive any shuffle and aggregate in hash tables; the file ranks are a table of one row per file.
     """
-    merged = spark.read.option("mergeSchema", True).parquet(*paths)
-    check_schema(merged.schema, declared, "assets")
-    frame = spark.read.schema(declared).parquet(*paths).select(
-        "*", F.col("_metadata.file_path").alias("_asset"), F.col("_metadata.row_index").alias("_row"))
-
-    def rank(file: str) -> tuple[int, str]:
-        at = next((i for i, p in enumerate(paths) if p.rstrip("/").split(":", 1)[-1].lstrip("/") in file), len(paths))
-        return at, file
-
-    files = sorted(merged.inputFiles(), key=rank)
-    # file:/x and file:///x name the same file, so the scheme is left out of the key
-    ranks = spark.createDataFrame([(re.sub(_SCHEME, "", f), i) for i, f in enumerate(files)], "_key string, _file long")
+    scan = spark.read.schema(declared).parquet(*paths)
+    frame = scan.select("*", F.col("_metadata.file_path").alias("_asset"), F.col("_metadata.row_index").alias("_row"))
+    places = {path_key(p): i for i, p in enumerate(paths)}
+    files = sorted(scan.inputFiles(), key=lambda f: (asset_of(f, places), f))
+    with ThreadPoolExecutor(16) as pool:
+        foreign = [error for error in pool.map(lambda f: schema_error(spark.read.parquet(f).schema, declared, f), files) if error]
+    if foreign:
+        raise SchemaMismatch("; ".join(foreign))
+    ranks = spark.createDataFrame([(path_key(f), i) for i, f in enumerate(files)], "_key string, _file long")
     return (
         frame.withColumn("_key", F.regexp_replace("_asset", _SCHEME, "")).join(ranks, "_key")
         .withColumn("_ord", F.shiftleft("_file", 40) + F.col("_row")).drop("_file", "_key")

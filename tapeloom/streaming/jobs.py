@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -29,19 +29,39 @@ def newest_revision(rows: DataFrame, keys: Sequence[str], revision: str) -> Data
     return latest_per_key(rows, list(keys), [F.col(revision).desc()])
 
 
-def publish_stream(
-    stream: DataFrame, table: VersionedTable, prepare: Callable[[DataFrame], DataFrame], scope: F.Column, checkpoint: str,
-) -> StreamingQuery:
-    """Validate and publish every micro-batch through the batch functions.
+def merge_into(
+    table: VersionedTable, scope: Column, merge: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], DataFrame] = lambda batch: batch,
+) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` handler that merges a micro-batch with the current rows of the scopes it touches.
 
-    The batch id is the version: a replayed batch overwrites its own version directories, so
-    a restart neither loses nor doubles rows. Late data re-publishes its scope.
+    The batch id is the version. Current rows are read as of before that version, so a replayed batch starts from the same
+    rows and overwrites its own folders: a restart neither loses nor doubles rows. A scope may arrive in
+    any number of micro-batches; scopes that a batch does not touch are neither read nor written.
     """
-    def publish(batch: DataFrame, batch_id: int) -> None:
-        stage = prepare(batch)
-        table.publish_scopes(stage, scope, f"{batch_id:012d}")
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        version = f"{batch_id:012d}"
+        stage = prepare(batch).persist()
+        try:
+            if stage.isEmpty():
+                return
+            rows = stage
+            if table.exists():
+                touched = stage.select(scope.alias("scope_key")).distinct()
+                rows = table.read(before=version, scopes=touched).select(*stage.columns).unionByName(stage)
+            table.publish_scopes(merge(rows), scope, version)
+        finally:
+            stage.unpersist()
 
-    return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return apply
+
+
+def publish_stream(
+    stream: DataFrame, table: VersionedTable, prepare: Callable[[DataFrame], DataFrame], scope: Column, checkpoint: str, *,
+    keys: Sequence[str], revision: str,
+) -> StreamingQuery:
+    """Validate every micro-batch with ``prepare`` and merge it into the published scopes, newest revision of each key."""
+    handler = merge_into(table, scope, lambda rows: newest_revision(rows, keys, revision), prepare)
+    return stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def quota_windows(requests: DataFrame, width: str, *, slide: str | None = None, at: str = "requested_at") -> DataFrame:
@@ -54,6 +74,7 @@ def quota_windows(requests: DataFrame, width: str, *, slide: str | None = None,
 
 
 def quota_stream(requests: DataFrame, width: str, lateness: str, *, slide: str | None = None) -> DataFrame:
+    """The windows as a stream; in update mode a window's newest row has its largest ``used``."""
     return quota_windows(requests.withWatermark("requested_at", lateness), width, slide=slide)
 
 
@@ -78,12 +99,5 @@ def latest_complete(sizes: DataFrame, scope: Sequence[str], captured: str, size:
 
 def snapshot_state(table: VersionedTable, scope: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` handler keeping the running latest complete capture per scope."""
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():  # no window closed in this trigger
-            return
-        key = F.concat_ws("|", *[F.col(c).cast("string") for c in scope])
-        rows = table.read().select(*batch.columns).unionByName(batch) if table.exists() else batch
-        merged = latest_complete(rows, scope, "captured", "n").select(*batch.columns)
-        table.publish_scopes(merged, key, f"{batch_id:012d}")
-
-    return apply
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in scope])
+    return merge_into(table, key, lambda rows: latest_complete(rows, scope, "captured", "n").select(*rows.columns))

@@ -81,6 +81,17 @@ def test_assets_round_trip(spark, tmp_path):
     assert got == [("a", 1.0), ("b", 2.0), ("a", 3.0)]
     with pytest.raises(SchemaMismatch):
         sa.read_assets(spark, FEEDS["stk_limit"].schema, [z])
+    paths = [str(tmp_path / n) for n in ("b1", "b2", "b10")]
+    for i, p in enumerate(paths):
+        sa.seal(spark.createDataFrame([(f"p{i}", "20240102", float(i))], feed.schema).coalesce(1), p)
+    for order in (paths, paths[::-1]):
+        got = sa.read_assets(spark, feed.schema, order).orderBy("_ord").collect()
+        assert [r["ts_code"] for r in got] == [f"p{paths.index(p)}" for p in order]
+    turned, short = str(tmp_path / "turned"), str(tmp_path / "short")
+    sa.seal(first.select("adj_factor", "ts_code", "trade_date"), turned)
+    sa.seal(first.drop("adj_factor"), short)
+    with pytest.raises(SchemaMismatch, match="turned.*short"):
+        sa.read_assets(spark, feed.schema, [*paths, turned, short])
     empty = str(tmp_path / "empty")
     sa.seal(first.where("false"), empty)
     assert spark.read.parquet(empty).schema.fieldNames() == list(feed.columns)

@@ -23,7 +23,7 @@ def test_publish_stream_replays_and_late_rows(spark, tmp_path):
 
     def run():
         stream = jobs.landing(spark, src, schema_of(spark))
-        job = jobs.publish_stream(stream, table, lambda b: jobs.newest_revision(b, ["code", "day"], "rev"), F.col("day"), ckpt)
+        job = jobs.publish_stream(stream, table, lambda b: b.where("v > 0"), F.col("day"), ckpt, keys=["code", "day"], revision="rev")
         job.awaitTermination()
 
     land(spark, src, ("a", "d1", 1, 1, 0), ("a", "d1", 2, 2, 1), ("b", "d2", 5, 1, 2))
@@ -35,6 +35,24 @@ def test_publish_stream_replays_and_late_rows(spark, tmp_path):
     assert rows(table.read(), "code", "day", "v") == [("a", "d1", 9), ("b", "d2", 5)]
 
 
+def test_a_scope_over_many_batches_keeps_all_rows(spark, tmp_path):
+    src = str(tmp_path / "in")
+    landed = [[("a", "d1", 1, 1, 0), ("b", "d1", 1, 1, 0), ("x", "d2", 1, 1, 0)], [("c", "d1", 3, 1, 5), ("a", "d1", 2, 2, 5)], [("b", "d1", 9, 0, 6), ("y", "d3", 1, 1, 6)]]
+    for part in landed:
+        land(spark, src, *part)
+    table = VersionedTable(spark, str(tmp_path / "out"), "daily")
+    stream = jobs.landing(spark, src, schema_of(spark), files_per_batch=1)
+    jobs.publish_stream(stream, table, lambda b: b, F.col("day"), str(tmp_path / "ck"), keys=["code", "day"], revision="rev").awaitTermination()
+    want = rows(jobs.newest_revision(spark.read.parquet(src), ["code", "day"], "rev"), "code", "day", "v")
+    assert rows(table.read(), "code", "day", "v") == want == [("a", "d1", 2), ("b", "d1", 1), ("c", "d1", 3), ("x", "d2", 1), ("y", "d3", 1)]
+    versions = {r["scope_key"]: r["version"] for r in table.releases().collect()}
+    assert versions == {"d1": f"{2:012d}", "d2": f"{0:012d}", "d3": f"{2:012d}"}  # untouched scopes keep their version
+    handler = jobs.merge_into(table, F.col("day"), lambda r: jobs.newest_revision(r, ["code", "day"], "rev"))
+    replay = spark.createDataFrame([(c, d, v, r, T0 + timedelta(minutes=m)) for c, d, v, r, m in landed[2]], SCHEMA)
+    handler(replay, 2)
+    assert rows(table.read(), "code", "day", "v") == want
+
+
 def drain(df, name, mode="append"):
     job = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     job.awaitTermination()
