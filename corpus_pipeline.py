@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import byte_bpe, chosen_path, decontaminate, quadratic, substring
-from tapeloom.llm.tables import store
+from tapeloom.llm.tables import free_name, store
 
 #: Columns of documents; a stage that changes the text sets n_chars anew.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,9 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur elsewhere; one left without words goes, unless it had none."""
-    had = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    left = substring.remove_repeats(docs.withColumn("had_words", had))
-    return _counted(left.where(~F.col("had_words") | F.col("text").rlike(r"[^\x20\x09-\x0D]") | F.col("text").isNull()).select(*COLUMNS))
+    words, had = F.col("text").rlike(r"[^\x20\x09-\x0D]"), free_name(docs.columns, "had_words")
+    left = substring.remove_repeats(docs.withColumn(had, words))
+    return _counted(left.where(~F.col(had) | words | F.col("text").isNull()).select(*COLUMNS))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tapeloom.llm.tables import without
+
 #: Fixed value: the split pattern of byte-level pre-tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE_WORDS, CACHE_BYTES = 1_500_000, 64
@@ -121,7 +123,8 @@ def merges(path: str) -> Merges:
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 1024) -> DataFrame:
-    """``docs`` with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit); these names must be free."""
+    """``docs`` with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit); columns of these names are replaced."""
+    docs = without(docs, ["n_bytes", "n_tokens", "over_limit"])
     names, place = docs.columns, docs.columns.index(text)
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
 

@@ -9,7 +9,7 @@ the corpus is scanned once per block; the blocks' hits are merged per document.
 
 Defined cases: null text has no words (not contaminated); items without words are ignored; repeated items and equal
 item ids count once in ``n_items``; a null item_id is named ``null`` in the list; repeated documents are judged each on
-their own; an empty benchmark or corpus gives zero hits or no rows; further columns are kept.
+their own; an empty benchmark or corpus gives zero hits or no rows; further columns are kept unless named as the report.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.tables import free_name, quoted, store
+from tapeloom.llm.tables import free_name, quoted, store, without
 from tapeloom.llm.wordhash import ALNUM, LOWER, Words, grams, mix, words_of
 
 WINDOW = 10
@@ -109,8 +109,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
          window: int = WINDOW, max_windows: int = MAX_WINDOWS, cut: bool = False) -> DataFrame:
     """Columns of ``docs`` and the report columns of each document; with ``cut`` the hit words are taken out of the text.
 
-    Where a run of hit words goes, the separators behind it go too. ``docs`` must not already have the report columns.
+    Where a run of hit words goes, the separators behind it go too. Columns of ``docs`` with the report's names are replaced.
     """
+    docs = without(docs, [n for n, _ in REPORT])
     blocks = _blocks(benchmark.select(F.col(quoted(item_id)).cast("string"), F.col(quoted(item_text))), window, max_windows)
     if len(blocks) > 1:
         return _scan_blocks(docs, blocks, text, cut)

@@ -7,7 +7,7 @@ n**2 / 2**65). Ratios are derived from them and held against ``RULES``; a text i
 shuffled and no Python runs.
 
 Defined cases: null and empty texts have no words, all counts 0, and fail the base rule; repeated rows are judged each;
-an empty table gives no rows; further columns are kept, but must not have the names of the statistics.
+an empty table gives no rows; further columns are kept unless they have the names of the statistics.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.tables import free_name, quoted
+from tapeloom.llm.tables import free_name, quoted, without
 
 #: Frequent words of the four languages that texts are written in.
 STOP_WORDS = [
@@ -61,6 +61,7 @@ def _repeats(sorted_keys: Column) -> Column:
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the base statistics and n_lines, n_stop_words and n_shouted (capital letters), all long."""
+    docs = without(docs, [*COUNTS, "n_lines", "n_stop_words", "n_shouted"])
     names = [quoted(c) for c in docs.columns]
     w, h, k, p, lines, n = (free_name(docs.columns, x) for x in ("words_", "hashes_", "keys_", "places_", "lines_", "n_words"))
     body = F.coalesce(F.col(quoted(text)), F.lit(""))
@@ -103,6 +104,7 @@ def verdict(rules: list[Rule]) -> Column:
 
 def judge(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """``docs`` with the base statistics, base_failed and kept."""
+    docs = without(docs, [*COUNTS, "n_lines", "n_stop_words", "n_shouted", "base_failed", "kept"])
     counted = statistics(docs, text)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counted.select(*[quoted(c) for c in docs.columns], *COUNTS, failed.alias("base_failed"), (~failed & verdict(RULES if rules is None else rules)).alias("kept"))

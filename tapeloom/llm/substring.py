@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.llm.packed import as_text, pack, unpack
-from tapeloom.llm.tables import quoted, store
+from tapeloom.llm.tables import free_name, quoted, store
 from tapeloom.llm.wordhash import GRAM_BASE, NOT_SPACE, SECOND_BASE, U, Words, grams, inverse, mix, powers, sliding_min, words_of
 
 LENGTH, GRAM = 35, 8
@@ -137,9 +137,9 @@ def gone_words(n_words: int, spans: list | None, length: int) -> np.ndarray:
 def _with_spans(docs: DataFrame, text: str, length: int, gram: int) -> tuple[DataFrame, int]:
     """The packed documents with their spans in the last column; the place of the text."""
     packed, rid = pack(docs, text, "documents")
-    spans = repeats(packed, text, rid, length, gram)
-    joined = packed.join(spans.withColumnRenamed("rid", rid), rid, "left")
-    return joined.select(*[packed[quoted(c)] for c in docs.columns], spans["spans"]), docs.columns.index(text)
+    name = free_name(packed.columns, "spans")
+    spans = repeats(packed, text, rid, length, gram).select(F.col("rid").alias(rid), F.col("spans").alias(name))
+    return packed.join(spans, rid, "left").select(*[quoted(c) for c in docs.columns], name), docs.columns.index(text)
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -30,6 +30,12 @@ def free_name(columns: list[str], wish: str) -> str:
     return wish
 
 
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` without the columns that have one of the names, in any case."""
+    taken = {n.lower() for n in names}
+    return df.select(*[quoted(c) for c in df.columns if c.lower() not in taken])
+
+
 def quoted(name: str) -> str:
     """A column name as one SQL identifier."""
     return "`" + name.replace("`", "``") + "`"
