@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tapeloom.llm.tables import without
+from tapeloom.llm.tables import map_arrow, without
 
 #: Fixed value: the split pattern of byte-level pre-tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -139,4 +139,4 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 10
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(len(names))), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([t > limit for t in n], pa.bool_())],
                 names=[*names, *(f.name for f in fields)])
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields + fields))
+    return map_arrow(docs, run, T.StructType(docs.schema.fields + fields))

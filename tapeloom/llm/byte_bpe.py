@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.tables import free_name, quoted
+from tapeloom.llm.tables import free_name, map_arrow, quoted
 
 PIECE_CHARS = 1 << 16
 _SAFE = re.compile(r"(?<=\S)(?=[ \n\t\r])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
@@ -65,7 +65,7 @@ def _with_column(docs: DataFrame, source: str, schema_fields: list[T.StructField
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *fn(batch.column(place))], names=[*names, *new])
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields + schema_fields))
+    return map_arrow(docs, run, T.StructType(docs.schema.fields + schema_fields))
 
 
 def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", piece_chars: int = PIECE_CHARS) -> DataFrame:
@@ -98,5 +98,5 @@ def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hashed, pa.string()), pa.array(back, pa.string())],
                                              names=[doc_id, "n_tokens", "ids_sha256", "decoded_sha256"])
     kept = docs.select(F.col(quoted(doc_id)), F.col(quoted(text)))
-    return kept.mapInArrow(run, T.StructType([kept.schema[0], *(T.StructField(n, t) for n, t in (
+    return map_arrow(kept, run, T.StructType([kept.schema[0], *(T.StructField(n, t) for n, t in (
         ("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())))]))

@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from tapeloom.llm.components import components
 from tapeloom.llm.packed import as_text, pack, unpack
-from tapeloom.llm.tables import quoted, store
+from tapeloom.llm.tables import map_arrow, quoted, store
 from tapeloom.llm.wordhash import NOT_SPACE, U, Words, grams, mix, words_of
 
 SHINGLE, THRESHOLD, RECALL, DEPTH, BUCKET, BLOCK = 5, 0.8, 0.99999, 3, 64, 256
@@ -299,4 +299,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how)
         for batch in batches:
             plain = pa.array([None if x is None else x.decode() for x in unpack(batch.column(place))], pa.string())
             yield pa.RecordBatch.from_arrays([plain if i == place else batch.column(i) for i in range(len(names))], names=names)
-    return kept.mapInArrow(run, T.StructType(docs.schema.fields))
+    return map_arrow(kept, run, T.StructType(docs.schema.fields))

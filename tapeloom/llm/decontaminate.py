@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.tables import free_name, quoted, store, without
+from tapeloom.llm.tables import free_name, map_arrow, quoted, store, without
 from tapeloom.llm.wordhash import ALNUM, LOWER, Words, grams, mix, words_of
 
 WINDOW = 10
@@ -54,7 +54,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
                         out["key"].append(int(keys[k].astype(np.int64)))
                         out["words"].append(b" ".join(spans[k : k + size]))
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("item", pa.string()), ("size", pa.int32()), ("key", pa.int64()), ("words", pa.binary())]))
-    return items.mapInArrow(scan, "item string, size int, key long, words binary").distinct()
+    return map_arrow(items, scan, "item string, size int, key long, words binary").distinct()
 
 
 class WindowSet:
@@ -124,7 +124,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
             report, texts = _report(batch.column(place), lambda w: known.hits(w), cut)
             columns = [texts if cut and i == place else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, *report], names=[*names, *(n for n, _ in REPORT)])
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def _report(column: pa.Array, hits, cut: bool) -> tuple[list[pa.Array], pa.Array]:
@@ -212,4 +212,4 @@ def _scan_blocks(docs: DataFrame, blocks: list, text: str, cut: bool) -> DataFra
             report, texts = _report(batch.column(place), hits, cut)
             columns = [texts if cut and i == place else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, *report], names=[*names, *(n for n, _ in REPORT)])
-    return joined.mapInArrow(run, schema)
+    return map_arrow(joined, run, schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tapeloom.llm.tables import free_name
+from tapeloom.llm.tables import free_name, map_arrow
 
 PAD, MAX_SPAN = 60, 1000
 #: Fixed values of the language.
@@ -219,12 +219,20 @@ class Table:
                     widths += [0] * (at + 1 - len(widths))
                     widths[at] = max(widths[at], min(PAD, max(map(len, cell.split("\n")))))
                 at += span
+        for row in self.rows:  # a cell over several columns widens the last of them
+            for (cell, span), at in zip(row, _starts(row), strict=True):
+                if span > 1:
+                    widths += [0] * (at + span - len(widths))
+                    wanted = min(PAD, max(map(len, cell.split("\n")))) - 2 * (span - 1)
+                    widths[at + span - 1] += max(0, wanted - sum(widths[at : at + span]))
         out = []
         for row in self.rows:
+            if not any(cell for cell, _ in row):
+                continue
             cells = [(cell.split("\n"), sum(widths[at : at + span]) + 2 * (span - 1)) for (cell, span), at in zip(row, _starts(row), strict=True)]
             for i in range(max((len(c) for c, _ in cells), default=0)):
                 out.append("  ".join((c[i] if i < len(c) else "").ljust(w) for c, w in cells).rstrip(" "))
-        return [x for x in out if x]
+        return out
 
 
 def _starts(row: list[tuple[str, int]]) -> list[int]:
@@ -332,4 +340,4 @@ def extract_column(pages: DataFrame, html: str = "html", text: str = "text", dro
         for batch in batches:
             texts = pa.array([extract(x.as_py() or "") for x in batch.column(place)], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), texts], names=[*names, name])
-    return pages.mapInArrow(run, T.StructType([*(pages.schema[i] for i in kept), T.StructField(name, T.StringType())]))
+    return map_arrow(pages, run, T.StructType([*(pages.schema[i] for i in kept), T.StructField(name, T.StringType())]))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.tables import free_name, store
+from tapeloom.llm.tables import free_name, map_arrow, store
 
 
 def pack(docs: DataFrame, text: str, name: str) -> tuple[DataFrame, str]:
@@ -28,7 +28,7 @@ def pack(docs: DataFrame, text: str, name: str) -> tuple[DataFrame, str]:
             packed = pa.array([None if x is None else squeeze(x.encode()) for x in batch.column(place).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([packed if i == place else batch.column(i) for i in range(len(names))], names=names)
     numbered = docs.withColumn(rid, F.monotonically_increasing_id())
-    return store(numbered.mapInArrow(run, T.StructType([*fields, T.StructField(rid, T.LongType())])), name), rid
+    return store(map_arrow(numbered, run, T.StructType([*fields, T.StructField(rid, T.LongType())])), name), rid
 
 
 def unpack(column: pa.Array) -> list[bytes | None]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.tables import free_name, quoted, store
+from tapeloom.llm.tables import free_name, map_arrow, quoted, store
 from tapeloom.llm.wordhash import NOT_SPACE, U, Words, mix, words_of
 
 FEATURES = ["symbols", "pipes", "exclamations", "capitals", "digits", "marks", "word_bytes", "same_as_before", "distinct", "same_lines", "words"]
@@ -87,7 +87,7 @@ def with_features(docs: DataFrame, text: str, name: str) -> DataFrame:
             x = features(batch.column(place))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), lists], names=[*kept, name])
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, T.ArrayType(T.DoubleType()))]))
+    return map_arrow(docs, run, T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
 class Model(NamedTuple):
@@ -140,7 +140,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             p = model.scores(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= accept).astype(np.int32))], names=[doc_id, "held_out", "score", "predicted"])
     fields = [docs.schema[doc_id], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return known.mapInArrow(run, T.StructType(fields))
+    return map_arrow(known, run, T.StructType(fields))
 
 
 def model_of(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", shrinkage: float = SHRINKAGE) -> Model:
@@ -158,4 +158,4 @@ def accept(docs: DataFrame, model: Model, text: str = "text", at: float = ACCEPT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(model.scores(features(batch.column(place))) >= at)).rename_columns(names)
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.session import checkpoint_dir
 
@@ -36,6 +39,11 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[quoted(c) for c in df.columns if c.lower() not in taken])
 
 
+def map_arrow(df: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow`` for any column names (with dots too); ``fn`` takes columns by place."""
+    return df.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(df.columns)]).mapInArrow(fn, schema)
+
+
 def quoted(name: str) -> str:
     """A column name as one SQL identifier."""
     return "`" + name.replace("`", "``") + "`"
