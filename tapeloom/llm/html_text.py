@@ -96,6 +96,8 @@ def build(page: str) -> Node:
                 return
 
     def text(value: str) -> None:
+        if stack[-1].tag == "pre" and not stack[-1].children:
+            value = value.removeprefix("\r").removeprefix("\n")
         if value:
             stack[-1].children.append(entities.unescape(value) if "&" in value else value)
     while at < size:
@@ -176,9 +178,10 @@ class Flow:
 
     def line(self) -> None:
         """End the current line if it has text."""
-        if self.parts:
-            self.put("".join(self.parts))
-            self.parts = []
+        value = "".join(self.parts)
+        if value:
+            self.put(value)
+        self.parts = []
         self.blank = False
 
     def put(self, value: str) -> None:
