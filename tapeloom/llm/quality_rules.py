@@ -74,13 +74,15 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     step = step.select("*", F.coalesce(_repeats(F.col(k)), F.array().cast("array<int>")).alias(p))
     covered = F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW))))
     plain = F.filter(w, lambda x: F.regexp_replace(F.lower(x), r"[.,;:!?]+$", "").isin(STOP_WORDS))
-    return step.select(
-        *names, F.col(n).alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+    counted = F.struct(
+        F.col(n).alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"), F.size(plain).cast("long").alias("n_stop_words"),
         F.regexp_count(body, F.lit(r"\p{Lu}")).cast("long").alias("n_shouted"))
+    # one row in, one row out: a generator keeps later filters from being substituted into these expressions over and over
+    return step.select(*names, F.inline(F.array(counted)))
 
 
 #: The ratios that rules may name, over the statistics.
