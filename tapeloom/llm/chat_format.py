@@ -32,7 +32,7 @@ TURN, BODY, PART, END = "<|turn|>", "<|body|>", "<|part|>", "<|end|>"
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\\\|")
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
 
 
 def unescape(text: Column) -> Column:
