@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.llm.packed import as_text, pack, unpack
-from tapeloom.llm.tables import free_name, quoted, store
+from tapeloom.llm.tables import free_name, map_arrow, quoted, store
 from tapeloom.llm.wordhash import GRAM_BASE, NOT_SPACE, SECOND_BASE, U, Words, grams, inverse, mix, powers, sliding_min, words_of
 
 LENGTH, GRAM = 35, 8
@@ -87,10 +87,11 @@ def repeats(packed: DataFrame, text: str, rid: str, length: int = LENGTH, gram:
                         [pa.array(anchor), pa.array(block), pa.array(ids[lo + of]), pa.array((first - w.first[of]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))],
                         names=["anchor", "block", "rid", "start", "n"])
     seeds = store(source.mapInArrow(find, ANCHOR_SCHEMA), "anchors")
-    again = seeds.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # counted sides are written first: a join whose sides are both plain shuffles is one that AQE can split at a hot key
+    again = store(seeds.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "anchors-again")
     shared = store(seeds.join(again, "anchor", "left_semi"), "shared-anchors")
-    blocks = shared.groupBy("anchor", "block").agg(F.count("*").alias("c"), F.min(F.struct("rid", "start", "n")).alias("at"))
-    differ = blocks.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
+    blocks = store(shared.groupBy("anchor", "block").agg(F.count("*").alias("c"), F.min(F.struct("rid", "start", "n")).alias("at")), "blocks")
+    differ = store(blocks.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "anchors-that-differ")
     whole = shared.join(blocks.where("c > 1").select("anchor", "block"), ["anchor", "block"], "left_semi").select("rid", "start", "n")
     edges = blocks.join(differ, "anchor", "left_semi").select("at.*", "c")
     asked = edges.groupBy("rid").agg(F.collect_list(F.struct("start", "n", "c")).alias("asked"))
@@ -120,7 +121,7 @@ def repeats(packed: DataFrame, text: str, rid: str, length: int = LENGTH, gram:
                         names=["one", "two", "rid", "start", "c"])
     windows = source.join(asked, "rid", "left").select("rid", "text", "asked").mapInArrow(extend, "one long, two long, rid long, start int, c int")
     windows = store(windows, "edge-windows")
-    twice = windows.groupBy("one", "two").agg(F.sum("c").alias("s")).where("s > 1").select("one", "two")
+    twice = store(windows.groupBy("one", "two").agg(F.sum("c").alias("s")).where("s > 1").select("one", "two"), "windows-again")
     single = windows.where("c = 1").join(twice, ["one", "two"], "left_semi").select("rid", "start", F.lit(1).alias("n"))
     return whole.unionAll(single).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
@@ -159,7 +160,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
                 kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
                                              names=[doc_id, "n_words", "n_removed", "kept_sha256"])
-    return joined.mapInArrow(run, T.StructType([docs.schema[doc_id], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]))
+    return map_arrow(joined, run, T.StructType([docs.schema[doc_id], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -178,4 +179,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
                     raw = raw[: int(w.starts[0])] + b"".join(raw[int(s) : int(e)] for s, e in zip(w.starts[~gone], ends[~gone], strict=True))
                 texts.append(None if raw is None else raw.decode())
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == place else batch.column(i) for i in range(len(names))], names=names)
-    return joined.mapInArrow(run, schema)
+    return map_arrow(joined, run, schema)
