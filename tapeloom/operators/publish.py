@@ -20,10 +20,12 @@ def stamp(df: DataFrame, at: Column, column: str = "synced_at") -> DataFrame:
 def upsert(target: DataFrame, stage: DataFrame, keys: Sequence[str], update: Sequence[str] | None = None) -> DataFrame:
     """Insert or update by key, never delete.
 
-    ``update=None`` replaces whole rows; a list updates those columns only; an empty list
-    inserts new keys and leaves existing rows alone.
+    ``update=None`` replaces all columns that the stage has (columns only the target has keep their values, and are NULL
+    in new rows); a list updates those columns only; an empty list inserts new keys and leaves existing rows alone.
     """
     keys = list(keys)
+    if update is None and set(target.columns) - set(stage.columns):
+        update = [c for c in stage.columns if c not in keys]
     new_keys = stage.join(target.select(*keys), keys, "left_anti")
     if update is None:
         return target.join(stage.select(*keys), keys, "left_anti").select(*target.columns).unionByName(stage)
@@ -33,10 +35,11 @@ def upsert(target: DataFrame, stage: DataFrame, keys: Sequence[str], update: Seq
 
 
 def patch_columns(target: DataFrame, stage: DataFrame, keys: Sequence[str], update: Sequence[str]) -> DataFrame:
-    """Overwrite listed columns on existing keys."""
-    side = stage.select(*keys, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_s_{c}") for c in update])
+    """Overwrite listed columns on existing keys; a key that the stage repeats is an error, raised when rows are made."""
+    side = stage.groupBy(*keys).agg(F.count("*").alias("_hits"), F.first(F.struct(*update)).alias("_stage"))
     joined = target.join(side, list(keys), "left")
-    picked = {c: F.when(F.col("_hit"), F.col(f"_s_{c}")).otherwise(F.col(c)) for c in update}
+    repeated = F.raise_error(F.lit("a staged key is repeated"))
+    picked = {c: F.when(F.col("_hits") > 1, repeated.cast(target.schema[c].dataType)).when(F.col("_hits") == 1, F.col(f"_stage.{c}")).otherwise(F.col(c)) for c in update}
     return joined.withColumns(picked).select(*target.columns)
 
 

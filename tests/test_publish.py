@@ -29,6 +29,14 @@ def test_patch_sets_null_and_reports_unknown_keys(spark):
     assert rows(pb.unpatched(target, stage, ["k"])) == [(9,)]
 
 
+def test_target_with_more_columns_and_repeated_stage_keys(spark):
+    target, stage = frame(spark, (1, "x", 1), (2, "x", 2)), frame(spark, (2, "y", 20), (3, "y", 30))
+    wide = target.withColumn("note", F.lit("own"))
+    assert rows(pb.upsert(wide, stage, ["k"]), "k", "d", "v", "note") == [(1, "x", 1, "own"), (2, "y", 20, "own"), (3, "y", 30, None)]
+    with pytest.raises(Exception, match="repeated"):
+        pb.patch_columns(target, stage.unionAll(stage), ["k"], ["v"]).collect()
+
+
 def test_replace_clears_on_an_empty_stage(spark):
     target = frame(spark, (1, "x", 1), (2, "y", 2), (3, None, 3))
     assert rows(pb.replace_slice(target, target.where("false"), F.col("d") == "x")) == [(2, "y", 2), (3, None, 3)]
