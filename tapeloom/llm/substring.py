@@ -10,7 +10,7 @@ Method, with no pairs made:
    windows that pick one occurrence of an anchor are consecutive and span a *block* of words around it.
 2. Seeds. Occurrences of anchors that occur once are dropped (counts with map-side combine, then a semi join that AQE
    splits when hot).
-3. Extension. An occurrence extends to its whole block if an equal block exists. Where blocks of an anchor differ, they
+3. Extension. An occurrence extends to its whole block, and over neighbouring blocks as runs, if an equal one exists. Where blocks of an anchor differ, they
    are extended word by word: one occurrence of each block gives the hashes of its windows, weighted by how often the
    block occurs, and windows of single blocks that are counted twice or more are repeats.
 4. The word ranges of a document meet its text again (compressed, by row id) and are cut out.
@@ -36,10 +36,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.llm.packed import as_text, pack, unpack
-from tapeloom.llm.tables import free_name, map_arrow, quoted, store
+from tapeloom.llm.tables import free_name, map_arrow, quoted, release, store
 from tapeloom.llm.wordhash import GRAM_BASE, NOT_SPACE, SECOND_BASE, U, Words, grams, inverse, mix, powers, sliding_min, words_of
 
 LENGTH, GRAM = 35, 8
+CHAIN = 3  # one anchor in so many begins a run of blocks
 PLACE_BITS = 30  # a text has fewer words than this many bits count
 _MASK = U((1 << PLACE_BITS) - 1)
 ANCHOR_SCHEMA = "anchor long, block long, rid long, start int, n int"
@@ -90,9 +91,10 @@ def repeats(packed: DataFrame, text: str, rid: str, length: int = LENGTH, gram:
     # counted sides are written first: a join whose sides are both plain shuffles is one that AQE can split at a hot key
     again = store(seeds.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "anchors-again")
     shared = store(seeds.join(again, "anchor", "left_semi"), "shared-anchors")
+    release(seeds)
     blocks = store(shared.groupBy("anchor", "block").agg(F.count("*").alias("c"), F.min(F.struct("rid", "start", "n")).alias("at")), "blocks")
     differ = store(blocks.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "anchors-that-differ")
-    whole = shared.join(blocks.where("c > 1").select("anchor", "block"), ["anchor", "block"], "left_semi").select("rid", "start", "n")
+    whole = _whole_blocks(shared, blocks)
     edges = blocks.join(differ, "anchor", "left_semi").select("at.*", "c")
     asked = edges.groupBy("rid").agg(F.collect_list(F.struct("start", "n", "c")).alias("asked"))
 
@@ -126,6 +128,44 @@ def repeats(packed: DataFrame, text: str, rid: str, length: int = LENGTH, gram:
     return whole.unionAll(single).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
+def _whole_blocks(shared: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(rid, start, n): the occurrences of blocks that occur more than once, neighbours taken together where possible.
+
+    Consecutive shared blocks of a document are chained to runs that begin where the content says so (anchors divisible
+    by ``CHAIN``), so a passage of many documents has equal runs in all of them. A run that occurs again needs one row, not one per
+    block; the blocks of other runs are looked up one by one.
+    """
+    listed = shared.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "n", "anchor", "block"))).alias("at"))
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            if not len(lists):
+                continue
+            flat = lists.flatten()
+            start, n, anchor, block = (flat.field(i).to_numpy() for i in range(4))
+            sizes = np.diff(lists.offsets.to_numpy())
+            new = np.zeros(len(start), bool)
+            new[np.cumsum(sizes) - sizes] = True
+            new[1:] |= (start[:-1] + n[:-1] != start[1:]) | (anchor[1:] % CHAIN == 0)
+            first = np.flatnonzero(new)
+            rid = np.repeat(batch.column(0).to_numpy(), sizes)
+            place = np.arange(len(start)) - np.repeat(first, np.diff(np.append(first, len(start))))
+            both = mix(block.view(U) * powers(GRAM_BASE, int(place.max()) + 1)[place] + anchor.view(U))
+            one, two = np.add.reduceat(both, first), np.add.reduceat(mix(both ^ SECOND_BASE), first)
+            offsets = pa.array(np.append(first, len(start)).astype(np.int32))
+            parts = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(anchor), pa.array(block), pa.array(start), pa.array(n)], names=["anchor", "block", "start", "n"]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(mix(one).view(np.int64)), pa.array(mix(two).view(np.int64)), pa.array(rid[first]), pa.array(start[first]), pa.array(np.add.reduceat(n, first).astype(np.int32)), parts],
+                names=["one", "two", "rid", "start", "n", "parts"])
+    runs = store(listed.mapInArrow(chain, "one long, two long, rid long, start int, n int, parts array<struct<anchor: long, block: long, start: int, n: int>>"), "runs")
+    again = store(runs.groupBy("one", "two").agg(F.count("*").alias("c")).where("c > 1").select("one", "two"), "runs-again")
+    chained = runs.drop("parts").join(again, ["one", "two"], "left_semi").select("rid", "start", "n")
+    single = runs.join(again, ["one", "two"], "left_anti").select("rid", F.inline("parts"))
+    twice = blocks.where("c > 1").select("anchor", "block")
+    return chained.unionAll(single.join(twice, ["anchor", "block"], "left_semi").select("rid", "start", "n"))
+
+
 def gone_words(n_words: int, spans: list | None, length: int) -> np.ndarray:
     """True for each word that a repeated window covers."""
     step = np.zeros(n_words + 1, np.int32)
