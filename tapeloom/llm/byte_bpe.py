@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -72,7 +73,9 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text",
     """``docs`` and the token ids of ``text`` as array<int>."""
     def fn(column: pa.Array) -> list[pa.Array]:
         coder = encoding(path, pattern)
-        return [pa.array([encode(coder, x or "", piece_chars) for x in column.to_pylist()], pa.list_(pa.int32()))]
+        each = [np.array(encode(coder, x.as_py() or "", piece_chars), np.int32) for x in column]  # four bytes an id, not a list of ints
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in each], dtype=np.int64)))
+        return [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *each])))]
     return _with_column(docs, text, [T.StructField(free_name(docs.columns, ids), T.ArrayType(T.IntegerType()))], fn)
 
 
