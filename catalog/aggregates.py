@@ -113,3 +113,24 @@ def src_union_assets(v: Views):
     return rows.groupBy(name.alias("asset")).agg(
         F.count("*").alias("rows_read"), F.min("_row").alias("first_row"), F.max("_row").alias("last_row"), F.count_distinct("o_orderkey").alias("keys"),
         F.max(F.shiftright("_ord", 40)).alias("place"))
+
+
+@query("src_union_whole", """
+    WITH a AS (SELECT 'a' || coalesce(CAST(o_orderkey % 11 AS VARCHAR), 'none') AS asset, * FROM orders),
+    g AS (SELECT asset, count(*) AS rows_read, count(*) AS places, count(DISTINCT o_orderkey) AS keys, count(DISTINCT o_custkey) AS customers, min(o_orderstatus) AS low_status,
+          CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS newest, max(o_orderpriority) AS top_priority FROM a GROUP BY asset)
+    SELECT *, row_number() OVER (ORDER BY asset DESC) - 1 AS place FROM g""")
+def src_union_whole(v: Views):
+    """All orders with all columns, landed as assets whose names begin alike (a10, a1, ...) and read in falling order of the names."""
+    root = scratch_path(v.spark, "assets")
+    orders = v.table("orders")
+    name = F.concat(F.lit("a"), F.coalesce((F.col("o_orderkey") % 11).cast("string"), F.lit("none")))
+    seal(orders.withColumn("asset", name), root, ("asset",))
+    names = sorted((r["asset"] for r in orders.select(name.alias("asset")).distinct().collect()), reverse=True)
+    rows = read_assets(v.spark, orders.schema, [f"{root}/asset={n}" for n in names])
+    per_asset = rows.groupBy(F.regexp_extract("_asset", "/asset=([^/]*)/[^/]*$", 1).alias("asset")).agg(
+        F.min("_ord").alias("first"), F.count("*").alias("rows_read"), F.count_distinct("_ord").alias("places"), F.count_distinct("o_orderkey").alias("keys"),
+        F.count_distinct("o_custkey").alias("customers"), F.min("o_orderstatus").alias("low_status"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"),
+        F.max("o_orderdate").alias("newest"), F.max("o_orderpriority").alias("top_priority"))
+    in_order = per_asset.groupBy().agg(F.array_sort(F.collect_list(F.struct("first", *[c for c in per_asset.columns if c != "first"]))).alias("assets"))
+    return in_order.select(F.posexplode("assets").alias("place", "a")).select("a.*", F.col("place").cast("bigint").alias("place")).drop("first")
