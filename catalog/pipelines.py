@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog import query
@@ -19,9 +20,9 @@ def null(kind: str):
     return F.lit(None).cast(kind)
 
 
-def raw_quotes(v: Views):
+def raw_quotes(v: Views, px: DataFrame | None = None):
     """Daily feed: retired codes also delivered under the new code on busier days."""
-    base = v.px.select(
+    base = (v.px if px is None else px).select(
         F.col("code").alias("ts_code"), text_day().alias("trade_date"), *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "pre_close")],
         (F.col("close") - F.col("open")).cast("double").alias("change"), F.col("pct_chg").cast("double"), F.col("volume").cast("double").alias("vol"),
         F.col("amount").cast("double"), null("double").alias("ah_vol"), null("double").alias("ah_amount"))
@@ -34,6 +35,18 @@ def master(v: Views):
     return listed.unionByName(v.aliases.select(F.col("new_code").alias("ts_code"), F.lit("L").alias("list_status")))
 
 
+def valuation(daily: DataFrame, close: Column):
+    """Valuation feed of the quoted rows."""
+    empty = {c: null("double") for c in "turnover_rate_f volume_ratio pe_ttm pb ps ps_ttm dv_ratio dv_ttm float_share free_share total_mv circ_mv".split()}
+    return daily.select("ts_code", "trade_date", close.alias("close"), F.col("vol").alias("turnover_rate"), F.col("high").alias("pe"),
+                        F.col("vol").alias("total_share"), "_ord", *[c.alias(n) for n, c in empty.items()])
+
+
+def core(v: Views, daily: DataFrame, basic: DataFrame):
+    factor = daily.select("ts_code", "trade_date", F.lit(1.5).alias("adj_factor"), "_ord")
+    return ds.stock_daily_core(daily, basic, factor, v.aliases, master(v))
+
+
 @query("pipe_core", """
     SELECT coalesce(a.new_code, p.code) AS ts_code, p.trade_date, CAST(p.close AS DOUBLE) AS close, CAST(p.change AS DOUBLE) AS change, CAST(p.pct_chg AS DOUBLE) AS pct_chg,
            CAST(p.volume * 100 AS DOUBLE) AS volume, CAST(p.amount * 1000 AS DOUBLE) AS amount, 1.5::DOUBLE AS adj_factor,
@@ -44,24 +57,50 @@ def pipe_core(v: Views):
     """Alias dedup, factor coverage, tolerant valuation join and recomputed change, all dates at once."""
     daily = raw_quotes(v)
     off = F.when(F.col("vol") == 1, F.col("close") + 1).otherwise(F.col("close"))
-    empty = {c: null("double") for c in "turnover_rate_f volume_ratio pe_ttm pb ps ps_ttm dv_ratio dv_ttm float_share free_share total_mv circ_mv".split()}
-    basic = daily.where("vol < 4").select("ts_code", "trade_date", off.alias("close"), F.col("vol").alias("turnover_rate"), F.col("high").alias("pe"),
-                                          F.col("vol").alias("total_share"), "_ord", *[c.alias(n) for n, c in empty.items()])
-    factor = daily.select("ts_code", "trade_date", F.lit(1.5).alias("adj_factor"), "_ord")
-    out = ds.stock_daily_core(daily, basic, factor, v.aliases, master(v)).rows
+    out = core(v, daily, valuation(daily.where("vol < 4"), off)).rows
     return out.select("ts_code", "trade_date", "close", "change", "pct_chg", "volume", "amount", "adj_factor", "turnover_rate", "pe", "total_share")
 
 
-@query("pipe_optional_factor", """
-    SELECT p.code AS ts_code, p.trade_date, CAST(p.close AS DOUBLE) AS close, CAST(p.volume * 100 AS DOUBLE) AS volume, CAST(f.net_mf_vol + 1 AS DOUBLE) AS adj_factor
-    FROM v_px p LEFT JOIN v_flow f ON f.code = p.code AND f.trade_date = p.trade_date WHERE p.pre_close IS NOT NULL AND p.code IN (SELECT code FROM v_sec WHERE list_status = 'L')""")
-def pipe_optional_factor(v: Views):
-    daily = v.px.where("pre_close IS NOT NULL").select(
+@query("pipe_core_whole", """
+    WITH q AS (SELECT code, trade_date, close + 1 AS close, coalesce(pre_close, open) + 1 AS pre_close, high + 1 AS high, volume, amount FROM v_px)
+    SELECT coalesce(a.new_code, q.code) AS ts_code, q.trade_date, CAST(q.close AS DOUBLE) AS close, CAST(q.close - q.pre_close AS DOUBLE) AS change,
+           CAST(CAST(CAST(q.close - q.pre_close AS DOUBLE) / CAST(q.pre_close AS DOUBLE) * 100 AS DECIMAL(14,6)) AS DOUBLE) AS pct_chg,
+           CAST(q.volume * 100 AS DOUBLE) AS volume, CAST(q.amount * 1000 AS DOUBLE) AS amount, 1.5::DOUBLE AS adj_factor,
+           CASE WHEN q.code <> 'U7' THEN CAST(q.volume AS DOUBLE) END AS turnover_rate, CASE WHEN q.code <> 'U7' THEN CAST(q.high AS DOUBLE) END AS pe,
+           CASE WHEN q.code <> 'U7' THEN CAST(q.volume * 10000 AS DOUBLE) END AS total_share
+    FROM q LEFT JOIN v_aliases a ON a.old_code = q.code""")
+def pipe_core_whole(v: Views):
+    """Every bar quoted and valued, one code's valuation off by one (few enough for the gate), and all checks run."""
+    prices = [(F.col(c) + 1).alias(c) for c in ("open", "high", "low", "close")]
+    px = v.px.select("code", "trade_date", "volume", "amount", "pct_chg", (F.coalesce("pre_close", "open") + 1).alias("pre_close"), *prices)
+    daily = raw_quotes(v, px)
+    off = F.when(F.substring("ts_code", 2, 30) == "7", F.col("close") + 1).otherwise(F.col("close"))
+    out = core(v, daily, valuation(daily, off)).verify().rows
+    return out.select("ts_code", "trade_date", "close", "change", "pct_chg", "volume", "amount", "adj_factor", "turnover_rate", "pe", "total_share")
+
+
+def fund_bars(v: Views):
+    daily = v.px.select(
         F.col("code").alias("ts_code"), text_day().alias("trade_date"), "open", "high", "low", "close", "pre_close", "change", "pct_chg",
         F.col("volume").alias("vol"), "amount")
     factor = v.flow.select(F.col("code").alias("ts_code"), text_day().alias("trade_date"), (F.col("net_mf_vol") + 1).alias("adj_factor"))
     funds = v.sec.where("list_status = 'L'").select(F.col("code").alias("ts_code"))
-    return ds.etf_daily(daily, factor, funds).rows.select("ts_code", "trade_date", "close", "volume", "adj_factor")
+    return ds.etf_daily(daily, factor, funds)
+
+
+@query("pipe_optional_factor", """
+    SELECT p.code AS ts_code, p.trade_date, CAST(p.close AS DOUBLE) AS close, CAST(p.volume * 100 AS DOUBLE) AS volume, CAST(f.net_mf_vol + 1 AS DOUBLE) AS adj_factor
+    FROM v_px p LEFT JOIN v_flow f ON f.code = p.code AND f.trade_date = p.trade_date WHERE p.pre_close IS NOT NULL AND p.code IN (SELECT code FROM v_sec WHERE list_status = 'L')""")
+def pipe_optional_factor(v: Views):
+    return fund_bars(v).rows.select("ts_code", "trade_date", "close", "volume", "adj_factor")
+
+
+@query("pipe_optional_factor_rejects", """
+    SELECT code AS ts_code, trade_date, CAST(volume * 100 AS DOUBLE) AS volume, 'invalid pre_close' AS reason FROM v_px WHERE pre_close IS NULL""")
+def pipe_optional_factor_rejects(v: Views):
+    """The bars that the preset itself refuses, with its reason."""
+    refused = next(c for c in fund_bars(v).checks if c.message == "fund_daily: invalid rows").frame()
+    return refused.select("ts_code", "trade_date", "volume", F.col("_bad").alias("reason"))
 
 
 @query("pipe_hot_rank", """
@@ -167,11 +206,35 @@ def pipe_calendar(v: Views):
     FROM v_ticks WHERE event_type IN ('click', 'view', 'purchase') AND code IN (SELECT code FROM v_sec) GROUP BY ALL""".replace(", event_type, CASE", ", CASE"))
 def pipe_limit_event(v: Views):
     """Clock text without leading zeros, and amounts kept in the provider's unit."""
+    ticks = v.ticks.where(F.col("event_type").isin("click", "view", "purchase"))
+    return limit_columns(limit_events(v, ticks, v.sec).rows)
+
+
+def limit_events(v: Views, ticks: DataFrame, sec: DataFrame):
     kind = F.when(F.col("event_type") == "click", "U").when(F.col("event_type") == "view", "D").otherwise("Z")
     stamp = F.date_format("ts", "HHmmss")
-    raw = v.ticks.where(F.col("event_type").isin("click", "view", "purchase")).groupBy(text_day().alias("trade_date"), F.col("code").alias("ts_code"), kind.alias("limit")).agg(
+    raw = ticks.groupBy(text_day().alias("trade_date"), F.col("code").alias("ts_code"), kind.alias("limit")).agg(
         F.regexp_replace(F.min(stamp), "^0+", "").alias("first_time"), F.max(stamp).alias("last_time"), F.count("*").alias("limit_times"), F.sum("value").alias("amount"))
     spare = [null("string").alias(c) for c in ("industry", "name", "up_stat")] + [
         null("double").alias(c) for c in "close pct_chg limit_amount float_mv total_mv turnover_ratio fd_amount open_times".split()]
-    out = ds.stock_limit_event_daily(raw.select("*", *spare), v.sec.select(F.col("code").alias("ts_code"))).rows
-    return out.select("trade_date", "ts_code", "limit_type", "first_time", "last_time", "limit_times", "amount_raw")
+    return ds.stock_limit_event_daily(raw.select("*", *spare), sec.select(F.col("code").alias("ts_code")))
+
+
+def limit_columns(rows: DataFrame):
+    return rows.select("trade_date", "ts_code", "limit_type", "first_time", "last_time", "limit_times", "amount_raw")
+
+
+_LIMITS = """SELECT trade_date, code AS ts_code, CASE event_type WHEN 'click' THEN 'U' WHEN 'view' THEN 'D' ELSE 'Z' END AS limit_type,
+           min(strftime(ts, '%H:%M:%S')) AS first_time, max(strftime(ts, '%H:%M:%S')) AS last_time, count(*) AS limit_times, CAST(sum(value) AS DOUBLE) AS amount_raw
+    FROM v_ticks WHERE code {} (SELECT code FROM v_sec WHERE list_status = 'L') GROUP BY ALL"""
+
+
+@query("pipe_limit_event_whole", _LIMITS.format("IN"))
+def pipe_limit_event_whole(v: Views):
+    """All five event types, each with a code; securities that are no longer listed are the preset's rejects."""
+    return limit_columns(limit_events(v, v.ticks, v.sec.where("list_status = 'L'")).verify().rows)
+
+
+@query("pipe_limit_event_rejects", _LIMITS.format("NOT IN"))
+def pipe_limit_event_rejects(v: Views):
+    return limit_columns(limit_events(v, v.ticks, v.sec.where("list_status = 'L'")).report("rejected"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import query
@@ -102,19 +103,42 @@ def pub_stale_parent(v: Views):
     return pb.drop_stale(parents, "trade_date")
 
 
+@query("pub_stale_parent_whole", """
+    WITH p AS (SELECT trade_date, event_type AS theme, max(captured) AS synced_at, count(*) AS n FROM v_hot GROUP BY ALL)
+    SELECT p.trade_date, theme, strftime(p.synced_at, '%Y-%m-%d %H:%M:%S') AS synced_at, n
+    FROM p SEMI JOIN (SELECT trade_date, max(synced_at) AS synced_at FROM p GROUP BY ALL) m USING (trade_date, synced_at)""")
+def pub_stale_parent_whole(v: Views):
+    """Themes over hot rows of every rank; the sync time is the last capture, so that themes do go stale."""
+    parents = v.hot.groupBy("trade_date", F.col("event_type").alias("theme")).agg(F.max("captured").alias("synced_at"), F.count("*").alias("n"))
+    return pb.drop_stale(parents, "trade_date")
+
+
 @query("pub_carry_over", """
     SELECT p.code, p.trade_date, CAST(p.close AS DOUBLE) AS close,
            CAST(CASE WHEN f.net_mf_vol > 0 AND p.trade_date IN (SELECT trade_date FROM v_rel WHERE dataset = 'view') THEN f.net_mf_amount END AS DOUBLE) AS up_limit
     FROM v_px p LEFT JOIN v_flow f ON f.code = p.code AND f.trade_date = p.trade_date WHERE p.pre_close IS NOT NULL""")
 def pub_carry_over(v: Views):
     """Previous version with moved closes on some rows; dates with a stale patch are left out."""
-    fresh = v.px.where("pre_close IS NOT NULL").select(*KEY, "close", "pre_close")
+    return carried(v, v.px.where("pre_close IS NOT NULL"))
+
+
+def carried(v: Views, px: DataFrame):
+    fresh = px.select(*KEY, "close", "pre_close")
     moved = (F.col("close") + F.when(F.col("net_mf_vol") > 0, 0).otherwise(1)).cast(tt.PRICE)
     previous = fresh.join(v.flow, KEY).select(*KEY, moved.alias("close"), "pre_close", F.col("net_mf_amount").alias("up_limit"))
     valid = v.rel.where("dataset = 'view'")
     return pb.carry_over(fresh, previous, KEY, ["up_limit"], valid_dates=valid).select(*KEY, "close", "up_limit")
 
 
+@query("pub_carry_over_whole", """
+    SELECT p.code, p.trade_date, CAST(p.close AS DOUBLE) AS close,
+           CAST(CASE WHEN p.pre_close IS NOT NULL AND f.net_mf_vol > 0 AND p.trade_date IN (SELECT trade_date FROM v_rel WHERE dataset = 'view') THEN f.net_mf_amount END AS DOUBLE) AS up_limit
+    FROM v_px p LEFT JOIN v_flow f ON f.code = p.code AND f.trade_date = p.trade_date""")
+def pub_carry_over_whole(v: Views):
+    """Rows without a previous close too: they stay, and nothing is carried over to them."""
+    return carried(v, v.px)
+
+
 @query("pub_release_log", """
     SELECT dataset, trade_date, slot, row_count, version FROM (SELECT *, row_number() OVER (PARTITION BY dataset, trade_date ORDER BY published_at DESC, version DESC) AS rn
     FROM v_release_log) WHERE rn = 1""")

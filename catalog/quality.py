@@ -104,8 +104,7 @@ def q_anomaly_gate(v: Views):
 def q_segment_lag(v: Views):
     """One exchange repeats the previous close; the verdict depends on its share of the segment."""
     joined = v.px.join(v.sec, "code").withColumn("other", F.when(F.col("exchange") == "ASIA", F.col("pre_close")).otherwise(F.col("close")))
-    pairs = joined.where(F.col("other").isNotNull() & F.col("exchange").isin("ASIA", "EUROPE"))
-    return qa.segment_lag(pairs, ["trade_date"], F.col("exchange").isin("ASIA", "EUROPE"), close="close", pre_close="pre_close", other_close="other")
+    return qa.segment_lag(joined, ["trade_date"], F.col("exchange").isin("ASIA", "EUROPE"), close="close", pre_close="pre_close", other_close="other")
 
 
 @query("q_row_accounting", """
