@@ -2,7 +2,8 @@
 
 Method: a scanner feeds a tree builder that opens and closes elements as a browser would imply (a paragraph ends at a
 block, a list item at the next one, rows and cells at theirs). What is not shown is left out: head, scripts, styles,
-templates, comments, elements with ``hidden`` or styled ``display: none`` or ``visibility: hidden``. The renderer walks the tree with a
+templates, comments, elements with ``hidden`` or styled ``display: none``, text styled ``visibility: hidden`` (inherited, until an
+element within is ``visible``). A head without end tag ends at the first text or start tag that cannot be in it. The renderer walks the tree with a
 stack of its own: paragraphs, headings, lists and tables stand apart by an empty line, other blocks by a line; items have
 bullets or numbers and are indented by their depth; the cells of a table are padded to columns (to ``PAD`` characters at most,
 so that a layout table cannot blow up the output).
@@ -32,6 +33,9 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 UNSEEN = frozenset("head script style template title meta link iframe noembed noframes noscript object datalist".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset menu dir".split())
 BLOCKS = APART | frozenset("html body div section article aside header footer nav main address form li dt dd tr td th thead tbody tfoot caption figcaption details summary legend option center optgroup".split())
+#: Start tags that leave an open head open.
+IN_HEAD = frozenset("base link meta title style script noscript template noframes".split())
+VISIBILITY = {"visible": True, "initial": True, "hidden": False, "collapse": False}
 #: A start tag ends open elements of the listed names, up to the nearest of the barriers.
 IMPLIED_ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -46,7 +50,10 @@ _MARK = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|([!?/]))")
 _ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _TAIL = re.compile(r"[\s/]*>?")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
+_NOTE = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
+#: A declaration of a style; strings and parentheses may have semicolons.
+_DECLARATION = re.compile(r"""(?:[^;"'(]|"(?:[^"\\]|\\.)*(?:"|\\?\Z)|'(?:[^'\\]|\\.)*(?:'|\\?\Z)|\([^)]*(?:\)|\Z))+""", re.DOTALL)
+_IMPORTANT = re.compile(r"\s*!\s*important\s*\Z")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW}
 
 
@@ -96,6 +103,8 @@ def build(page: str) -> Node:
                 return
 
     def text(value: str) -> None:
+        if stack[-1].tag == "head" and value.strip(" \t\n\r\f"):
+            cut(len(stack) - 1)
         if stack[-1].tag == "pre" and not stack[-1].children:
             value = value.removeprefix("\r").removeprefix("\n")
         if value:
@@ -135,7 +144,7 @@ def build(page: str) -> Node:
             close(*IMPLIED_ENDS[tag])
         elif tag in BLOCKS:
             close({"p"}, SCOPE)
-        if tag in BLOCKS and stack[-1].tag == "head":
+        if tag not in IN_HEAD and stack[-1].tag == "head":
             cut(len(stack) - 1)
         node = Node(tag, attributes)
         stack[-1].children.append(node)
@@ -202,9 +211,29 @@ class Flow:
         return "\n".join(self.lines)
 
 
-def unseen(node: Node) -> bool:
-    return node.tag in UNSEEN or "hidden" in node.attributes or (
-        "style" in node.attributes and _HIDING.search(node.attributes["style"]) is not None)
+def style(node: Node) -> dict[str, str]:
+    """``display`` and ``visibility`` of the style attribute; the last declaration holds, an important one before others."""
+    value = node.attributes.get("style", "").lower()
+    if "display" not in value and "visibility" not in value:
+        return {}
+    out: dict[str, str] = {}
+    important = set()
+    for declaration in _DECLARATION.findall(_NOTE.sub(" ", value)):
+        name, _, setting = declaration.partition(":")
+        name, strong = name.strip(), _IMPORTANT.search(setting)
+        setting = (setting[: strong.start()] if strong else setting).strip()
+        if name not in ("display", "visibility") or not setting or (name in important and not strong):
+            continue
+        if name == "visibility" and setting not in VISIBILITY and setting not in ("inherit", "unset", "revert"):
+            continue
+        out[name] = setting
+        if strong:
+            important.add(name)
+    return out
+
+
+def unseen(node: Node, styled: dict[str, str]) -> bool:
+    return node.tag in UNSEEN or "hidden" in node.attributes or styled.get("display") == "none"
 
 
 class Table:
@@ -249,11 +278,14 @@ def _starts(row: list[tuple[str, int]]) -> list[int]:
 def render(root: Node) -> str:
     """Visible text of a tree, laid out."""
     flows, tables, lists, pre = [Flow()], [], [], 0
+    visible = [True]  # of the open elements; text in an invisible one takes its place but is not shown
     work: list[tuple[Node | str, bool]] = [(root, False)]
     while work:
         node, closing = work.pop()
         flow = flows[-1]
         if isinstance(node, str):
+            if not visible[-1]:
+                continue
             if pre:
                 first, *rest = node.replace("\r\n", "\n").split("\n")
                 flow.parts.append(first)
@@ -265,7 +297,8 @@ def render(root: Node) -> str:
             continue
         tag = node.tag
         if not closing:
-            if unseen(node):
+            styled = style(node)
+            if unseen(node, styled):
                 continue
             if tag == "br":
                 if flow.parts:
@@ -296,9 +329,11 @@ def render(root: Node) -> str:
                 tables[-1].rows.append([])
             elif tag in ("td", "th") and tables:
                 flows.append(Flow())
+            visible.append(VISIBILITY.get(styled.get("visibility"), visible[-1]))
             work.append((node, True))
             work.extend((child, False) for child in reversed(node.children))
             continue
+        visible.pop()
         if tag in ("td", "th") and tables:
             cell = flows.pop().result()
             if not tables[-1].rows:
