@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalog import query
@@ -47,6 +47,34 @@ def core(v: Views, daily: DataFrame, basic: DataFrame):
     return ds.stock_daily_core(daily, basic, factor, v.aliases, master(v))
 
 
+def gate(prepared, message: str):
+    """The frame of a preset's check: what it refuses, or its verdicts."""
+    return next(c for c in prepared.checks if c.message == message).frame()
+
+
+def loose_core(v: Views):
+    """A valuation feed that fails the preset's gates: none for busier days, and off by one on days with one tick."""
+    daily = raw_quotes(v)
+    off = F.when(F.col("vol") == 1, F.col("close") + 1).otherwise(F.col("close"))
+    return core(v, daily, valuation(daily.where("vol < 4"), off))
+
+
+@query("gate_core_anomalies", """
+    WITH t AS (SELECT trade_date, count(*) AS total, count(*) FILTER (WHERE volume IN (2, 3)) AS valid, count(*) FILTER (WHERE volume NOT IN (2, 3)) AS issues FROM v_px GROUP BY trade_date)
+    SELECT *, issues AS reported, CAST(least(20, greatest(1, total // 100)) AS BIGINT) AS allowed,
+           issues = 0 OR (valid > 0 AND issues <= least(20, greatest(1, total // 100))) AS passed FROM t""")
+def gate_core_anomalies(v: Views):
+    return gate(loose_core(v), "daily_basic: too many anomalies")
+
+
+@query("gate_core_previous", """
+    WITH t AS (SELECT trade_date, count(*) AS total, count(pre_close) AS valid, count(*) - count(pre_close) AS issues FROM v_px GROUP BY trade_date)
+    SELECT *, issues AS reported, CAST(least(20, greatest(1, total // 100)) AS BIGINT) AS allowed,
+           issues = 0 OR (valid > 0 AND issues <= least(20, greatest(1, total // 100))) AS passed FROM t""")
+def gate_core_previous(v: Views):
+    return gate(loose_core(v), "daily: too many rows without pre_close")
+
+
 @query("pipe_core", """
     SELECT coalesce(a.new_code, p.code) AS ts_code, p.trade_date, CAST(p.close AS DOUBLE) AS close, CAST(p.change AS DOUBLE) AS change, CAST(p.pct_chg AS DOUBLE) AS pct_chg,
            CAST(p.volume * 100 AS DOUBLE) AS volume, CAST(p.amount * 1000 AS DOUBLE) AS amount, 1.5::DOUBLE AS adj_factor,
@@ -55,9 +83,7 @@ def core(v: Views, daily: DataFrame, basic: DataFrame):
     FROM v_px p LEFT JOIN v_aliases a ON a.old_code = p.code WHERE p.pre_close IS NOT NULL""")
 def pipe_core(v: Views):
     """Alias dedup, factor coverage, tolerant valuation join and recomputed change, all dates at once."""
-    daily = raw_quotes(v)
-    off = F.when(F.col("vol") == 1, F.col("close") + 1).otherwise(F.col("close"))
-    out = core(v, daily, valuation(daily.where("vol < 4"), off)).rows
+    out = loose_core(v).rows
     return out.select("ts_code", "trade_date", "close", "change", "pct_chg", "volume", "amount", "adj_factor", "turnover_rate", "pe", "total_share")
 
 
@@ -118,16 +144,60 @@ def pipe_optional_factor_rejects(v: Views):
     SELECT source, trade_date, market_type, rank_type, ts_code, CAST(rank AS BIGINT) AS rank, rank_time, 'A|B' AS concept
     FROM (SELECT * FROM ths UNION ALL SELECT * FROM dc) WHERE ts_code IN (SELECT code FROM v_sec)""")
 def pipe_hot_rank(v: Views):
-    raw = v.hot.select(
-        text_day().alias("trade_date"), F.lit("hot").alias("data_type"), F.col("code").alias("ts_code"), null("string").alias("ts_name"), "rank",
-        null("double").alias("pct_change"), F.col("score").alias("current_price"), F.lit("{A, B}").alias("concept"), F.col("score").alias("hot"),
-        "event_id", "slot", "event_type", "captured")
-    ordered = raw.select("*", F.lit("why").alias("rank_reason"), F.date_format("captured", "HHmmss").alias("rank_time"), F.lit("market=hot").alias("scope_key"),
-                         F.col("event_id").alias("_ord")).drop("captured", "slot", "event_type", "event_id")
-    captured = raw.select("*", F.format_string("%02d:00:00", F.col("slot") * 6).alias("rank_time"),
-                          F.concat(F.lit("market=A;hot_type="), "event_type").alias("scope_key")).drop("captured", "slot", "event_type", "event_id")
-    out = ds.stock_hot_rank_daily(ordered, captured, v.sec.select(F.col("code").alias("ts_code")), chunk_rows=256).rows
-    return out.select("source", "trade_date", "market_type", "rank_type", "ts_code", "rank", "rank_time", F.concat_ws("|", "concept").alias("concept"))
+    return hot_columns(hot_ranks(v, v.hot).rows)
+
+
+def hot_ranks(v: Views, snapshots: DataFrame):
+    """Hot lists: all rows in delivery order, and ``snapshots`` by capture slot."""
+    def raw(rows: DataFrame, *more: Column):
+        return rows.select(
+            text_day().alias("trade_date"), F.lit("hot").alias("data_type"), F.col("code").alias("ts_code"), null("string").alias("ts_name"), "rank",
+            null("double").alias("pct_change"), F.col("score").alias("current_price"), F.lit("{A, B}").alias("concept"), F.col("score").alias("hot"), *more)
+    ordered = raw(v.hot, F.lit("why").alias("rank_reason"), F.date_format("captured", "HHmmss").alias("rank_time"), F.lit("market=hot").alias("scope_key"), F.col("event_id").alias("_ord"))
+    captured = raw(snapshots, F.format_string("%02d:00:00", F.col("slot") * 6).alias("rank_time"), F.concat(F.lit("market=A;hot_type="), "event_type").alias("scope_key"))
+    return ds.stock_hot_rank_daily(ordered, captured, v.sec.select(F.col("code").alias("ts_code")), chunk_rows=256)
+
+
+def hot_columns(rows: DataFrame):
+    return rows.select("source", "trade_date", "market_type", "rank_type", "ts_code", "rank", "rank_time", F.concat_ws("|", "concept").alias("concept"))
+
+
+@query("gate_hot_snapshot", """
+    WITH sz AS (SELECT trade_date, event_type, slot, count(*) AS n FROM v_hot GROUP BY ALL),
+    dcp AS (SELECT trade_date, event_type, slot FROM (SELECT *, row_number() OVER (PARTITION BY trade_date, event_type ORDER BY n DESC, slot DESC) AS rn FROM sz) WHERE rn = 1),
+    dc AS (SELECT 'DC' AS source, trade_date, 'A股市场' AS market_type, event_type AS rank_type, code, rank FROM v_hot SEMI JOIN dcp USING (trade_date, event_type, slot))
+    SELECT source, trade_date, market_type, rank_type, 'code' AS kind, code AS value, count(*) AS n FROM dc GROUP BY ALL HAVING count(*) > 1
+    UNION ALL SELECT source, trade_date, market_type, rank_type, 'rank', CAST(rank AS VARCHAR), count(*) FROM dc GROUP BY ALL HAVING count(*) > 1""")
+def gate_hot_snapshot(v: Views):
+    return gate(hot_ranks(v, v.hot), "hot_rank: snapshot not unique")
+
+
+def ranked_hot(v: Views):
+    """Snapshots that hold a code once, with its best score over all its rows, and each rank once."""
+    best = v.hot.groupBy("trade_date", "event_type", "slot", "code").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("trade_date", "event_type", "slot").orderBy(F.col("score").desc(), "code")
+    return best.withColumn("rank", F.row_number().over(order))
+
+
+@query("pipe_hot_rank_verified", """
+    WITH RECURSIVE linked AS (SELECT trade_date, event_id, code, rank, date_trunc('second', captured) AS captured,
+        greatest(coalesce(lag(event_id) OVER (PARTITION BY trade_date, code ORDER BY event_id), -1), coalesce(lag(event_id) OVER (PARTITION BY trade_date, rank ORDER BY event_id), -1)) AS prev FROM v_hot),
+    links AS (SELECT trade_date, event_id, (SELECT min(b.event_id) FROM linked b WHERE b.trade_date = a.trade_date AND b.prev >= a.event_id) AS nxt FROM linked a),
+    starts AS (SELECT trade_date, min(event_id) AS event_id FROM linked GROUP BY trade_date
+        UNION ALL SELECT l.trade_date, l.nxt FROM starts s JOIN links l ON l.trade_date = s.trade_date AND l.event_id = s.event_id WHERE l.nxt IS NOT NULL),
+    seg AS (SELECT l.*, s.event_id AS start FROM linked l ASOF JOIN starts s ON s.trade_date = l.trade_date AND s.event_id <= l.event_id),
+    pick AS (SELECT trade_date, start FROM (SELECT trade_date, start, row_number() OVER (PARTITION BY trade_date ORDER BY count(*) DESC, max(captured) DESC, start) AS rn FROM seg GROUP BY trade_date, start) WHERE rn = 1),
+    ths AS (SELECT 'THS' AS source, trade_date, 'A股' AS market_type, 'FINAL' AS rank_type, code AS ts_code, rank, strftime(captured, '%Y-%m-%d %H:%M:%S') AS rank_time FROM seg SEMI JOIN pick USING (trade_date, start)),
+    b AS (SELECT trade_date, event_type, slot, code, max(score) AS score FROM v_hot GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY trade_date, event_type, slot ORDER BY score DESC, code) AS rank FROM b),
+    sz AS (SELECT trade_date, event_type, slot, count(*) AS n FROM r GROUP BY ALL),
+    dcp AS (SELECT trade_date, event_type, slot FROM (SELECT *, row_number() OVER (PARTITION BY trade_date, event_type ORDER BY n DESC, slot DESC) AS rn FROM sz) WHERE rn = 1),
+    dc AS (SELECT 'DC', trade_date, 'A股市场', event_type, code, rank, strftime(CAST(trade_date AS TIMESTAMP) + slot * INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') FROM r SEMI JOIN dcp USING (trade_date, event_type, slot))
+    SELECT source, trade_date, market_type, rank_type, ts_code, CAST(rank AS BIGINT) AS rank, rank_time, 'A|B' AS concept
+    FROM (SELECT * FROM ths UNION ALL SELECT * FROM dc) WHERE ts_code IN (SELECT code FROM v_sec)""")
+def pipe_hot_rank_verified(v: Views):
+    """Both lists, and all checks run."""
+    return hot_columns(hot_ranks(v, ranked_hot(v)).verify().rows)
 
 
 @query("pipe_top_list", f"""
@@ -171,12 +241,32 @@ def pipe_board_flow(v: Views):
     SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS trade_date, 'T' || l_suppkey AS theme_code, 'P' || l_partkey AS ts_code, CAST(l_linenumber AS BIGINT) AS hot_num
     FROM lineitem WHERE 'P' || l_partkey IN (SELECT member FROM v_parts WHERE kind <> 'ECONOMY')""")
 def pipe_member(v: Views):
+    return members(v, F.col("l_linenumber")).rows.select("trade_date", "theme_code", "ts_code", "hot_num")
+
+
+def members(v: Views, hot_num: Column):
     spare = [null("string").alias(c) for c in ("name", "industry_code", "industry", "reason")]
     raw = v.table("lineitem").select(
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("ts_code"), F.date_format(F.date_trunc("month", "l_shipdate"), "yyyyMMdd").alias("trade_date"),
-        F.concat(F.lit("T"), F.col("l_suppkey").cast("string")).alias("theme_code"), F.col("l_linenumber").alias("hot_num"), *spare)
+        F.concat(F.lit("T"), F.col("l_suppkey").cast("string")).alias("theme_code"), hot_num.alias("hot_num"), *spare)
     stocks = v.parts.where("kind <> 'ECONOMY'").select(F.col("member").alias("ts_code"))
-    return ds.market_theme_member_daily(raw, stocks).rows.select("trade_date", "theme_code", "ts_code", "hot_num")
+    return ds.market_theme_member_daily(raw, stocks)
+
+
+@query("pipe_member_verified", """
+    SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS trade_date, 'T' || l_suppkey AS theme_code, 'P' || l_partkey AS ts_code, CAST(max(l_linenumber) AS BIGINT) AS hot_num
+    FROM lineitem WHERE 'P' || l_partkey IN (SELECT member FROM v_parts WHERE kind <> 'ECONOMY') GROUP BY ALL""")
+def pipe_member_verified(v: Views):
+    """Every line item delivers its member with the same number, so repeats are copies; all checks run."""
+    key = Window.partitionBy("l_partkey", "l_suppkey", F.date_trunc("month", "l_shipdate"))
+    return members(v, F.max("l_linenumber").over(key)).verify().rows.select("trade_date", "theme_code", "ts_code", "hot_num")
+
+
+@query("gate_member_conflicts", """
+    SELECT 'DC' AS source, CAST(date_trunc('month', l_shipdate) AS DATE) AS trade_date, 'T' || l_suppkey AS theme_code, 'P' || l_partkey AS ts_code, count(DISTINCT l_linenumber) AS variants
+    FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_linenumber) > 1""")
+def gate_member_conflicts(v: Views):
+    return gate(members(v, F.col("l_linenumber")), "dc_concept_cons: conflicting duplicates")
 
 
 @query("pipe_month_weight", """
@@ -194,10 +284,42 @@ def pipe_month_weight(v: Views):
 @query("pipe_calendar", """
     SELECT CASE exchange WHEN 'ASIA' THEN 'SSE' WHEN 'EUROPE' THEN 'SZSE' ELSE exchange END AS exchange, cal_date, is_open, cal_date - 1 AS pretrade_date FROM v_cal""")
 def pipe_calendar(v: Views):
+    return calendar(v).rows
+
+
+def calendar(v: Views):
     name = F.when(F.col("exchange") == "ASIA", "SSE").when(F.col("exchange") == "EUROPE", "SZSE").otherwise(F.col("exchange"))
     raw = v.cal.select(name.alias("exchange"), F.date_format("cal_date", "yyyyMMdd").alias("cal_date"), F.col("is_open").cast("long").alias("is_open"),
                        F.date_format(F.date_sub("cal_date", 1), "yyyyMMdd").alias("pretrade_date"))
-    return ds.trade_calendar(raw).rows
+    return ds.trade_calendar(raw)
+
+
+@query("pipe_calendar_verified", """
+    SELECT r_name AS exchange, CAST(d AS DATE) AS cal_date, isodow(d) <= 5 AS is_open, CAST(d AS DATE) - 1 AS pretrade_date
+    FROM region, (SELECT unnest(generate_series(date_trunc('year', min(ts)), date_trunc('year', max(ts)) + INTERVAL 1 YEAR - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS d FROM events)""")
+def pipe_calendar_verified(v: Views):
+    """Whole years of every exchange, all of which are expected; all checks run."""
+    span = v.table("events").agg(F.trunc(F.min("ts"), "YEAR").alias("a"), F.last_day(F.add_months(F.trunc(F.max("ts"), "YEAR"), 11)).alias("b"))
+    days = F.explode(F.sequence(span.select("a").scalar(), span.select("b").scalar()))
+    names = F.col("r_name").alias("exchange")
+    raw = v.table("region").select(names, days.alias("day")).select(
+        "exchange", F.date_format("day", "yyyyMMdd").alias("cal_date"), (F.weekday("day") < 5).cast("long").alias("is_open"),
+        F.date_format(F.date_sub("day", 1), "yyyyMMdd").alias("pretrade_date"))
+    return ds.trade_calendar(raw, tuple(r["exchange"] for r in v.table("region").select(names).collect())).verify().rows
+
+
+@query("gate_calendar_exchange", """
+    SELECT exchange, cal_date, is_open, cal_date - 1 AS pretrade_date FROM v_cal WHERE exchange NOT IN ('ASIA', 'EUROPE')""")
+def gate_calendar_exchange(v: Views):
+    return gate(calendar(v), "trade_calendar: unexpected exchange")
+
+
+@query("gate_calendar_year", """
+    SELECT CASE exchange WHEN 'ASIA' THEN 'SSE' WHEN 'EUROPE' THEN 'SZSE' ELSE exchange END AS exchange, CAST(year(cal_date) AS INTEGER) AS year, count(DISTINCT cal_date) AS n_days,
+           CAST(dayofyear(make_date(year(cal_date), 12, 31)) AS INTEGER) AS expected, count(DISTINCT cal_date) = dayofyear(make_date(year(cal_date), 12, 31)) AS complete
+    FROM v_cal GROUP BY exchange, year(cal_date)""")
+def gate_calendar_year(v: Views):
+    return gate(calendar(v), "trade_calendar: year incomplete")
 
 
 @query("pipe_limit_event", """

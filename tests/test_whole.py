@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import catalog
+import pytest
 from pyspark.sql import functions as F
+from tapeloom.plans.cleaning import Prepared
 from tapeloom.sources.views import Views
 
 catalog.load()
@@ -25,3 +27,15 @@ def test_every_bar_and_event_is_published_or_rejected(spark, folder):
     parts = [q(name).agg(F.sum("limit_times")).first()[0] for name in ("pipe_limit_event_whole", "pipe_limit_event_rejects")]
     assert sum(parts) == ticks and min(parts) > 0
     assert q("pipe_optional_factor_rejects").count() == views.px.where("pre_close IS NULL").count() > 0
+
+
+@pytest.mark.parametrize(("gate", "verified"), [
+    ("gate_core_anomalies", "pipe_core_whole"), ("gate_member_conflicts", "pipe_member_verified"), ("gate_calendar_exchange", "pipe_calendar_verified"),
+    ("gate_hot_snapshot", "pipe_hot_rank_verified")])
+def test_refused_inputs_have_verdicts_and_published_ones_are_verified(spark, folder, monkeypatch, gate, verified):
+    assert catalog.QUERIES[gate](spark, folder).count() > 0
+    calls = []
+    verify = Prepared.verify
+    monkeypatch.setattr(Prepared, "verify", lambda self: calls.append(len(self.checks)) or verify(self))
+    catalog.QUERIES[verified](spark, folder)
+    assert calls and calls[0] > 1
