@@ -13,7 +13,7 @@ count uncompressed bytes. Content-Length alone decides where a record ends, so p
 Defined cases: null html is an empty payload; a null url has no Target-URI and an empty key; a null page_id is written as
 ``null``, is never the response while a page with an id has the payload, and comes first among equal keys; repeated rows are a
 record each (with the largest page_id, each a response); blanks and control characters of a url are written as %20; an empty table
-gives no rows; further columns are not archived.
+gives no rows; further columns are not archived. Without a time column, or where it is null, the capture time is made up from the page_id.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.llm.tables import quoted, shared_path, store
 
@@ -33,6 +34,7 @@ REVISIT_BYTES, RECORDS_PER_FILE = 1000, 4000
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = 1_704_067_200  # 2024-01-01, the capture time of page 0 where pages carry no time
+MADE_UP = 253_402_300_800 - EPOCH  # seconds from there to the end of the year 9999, the last one that a WARC-Date can write
 
 INDEX = [("url_key", "string"), ("captured_at", "string"), ("page_id", "long"), ("payload_bytes", "long"), ("payload_digest", "string"),
          ("record_type", "string"), ("refers_to", "long"), ("file", "string"), ("offset", "long"), ("record_bytes", "long")]
@@ -40,10 +42,24 @@ INDEX_DDL = ", ".join(f"{n} {t}" for n, t in INDEX)
 _ARROW = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in INDEX])
 
 
-def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One column ``value``: a WARC record per page, without its closing line ends."""
+def capture_date(page: Column, taken: Column | None) -> Column:
+    """WARC-Date: the given time in UTC (a timestamp without zone is taken as UTC), else EPOCH and page_id seconds."""
+    made_up = F.lit(EPOCH) + F.pmod(F.coalesce(page, F.lit(0)), F.lit(MADE_UP))
+    seconds = F.convert_timezone(None, F.lit("UTC"), F.timestamp_seconds(made_up).cast("timestamp_ntz"))
+    if taken is None:
+        return F.date_format(seconds, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.date_format(F.coalesce(taken, seconds), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", captured_at: str | None = None) -> DataFrame:
+    """One column ``value``: a WARC record per page, without its closing line ends. ``captured_at`` names a timestamp column."""
+    taken = None
+    if captured_at is not None:
+        taken = F.col(quoted(captured_at))
+        if not isinstance(pages.select(taken).schema[0].dataType, T.TimestampNTZType):
+            taken = F.convert_timezone(None, F.lit("UTC"), taken.cast("timestamp").cast("timestamp_ntz"))
     page, body = F.col(quoted(page_id)), F.coalesce(F.col(quoted(html)), F.lit(""))
-    rows = pages.select(page.cast("long").alias("page"), F.col(quoted(url)).alias("url"), body.alias("body"), F.octet_length(body).cast("long").alias("size"), F.sha1(body).alias("digest"))
+    rows = pages.select(page.cast("long").alias("page"), capture_date(page.cast("long"), taken).alias("date"), F.col(quoted(url)).alias("url"), body.alias("body"), F.octet_length(body).cast("long").alias("size"), F.sha1(body).alias("digest"))
     key = F.when(F.col("size") >= REVISIT_BYTES, F.col("digest")).otherwise(F.concat(F.lit("small "), F.coalesce(F.col("page").cast("string"), F.lit("null"))))
     rows = rows.withColumn("key", key)
     best = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("key").agg(F.max("page").alias("best"))
@@ -51,7 +67,6 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     revisit = F.col("best").isNotNull() & ~F.col("page").eqNullSafe(F.col("best"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("body")))
-    date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce("page", F.lit(0)), F.lit(31_536_000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
     def urn(column):
         return F.concat(F.lit("<urn:x-page:"), F.coalesce(column.cast("string"), F.lit("null")), F.lit(">"))
@@ -59,7 +74,7 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     def line(name: str, value):
         return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     head = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", urn(F.col("page"))), line("WARC-Date", date),
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", urn(F.col("page"))), line("WARC-Date", F.col("date")),
         F.coalesce(line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), line("X-Payload-Length", F.col("size").cast("string")),
         F.when(revisit, F.concat(line("WARC-Refers-To", urn(F.col("best"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
