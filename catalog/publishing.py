@@ -185,12 +185,11 @@ def stream_publish(v: Views):
     SELECT endpoint, strftime(time_bucket(INTERVAL 10 MINUTE, requested_at), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS used,
            count(*) FILTER (WHERE wait_ms > 0) AS delayed, count(*) FILTER (WHERE status = 'SUCCESS') AS success FROM v_req GROUP BY ALL""")
 def stream_quota(v: Views):
-    """Windows updated over three micro-batches in any order; the newest count of a window is its largest."""
+    """Windows summed over three micro-batches in any order, whatever span of time they cover."""
     requests = v.req.select("endpoint", F.col("requested_at").cast("timestamp").alias("requested_at"), "wait_ms", "status")
     table = pb.VersionedTable(v.spark, scratch_path(v.spark, "quota"), "quota")
-    windows = st.quota_stream(_landed(v, requests, "requested_at"), "10 minutes", "40 days")
-    handler = st.merge_into(table, F.date_format("window_start", "yyyy-MM-dd"), lambda rows: st.newest_revision(rows, ["endpoint", "window_start"], "used"))
-    job = windows.writeStream.outputMode("update").foreachBatch(handler).option("checkpointLocation", scratch_path(v.spark, "state")).trigger(availableNow=True)
+    landed = _landed(v, requests, "requested_at")
+    job = landed.writeStream.foreachBatch(st.quota_sums(table, "10 minutes")).option("checkpointLocation", scratch_path(v.spark, "state")).trigger(availableNow=True)
     job.start().awaitTermination()
     return table.read().select("endpoint", "window_start", "used", "delayed", "success")
 

@@ -78,6 +78,13 @@ def quota_stream(requests: DataFrame, width: str, lateness: str, *, slide: str |
     return quota_windows(requests.withWatermark("requested_at", lateness), width, slide=slide)
 
 
+def quota_sums(table: VersionedTable, width: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` handler adding each micro-batch's window counts to the published ones; no row is too late to count."""
+    def add(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("endpoint", "window_start").agg(*[F.sum(c).alias(c) for c in ("used", "delayed", "success")])
+    return merge_into(table, F.date_format("window_start", "yyyy-MM-dd"), add, lambda batch: quota_windows(batch, width))
+
+
 def first_delivery(stream: DataFrame, keys: Sequence[str], at: str, lateness: str) -> DataFrame:
     """Drop rows re-delivered on their natural key within the lateness bound."""
     return stream.withWatermark(at, lateness).dropDuplicatesWithinWatermark(list(keys))

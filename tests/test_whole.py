@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import time
+
 import catalog
 import pytest
 from pyspark.sql import functions as F
+from catalog import publishing
 from tapeloom.plans.cleaning import Prepared
+from tapeloom.session import scratch_path
 from tapeloom.sources.views import Views
+from tapeloom.streaming import jobs as st
 
 catalog.load()
 
@@ -39,3 +44,19 @@ def test_refused_inputs_have_verdicts_and_published_ones_are_verified(spark, fol
     monkeypatch.setattr(Prepared, "verify", lambda self: calls.append(len(self.checks)) or verify(self))
     catalog.QUERIES[verified](spark, folder)
     assert calls and calls[0] > 1
+
+
+def test_quota_counts_rows_read_long_after_newer_ones(spark, monkeypatch):
+    """The newest file is read first, then one 90 days older, then one that shares its windows."""
+    def batch(*at):
+        return spark.createDataFrame([("e", x, 1, "SUCCESS") for x in at], "endpoint string, at string, wait_ms int, status string").withColumn("requested_at", F.to_timestamp("at"))
+    views = Views(spark, "")
+    views.__dict__["req"] = batch("2024-06-01 00:01:00")
+    path = scratch_path(spark, "late")
+    for i, rows in enumerate((batch("2024-06-01 00:01:00"), batch("2024-03-01 00:01:00"), batch("2024-03-01 00:02:00", "2024-06-01 00:09:00"))):
+        rows.select("endpoint", "requested_at", "wait_ms", "status").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1)
+    schema = spark.read.parquet(path).schema
+    monkeypatch.setattr(publishing, "_landed", lambda *_: st.landing(spark, path, schema, files_per_batch=1))
+    got = publishing.stream_quota(views).orderBy("window_start").collect()
+    assert [(r["used"], r["delayed"], r["success"]) for r in got] == [(2, 2, 2), (2, 2, 2)]
