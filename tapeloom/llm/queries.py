@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe_count, byte_bpe, chat_format, chosen_path, decontaminate, html_text, quadratic, quality_rules, substring, warc
+from tapeloom.llm import (
+    alignment,
+    bpe_count,
+    byte_bpe,
+    chat_format,
+    chosen_path,
+    decontaminate,
+    html_text,
+    quadratic,
+    quality_rules,
+    substring,
+    toxicity,
+    variants,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -160,3 +174,54 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_html_text")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_column(table(spark, folder, "pages").select("page_id", "html")).withColumn("n_chars", F.length("text"))
+
+
+@query("op11_toxicity")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+_CRC_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+
+
+@query("op12_spelling_variants", f"""
+WITH RECURSIVE crc(i, c, k) AS (
+  SELECT CAST(i AS BIGINT), CAST(i AS BIGINT), 0 FROM range(256) r(i) UNION ALL SELECT i, {_CRC_STEP}, k + 1 FROM crc WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
+occurrences AS (
+  SELECT doc_id, word, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]{{7,}}')) AS word FROM documents)
+  GROUP BY doc_id, word),
+seeds AS (
+  SELECT *, hex(encode(doc_id || ':' || word)) AS hexed FROM occurrences),
+hashed AS (
+  SELECT doc_id, word, n, xor(4294967295, list_reduce(
+      list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(0, length(hexed) // 2), lambda j: CAST('0x' || hexed[2 * j + 1:2 * j + 2] AS BIGINT))),
+      lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1]))) AS h
+  FROM seeds, crc_table),
+results AS (
+  SELECT CASE WHEN h % 31 = 0 THEN word[:h % length(word)] || word[h % length(word) + 2:] ELSE word END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM results WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS k FROM (SELECT *, unnest(generate_series(1, length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.k = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.k = b.word),
+best AS (
+  SELECT word, n, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word, n),
+forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 10 * w.n THEN b.near END AS form, CASE WHEN b.near_n >= 10 * w.n THEN b.near_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+chain(word, root, last) AS (
+  SELECT word, word, form IS NULL FROM forms
+  UNION ALL SELECT c.word, f.form, g.form IS NULL FROM chain c JOIN forms f ON c.root = f.word JOIN forms g ON f.form = g.word WHERE NOT c.last)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON f.word = c.word AND c.last
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.corpus_variants(table(spark, folder, "documents"))
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    paths = alignment.Paths(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.align(table(spark, folder, "documents"), paths)
