@@ -4,8 +4,9 @@ Method: the benchmark's normalised n-grams (10 words; a shorter item is one wind
 that every task holds. Training texts are scanned in numpy: word hashes, rolling window hashes, binary search. Every
 hit is verified against the words themselves, so a hash collision changes nothing.
 
-Bound: the broadcast holds at most ``max_windows`` windows. A larger benchmark is cut into blocks by window hash and
-the corpus is scanned once per block; the blocks' hits are merged per document. Nothing is dropped.
+Bound: the broadcast holds windows of at most ``max_bytes`` bytes (hash, words and item id of each, as flat arrays; one window more at
+most if its words are longer than that). A larger benchmark is dealt into blocks by hash; the corpus is scanned once per block, one block is
+broadcast at a time, and the blocks' hits are merged per document. Results are the same for any number of blocks.
 
 Defined cases: null text has no words (not contaminated); items without words are ignored; repeated items and equal
 item ids count once in ``n_items``; a null item_id is named ``null`` in the list; repeated documents are judged each on
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +29,8 @@ from tapeloom.llm.tables import free_name, map_arrow, quoted, store, without
 from tapeloom.llm.wordhash import ALNUM, LOWER, Words, grams, mix, words_of
 
 WINDOW = 10
-MAX_WINDOWS = 2_000_000  # windows one broadcast may hold: about 300 MB in a task
+MAX_BYTES = 64 << 20
+ROW_BYTES = 24  # of a window beside its words and item: hash and two offsets
 
 REPORT = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()),
           ("contaminated", T.BooleanType())]
@@ -58,43 +61,58 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 class WindowSet:
-    """The windows of one block, by size: sorted hashes, and the words and items of each hash."""
+    """The windows of one block as flat arrays, by size in the order of their hashes; equal hashes follow each other."""
 
-    def __init__(self, rows: list):
-        by_size: dict[int, dict[int, dict[bytes, set]]] = {}
-        for r in rows:
-            by_size.setdefault(r["size"], {}).setdefault(r["key"], {}).setdefault(bytes(r["words"]), set()).add("null" if r["item"] is None else r["item"])
-        self.sizes = {s: (np.sort(np.fromiter(d, np.int64, len(d))), d) for s, d in by_size.items()}
+    def __init__(self, table: pa.Table):
+        self.sizes = {}
+        sizes = table.column("size").to_numpy()
+        for size in np.unique(sizes).tolist():
+            part = table.filter(pa.array(sizes == size)).sort_by("key").combine_chunks()
+            words, items = (part.column(n).combine_chunks() if part.num_rows else part.column(n) for n in ("words", "item"))
+            self.sizes[size] = (part.column("key").to_numpy(), *_flat(words), *_flat(items))
 
     def hits(self, w: Words) -> tuple[list[tuple[int, int]], list[tuple[int, str]]]:
         """Word ranges (start, end) of verified windows, and (text, item) pairs."""
         ranges, found = [], []
-        for size, (keys, known) in self.sizes.items():
+        for size, (keys, words, word_at, items, item_at) in self.sizes.items():
             have = mix(grams(w.hash, size)).view(np.int64)
             at = np.searchsorted(keys, have)
             at[at == len(keys)] = 0
             hit = np.flatnonzero((keys[at] == have) & (np.arange(len(have)) + size <= w.stop[: len(have)])) if len(have) else ()
             for i in hit:
-                words = b" ".join(w.data[s:e].tobytes() for s, e in zip(w.starts[i : i + size], w.ends[i : i + size], strict=True))
-                items = known[int(have[i])].get(words)
-                if items:
+                said = b" ".join(w.data[s:e].tobytes() for s, e in zip(w.starts[i : i + size], w.ends[i : i + size], strict=True))
+                k, sure = int(at[i]), False
+                while k < len(keys) and keys[k] == have[i]:
+                    if words[word_at[k] : word_at[k + 1]] == said:
+                        sure = True
+                        found.append((int(w.text[i]), items[item_at[k] : item_at[k + 1]].decode()))
+                    k += 1
+                if sure:
                     ranges.append((int(i), int(i) + size))
-                    found += [(int(w.text[i]), x) for x in items]
         return ranges, found
 
 
+def _flat(column: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The values of a binary column behind each other, and where each begins."""
+    values = column.to_pylist()
+    return b"".join(values), np.concatenate(([0], np.cumsum([len(x) for x in values], dtype=np.int64)))
+
+
 def _digest(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def _blocks(benchmark: DataFrame, window: int, max_windows: int) -> list:
-    """Broadcasts of window sets, each within the bound."""
-    spark = benchmark.sparkSession
-    windows = store(item_windows(benchmark, window), "benchmark-windows")
-    n = windows.count()
-    parts = max(1, -(-n // max_windows))
-    chosen = (windows.where(F.pmod("key", F.lit(parts)) == i) if parts > 1 else windows for i in range(parts))
-    return [spark.sparkContext.broadcast(WindowSet(part.collect())) for part in chosen]
+def _blocks(benchmark: DataFrame, window: int, max_bytes: int) -> list[DataFrame]:
+    """The stored windows of the benchmark in blocks of at most ``max_bytes`` bytes."""
+    named = item_windows(benchmark, window).select("size", "key", "words", F.coalesce("item", F.lit("null")).cast("binary").alias("item")).distinct()
+    windows = store(named, "benchmark-windows")
+    total = windows.agg(F.sum(F.length("words") + F.length("item") + ROW_BYTES)).first()[0] or 0
+    parts = 1 if total <= max_bytes else -(-total * 5 // (max_bytes * 4))  # a fifth is spare, as hashes deal unevenly
+    return [windows.where(F.pmod(F.xxhash64("size", "key", "item"), F.lit(parts)) == i) if parts > 1 else windows for i in range(parts)]
+
+
+def _broadcast(block: DataFrame) -> Broadcast:
+    return block.sparkSession.sparkContext.broadcast(WindowSet(block.toArrow()))
 
 
 def _covered(n: int, ranges: list[tuple[int, int]]) -> np.ndarray:
@@ -106,16 +124,16 @@ def _covered(n: int, ranges: list[tuple[int, int]]) -> np.ndarray:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-         window: int = WINDOW, max_windows: int = MAX_WINDOWS, cut: bool = False) -> DataFrame:
+         window: int = WINDOW, max_bytes: int = MAX_BYTES, cut: bool = False) -> DataFrame:
     """Columns of ``docs`` and the report columns of each document; with ``cut`` the hit words are taken out of the text.
 
     Where a run of hit words goes, the separators behind it go too. Columns of ``docs`` with the report's names are replaced.
     """
     docs = without(docs, [n for n, _ in REPORT])
-    blocks = _blocks(benchmark.select(F.col(quoted(item_id)).cast("string"), F.col(quoted(item_text))), window, max_windows)
+    blocks = _blocks(benchmark.select(F.col(quoted(item_id)).cast("string"), F.col(quoted(item_text))), window, max_bytes)
     if len(blocks) > 1:
         return _scan_blocks(docs, blocks, text, cut)
-    windows, place, names = blocks[0], docs.columns.index(text), docs.columns
+    windows, place, names = _broadcast(blocks[0]), docs.columns.index(text), docs.columns
     schema = T.StructType(docs.schema.fields + [T.StructField(n, t) for n, t in REPORT])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,23 +189,27 @@ def _scan_blocks(docs: DataFrame, blocks: list, text: str, cut: bool) -> DataFra
     kept = store(docs.withColumn(rid, F.monotonically_increasing_id()), "documents")
     hits = None
     for block in blocks:
-        def find(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+        known = _broadcast(block)
+
+        def find(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0).to_numpy()
                 for lo, _, w in words_of(batch.column(1), ALNUM, LOWER):
-                    ranges, found = block.value.hits(w)
+                    ranges, found = known.value.hits(w)
                     spans: dict[int, list] = {}
                     for a, b in ranges:
                         t = int(w.text[a])
-                        spans.setdefault(t, []).append(int(a - w.first[t]) << 8 | (b - a))
+                        spans.setdefault(t, []).append({"at": int(a - w.first[t]), "size": b - a})
                     names: dict[int, set] = {}
                     for t, x in found:
                         names.setdefault(t, set()).add(x)
                     if spans:
                         yield pa.RecordBatch.from_pydict(
                             {"rid": [int(ids[lo + t]) for t in spans], "spans": list(spans.values()), "items": [sorted(names[t]) for t in spans]},
-                            schema=pa.schema([("rid", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]))
-        part = kept.select(F.col(quoted(rid)), F.col(quoted(text))).mapInArrow(find, "rid long, spans array<long>, items array<string>")
+                            schema=pa.schema([("rid", pa.int64()), ("spans", pa.list_(pa.struct([("at", pa.int64()), ("size", pa.int64())]))), ("items", pa.list_(pa.string()))]))
+        found = map_arrow(kept.select(F.col(quoted(rid)), F.col(quoted(text))), find, "rid long, spans array<struct<at:long,size:long>>, items array<string>")
+        part = store(found, "hits")
+        known.destroy()
         hits = part if hits is None else hits.unionAll(part)
     spans_name, items_name = free_name(docs.columns, "hit_spans"), free_name(docs.columns, "hit_items")
     merged = hits.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias(spans_name),
@@ -205,7 +227,7 @@ def _scan_blocks(docs: DataFrame, blocks: list, text: str, cut: bool) -> DataFra
                 ranges, found = [], []
                 for t in range(len(w.counts)):
                     row = done[0] + t
-                    ranges += [(int(w.first[t]) + (x >> 8), int(w.first[t]) + (x >> 8) + (x & 255)) for x in spans[row] or ()]
+                    ranges += [(int(w.first[t]) + x["at"], int(w.first[t]) + x["at"] + x["size"]) for x in spans[row] or ()]
                     found += [(t, x) for x in items[row] or ()]
                 done[0] += len(w.counts)
                 return ranges, found
