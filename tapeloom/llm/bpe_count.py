@@ -6,6 +6,9 @@ first, is popped, merged if both nodes are still as they were, and the two new p
 of bytes minus the number of merges: O(n log n) for a word of n bytes. Counts of short words are remembered per worker
 up to ``CACHE_WORDS`` words, then the memory is emptied; this changes no count.
 
+Words are split by the byte-level pattern. Which characters are letters, numbers or spaces differs between Unicode versions, so the
+library's own classes are read once, from its removal of each class from the string of all code points.
+
 Special strings (the file's added tokens) inside a text count one token each, as the library does by default.
 
 Defined cases: null and empty texts count 0 bytes and 0 tokens; repeated rows are counted each; further columns are
@@ -15,19 +18,20 @@ kept; an empty table gives no rows. The vocabulary path must exist on the execut
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Regex, normalizers
 
 from tapeloom.llm.tables import map_arrow, without
 
-#: Fixed value: the split pattern of byte-level pre-tokenizers.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: the split pattern of byte-level pre-tokenizers, with classes for letters (L), numbers (N) and spaces (S).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+"
 CACHE_WORDS, CACHE_BYTES = 1_500_000, 64
 
 
@@ -39,10 +43,36 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+@cache
+def character_class(name: str) -> str:
+    """A class of the tokenizers library (``\\p{L}``, ``\\p{N}``, ``\\s``) as ranges for a set of ``re``."""
+    remove = normalizers.Replace(Regex(f"{name}+"), "")
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    left: set[str] = set()
+    for i in range(0, len(points), 512):
+        left.update(remove.normalize_str("".join(map(chr, points[i : i + 512]))))
+    out, run = [], None
+    for c in [*points, None]:
+        inside = c is not None and chr(c) not in left
+        if inside and run is not None and run[1] == c - 1:
+            run[1] = c
+        else:
+            if run is not None:
+                out.append("\\U%08x-\\U%08x" % tuple(run))
+            run = [c, c] if inside else None
+    return "".join(out)
+
+
+@cache
+def split_pattern() -> str:
+    """``PATTERN`` with the library's classes."""
+    return re.sub("[SLN]", lambda m: character_class({"L": r"\p{L}", "N": r"\p{N}", "S": r"\s"}[m[0]]), PATTERN)
+
+
 class Merges(dict):
     """Merge ranks of a vocabulary; as a dict, the remembered counts of short words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str):
         super().__init__()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -61,8 +91,8 @@ class Merges(dict):
             self.ranks[number[left] << self.shift | number[right]] = len(self.made)
             self.made.append(number[left + right])
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.split = regex.compile(PATTERN).findall
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.split = re.compile(pattern).findall
 
     def __missing__(self, word: str) -> int:
         n = self.word(word.encode())
@@ -117,19 +147,20 @@ class Merges(dict):
 
 
 @cache
-def merges(path: str) -> Merges:
+def merges(path: str, pattern: str) -> Merges:
     """The merges of a vocabulary file, once per process."""
-    return Merges(path)
+    return Merges(path, pattern)
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 1024) -> DataFrame:
     """``docs`` with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit); columns of these names are replaced."""
     docs = without(docs, ["n_bytes", "n_tokens", "over_limit"])
     names, place = docs.columns, docs.columns.index(text)
+    pattern = split_pattern()  # made once, on the driver
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = merges(path)
+        counter = merges(path, pattern)
         for batch in batches:
             size, n = [], []
             for x in batch.column(place):

@@ -77,15 +77,27 @@ TEXTS = [None, "", "nothing", "zero ONE, two three four five six seven eight nin
          "one two three four five six seven eight nine", "é one two three four five six seven eight nine ten", "x " * 40_000 + "short item"]
 
 
-@pytest.mark.parametrize("limit", [decontaminate.MAX_WINDOWS, 1])
+@pytest.mark.parametrize("limit", [decontaminate.MAX_BYTES, 150])
 def test_decontamination_matches_brute_force(spark, docs, limit):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = decontaminate.scan(docs(TEXTS), items, max_windows=limit).orderBy("doc_id").collect()
+    got = decontaminate.scan(docs(TEXTS), items, max_bytes=limit).orderBy("doc_id").collect()
     assert [tuple(r)[2:] for r in got] == brute(TEXTS, ITEMS)
-    cut = {r["doc_id"]: r["text"] for r in decontaminate.scan(docs(TEXTS), items, max_windows=limit, cut=True).collect()}
+    cut = {r["doc_id"]: r["text"] for r in decontaminate.scan(docs(TEXTS), items, max_bytes=limit, cut=True).collect()}
     assert cut[3] == "zero twelve" and cut[4] == "a and " and cut[2] == "nothing" and cut[0] is None and cut[8] == "x " * 40_000
 
 
+@pytest.mark.parametrize("window", [10, 255, 256, 300])
+@pytest.mark.parametrize("limit", [decontaminate.MAX_BYTES, 100_000])
+def test_decontamination_with_long_windows(spark, docs, window, limit):
+    rng = random.Random(window)
+    item = [f"w{rng.randrange(50)}" for _ in range(400)]
+    rows = [(1, " ".join(item)), (2, " ".join(item[:350])), (3, "a few words")]
+    texts = ["before " + " ".join(item) + " after", " ".join(item[50:352]), " ".join(item[:299]), "a few words more", "clean"]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    got = decontaminate.scan(docs(texts), items, window=window, max_bytes=limit).orderBy("doc_id").collect()
+    assert [tuple(r)[2:] for r in got] == brute(texts, rows, window) and got[0]["n_hit"] == 400
+
+
 def test_decontamination_of_empty_tables_and_clashing_columns(spark, docs, clashing):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.scan(docs([]), items).count() == 0
@@ -127,7 +139,7 @@ LIBRARY = Tokenizer.from_file(COUNT_PATH)
 @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("abe thin'\n\ts")), max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_counts_match_the_library(text):
-    assert bpe_count.merges(COUNT_PATH).count(text) == len(LIBRARY.encode(text, add_special_tokens=False).ids)
+    assert bpe_count.merges(COUNT_PATH, bpe_count.split_pattern()).count(text) == len(LIBRARY.encode(text, add_special_tokens=False).ids)
 
 
 def test_count_query_columns(docs, clashing):
@@ -138,8 +150,17 @@ def test_count_query_columns(docs, clashing):
     assert [r["n_tokens"] for r in bpe_count.count_tokens(clashing(ODD), COUNT_PATH).orderBy("doc_id").collect()] == want
 
 
+def test_counts_of_every_code_point():
+    counter = bpe_count.Merges(COUNT_PATH, bpe_count.split_pattern())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 20_000):
+        part = points[i : i + 20_000] + [f"a{c}b1{c}2 !{c}? {c} {c}{c}" for c in points[i : i + 20_000 : 7]]
+        want = LIBRARY.encode_batch_fast(part, add_special_tokens=False)
+        assert [counter.count(x) for x in part] == [len(e.ids) for e in want]
+
+
 def test_count_memory_is_bounded(monkeypatch):
-    counter = bpe_count.Merges(COUNT_PATH)
+    counter = bpe_count.Merges(COUNT_PATH, bpe_count.split_pattern())
     monkeypatch.setattr(bpe_count, "CACHE_WORDS", 3)
     rng = random.Random(1)
     text = " ".join("".join(rng.choice("aeioutn") for _ in range(5)) for _ in range(50))
