@@ -5,19 +5,24 @@ block, a list item at the next one, rows and cells at theirs). What is not shown
 templates, comments, elements with ``hidden`` or styled ``display: none``, text styled ``visibility: hidden`` (inherited, until an
 element within is ``visible``). A head without end tag ends at the first text or start tag that cannot be in it. The renderer walks the tree with a
 stack of its own: paragraphs, headings, lists and tables stand apart by an empty line, other blocks by a line; items have
-bullets or numbers and are indented by their depth; the cells of a table are padded to columns (to ``PAD`` characters at most,
-so that a layout table cannot blow up the output).
+bullets or numbers and are indented by their depth (``MAX_INDENT`` levels at most); the cells of a table are padded to columns (to ``PAD``
+places at most, wide characters taking two), also under cells over several rows and columns. A line break on an empty line leaves an empty
+line; of a closed ``details`` only the summary is shown, of a closed ``dialog``, media and canvas nothing.
+
+So that no layout blows up the output or the work: tables nested ``MAX_NEST`` deep are shown as blocks, columns beyond ``MAX_SPAN`` have cells
+of one column, and cells over several rows hold their places in the first ``SPAN_COLUMNS`` columns only, and no gap is wider than ``MAX_GAP``.
 
 Defined cases: null and empty pages give empty text; broken markup never fails, open elements end with the page, ends without a
 start are ignored; repeated rows are rendered each; an empty table gives no rows; further columns are kept. Work is linear in
-the page but for the depth of nested tables.
+the page.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,11 +31,11 @@ from pyspark.sql import types as T
 
 from tapeloom.llm.tables import free_name, map_arrow
 
-PAD, MAX_SPAN = 60, 1000
+PAD, MAX_SPAN, SPAN_COLUMNS, MAX_NEST, MAX_INDENT, MAX_GAP = 60, 1000, 200, 8, 40, 200
 #: Fixed values of the language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title meta link iframe noembed noframes noscript object datalist".split())
+UNSEEN = frozenset("head script style template title meta link iframe noembed noframes noscript object datalist audio video canvas".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset menu dir".split())
 BLOCKS = APART | frozenset("html body div section article aside header footer nav main address form li dt dd tr td th thead tbody tfoot caption figcaption details summary legend option center optgroup".split())
 #: Start tags that leave an open head open.
@@ -82,25 +87,23 @@ def build(page: str) -> Node:
     """The tree of a page."""
     root = Node("html")
     stack = [root]
-    opened: Counter[str] = Counter()  # of the stack, so that looking for what is not open costs nothing
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack, so that looking for an element costs nothing
     at, size = 0, len(page)
 
     def cut(i: int) -> None:
-        opened.subtract(n.tag for n in stack[i:])
+        for n in reversed(stack[i:]):
+            opened[n.tag].pop()
         del stack[i:]
 
+    def last(names) -> int:
+        return max((opened[n][-1] for n in names if opened[n]), default=0)
+
     def close(names, barriers) -> None:
-        if not any(opened[n] for n in names):
-            return
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in barriers:
-                return
-            if stack[i].tag in names:
-                outer = i
-                while outer > 1 and stack[outer - 1].tag in names:
-                    outer -= 1
-                cut(outer)
-                return
+        outer = last(names)
+        if outer > last(barriers):
+            while outer > 1 and stack[outer - 1].tag in names:
+                outer -= 1
+            cut(outer)
 
     def text(value: str) -> None:
         if stack[-1].tag == "head" and value.strip(" \t\n\r\f"):
@@ -131,12 +134,8 @@ def build(page: str) -> Node:
             elif tag == "br":
                 stack[-1].children.append(Node("br"))
             elif tag not in ("html", "body") and opened[tag]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        cut(i)
-                        break
-                    if stack[i].tag in SCOPE and tag not in SCOPE and tag not in ("tr", "thead", "tbody", "tfoot"):
-                        break
+                if tag in SCOPE or tag in ("tr", "thead", "tbody", "tfoot") or opened[tag][-1] > last(SCOPE):
+                    cut(opened[tag][-1])
             continue
         if tag == "html" or (tag == "body" and opened["body"]):
             continue
@@ -157,8 +156,8 @@ def build(page: str) -> Node:
                 node.children.append(body)
             at = page.find(">", end.end()) + 1 or size if end else size
         elif tag not in VOID:
+            opened[tag].append(len(stack))
             stack.append(node)
-            opened[tag] += 1
     return root
 
 
@@ -170,6 +169,7 @@ class Flow:
         self.parts: list[str] = []
         self.blank = False  # a blank is due before the next word
         self.apart = False  # an empty line is due before the next line
+        self.empty = 0  # as many as line breaks on empty lines
         self.indent: list[str] = []
         self.bullet = ""
 
@@ -194,10 +194,10 @@ class Flow:
         self.blank = False
 
     def put(self, value: str) -> None:
-        if self.apart and self.lines:
-            self.lines.append("")
-        self.apart = False
-        lead = "".join(self.indent)
+        if self.lines:
+            self.lines += [""] * max(self.apart, self.empty)
+        self.apart, self.empty = False, 0
+        lead = "".join(self.indent[:MAX_INDENT])
         if self.bullet:
             lead, self.bullet = lead[: -len(self.bullet)] + self.bullet, ""
         self.lines.append(f"{lead}{value}".rstrip(" "))
@@ -233,48 +233,80 @@ def style(node: Node) -> dict[str, str]:
 
 
 def unseen(node: Node, styled: dict[str, str]) -> bool:
-    return node.tag in UNSEEN or "hidden" in node.attributes or styled.get("display") == "none"
+    closed = node.tag == "dialog" and "open" not in node.attributes
+    return closed or node.tag in UNSEEN or "hidden" in node.attributes or styled.get("display") == "none"
+
+
+def shown(node: Node) -> list[Node | str]:
+    """The children that are rendered: of a closed ``details`` the first summary."""
+    if node.tag != "details" or "open" in node.attributes:
+        return node.children
+    return [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
+
+
+def width(text: str) -> int:
+    """Places that a line takes: wide characters two, combining ones none."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
 class Table:
-    """Cells of a table as they come, and their layout."""
+    """Cells of a table as they come (text, columns, rows), and their layout."""
 
     def __init__(self):
-        self.rows: list[list[tuple[str, int]]] = []
+        self.rows: list[list[tuple[str, int, int]]] = []
+
+    def places(self) -> list[list[tuple[list[str], int, int]]]:
+        """(lines, first column, columns) of the cells of each row; cells from rows above keep their columns."""
+        out, taken = [], {}  # column: the row where it is free again
+        for number, row in enumerate(self.rows):
+            at, placed = 0, []
+            for cell, span, rows in row:
+                while taken.get(at, 0) > number:
+                    at += 1
+                span = max(1, min(span, MAX_SPAN - at))
+                if rows > 1:
+                    for c in range(at, min(at + span, SPAN_COLUMNS)):
+                        taken[c] = number + rows
+                placed.append((cell.split("\n"), at, span))
+                at += span
+            out.append(placed)
+        return out
 
     def lay_out(self) -> list[str]:
-        widths: list[int] = []
-        for row in self.rows:
-            at = 0
-            for cell, span in row:
+        placed = self.places()
+        widths = [0] * max((at + span for row in placed for _, at, span in row), default=0)
+        wanted = [[min(PAD, max(map(width, lines))) for lines, _, _ in row] for row in placed]
+        for row, sizes in zip(placed, wanted, strict=True):
+            for (_, at, span), w in zip(row, sizes, strict=True):
                 if span == 1:
-                    widths += [0] * (at + 1 - len(widths))
-                    widths[at] = max(widths[at], min(PAD, max(map(len, cell.split("\n")))))
-                at += span
-        for row in self.rows:  # a cell over several columns widens the last of them
-            for (cell, span), at in zip(row, _starts(row), strict=True):
-                if span > 1:
-                    widths += [0] * (at + span - len(widths))
-                    wanted = min(PAD, max(map(len, cell.split("\n")))) - 2 * (span - 1)
-                    widths[at + span - 1] += max(0, wanted - sum(widths[at : at + span]))
+                    widths[at] = max(widths[at], w)
+        for row, sizes in zip(placed, wanted, strict=True):  # a cell over several columns widens the last of them
+            for (_, at, span), w in zip(row, sizes, strict=True):
+                if span > 1 and w:
+                    filled = [x for x in widths[at : at + span] if x]
+                    missing = w - (sum(filled) + 2 * len(filled) - 2)
+                    if missing > 0:
+                        end = at + span - 1
+                        widths[end] += missing if widths[end] else max(1, missing - 2)
+        before = [0]
+        for w in widths:
+            before.append(before[-1] + w + (2 if w else 0))
         out = []
-        for row in self.rows:
-            if not any(cell for cell, _ in row):
-                continue
-            cells = [(cell.split("\n"), sum(widths[at : at + span]) + 2 * (span - 1)) for (cell, span), at in zip(row, _starts(row), strict=True)]
-            for i in range(max((len(c) for c, _ in cells), default=0)):
-                out.append("  ".join((c[i] if i < len(c) else "").ljust(w) for c, w in cells).rstrip(" "))
+        for row in placed:
+            for i in range(max((len(lines) for lines, _, _ in row), default=0) if any(lines != [""] for lines, _, _ in row) else 0):
+                line, size = [], 0
+                for lines, at, _ in row:
+                    value = lines[i] if i < len(lines) else ""
+                    if value:
+                        gap = min(max(before[at] - size, 2 if size else 0), MAX_GAP)
+                        line += [" " * gap, value]
+                        size += gap + width(value)
+                out.append("".join(line))
         return out
 
 
-def _starts(row: list[tuple[str, int]]) -> list[int]:
-    out, at = [], 0
-    for _, span in row:
-        out.append(at)
-        at += span
-    return out
-
-
 def render(root: Node) -> str:
     """Visible text of a tree, laid out."""
     flows, tables, lists, pre = [Flow()], [], [], 0
@@ -303,6 +335,8 @@ def render(root: Node) -> str:
             if tag == "br":
                 if flow.parts:
                     flow.line()
+                elif flow.lines:
+                    flow.empty += 1
                 continue
             if tag in APART and not (tag in ("ul", "ol") and lists and not flow.apart):
                 flow.gap()
@@ -324,21 +358,21 @@ def render(root: Node) -> str:
             elif tag == "pre":
                 pre += 1
             elif tag == "table":
-                tables.append(Table())
-            elif tag == "tr" and tables:
+                tables.append(Table() if len(tables) < MAX_NEST else None)
+            elif tag == "tr" and tables and tables[-1]:
                 tables[-1].rows.append([])
-            elif tag in ("td", "th") and tables:
+            elif tag in ("td", "th") and tables and tables[-1]:
                 flows.append(Flow())
             visible.append(VISIBILITY.get(styled.get("visibility"), visible[-1]))
             work.append((node, True))
-            work.extend((child, False) for child in reversed(node.children))
+            work.extend((child, False) for child in reversed(shown(node)))
             continue
         visible.pop()
-        if tag in ("td", "th") and tables:
+        if tag in ("td", "th") and tables and tables[-1]:
             cell = flows.pop().result()
             if not tables[-1].rows:
                 tables[-1].rows.append([])
-            tables[-1].rows[-1].append((cell, max(1, min(MAX_SPAN, node.number("colspan", 1)))))
+            tables[-1].rows[-1].append((cell, max(1, node.number("colspan", 1)), max(1, node.number("rowspan", 1))))
             continue
         if tag == "li":
             flow.line()
@@ -352,7 +386,8 @@ def render(root: Node) -> str:
         elif tag == "pre":
             pre -= 1
         elif tag == "table":
-            for x in tables.pop().lay_out():
+            table = tables.pop()
+            for x in table.lay_out() if table else ():
                 flow.line()
                 flow.put(x)
         if tag in APART and not (tag in ("ul", "ol") and lists):
