@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from tapeloom import types as tt
 from tapeloom.operators.ranking import latest_per_key
+from tapeloom.operators.segments import segment_snapshots  # noqa: F401 - part of this module's functions
 
 # the small helpers below travel to the executors by value, so the package need not be installed there
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -258,150 +259,6 @@ def snapshot_duplicates(rows: DataFrame, scope: Sequence[str], code: str, rank:
     return repeated("code", code).unionByName(repeated("rank", rank))
 
 
-_NONE = -(2**62)
-
-
-def segment_snapshots(
-    feed: DataFrame, scope: Sequence[str], order: str, code: str, rank: str, *, chunk_rows: int = 8192,
-    segment: str = "segment_start",
-) -> DataFrame:
-    """Cut an ordered feed into snapshots: a new one starts when a code or rank repeats.
-
-    ``order`` is a whole-number position, unique inside a scope; ``chunk_rows`` is a power of
-    two. The rule is sequential, but
-    a run is described by its start alone once each row knows where its code or rank last
-    occurred: a row opens a snapshot when that place is not before the current start. So
-    the feed is cut into chunks of bounded size that work in parallel. Each chunk tells,
-    for every possible incoming start, the start it hands on; these short tables are
-    chained per scope in chunk order; then all chunks label their rows.
-    """
-    if chunk_rows < 1 or chunk_rows & (chunk_rows - 1):
-        raise ValueError("chunk_rows must be a power of two")
-    scope = list(scope)
-    key_cols = [*scope, "_chunk"]
-    position = F.col(order).cast("bigint")
-    chunk = F.shiftright(position, chunk_rows.bit_length() - 1)
-    rows = feed.select(
-        *scope, chunk.alias("_chunk"), position.alias("_o"),
-        F.coalesce(F.col(code).cast("string"), F.lit("\0")).alias("_code"),
-        F.coalesce(F.col(rank).cast("string"), F.lit("\0")).alias("_rank"),
-    )
-    marks = F.explode(F.array(
-        F.struct(F.lit("c").alias("kind"), F.col("_code").alias("value")),
-        F.struct(F.lit("r").alias("kind"), F.col("_rank").alias("value")),
-    ))
-    last_seen = rows.select(*key_cols, "_o", marks.alias("_m")).groupBy(
-        *key_cols, F.col("_m.kind").alias("kind"), F.col("_m.value").alias("value")).agg(F.max("_o").alias("_last"))
-    earlier = Window.partitionBy(*scope, "kind", "value").orderBy("_chunk")
-    incoming = last_seen.withColumn("_prev", F.lag("_last").over(earlier)).where(F.col("_prev").isNotNull()).drop("_last")
-
-    scope_fields = [feed.schema[c] for c in scope]
-    chunk_field = T.StructField("_chunk", T.LongType())
-    prev_schema = T.StructType([*scope_fields, chunk_field, T.StructField("_o", T.LongType()), T.StructField("_prev", T.LongType())])
-
-    def add_previous(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        seen = {(k, v): p for k, v, p in zip(right["kind"], right["value"], right["_prev"])}
-        left = left.sort_values("_o", kind="stable")
-        prev = np.empty(len(left), dtype="int64")
-        for i, (o, c, r) in enumerate(zip(left["_o"], left["_code"], left["_rank"])):
-            prev[i] = max(seen.get(("c", c), _NONE), seen.get(("r", r), _NONE))
-            seen["c", c] = seen["r", r] = o
-        return _with_key(key, [f.name for f in scope_fields] + ["_chunk"], {"_o": left["_o"].to_numpy(), "_prev": prev})
-
-    linked = rows.groupBy(*key_cols).cogroup(incoming.groupBy(*key_cols)).applyInPandas(add_previous, prev_schema)
-
-    summary_schema = T.StructType([
-        *scope_fields, chunk_field, T.StructField("_fresh", T.LongType()),
-        T.StructField("_limits", T.ArrayType(T.LongType())), T.StructField("_ends", T.ArrayType(T.LongType())),
-    ])
-
-    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fresh, limits, ends = _chunk_summary(*_sorted(pdf))
-        return _with_key(key, [f.name for f in scope_fields] + ["_chunk"], {"_fresh": [fresh], "_limits": [limits], "_ends": [ends]})
-
-    summaries = linked.groupBy(*key_cols).applyInPandas(summarise, summary_schema)
-    entry_schema = T.StructType([*scope_fields, chunk_field, T.StructField("_entry", T.LongType())])
-
-    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, start = None, _NONE
-        for pdf in batches:
-            entries = []
-            for record in pdf.itertuples(index=False, name=None):
-                where, (fresh, limits, ends) = record[: len(scope)], record[len(scope) + 1:]
-                if where != current:
-                    current, start = where, _NONE
-                entries.append(start)
-                if start == _NONE:
-                    start = fresh
-                else:
-                    at = int(np.searchsorted(limits, start, side="left")) if len(limits) else 0
-                    start = int(ends[at]) if at < len(limits) else start
-            out = pdf[[*scope, "_chunk"]].copy()
-            out["_entry"] = np.array(entries, dtype="int64")
-            yield out
-
-    entries = summaries.repartition(*scope).sortWithinPartitions(*scope, "_chunk").mapInPandas(chain, entry_schema)
-    label_schema = T.StructType([*scope_fields, T.StructField("_o", T.LongType()), T.StructField(segment, T.LongType())])
-
-    def label(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        positions, prev = _sorted(left)
-        start = int(right["_entry"].iloc[0])
-        starts = np.empty(len(positions), dtype="int64")
-        for i in range(len(positions)):
-            if start == _NONE or prev[i] >= start:
-                start = int(positions[i])
-            starts[i] = start
-        return _with_key(key[:-1], scope, {"_o": positions, segment: starts})
-
-    labels = linked.groupBy(*key_cols).cogroup(entries.groupBy(*key_cols)).applyInPandas(label, label_schema)
-    return feed.join(labels.withColumnRenamed("_o", order), [*scope, order])
-
-
-def _sorted(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    pdf = pdf.sort_values("_o", kind="stable")
-    return pdf["_o"].to_numpy(), pdf["_prev"].to_numpy()
-
-
-def _with_key(key: tuple, names: list[str], columns: dict) -> pd.DataFrame:
-    size = len(next(iter(columns.values())))
-    return pd.DataFrame({**{n: [v] * size for n, v in zip(names, key)}, **columns})
-
-
-def _chunk_summary(positions: np.ndarray, prev: np.ndarray) -> tuple[int, list[int], list[int]]:
-    """What one chunk does to an incoming start.
-
-    Returns the final start when the chunk opens the feed, and parallel lists: a start at or
-    below ``limits[i]`` (and above the one before) leaves as ``ends[i]``; above all limits it
-    passes through unchanged.
-    """
-    n = len(positions)
-    # index of the first later row that repeats something at or after row j
-    nxt = np.full(n + 1, n, dtype="int64")
-    at = np.searchsorted(positions, prev)
-    inside = (prev >= positions[0]) if n else np.zeros(0, dtype=bool)
-    for i in np.flatnonzero(inside):
-        nxt[at[i]] = min(nxt[at[i]], i)
-    nxt[:n] = np.minimum.accumulate(nxt[:n][::-1])[::-1]
-    final = np.empty(n, dtype="int64")
-    for j in range(n - 1, -1, -1):
-        final[j] = positions[j] if nxt[j] >= n else final[nxt[j]]
-    limits: list[int] = []
-    ends: list[int] = []
-    highest = _NONE
-    for i in range(n):
-        if prev[i] > highest:
-            highest = int(prev[i])
-            limit = min(highest, int(positions[0]) - 1) if inside[i] else highest
-            if ends and ends[-1] == int(final[i]):
-                limits[-1] = limit
-            else:
-                limits.append(limit)
-                ends.append(int(final[i]))
-            if inside[i]:
-                break
-    return int(final[0]), limits, ends
-
-
 def latest_complete_segment(segments: DataFrame, scope: Sequence[str], captured: str, segment: str = "segment_start") -> DataFrame:
     """Rows of the newest segment among the largest ones; ties go to the earlier segment."""
     sizes = segments.groupBy(*scope, segment).agg(F.count("*").alias("_size"), F.max(captured).alias("_at"))
