@@ -10,6 +10,7 @@ from tapeloom import types as tt
 from tapeloom.operators import publish as pb
 from tapeloom.session import scratch_path
 from tapeloom.sources.views import Views
+from tapeloom.streaming import captures
 from tapeloom.streaming import jobs as st
 
 KEY = ["code", "trade_date"]
@@ -194,9 +195,51 @@ def stream_quota(v: Views):
     return table.read().select("endpoint", "window_start", "used", "delayed", "success")
 
 
+@query("stream_publish_reset", "SELECT code, trade_date, arg_max(value, event_id)::DOUBLE AS value, max(event_id) AS revision FROM v_ticks GROUP BY ALL")
+def stream_publish_reset(v: Views):
+    """The ticks in two streams with a checkpoint each: batch ids begin again at 0, what the first published stays."""
+    ticks = v.ticks.select(*KEY, "value", F.col("event_id").alias("revision"))
+    table = pb.VersionedTable(v.spark, scratch_path(v.spark, "ticks"), "ticks")
+    day = F.date_format(F.col("trade_date").cast("timestamp_ntz"), "yyyy-MM-dd")
+    for half in (0, 1):
+        stream = _landed(v, ticks.where(F.pmod(F.xxhash64("revision"), F.lit(2)) == half), "revision")
+        st.publish_stream(stream, table, lambda b: b, day, scratch_path(v.spark, "state"), keys=KEY, revision="revision").awaitTermination()
+    return table.read().select(*KEY, "value", "revision")
+
+
+@query("stream_dedup", "SELECT code, event_id AS delivery, trade_date FROM v_ticks")
+def stream_dedup(v: Views):
+    """Every tick is delivered, then all are delivered again in a second stream, far behind the first one's watermark; each is published once."""
+    rows = v.ticks.select("code", F.col("event_id").alias("delivery"), "trade_date", F.col("ts").cast("timestamp").alias("at"))
+    table = pb.VersionedTable(v.spark, scratch_path(v.spark, "deliveries"), "deliveries")
+    bloom = pb.VersionedTable(v.spark, scratch_path(v.spark, "bloom"), "deliveries", "BUCKET")
+    day, keys = F.date_format(F.col("trade_date").cast("timestamp_ntz"), "yyyy-MM-dd"), ["delivery", "trade_date"]
+    for _ in range(2):
+        near = st.first_delivery(_landed(v, rows, "at"), keys, "at", "2 days")
+        far = st.first_delivery_into(table, bloom, day, keys)
+        near.writeStream.foreachBatch(far).option("checkpointLocation", scratch_path(v.spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    return table.read().select("code", "delivery", "trade_date")
+
+
 @query("stream_snapshot", """
     WITH z AS (SELECT trade_date, slot, count(*) AS n FROM v_hot GROUP BY ALL)
     SELECT trade_date, n, slot FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY n DESC, slot DESC) AS rn FROM z) WHERE rn = 1""")
 def stream_snapshot(v: Views):
-    sizes = v.hot.groupBy("trade_date", "slot").agg(F.count("*").alias("n"))
-    return st.latest_complete(sizes, ["trade_date"], "slot", "n")
+    """Captures delivered up to six hours late, in time order of delivery; the stream stops after two files and goes on from its checkpoint."""
+    slot = F.timestamp_seconds(F.unix_timestamp(F.col("trade_date").cast("timestamp")) + F.col("slot") * 21600)
+    rows = v.hot.select("trade_date", slot.alias("at"), (F.unix_timestamp("captured") + F.col("event_id") % 7 * 3600).alias("delivered"))
+    path, table = scratch_path(v.spark, "landing"), pb.VersionedTable(v.spark, scratch_path(v.spark, "hot"), "hot")
+    bounds = rows.agg(F.percentile_approx("delivered", [0.4, 0.7])).first()[0]
+    checkpoint = scratch_path(v.spark, "state")
+    third = F.when(F.col("delivered") <= bounds[0], 0).when(F.col("delivered") <= bounds[1], 1).otherwise(2)
+    for landing in ([0, 1], [2]):
+        for part in landing:
+            rows.where(third == part).drop("delivered").coalesce(1).write.mode("append").parquet(path)
+        feed = st.landing(v.spark, path, rows.drop("delivered").schema, files_per_batch=1)
+        with captures.rocksdb_state(v.spark):
+            running = captures.latest_complete_stream(feed, ["trade_date"], "at", "1 day")
+            day = F.date_format(F.col("trade_date").cast("timestamp_ntz"), "yyyy-MM-dd")
+            newest = st.merge_into(table, day, lambda r: st.latest_complete(r, ["trade_date"], "at", "n").select("trade_date", "n", "at"))
+            job = running.writeStream.foreachBatch(newest).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        job.awaitTermination()
+    return table.read().select("trade_date", "n", F.floor(F.hour("at") / 6).cast("int").alias("slot"))

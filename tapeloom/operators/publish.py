@@ -163,14 +163,14 @@ class VersionedTable:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.log_path)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
-    def releases(self, before: str | None = None) -> DataFrame:
-        """Newest pointer of every scope, of versions below ``before`` if given."""
+    def releases(self, without: str | None = None) -> DataFrame:
+        """Newest pointer of every scope, as if the version ``without`` had not been published."""
         log = self.spark.read.parquet(self.log_path)
-        return current_releases(log if before is None else log.where(F.col("version") < before))
+        return current_releases(log if without is None else log.where(F.col("version") != without))
 
-    def read(self, *, before: str | None = None, scopes: DataFrame | None = None) -> DataFrame:
+    def read(self, *, without: str | None = None, scopes: DataFrame | None = None) -> DataFrame:
         """Rows of the newest version of every scope, or of the ``scopes`` (scope_key) only."""
-        newest = self.releases(before).select("scope_key", "version")
+        newest = self.releases(without).select("scope_key", "version")
         if scopes is not None:
             newest = newest.join(scopes.select("scope_key").distinct(), "scope_key", "left_semi")
         return self._data().join(newest, ["scope_key", "version"], "left_semi")

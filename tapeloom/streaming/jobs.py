@@ -6,7 +6,10 @@ The transformations are the batch ones; only sources, watermarks and sinks diffe
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,17 +32,24 @@ def newest_revision(rows: DataFrame, keys: Sequence[str], revision: str) -> Data
     return latest_per_key(rows, list(keys), [F.col(revision).desc()])
 
 
+def batch_version(batch: DataFrame, batch_id: int) -> str:
+    """Version of a micro-batch: its id and the stream's, which a new checkpoint changes and a restart keeps."""
+    stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"{batch_id:012d}" if stream is None else f"{batch_id:012d}.{stream}"
+
+
 def merge_into(
     table: VersionedTable, scope: Column, merge: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], DataFrame] = lambda batch: batch,
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` handler that merges a micro-batch with the current rows of the scopes it touches.
 
-    The batch id is the version. Current rows are read as of before that version, so a replayed batch starts from the same
-    rows and overwrites its own folders: a restart neither loses nor doubles rows. A scope may arrive in
-    any number of micro-batches; scopes that a batch does not touch are neither read nor written.
+    The version names the stream and the batch. Current rows are read as if that version had not been published, so a replayed batch
+    starts from the same rows and overwrites its own folders: a restart neither loses nor doubles rows, and a stream that begins
+    anew with another checkpoint builds on what is published. A scope may arrive in any number of micro-batches; scopes
+    that a batch does not touch are neither read nor written. One stream at a time may write to a table.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        version = f"{batch_id:012d}"
+        version = batch_version(batch, batch_id)
         stage = prepare(batch).persist()
         try:
             if stage.isEmpty():
@@ -47,7 +57,7 @@ def merge_into(
             rows = stage
             if table.exists():
                 touched = stage.select(scope.alias("scope_key")).distinct()
-                rows = table.read(before=version, scopes=touched).select(*stage.columns).unionByName(stage)
+                rows = table.read(without=version, scopes=touched).select(*stage.columns).unionByName(stage)
             table.publish_scopes(merge(rows), scope, version)
         finally:
             stage.unpersist()
@@ -90,6 +100,49 @@ def first_delivery(stream: DataFrame, keys: Sequence[str], at: str, lateness: st
     return stream.withWatermark(at, lateness).dropDuplicatesWithinWatermark(list(keys))
 
 
+def first_delivery_into(
+    table: VersionedTable, bloom: VersionedTable, scope: Column, keys: Sequence[str], *, bits: int = 1 << 23, hashes: int = 5,
+) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` handler that appends rows whose key was never published, however long ago the first delivery was.
+
+    ``first_delivery`` drops repeats of the near past by its state; this looks further back. A Bloom filter of all published keys
+    passes most new keys without touching the table; what it may contain is compared exactly with the keys of the scopes
+    concerned (``scope`` must follow from the keys). The filter is a table of ``bits`` / 64 words at most, which is also what the
+    driver holds; it is only ever added to, so a replayed batch leaves it as it was. When it fills up, more rows are compared.
+    """
+    names = list(keys)
+
+    def places(rows: DataFrame) -> DataFrame:
+        each = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(i), *names), F.lit(bits)) for i in range(hashes)])).alias("place")
+        return rows.select(each).select(F.floor(F.col("place") / 64).alias("word"), F.expr("shiftleft(1L, cast(place % 64 as int)) AS held"))
+
+    remember = merge_into(bloom, (F.col("word") % 64).cast("string"), lambda rows: rows.groupBy("word").agg(F.bit_or("held").alias("held")), places)
+    append = merge_into(table, scope, lambda rows: rows)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        version = batch_version(batch, batch_id)
+        new = batch.dropDuplicates(names)
+        if table.exists():
+            known = np.zeros(bits // 64 + 1, "int64")
+            for row in bloom.read().select("word", "held").collect():  # bits / 64 rows at most
+                known[row["word"]] = row["held"]
+            held = batch.sparkSession.sparkContext.broadcast(known)
+
+            @F.pandas_udf("boolean")
+            def seen(place: pd.Series) -> pd.Series:
+                return pd.Series((held.value[place // 64].view("uint64") >> (place % 64).to_numpy("uint64")) & np.uint64(1) == 1)
+
+            maybe = reduce(lambda x, y: x & y, [seen(F.pmod(F.xxhash64(F.lit(i), *names), F.lit(bits))) for i in range(hashes)])
+            marked = new.withColumn("_maybe", maybe).persist()
+            doubtful = marked.where("_maybe").drop("_maybe")
+            before = table.read(without=version, scopes=doubtful.select(scope.alias("scope_key")).distinct()).select(*names)
+            new = marked.where("NOT _maybe").drop("_maybe").unionByName(doubtful.join(before, names, "left_anti"))
+        append(new, batch_id)
+        remember(new, batch_id)
+
+    return apply
+
+
 def snapshot_sizes_stream(feed: DataFrame, scope: Sequence[str], captured: str, lateness: str, width: str = "1 minute") -> DataFrame:
     """Closed capture windows with their size; append mode emits each once."""
     return (
