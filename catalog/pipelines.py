@@ -53,10 +53,10 @@ def gate(prepared, message: str):
 
 
 def loose_core(v: Views):
-    """A valuation feed that fails the preset's gates: none for busier days, and off by one on days with one tick."""
+    """A valuation feed that fails the preset's gates: its close is off but for days with two or three ticks."""
     daily = raw_quotes(v)
-    off = F.when(F.col("vol") == 1, F.col("close") + 1).otherwise(F.col("close"))
-    return core(v, daily, valuation(daily.where("vol < 4"), off))
+    off = F.when(F.col("vol").between(2, 3), F.col("close")).otherwise(F.col("close") + 1)
+    return core(v, daily, valuation(daily, off))
 
 
 @query("gate_core_anomalies", """
@@ -76,18 +76,6 @@ def gate_core_previous(v: Views):
 
 
 @query("pipe_core", """
-    SELECT coalesce(a.new_code, p.code) AS ts_code, p.trade_date, CAST(p.close AS DOUBLE) AS close, CAST(p.change AS DOUBLE) AS change, CAST(p.pct_chg AS DOUBLE) AS pct_chg,
-           CAST(p.volume * 100 AS DOUBLE) AS volume, CAST(p.amount * 1000 AS DOUBLE) AS amount, 1.5::DOUBLE AS adj_factor,
-           CASE WHEN p.volume BETWEEN 2 AND 3 THEN CAST(p.volume AS DOUBLE) END AS turnover_rate, CASE WHEN p.volume BETWEEN 2 AND 3 THEN CAST(p.high AS DOUBLE) END AS pe,
-           CASE WHEN p.volume BETWEEN 2 AND 3 THEN CAST(p.volume * 10000 AS DOUBLE) END AS total_share
-    FROM v_px p LEFT JOIN v_aliases a ON a.old_code = p.code WHERE p.pre_close IS NOT NULL""")
-def pipe_core(v: Views):
-    """Alias dedup, factor coverage, tolerant valuation join and recomputed change, all dates at once."""
-    out = loose_core(v).rows
-    return out.select("ts_code", "trade_date", "close", "change", "pct_chg", "volume", "amount", "adj_factor", "turnover_rate", "pe", "total_share")
-
-
-@query("pipe_core_whole", """
     WITH q AS (SELECT code, trade_date, close + 1 AS close, coalesce(pre_close, open) + 1 AS pre_close, high + 1 AS high, volume, amount FROM v_px)
     SELECT coalesce(a.new_code, q.code) AS ts_code, q.trade_date, CAST(q.close AS DOUBLE) AS close, CAST(q.close - q.pre_close AS DOUBLE) AS change,
            CAST(CAST(CAST(q.close - q.pre_close AS DOUBLE) / CAST(q.pre_close AS DOUBLE) * 100 AS DECIMAL(14,6)) AS DOUBLE) AS pct_chg,
@@ -95,7 +83,7 @@ def pipe_core(v: Views):
            CASE WHEN q.code <> 'U7' THEN CAST(q.volume AS DOUBLE) END AS turnover_rate, CASE WHEN q.code <> 'U7' THEN CAST(q.high AS DOUBLE) END AS pe,
            CASE WHEN q.code <> 'U7' THEN CAST(q.volume * 10000 AS DOUBLE) END AS total_share
     FROM q LEFT JOIN v_aliases a ON a.old_code = q.code""")
-def pipe_core_whole(v: Views):
+def pipe_core(v: Views):
     """Every bar quoted and valued, one code's valuation off by one (few enough for the gate), and all checks run."""
     prices = [(F.col(c) + 1).alias(c) for c in ("open", "high", "low", "close")]
     px = v.px.select("code", "trade_date", "volume", "amount", "pct_chg", (F.coalesce("pre_close", "open") + 1).alias("pre_close"), *prices)
@@ -129,24 +117,6 @@ def pipe_optional_factor_rejects(v: Views):
     return refused.select("ts_code", "trade_date", "volume", F.col("_bad").alias("reason"))
 
 
-@query("pipe_hot_rank", """
-    WITH RECURSIVE linked AS (SELECT trade_date, event_id, code, rank, date_trunc('second', captured) AS captured,
-        greatest(coalesce(lag(event_id) OVER (PARTITION BY trade_date, code ORDER BY event_id), -1), coalesce(lag(event_id) OVER (PARTITION BY trade_date, rank ORDER BY event_id), -1)) AS prev FROM v_hot),
-    links AS (SELECT trade_date, event_id, (SELECT min(b.event_id) FROM linked b WHERE b.trade_date = a.trade_date AND b.prev >= a.event_id) AS nxt FROM linked a),
-    starts AS (SELECT trade_date, min(event_id) AS event_id FROM linked GROUP BY trade_date
-        UNION ALL SELECT l.trade_date, l.nxt FROM starts s JOIN links l ON l.trade_date = s.trade_date AND l.event_id = s.event_id WHERE l.nxt IS NOT NULL),
-    seg AS (SELECT l.*, s.event_id AS start FROM linked l ASOF JOIN starts s ON s.trade_date = l.trade_date AND s.event_id <= l.event_id),
-    pick AS (SELECT trade_date, start FROM (SELECT trade_date, start, row_number() OVER (PARTITION BY trade_date ORDER BY count(*) DESC, max(captured) DESC, start) AS rn FROM seg GROUP BY trade_date, start) WHERE rn = 1),
-    ths AS (SELECT 'THS' AS source, trade_date, 'A股' AS market_type, 'FINAL' AS rank_type, code AS ts_code, rank, strftime(captured, '%Y-%m-%d %H:%M:%S') AS rank_time FROM seg SEMI JOIN pick USING (trade_date, start)),
-    sz AS (SELECT trade_date, event_type, slot, count(*) AS n FROM v_hot GROUP BY ALL),
-    dcp AS (SELECT trade_date, event_type, slot FROM (SELECT *, row_number() OVER (PARTITION BY trade_date, event_type ORDER BY n DESC, slot DESC) AS rn FROM sz) WHERE rn = 1),
-    dc AS (SELECT 'DC', trade_date, 'A股市场', event_type, code, rank, strftime(CAST(trade_date AS TIMESTAMP) + slot * INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') FROM v_hot SEMI JOIN dcp USING (trade_date, event_type, slot))
-    SELECT source, trade_date, market_type, rank_type, ts_code, CAST(rank AS BIGINT) AS rank, rank_time, 'A|B' AS concept
-    FROM (SELECT * FROM ths UNION ALL SELECT * FROM dc) WHERE ts_code IN (SELECT code FROM v_sec)""")
-def pipe_hot_rank(v: Views):
-    return hot_columns(hot_ranks(v, v.hot).rows)
-
-
 def hot_ranks(v: Views, snapshots: DataFrame):
     """Hot lists: all rows in delivery order, and ``snapshots`` by capture slot."""
     def raw(rows: DataFrame, *more: Column):
@@ -179,7 +149,7 @@ def ranked_hot(v: Views):
     return best.withColumn("rank", F.row_number().over(order))
 
 
-@query("pipe_hot_rank_verified", """
+@query("pipe_hot_rank", """
     WITH RECURSIVE linked AS (SELECT trade_date, event_id, code, rank, date_trunc('second', captured) AS captured,
         greatest(coalesce(lag(event_id) OVER (PARTITION BY trade_date, code ORDER BY event_id), -1), coalesce(lag(event_id) OVER (PARTITION BY trade_date, rank ORDER BY event_id), -1)) AS prev FROM v_hot),
     links AS (SELECT trade_date, event_id, (SELECT min(b.event_id) FROM linked b WHERE b.trade_date = a.trade_date AND b.prev >= a.event_id) AS nxt FROM linked a),
@@ -195,7 +165,7 @@ def ranked_hot(v: Views):
     dc AS (SELECT 'DC', trade_date, 'A股市场', event_type, code, rank, strftime(CAST(trade_date AS TIMESTAMP) + slot * INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') FROM r SEMI JOIN dcp USING (trade_date, event_type, slot))
     SELECT source, trade_date, market_type, rank_type, ts_code, CAST(rank AS BIGINT) AS rank, rank_time, 'A|B' AS concept
     FROM (SELECT * FROM ths UNION ALL SELECT * FROM dc) WHERE ts_code IN (SELECT code FROM v_sec)""")
-def pipe_hot_rank_verified(v: Views):
+def pipe_hot_rank(v: Views):
     """Both lists, and all checks run."""
     return hot_columns(hot_ranks(v, ranked_hot(v)).verify().rows)
 
@@ -233,17 +203,10 @@ def pipe_board_flow(v: Views):
     text = text_day().alias("trade_date")
     out = ds.ths_board_moneyflow_daily(
         concept.select(text, "name", "company_num", "close_price", "industry_index", "net_amount", *spare),
-        industry.select(text, "industry", "company_num", "close", "close_price", "net_amount", *spare)).rows
+        industry.select(text, "industry", "company_num", "close", "close_price", "net_amount", *spare)).verify().rows
     return out.select("board_type", "trade_date", "board_name", "company_num", "lead_stock_price", "board_index", "net_amount")
 
 
-@query("pipe_member", """
-    SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS trade_date, 'T' || l_suppkey AS theme_code, 'P' || l_partkey AS ts_code, CAST(l_linenumber AS BIGINT) AS hot_num
-    FROM lineitem WHERE 'P' || l_partkey IN (SELECT member FROM v_parts WHERE kind <> 'ECONOMY')""")
-def pipe_member(v: Views):
-    return members(v, F.col("l_linenumber")).rows.select("trade_date", "theme_code", "ts_code", "hot_num")
-
-
 def members(v: Views, hot_num: Column):
     spare = [null("string").alias(c) for c in ("name", "industry_code", "industry", "reason")]
     raw = v.table("lineitem").select(
@@ -253,10 +216,10 @@ def members(v: Views, hot_num: Column):
     return ds.market_theme_member_daily(raw, stocks)
 
 
-@query("pipe_member_verified", """
+@query("pipe_member", """
     SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS trade_date, 'T' || l_suppkey AS theme_code, 'P' || l_partkey AS ts_code, CAST(max(l_linenumber) AS BIGINT) AS hot_num
     FROM lineitem WHERE 'P' || l_partkey IN (SELECT member FROM v_parts WHERE kind <> 'ECONOMY') GROUP BY ALL""")
-def pipe_member_verified(v: Views):
+def pipe_member(v: Views):
     """Every line item delivers its member with the same number, so repeats are copies; all checks run."""
     key = Window.partitionBy("l_partkey", "l_suppkey", F.date_trunc("month", "l_shipdate"))
     return members(v, F.max("l_linenumber").over(key)).verify().rows.select("trade_date", "theme_code", "ts_code", "hot_num")
@@ -277,16 +240,10 @@ def pipe_month_weight(v: Views):
         F.concat(F.lit("T"), F.col("l_suppkey").cast("string")).alias("index_code"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("con_code"),
         F.date_format("l_shipdate", "yyyyMMdd").alias("trade_date")).agg(F.max("l_quantity").alias("weight"))
     out = ds.market_index_weight(raw, v.topics.where("kind = 'N'").select(F.col("topic").alias("ts_code")),
-                                 v.parts.where("kind <> 'PROMO'").select(F.col("member").alias("ts_code")))
+                                 v.parts.where("kind <> 'PROMO'").select(F.col("member").alias("ts_code"))).verify()
     return out.rows
 
 
-@query("pipe_calendar", """
-    SELECT CASE exchange WHEN 'ASIA' THEN 'SSE' WHEN 'EUROPE' THEN 'SZSE' ELSE exchange END AS exchange, cal_date, is_open, cal_date - 1 AS pretrade_date FROM v_cal""")
-def pipe_calendar(v: Views):
-    return calendar(v).rows
-
-
 def calendar(v: Views):
     name = F.when(F.col("exchange") == "ASIA", "SSE").when(F.col("exchange") == "EUROPE", "SZSE").otherwise(F.col("exchange"))
     raw = v.cal.select(name.alias("exchange"), F.date_format("cal_date", "yyyyMMdd").alias("cal_date"), F.col("is_open").cast("long").alias("is_open"),
@@ -294,10 +251,10 @@ def calendar(v: Views):
     return ds.trade_calendar(raw)
 
 
-@query("pipe_calendar_verified", """
+@query("pipe_calendar", """
     SELECT r_name AS exchange, CAST(d AS DATE) AS cal_date, isodow(d) <= 5 AS is_open, CAST(d AS DATE) - 1 AS pretrade_date
     FROM region, (SELECT unnest(generate_series(date_trunc('year', min(ts)), date_trunc('year', max(ts)) + INTERVAL 1 YEAR - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS d FROM events)""")
-def pipe_calendar_verified(v: Views):
+def pipe_calendar(v: Views):
     """Whole years of every exchange, all of which are expected; all checks run."""
     span = v.table("events").agg(F.trunc(F.min("ts"), "YEAR").alias("a"), F.last_day(F.add_months(F.trunc(F.max("ts"), "YEAR"), 11)).alias("b"))
     days = F.explode(F.sequence(span.select("a").scalar(), span.select("b").scalar()))
@@ -322,16 +279,6 @@ def gate_calendar_year(v: Views):
     return gate(calendar(v), "trade_calendar: year incomplete")
 
 
-@query("pipe_limit_event", """
-    SELECT trade_date, code AS ts_code, event_type, CASE event_type WHEN 'click' THEN 'U' WHEN 'view' THEN 'D' ELSE 'Z' END AS limit_type,
-           min(strftime(ts, '%H:%M:%S')) AS first_time, max(strftime(ts, '%H:%M:%S')) AS last_time, count(*) AS limit_times, CAST(sum(value) AS DOUBLE) AS amount_raw
-    FROM v_ticks WHERE event_type IN ('click', 'view', 'purchase') AND code IN (SELECT code FROM v_sec) GROUP BY ALL""".replace(", event_type, CASE", ", CASE"))
-def pipe_limit_event(v: Views):
-    """Clock text without leading zeros, and amounts kept in the provider's unit."""
-    ticks = v.ticks.where(F.col("event_type").isin("click", "view", "purchase"))
-    return limit_columns(limit_events(v, ticks, v.sec).rows)
-
-
 def limit_events(v: Views, ticks: DataFrame, sec: DataFrame):
     kind = F.when(F.col("event_type") == "click", "U").when(F.col("event_type") == "view", "D").otherwise("Z")
     stamp = F.date_format("ts", "HHmmss")
@@ -351,8 +298,8 @@ _LIMITS = """SELECT trade_date, code AS ts_code, CASE event_type WHEN 'click' TH
     FROM v_ticks WHERE code {} (SELECT code FROM v_sec WHERE list_status = 'L') GROUP BY ALL"""
 
 
-@query("pipe_limit_event_whole", _LIMITS.format("IN"))
-def pipe_limit_event_whole(v: Views):
+@query("pipe_limit_event", _LIMITS.format("IN"))
+def pipe_limit_event(v: Views):
     """All five event types, each with a code; securities that are no longer listed are the preset's rejects."""
     return limit_columns(limit_events(v, v.ticks, v.sec.where("list_status = 'L'")).verify().rows)
 

@@ -18,25 +18,25 @@ catalog.load()
 
 def test_every_order_is_landed_and_read(spark, folder):
     orders = spark.read.parquet(f"{folder}/orders.parquet")
-    got = catalog.QUERIES["src_union_whole"](spark, folder).agg(F.sum("rows_read"), F.sum("places"), F.count("*")).first()
+    got = catalog.QUERIES["src_union_assets"](spark, folder).agg(F.sum("rows_read"), F.sum("places"), F.count("*")).first()
     assert tuple(got) == (orders.count(), orders.count(), orders.select(F.col("o_orderkey") % 11).distinct().count())
 
 
 def test_every_bar_and_event_is_published_or_rejected(spark, folder):
     views = Views(spark, folder)
     bars, ticks, q = views.px.count(), views.ticks.count(), lambda name: catalog.QUERIES[name](spark, folder)
-    assert q("pub_carry_over_whole").count() == bars
-    assert q("pipe_core_whole").count() == bars
+    assert q("pub_carry_over").count() == bars
+    assert q("pipe_core").count() == bars
     themes = views.ticks.groupBy("trade_date", "event_type").count()
-    assert q("pub_stale_parent_whole").join(themes.withColumnRenamed("event_type", "theme"), ["trade_date", "theme"]).where("n <> count").count() == 0
-    parts = [q(name).agg(F.sum("limit_times")).first()[0] for name in ("pipe_limit_event_whole", "pipe_limit_event_rejects")]
+    assert q("pub_stale_parent").join(themes.withColumnRenamed("event_type", "theme"), ["trade_date", "theme"]).where("n <> count").count() == 0
+    parts = [q(name).agg(F.sum("limit_times")).first()[0] for name in ("pipe_limit_event", "pipe_limit_event_rejects")]
     assert sum(parts) == ticks and min(parts) > 0
     assert q("pipe_optional_factor_rejects").count() == views.px.where("pre_close IS NULL").count() > 0
 
 
 @pytest.mark.parametrize(("gate", "verified"), [
-    ("gate_core_anomalies", "pipe_core_whole"), ("gate_member_conflicts", "pipe_member_verified"), ("gate_calendar_exchange", "pipe_calendar_verified"),
-    ("gate_hot_snapshot", "pipe_hot_rank_verified")])
+    ("gate_core_anomalies", "pipe_core"), ("gate_member_conflicts", "pipe_member"), ("gate_calendar_exchange", "pipe_calendar"),
+    ("gate_hot_snapshot", "pipe_hot_rank")])
 def test_refused_inputs_have_verdicts_and_published_ones_are_verified(spark, folder, monkeypatch, gate, verified):
     assert catalog.QUERIES[gate](spark, folder).count() > 0
     calls = []
