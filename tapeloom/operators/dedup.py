@@ -115,19 +115,23 @@ class MergeRules:
         return [*self.free, *self.bounds, *self.strict]
 
 
-def _merge_shape(variants: DataFrame, rules: MergeRules) -> DataFrame:
-    """Per key: how many variants, and whether all pairs of them can be merged.
+def _merge_summary(variants: DataFrame, rules: MergeRules) -> DataFrame:
+    """Per key, in one aggregation: how many variants, whether all pairs of them can be merged, and what they merge to.
 
-    If the whole spread of a column is inside the bound of its smallest magnitude, every
-    pair is close and no order of merging can fail. With exactly two variants the pair rule
+    If the whole spread of a column is inside the bound of its smallest magnitude, every pair is close and no order of
+    merging can fail; the merge then keeps the first value with the most decimals. With exactly two variants the pair rule
     itself is evaluated, so "not compatible" then means a definite conflict.
     """
+    def pick(c: str) -> Column:
+        rank = F.struct((-digits(F.col(c))).alias("d"), F.col("_first").alias("o")) if c in rules.bounds else F.col("_first")
+        return F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c)
+
     aggs = [F.count("*").alias("_n"), F.min("_first").alias("_at")]
     for c in rules.bounds:
         aggs += [F.min(c).alias(f"_lo_{c}"), F.max(c).alias(f"_hi_{c}"), F.min(F.abs(c)).alias(f"_mag_{c}")]
     for c in rules.strict:
         aggs += [F.min(c).alias(f"_lo_{c}"), F.max(c).alias(f"_hi_{c}")]
-    shape = variants.groupBy(*rules.keys).agg(*aggs)
+    shape = variants.groupBy(*rules.keys).agg(*aggs, *[pick(c) for c in rules.fields])
     wide = T.DecimalType(38, 14)
     checks = []
     for c, bound in rules.bounds.items():
@@ -139,8 +143,8 @@ def _merge_shape(variants: DataFrame, rules: MergeRules) -> DataFrame:
     for c in rules.strict:
         checks.append(F.col(f"_lo_{c}").isNull() | (F.col(f"_lo_{c}") == F.col(f"_hi_{c}")))
     ok = reduce(lambda a, b: a & b, checks, F.lit(True))
-    route = F.when(ok, "merge").when(F.col("_n") == 2, "conflict").otherwise("fold")
-    return shape.select(*rules.keys, "_at", F.col("_n").alias("variants"), route.alias("_route"))
+    status = F.when(F.col("_n") == 1, "kept").when(ok, "merged").when(F.col("_n") == 2, "quarantined").otherwise("fold")
+    return shape.select(*rules.keys, "_at", status.alias("status"), *rules.fields)
 
 
 def merge_compatible(df: DataFrame, rules: MergeRules) -> DataFrame:
@@ -150,29 +154,17 @@ def merge_compatible(df: DataFrame, rules: MergeRules) -> DataFrame:
 
     Rows of a key are folded in source order: an equal or NULL-subset row is absorbed, close
     values are merged, a real conflict removes the key for good. Exact copies collapse in a
-    partial aggregation first. Keys whose variants are all mutually close are then merged by
-    aggregates alone (first value with the most decimals), two-variant conflicts are
-    quarantined outright, and only keys with three or more partly conflicting variants go
-    through the ordered fold.
+    partial aggregation first. One aggregation over the variants then decides and merges keys whose variants are all
+    mutually close and quarantines two-variant conflicts; only keys with three or more partly conflicting
+    variants go through the ordered fold.
     """
     df = df.select(*rules.keys, rules.order, *rules.fields)
     variants = df.groupBy(*rules.keys, *rules.fields).agg(F.min(rules.order).alias("_first"))
-    shape = _merge_shape(variants, rules)
-    routed = variants.join(shape, rules.keys)
-
-    def pick(c: str) -> Column:
-        rank = F.struct((-digits(F.col(c))).alias("d"), F.col("_first").alias("o")) if c in rules.bounds else F.col("_first")
-        return F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c)
-
-    head = [*rules.keys, F.col("_at").alias(rules.order)]
-    single = routed.where("variants = 1").select(*head, F.lit("kept").alias("status"), *rules.fields)
-    close = routed.where("variants > 1 AND _route = 'merge'").groupBy(*rules.keys).agg(
-        F.first("_at").alias("_at"), *[pick(c) for c in rules.fields])
-    merged = close.select(*head, F.lit("merged").alias("status"), *rules.fields)
-    conflicts = shape.where("_route = 'conflict'").select(
-        *head, F.lit("quarantined").alias("status"), *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in rules.fields])
-    hard = df.join(shape.where("_route = 'fold'").select(*rules.keys, "_at"), rules.keys)
-    return single.unionByName(merged).unionByName(conflicts).unionByName(_fold_in_order(hard, rules))
+    summary = _merge_summary(variants, rules)
+    kept = [F.when(F.col("status") != "quarantined", F.col(c)).alias(c) for c in rules.fields]
+    decided = summary.where("status <> 'fold'").select(*rules.keys, F.col("_at").alias(rules.order), "status", *kept)
+    hard = df.join(summary.where("status = 'fold'").select(*rules.keys, "_at"), rules.keys)
+    return decided.unionByName(_fold_in_order(hard, rules))
 
 
 def _fold_in_order(df: DataFrame, rules: MergeRules) -> DataFrame:
