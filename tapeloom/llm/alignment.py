@@ -8,7 +8,8 @@ each becomes a fragment, and a tree reduction of fan-in ``FAN`` composes those o
 
 Safe places: the first tokenizer's pattern never joins a visible character to white space behind it; in the second's
 vocabulary no piece holds a space behind another character, nor a line end at all (both are checked when it is loaded; a
-place that fails the check is not used, and a text without safe places stays one chunk).
+place that fails the check is not used, and a text without safe places stays one chunk). Shorter texts are cut at the spaces that are
+safe for both, and the tokens of the parts are remembered, as most of them are words that come again.
 
 Pair counts are summed over the corpus in Spark, and the highest count per second id is found there. A lookup of at most
 ``max_pairs`` pairs (17 bytes each) is broadcast; more pairs are dealt into blocks of that size by hash, and the stored
@@ -26,6 +27,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -39,7 +41,8 @@ from tokenizers import Tokenizer
 from tapeloom.llm.bpe_count import byte_symbols
 from tapeloom.llm.tables import map_arrow, quoted, store
 
-CHUNK_CHARS, CALL_BYTES, FAN, MAX_PAIRS, HELD_PAIRS = 1 << 16, 1 << 18, 8, 4_000_000, 1_000_000
+CHUNK_CHARS, CALL_BYTES, FAN, MAX_PAIRS, HELD_PAIRS = 1 << 16, 1 << 20, 8, 4_000_000, 1_000_000
+HELD_UNITS, HELD_LENGTH = 500_000, 48  # per worker; how many are held changes no token
 #: A visible character (for any Unicode version) before a space or a line end.
 _FIRST_CUT = re.compile(r"(?<=[^\s\u180e\u200b\ufeff])(?=[ \n])")
 SPACE = "\u2581"  # fixed value: the mark of a space in pieces
@@ -52,8 +55,9 @@ class Vocabulary:
         self.tokens = tokens
         self.size = np.array([len(t) for t in tokens], np.int64)
         self.dtype = np.dtype("<u2" if len(tokens) <= 1 << 16 else "<u4")
-        words = [str(i).encode() for i in range(len(tokens))]
-        self.printed = {end: np.array([w + end for w in words], object) for end in (b",", b"|", b";")}
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x, self.dtype) for x in self.lists(texts)]
 
     def joins_to(self, ids: np.ndarray, raw: bytes) -> bool:
         return int(self.size[ids].sum()) == len(raw) and b"".join(map(self.tokens.__getitem__, ids.tolist())) == raw
@@ -71,8 +75,8 @@ class ByteLevel(Vocabulary):
         n = max([*known, *(t["id"] for t in spec["added_tokens"])]) + 1
         super().__init__([bytes(symbols[c] for c in known[i]) if i in known and all(c in symbols for c in known[i]) else b"" for i in range(n)])
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+    def lists(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
 
     def cut(self, text: str, at: int) -> int:
         """The first safe place from ``at`` on, or the end."""
@@ -90,17 +94,18 @@ class Pieces(Vocabulary):
         plain = [p for i, p in enumerate(pieces) if not coder.is_byte(i)]
         self.lead = coder.piece_to_id(SPACE)
         cuts = []
-        if not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in plain):
+        self.spaced = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in plain)
+        if self.spaced:
             cuts.append(f"(?<=[^ {SPACE}])(?= [^ ])")
         if not any("\n" in p for p in plain):
             cuts.append(r"(?=\n)")
         self.safe = re.compile("|".join(cuts)) if cuts else None
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
+    def lists(self, texts: list[str]) -> list[list[int]]:
         """Ids of texts that begin with the space that the model adds, or with a line end."""
         lists = self.coder.encode([t[1:] if t[:1] == " " else t for t in texts], num_threads=1)
         lone = [self.lead]  # the model gives nothing at all for an empty rest
-        return [np.array(lone if t == " " else i if t[:1] == " " else i[1:], self.dtype) for t, i in zip(texts, lists, strict=True)]
+        return [lone if t == " " else i if t[:1] == " " else i[1:] for t, i in zip(texts, lists, strict=True)]
 
     def cut(self, text: str, at: int) -> int:
         found = self.safe.search(text, at) if self.safe else None
@@ -126,7 +131,9 @@ class Cuts(NamedTuple):
 
 def links(first_ends: np.ndarray, second_ends: np.ndarray) -> Cuts:
     """One link for each stretch between neighbouring ends: it lies in one token of either side, and each overlap is one stretch."""
-    ends = np.union1d(first_ends, second_ends)
+    ends = np.concatenate([first_ends, second_ends])
+    ends.sort(kind="stable")  # two sorted runs
+    ends = ends[np.append(True, ends[1:] != ends[:-1])] if len(ends) else ends
     i, j = np.searchsorted(first_ends, ends), np.searchsorted(second_ends, ends)
     return Cuts(i, j, (first_ends[i] == ends) & (second_ends[j] == ends)) if len(ends) else Cuts(i, j, np.zeros(0, bool))
 
@@ -192,19 +199,76 @@ class Paths(NamedTuple):
         return byte_level(self.first), piece_model(self.second)
 
 
-def tokenize(a: ByteLevel, b: Pieces, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids of both tokenizers for ``space + text``, no ids where they do not join to it; calls of bounded size."""
+#: A space that begins a unit: behind a visible character that is no mark of a space, and before anything but a space.
+_UNIT = re.compile(rf"(?<=[^\s{SPACE}\u180e\u200b\ufeff])(?= [^ ])")
+_NO_UNIT = re.compile(rf"[\s{SPACE}\u180e\u200b\ufeff] ")
+
+
+def units(text: str) -> list[str]:
+    """Parts of a text, each with the space before it left out, whose tokens of either kind join to those of ``space + text``."""
+    odd = any(x in text for x in ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")) if text.isascii() and not _CONTROL.search(text) else _NO_UNIT.search(text)
+    if odd or text[:1] == " " or text[-1:] == " ":
+        return [u[1:] for u in _UNIT.split(" " + text)]
+    return text.split(" ")
+
+
+_CONTROL = re.compile("[\x1c-\x1f]")
+
+
+class Remembered:
+    """Token ids of units as bytes, kept up to ``HELD_UNITS`` units; which of them do not join to their text."""
+
+    def __init__(self, a: ByteLevel, b: Pieces):
+        self.a, self.b = a, b
+        self.first: dict[str, bytes] = {}
+        self.second: dict[str, bytes] = {}
+        self.unsound: set[str] = set()
+
+    def learn(self, new: list[str]) -> None:
+        if not new:
+            return
+        spaced = [" " + u for u in new]
+        raw = [u.encode() for u in spaced]
+        sizes, whole = np.array([len(r) for r in raw]), b"".join(raw)
+        sound = np.ones(len(new), bool)
+        for coder, held in ((self.a, self.first), (self.b, self.second)):
+            lists = coder.lists(spaced)
+            ids = np.array(list(chain.from_iterable(lists)), coder.dtype)
+            ends = np.cumsum([len(x) for x in lists])
+            joined = np.append(0, np.cumsum(coder.size[ids]))[ends]
+            if not np.array_equal(np.diff(joined, prepend=0), sizes) or b"".join(map(coder.tokens.__getitem__, ids.tolist())) != whole:
+                sound &= [coder.joins_to(np.array(x, coder.dtype), r) for x, r in zip(lists, raw, strict=True)]
+            data, cuts = ids.tobytes(), [0, *(ends * coder.dtype.itemsize).tolist()]
+            held.update(zip(new, [data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], strict=True))
+        self.unsound.update(u for u, ok in zip(new, sound, strict=True) if not ok)
+
+    def forget(self, used: list[str]) -> None:
+        if len(self.first) > HELD_UNITS:
+            self.first, self.second, self.unsound = {}, {}, set()
+        else:
+            for unit in used:
+                if len(unit) > HELD_LENGTH and unit in self.first:
+                    del self.first[unit], self.second[unit]
+                    self.unsound.discard(unit)
+
+
+def tokenize(known: Remembered, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+    """Ids of both tokenizers for ``space + text`` as bytes, no ids where they do not join to it; calls of bounded size."""
     at = 0
     while at < len(texts):
         size, end = 0, at
         while end < len(texts) and (size == 0 or size + len(texts[end]) <= CALL_BYTES):
             size += len(texts[end]) + 1
             end += 1
-        part = [" " + t for t in texts[at:end]]
-        for whole, first, second in zip(part, a.ids(part), b.ids(part), strict=True):
-            raw = whole.encode()
-            sound = len(raw) > 1 and a.joins_to(first, raw) and b.joins_to(second, raw)
-            yield (first, second) if sound else (first[:0], second[:0])
+        parts = [(units(t) if known.b.spaced else [t]) if t else [] for t in texts[at:end]]
+        new = list({u for part in parts for u in part}.difference(known.first))
+        known.learn(new)
+        for part in parts:
+            if known.unsound and not known.unsound.isdisjoint(part):
+                yield b"", b""
+            else:
+                yield b"".join(map(known.first.__getitem__, part)), b"".join(map(known.second.__getitem__, part))
+        known.forget(new)
         at = end
 
 
@@ -242,10 +306,10 @@ def short_tokens(docs: DataFrame, paths: Paths) -> DataFrame:
     numbered = docs.withColumn("rid", F.monotonically_increasing_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = paths.load()
+        known = Remembered(*paths.load())
         for batch in batches:
-            pairs = tokenize(a, b, [x.as_py() or "" for x in batch.column(1)])
-            made = _batch([(rid, x.tobytes(), y.tobytes()) for rid, (x, y) in zip(batch.column(2).to_pylist(), pairs, strict=True)], schema)
+            pairs = tokenize(known, [x.as_py() or "" for x in batch.column(1)])
+            made = _batch([(rid, x, y) for rid, (x, y) in zip(batch.column(2).to_pylist(), pairs, strict=True)], schema)
             yield pa.RecordBatch.from_arrays([*made.columns, batch.column(0)], names=[*made.schema.names, "doc_id"])
     return map_arrow(numbered, run, T.StructType([*_fields(TOKENS), docs.schema["doc_id"]]))
 
@@ -324,21 +388,29 @@ class Aligned:
     def printed(self) -> list[bytes]:
         """The groups of each row: ids of the first, a bar, ids of the second; groups parted by semicolons."""
         a, b = self.coders
-        out = []
-        last_a, last_b = (np.zeros(len(x), bool) for x in (self.a, self.b))
-        last_a[self.links.first[self.links.closed]] = last_b[self.links.second[self.links.closed]] = True
-        # tokens of a group: those of the first, then those of the second; groups in order
+        last_a, last_b = (np.zeros(len(x), np.int64) for x in (self.a, self.b))
+        last_a[self.links.first[self.links.closed]] = last_b[self.links.second[self.links.closed]] = 1
+        # place of a token: those of the first before those of the second in each group, groups in order
         group_a, group_b = (np.cumsum(x) - x for x in (last_a, last_b))
-        text = np.concatenate([np.where(last_a, a.printed[b"|"][self.a], a.printed[b","][self.a]),
-                               np.where(last_b, b.printed[b";"][self.b], b.printed[b","][self.b])])
-        order = np.argsort(np.concatenate([group_a * 2, group_b * 2 + 1]), kind="stable")
-        text, at = text[order].tolist(), 0
+        n_groups = int(last_a.sum())
+        upto_a, upto_b = (np.cumsum(np.bincount(g, minlength=n_groups)) for g in (group_a, group_b))
+        before_b = np.append(0, upto_b)
+        code = np.empty(len(self.a) + len(self.b), np.int64)
+        code[np.arange(len(self.a)) + before_b[group_a]] = self.a.astype(np.int64) * 2 + last_a
+        code[np.arange(len(self.b)) + upto_a[group_b]] = (self.b.astype(np.int64) + len(a.tokens)) * 2 + last_b
+        shown, out, at = printed_table(a, b)[code].tolist(), [], 0
         for n in (self.n_a + self.n_b).tolist():
-            out.append(b"".join(text[at : at + n])[:-1])
+            out.append(b"".join(shown[at : at + n])[:-1])
             at += n
         return out
 
 
+@cache
+def printed_table(a: Vocabulary, b: Vocabulary) -> np.ndarray:
+    """Printed ids of the first and then the second vocabulary, each with its mark inside and at the end of a group."""
+    return np.array([b"%d%b" % (i, mark) for coder, end in ((a, b"|"), (b, b";")) for i in range(len(coder.tokens)) for mark in (b",", end)], object)
+
+
 def _slices(batch: pa.RecordBatch, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """A batch in parts of bounded bytes, one row at least."""
     at, size = 0, 0
@@ -358,18 +430,23 @@ def pair_counts(stored: DataFrame, paths: Paths, held_pairs: int = HELD_PAIRS) -
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = paths.load()
-        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(k for k, _ in held)]), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate([np.zeros(0), *(n for _, n in held)]), len(keys)).astype(np.int64)
 
         def flush() -> pa.RecordBatch:
+            keys, sums = merged()
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], names=["pair", "n"])
         for batch in batches:
             for part in _slices(batch):
-                found, n = np.unique(Aligned(a, b, part.column(1), part.column(2)).pairs, return_counts=True)
-                merged, at = np.unique(np.concatenate([keys, found]), return_inverse=True)
-                keys, sums = merged, np.bincount(at, np.concatenate([sums, n]), len(merged)).astype(np.int64)
-                if len(keys) >= held_pairs:
-                    yield flush()
-                    keys, sums = keys[:0], sums[:0]
+                held.append(np.unique(Aligned(a, b, part.column(1), part.column(2)).pairs, return_counts=True))
+                if sum(len(k) for k, _ in held) > 2 * held_pairs:
+                    held[:] = [merged()]
+                    if len(held[0][0]) > held_pairs:
+                        yield flush()
         yield flush()
     counts = map_arrow(stored.select("rid", "a", "b"), count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     counts = store(counts.withColumn("second", F.col("pair") % n_second), "pair-counts")

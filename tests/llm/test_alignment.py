@@ -94,6 +94,30 @@ def test_chunks_at_safe_places_give_the_tokens_of_the_whole(coders):
             assert np.concatenate(parts).tolist() == coder.ids([whole])[0].tolist(), text
 
 
+@given(st.text(alphabet=" ab\n\t.1\u2581\u180e\u200b\ufeff\u00a0\x1c\u00e9\u65e5<|>", max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_units_give_the_tokens_of_the_whole(coders, text):
+    if not text:
+        return
+    parts = alignment.units(text)
+    assert "".join(" " + u for u in parts) == " " + text
+    for coder in coders:
+        joined = np.concatenate(coder.ids([" " + u for u in parts]))
+        assert joined.tolist() == coder.ids([" " + text])[0].tolist()
+
+
+@pytest.mark.parametrize("held", [(0, 0), (10, 4)])
+def test_what_is_remembered_changes_nothing(coders, monkeypatch, held):
+    monkeypatch.setattr(alignment, "HELD_UNITS", held[0])
+    monkeypatch.setattr(alignment, "HELD_LENGTH", held[1])
+    monkeypatch.setattr(alignment, "CALL_BYTES", 100)
+    plain = [t or "" for t in texts()]
+    known = alignment.Remembered(*coders)
+    for text, (first, second) in zip(plain * 2, alignment.tokenize(known, plain * 2), strict=True):
+        want = walk(coders, text)
+        assert (np.frombuffer(first, coders[0].dtype).tolist(), np.frombuffer(second, coders[1].dtype).tolist()) == (list(want[0]), list(want[1]))
+
+
 class Sizes(alignment.Vocabulary):
     """A vocabulary whose token i has i + 1 bytes."""
 
