@@ -9,7 +9,9 @@ from tapeloom.operators import aggregates as ag
 from tapeloom.operators.asof import joint_dates
 from tapeloom.functions.scalar import month_key
 from tapeloom.session import scratch_path
+from tapeloom.sources import assets as sa
 from tapeloom.sources.assets import read_assets, seal
+from tapeloom.sources.footers import stored_files
 from tapeloom.sources.grid import expand, month_axis, scope_text
 from tapeloom.sources.views import Views
 
@@ -117,3 +119,49 @@ def src_union_assets(v: Views):
         F.max("o_orderdate").alias("newest"), F.max("o_orderpriority").alias("top_priority"))
     in_order = per_asset.groupBy().agg(F.array_sort(F.collect_list(F.struct("first", *[c for c in per_asset.columns if c != "first"]))).alias("assets"))
     return in_order.select(F.posexplode("assets").alias("place", "a")).select("a.*", F.col("place").cast("bigint").alias("place")).drop("first")
+
+
+@query("src_schema_drift", """
+    SELECT 'a' || k AS asset, count(*) AS row_count, k = '3' AS turned, k IN ('1', '2', '3') AS drifted,
+           CASE k WHEN '1' THEN 'o_orderdate' ELSE '' END AS missing, CASE k WHEN '1' THEN 'note' ELSE '' END AS extra,
+           CASE k WHEN '2' THEN 'o_totalprice' ELSE '' END AS retyped
+    FROM (SELECT coalesce(CAST(o_orderkey % 5 AS VARCHAR), 'none') AS k FROM orders) GROUP BY k""")
+def src_schema_drift(v: Views):
+    """All orders landed as assets, of which one lacks a column and has another, one has a type and one an order of its own."""
+    root, orders = scratch_path(v.spark, "drift"), v.table("orders")
+    part = F.coalesce((F.col("o_orderkey") % 5).cast("string"), F.lit("none"))
+    changed = {
+        "1": orders.withColumn("note", F.col("o_orderstatus")).drop("o_orderdate"),
+        "2": orders.withColumn("o_totalprice", F.col("o_totalprice").cast("string")),
+        "3": orders.select(*reversed(orders.columns)),
+        "": orders}
+    found = []
+    for name, rows in changed.items():
+        rows = rows.withColumn("asset", F.concat(F.lit("a"), part))
+        seal(rows.where(part == name if name else ~part.isin("1", "2", "3")), f"{root}/form{name}", ("asset",))
+        found += stored_files(v.spark.read.parquet(f"{root}/form{name}"))
+    facts = sa.schema_drift(v.spark, orders.schema, found)
+    listed = [F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))), ",").alias(c) for c in ("missing", "extra", "retyped")]
+    return facts.groupBy(F.regexp_extract("path", "/asset=([^/]*)/[^/]*$", 1).alias("asset")).agg(
+        F.sum("row_count").alias("row_count"), F.max("turned").alias("turned"), F.max("drifted").alias("drifted"), *listed)
+
+
+@query("src_audit", """
+    WITH a AS (SELECT coalesce(CAST(o_orderkey % 7 AS VARCHAR), 'none') AS asset, count(*) AS row_count FROM orders GROUP BY ALL)
+    SELECT asset, CASE asset WHEN '1' THEN 'orphan_file' WHEN '2' THEN 'hash_mismatch' ELSE 'row_count_mismatch' END AS problem, row_count
+    FROM a WHERE asset IN ('1', '2', '3') UNION ALL SELECT asset, 'missing_file', row_count FROM a WHERE asset = '4'""")
+def src_audit(v: Views):
+    """All orders as stored assets against a manifest made by other means, with one asset forgotten, one forged, one miscounted, one named twice."""
+    root = scratch_path(v.spark, "audit")
+    seal(v.table("orders").withColumn("asset", F.coalesce((F.col("o_orderkey") % 7).cast("string"), F.lit("none"))), root, ("asset",))
+    asset = F.regexp_extract("path", "/asset=([^/]*)/[^/]*$", 1)
+    digests = v.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root).select(
+        "path", F.regexp_extract("path", "([^/]*)$", 1).alias("file"), asset.alias("asset"), F.sha2("content", 256).alias("sha256"))
+    counted = v.spark.read.parquet(root).groupBy(F.col("_metadata.file_name").alias("file"), F.col("asset").cast("string").alias("asset")).agg(F.count("*").alias("row_count"))
+    sealed = digests.join(counted, ["file", "asset"])
+    manifest = sealed.where("asset <> '1'").select(
+        "path", F.when(F.col("asset") == "2", F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256"),
+        F.when(F.col("asset") == "3", F.col("row_count") + 1).otherwise(F.col("row_count")).alias("row_count"))
+    gone = sealed.where("asset = '4'").select(F.regexp_replace("path", "([^/]*)$", "gone-$1").alias("path"), "sha256", "row_count")
+    found = sa.audit_assets(sa.asset_inventory(v.spark, root), manifest.unionByName(gone))
+    return found.groupBy(asset.alias("asset"), "problem").agg(F.sum("row_count").alias("row_count"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tapeloom.errors import SchemaMismatch
 from tapeloom.operators.sets import one_sided
 from tapeloom.sources.feeds import Feed
+from tapeloom.sources.footers import drift, file_facts
 
 _SCHEME = "^[a-zA-Z0-9]+:/*"
 
@@ -24,13 +25,6 @@ def schema_fingerprint(schema: T.StructType) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def schema_error(found: T.StructType, declared: T.StructType, name: str) -> str | None:
-    """What differs in field names, order or types from the declaration, or None."""
-    have = [(f.name, f.dataType.simpleString()) for f in found]
-    want = [(f.name, f.dataType.simpleString()) for f in declared]
-    return None if have == want else f"{name}: declared {want}, found {have}"
-
-
 def foreign_assets(manifest: DataFrame, declared: T.StructType) -> DataFrame:
     """Manifest rows whose recorded schema fingerprint is not the declared one."""
     return manifest.where(~F.col("fingerprint").eqNullSafe(F.lit(schema_fingerprint(declared))))
@@ -49,22 +43,29 @@ def asset_of(file: str, places: dict[str, int]) -> int:
     return places.get(key, len(places))
 
 
+def schema_drift(spark: SparkSession, declared: T.StructType, files: Sequence[str]) -> DataFrame:
+    """Footer facts of the files and how each differs from the declared schema (see ``footers.drift``); 32 files a task."""
+    paths = spark.createDataFrame([(f,) for f in files], "path string")
+    return drift(file_facts(paths, tasks=len(files) // 32 + 1), declared)
+
+
 def read_assets(spark: SparkSession, declared: T.StructType, paths: Sequence[str]) -> DataFrame:
     """All assets of a feed in one scan, with ``_asset``, ``_row`` and ``_ord`` lineage.
 
-    ``paths`` come in scope order. The footer of every file must have the declared schema (footers are read 16 at a time;
-    the error names all files that differ). ``_ord`` is a whole number (file rank, then row), so "first row wins" rules
+    ``paths`` come in scope order. The footer of every file must have the declared schema; footers are read in tasks and the
+    error names all files that differ (``schema_drift`` says how). ``_ord`` is a whole number (file rank, then row), so "first row wins" rules
     survive any shuffle and aggregate in hash tables; the file ranks are a table of one row per file.
     """
     scan = spark.read.schema(declared).parquet(*paths)
     frame = scan.select("*", F.col("_metadata.file_path").alias("_asset"), F.col("_metadata.row_index").alias("_row"))
     places = {path_key(p): i for i, p in enumerate(paths)}
-    files = sorted(scan.inputFiles(), key=lambda f: (asset_of(f, places), f))
-    with ThreadPoolExecutor(16) as pool:
-        foreign = [error for error in pool.map(lambda f: schema_error(spark.read.parquet(f).schema, declared, f), files) if error]
+    found = sorted(scan.inputFiles(), key=lambda f: (asset_of(unquote(f), places), f))  # URL-encoded, as is _metadata.file_path
+    files = [unquote(f) for f in found]
+    rank = {f: i for i, f in enumerate(files)}
+    foreign = schema_drift(spark, declared, files).where("drifted").select("path", "missing", "extra", "retyped", "turned", "error").collect()
     if foreign:
-        raise SchemaMismatch("; ".join(foreign))
-    ranks = spark.createDataFrame([(path_key(f), i) for i, f in enumerate(files)], "_key string, _file long")
+        raise SchemaMismatch("; ".join(str(r.asDict()) for r in sorted(foreign, key=lambda r: rank[r["path"]])))
+    ranks = spark.createDataFrame([(path_key(f), i) for i, f in enumerate(found)], "_key string, _file long")
     return (
         frame.withColumn("_key", F.regexp_replace("_asset", _SCHEME, "")).join(ranks, "_key")
         .withColumn("_ord", F.shiftleft("_file", 40) + F.col("_row")).drop("_file", "_key")
@@ -100,33 +101,39 @@ def read_days(spark: SparkSession, path: str, start: str, end: str, day: str = "
     )
 
 
-def asset_inventory(spark: SparkSession, glob: str, feed: Feed) -> DataFrame:
-    """Path, SHA-256 of the bytes and row count of every stored file."""
-    files = (
+def asset_inventory(spark: SparkSession, glob: str, feed: Feed | None = None) -> DataFrame:
+    """Path, size, SHA-256 of the bytes and row count of every stored file, and whether it has the schema of ``feed`` (None: any).
+
+    Files are listed without their content, bytes are streamed in tasks and row counts come from the footers, so that the size
+    of a file does not matter. An unreadable file has no row count.
+    """
+    paths = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet").load(glob)
-        .select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("byte_size"))
-    )
-    rows = (
-        spark.read.schema(feed.schema).option("recursiveFileLookup", "true").parquet(glob)
-        .groupBy(F.col("_metadata.file_path").alias("path"))
-        .agg(F.count("*").alias("row_count"))
+        .option("pathGlobFilter", "*.parquet").load(glob).select("path")
     )
-    return files.join(rows, "path", "left").withColumn("row_count", F.coalesce("row_count", F.lit(0)))
+    facts = file_facts(paths, digest=True)
+    fits = F.col("error").isNull() if feed is None else ~F.col("drifted")
+    facts = facts if feed is None else drift(facts, feed.schema)
+    return facts.select("path", "byte_size", "sha256", "row_count", fits.alias("fits"))
 
 
 def audit_assets(inventory: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Stored files against the manifest: problem per path, clean paths omitted."""
+    """Stored files against the manifest: problem and row count (stored, else declared) per path, clean paths omitted.
+
+    Of several problems of a file the first counts: missing, orphan, hash, rows (a stored file without a row count is unreadable), schema.
+    """
     have, want = inventory.alias("h"), manifest.alias("w")
     problem = (
         F.when(F.col("h.path").isNull(), "missing_file")
         .when(F.col("w.path").isNull(), "orphan_file")
         .when(F.col("h.sha256") != F.col("w.sha256"), "hash_mismatch")
+        .when(F.col("h.row_count").isNull(), "unreadable_file")
         .when(F.col("h.row_count") != F.col("w.row_count"), "row_count_mismatch")
+        .when(~F.col("h.fits"), "schema_mismatch")
     )
     return (
         have.join(want, F.col("h.path") == F.col("w.path"), "full_outer")
-        .select(F.coalesce("h.path", "w.path").alias("path"), problem.alias("problem"))
+        .select(F.coalesce("h.path", "w.path").alias("path"), problem.alias("problem"), F.coalesce("h.row_count", "w.row_count").alias("row_count"))
         .where(F.col("problem").isNotNull())
     )
 

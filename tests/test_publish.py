@@ -1,5 +1,10 @@
-from datetime import date, timedelta
+import hashlib
+import random
+from datetime import date, datetime, timedelta
+from decimal import Decimal
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tapeloom.errors import SchemaMismatch
@@ -7,6 +12,7 @@ from tapeloom.operators import asof as ao
 from tapeloom.operators import lineage as ln
 from tapeloom.operators import publish as pb
 from tapeloom.sources import assets as sa
+from tapeloom.sources import footers
 from tapeloom.sources.feeds import FEEDS
 from tapeloom.sources.grid import panel
 from tests.conftest import rows
@@ -120,6 +126,39 @@ def test_asset_audit(spark, tmp_path):
     assert rows(sa.foreign_assets(manifest, feed.schema), "path") == [("q",)]
 
 
+def test_footer_facts(spark, tmp_path):
+    """Types as Spark reads them, whoever wrote the file; unreadable files and odd names are facts, not failures."""
+    odd = tmp_path / "odd name+%41"
+    odd.mkdir()
+    at = datetime(2024, 1, 1)
+    table = pa.table({"i": pa.array([1, 2], pa.int32()), "t": pa.array([at, at], pa.timestamp("us")), "u": pa.array([at, at], pa.timestamp("us", "UTC")),
+                      "d": pa.array([Decimal("1.50"), None], pa.decimal128(9, 2)), "l": pa.array([["a"], []])})
+    pq.write_table(table, odd / "plain.parquet")
+    pq.write_table(table.select(["t"]), odd / "old.parquet", use_deprecated_int96_timestamps=True)
+    pq.write_table(pa.table({"big": pa.array([1], pa.uint64())}), odd / "unsigned.parquet")
+    (odd / "torn.parquet").write_bytes(b"PAR1 no footer")
+    for name in ("plain", "old"):
+        declared = spark.read.parquet(str(odd / f"{name}.parquet")).schema
+        facts = sa.schema_drift(spark, declared, [str(odd / f"{name}.parquet")]).collect()[0]
+        assert (facts["drifted"], facts["row_count"]) == (False, 2)
+    stored = {r["path"].rsplit("/", 1)[1]: r for r in sa.asset_inventory(spark, str(odd)).collect()}
+    assert {n: (r["row_count"], r["fits"]) for n, r in stored.items() if n != "unsigned.parquet"} == {
+        "plain.parquet": (2, True), "old.parquet": (2, True), "torn.parquet": (None, False)}
+    assert all(r["sha256"] == hashlib.sha256((odd / n).read_bytes()).hexdigest() for n, r in stored.items())
+    feed = FEEDS["adj_factor"]
+    spaced = str(tmp_path / "with space")
+    sa.seal(spark.createDataFrame([("a", "20240102", 1.0)], feed.schema).coalesce(1), spaced)
+    assert sa.read_assets(spark, feed.schema, [spaced]).count() == 1
+
+
+def test_digest_reads_a_file_in_pieces(tmp_path, monkeypatch):
+    big = tmp_path / "big.parquet"
+    pq.write_table(pa.table({"x": list(range(5_000))}), big)
+    monkeypatch.setattr(footers, "PIECE", 1_000)
+    facts = footers.facts_of(f"file:{big}", True)
+    assert facts["sha256"] == hashlib.sha256(big.read_bytes()).hexdigest() and facts["row_count"] == 5_000
+
+
 def test_monthly_layout_prunes(spark, tmp_path):
     path = str(tmp_path / "m")
     sa.write_monthly(panel(spark, 5, 60), path)
@@ -143,6 +182,31 @@ def test_asof_join_equals_brute_force(spark):
     assert rows(df, "k", "t", "v") == sorted(want, key=repr)
 
 
+def test_asof_join_spreads_a_hot_key(spark):
+    """One key holds a third of the rows in one month; any bucket size gives the same answer."""
+    start, rng = datetime(2024, 1, 1), random.Random(5)
+    spread = lambda n, days: [start + timedelta(seconds=rng.randrange(days * 86_400)) for _ in range(n)]
+    left = [("hot", t) for t in spread(600, 20)] + [(f"k{i % 40}", t) for i, t in enumerate(spread(900, 300))]
+    left += [("hot", left[0][1])] * 50 + [(None, start), ("hot", None), ("only left", start)]
+    right = [("hot", t, i) for i, t in enumerate(spread(300, 20))] + [(f"k{i % 40}", t, i) for i, t in enumerate(spread(500, 300))]
+    right += [("hot", right[0][1], 10_000), (None, start, 1), ("hot", None, 2), ("only right", start, 3)]
+    want = []
+    for k, t in left:
+        best = max(((s, v) for rk, s, v in right if k is not None and t is not None and rk == k and s is not None and s <= t), default=(None, None))
+        want.append((k, t, *best))
+    asks, facts = spark.createDataFrame(left, "k string, t timestamp"), spark.createDataFrame(right, "k string, s timestamp, v int")
+    for size in (1, 20, 100_000):
+        got = ao.asof_join(asks, facts, ["k"], left_time="t", right_time="s", columns=["v"], bucket_rows=size)
+        assert rows(got, "k", "t", "asof_s", "v") == sorted(want, key=repr)
+    times = asks.unionByName(facts.select("k", F.col("s").alias("t"))).where("k = 'hot' AND t IS NOT NULL")
+    cut = ao.in_buckets(times, ao.bucket_limits(times, ["k"], "t", bucket_rows=20), ["k"], "t")
+    sizes = [r["count"] for r in cut.distinct().groupBy("_b").count().collect()]
+    assert len(sizes) > 40 and max(sizes) < 40
+    none = ao.asof_join(asks.where("false"), facts, ["k"], left_time="t", right_time="s", columns=["v"])
+    assert none.count() == 0
+    assert ao.asof_join(asks, facts.where("false"), ["k"], left_time="t", right_time="s", columns=["v"]).where("v IS NULL").count() == len(left)
+
+
 def test_closure_and_stale_lineage(spark):
     edges = spark.createDataFrame([("ep", "a"), ("a", "b"), ("b", "a"), ("x", "y")], "upstream string, downstream string")
     seeds = spark.createDataFrame([("ep",)], "name string")
