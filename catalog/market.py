@@ -314,3 +314,51 @@ def data_status(v: Views):
 def out_envelope(v: Views):
     rows = v.bars.select("code", "trade_date", "close", "volume", "amount")
     return rows.select(*json_safe(rows.schema))
+
+
+_GATES = {"hot_rank": "click", "top_list": "view", "institutions": "purchase", "limit_events": "signup", "limit_steps": "click",
+          "suspensions": "error", "market_themes": "view"}
+_GATES_SQL = ", ".join(f"('{section}', '{dataset}')" for section, dataset in _GATES.items())
+
+
+@query("ev_sections", f"""
+    WITH themes AS (SELECT event_type AS source, trade_date, slot, max(score) AS top FROM v_hot GROUP BY ALL HAVING max(score) >= 100),
+    picks AS (SELECT event_type AS source, trade_date, slot, code, count(*) AS hot_num FROM v_hot GROUP BY ALL),
+    dated AS (
+      SELECT 'hot_rank' AS section, code, trade_date, json_object('source', event_type, 'rank', rank, 'rank_time', slot) AS payload FROM v_hot
+      UNION ALL SELECT 'top_list', code, trade_date, json_object('amount', CAST(floor(amount) AS BIGINT), 'reason', CASE WHEN pre_close IS NULL THEN NULL WHEN close > pre_close THEN 'up' ELSE 'down' END)
+        FROM v_px WHERE volume >= 2
+      UNION ALL SELECT 'institutions', code, trade_date, json_object('exalter', 'seat ' || k, 'side', k % 2, 'buy', CAST(floor(value) AS BIGINT)) FROM v_ticks WHERE event_type = 'purchase'
+      UNION ALL SELECT 'limit_events', code, trade_date, json_object('limit_type', CASE WHEN k >= 50 THEN 'U' ELSE 'D' END, 'open_times', k) FROM v_ticks WHERE event_type = 'signup'
+      UNION ALL SELECT 'limit_steps', code, trade_date, json_object('nums', volume) FROM v_bars
+      UNION ALL SELECT 'suspensions', code, trade_date, json_object('suspend_type', suspend_type, 'suspend_timing', NULL) FROM v_suspend
+      UNION ALL SELECT 'market_themes', code, trade_date, json_object('source', source, 'theme_code', slot, 'hot_num', hot_num) FROM picks JOIN themes USING (source, trade_date, slot)),
+    standing AS (
+      SELECT CASE kind WHEN 'N' THEN 'concepts' ELSE 'theme_indices' END AS section, member AS code, weight >= 1 AS is_current, topic_name,
+             json_object('topic_code', topic, 'topic_name', topic_name, 'weight', CAST(floor(weight) AS BIGINT), 'is_current', weight >= 1) AS payload
+      FROM v_mem JOIN v_topics USING (topic)),
+    events_ AS (
+      SELECT section, code, trade_date, NULL AS is_current, NULL AS topic_name, CAST(payload AS VARCHAR) AS payload FROM dated
+        JOIN (VALUES {_GATES_SQL}) AS g(section, dataset) USING (section) WHERE (dataset, trade_date) IN (SELECT (dataset, trade_date) FROM v_rel)
+      UNION ALL SELECT section, code, NULL, is_current, topic_name, CAST(payload AS VARCHAR) FROM standing)
+    SELECT section, code, trade_date, payload FROM (
+      SELECT *, row_number() OVER (PARTITION BY section, code ORDER BY trade_date DESC NULLS LAST, is_current DESC NULLS LAST, topic_name NULLS LAST, payload) AS rn FROM events_) WHERE rn <= 3""")
+def ev_sections(v: Views):
+    """The newest three rows of all nine sections of every code."""
+    day = ["code", "trade_date"]
+    whole = lambda c: F.floor(c).cast("bigint")
+    bought, signed = v.ticks.where("event_type = 'purchase'"), v.ticks.where("event_type = 'signup'")
+    edges = mk.memberships(v.mem, v.topics, ["topic"]).select(
+        F.col("member").alias("code"), "kind", F.col("topic").alias("topic_code"), "topic_name", whole("weight").alias("weight"), (F.col("weight") >= 1).alias("is_current"))
+    tables = {
+        "hot_rank": v.hot.select(*day, F.col("event_type").alias("source"), "rank", F.col("slot").alias("rank_time")),
+        "top_list": v.px.where("volume >= 2").select(
+            *day, whole("amount").alias("amount"),
+            F.when(F.col("pre_close").isNotNull(), F.when(F.col("close") > F.col("pre_close"), "up").otherwise("down")).alias("reason")),
+        "institutions": bought.select(*day, F.concat(F.lit("seat "), "k").alias("exalter"), (F.col("k") % 2).alias("side"), whole("value").alias("buy")),
+        "limit_events": signed.select(*day, F.when(F.col("k") >= 50, "U").otherwise("D").alias("limit_type"), F.col("k").alias("open_times")),
+        "limit_steps": v.bars.select(*day, F.col("volume").alias("nums")),
+        "suspensions": v.suspend.withColumn("suspend_timing", F.lit(None).cast("string")),
+        "concepts": edges.where("kind = 'N'"), "theme_indices": edges.where("kind <> 'N'"),
+        "market_themes": mk.memberships(dated_members(v), dated_themes(v), ["source", "trade_date", "theme"]).withColumnRenamed("theme", "theme_code")}
+    return mk.event_sections(tables, v.rel, datasets=_GATES, limit_per_type=3, key="code")

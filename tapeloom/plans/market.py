@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -195,6 +197,73 @@ def stock_events(
     return union_tagged(parts, "section")
 
 
+class Section(NamedTuple):
+    """A kind of event: its dataset (None: standing memberships, which have no day) and the fields of its payload."""
+    dataset: str | None
+    fields: str
+
+
+# The nine sections of a stock's events.
+EVENT_SECTIONS: dict[str, Section] = {
+    "hot_rank": Section(
+        "stock_hot_rank_daily", "source market_type rank_type rank pct_change current_price concept rank_reason hot rank_time"),
+    "top_list": Section(
+        "stock_top_list_daily", "close pct_change turnover_rate amount l_sell l_buy net_amount net_rate reason"),
+    "institutions": Section("stock_top_inst_daily", "exalter side buy buy_rate sell sell_rate net_buy reason"),
+    "limit_events": Section(
+        "stock_limit_event_daily", "limit_type name industry close pct_chg amount_raw limit_amount_raw turnover_ratio fd_amount_raw "
+        "first_time last_time open_times up_stat limit_times"),
+    "limit_steps": Section("stock_limit_step_daily", "name nums"),
+    "suspensions": Section("stock_suspend_daily", "suspend_type suspend_timing"),
+    "concepts": Section(None, "source topic_code topic_name weight in_date out_date is_current"),
+    "theme_indices": Section(None, "source topic_code topic_name weight in_date out_date is_current"),
+    "market_themes": Section("market_theme_member_daily", "source theme_code topic_name industry reason hot_num"),
+}
+
+
+def event_sections(
+    tables: Mapping[str, DataFrame], releases: DataFrame, *, code: str | None = None, start: str | None = None, end: str | None = None,
+    limit_per_type: int | None = 50, datasets: Mapping[str, str] | None = None, key: str = "ts_code", day: str = "trade_date",
+) -> DataFrame:
+    """The newest ``limit_per_type`` rows (None: all) of every section of ``EVENT_SECTIONS`` per code: section, code, day, payload.
+
+    All sections are one union with their fields packed as JSON (nulls kept, fields that a table lacks left out), so that the
+    question costs one join with the releases and one window however many sections there are. Dated rows count on days on
+    which their section's dataset (``datasets`` may rename it) is released, within the range, newest first; memberships have no
+    day and no range, current ones first, then by name. Equal rows follow their payload's text.
+    """
+    strange = sorted(set(tables) - set(EVENT_SECTIONS))
+    if strange or not tables:
+        raise QueryError("INVALID_REQUEST", "unknown or no event sections", sections=strange)
+    k = row_limit(limit_per_type, 200, single=code is not None)
+    names = datasets or {}
+    dated: dict[str, DataFrame] = {}
+    standing: dict[str, DataFrame] = {}
+    for name, rows in tables.items():
+        dataset, fields = EVENT_SECTIONS[name]
+        if code is not None:
+            rows = rows.where(F.col(key) == F.lit(code.upper()))
+        body = F.struct(*[f for f in fields.split() if f in rows.columns])
+        payload = F.to_json(body, {"ignoreNullFields": "false"}).alias("payload")
+        if dataset is None:
+            standing[name] = rows.select(
+                key, F.lit(None).cast("date").alias(day), payload, F.col("is_current").alias("_current"), F.col("topic_name").alias("_name"))
+        else:
+            dated[name] = rows.select(
+                key, day, payload, F.lit(None).cast("boolean").alias("_current"), F.lit(None).cast("string").alias("_name"),
+                F.lit(names.get(name, dataset)).alias("_dataset"))
+    parts = []
+    if dated:
+        released = releases.select(F.col("dataset").alias("_dataset"), day).distinct()
+        within = date_range(day, start, end)
+        parts.append(union_tagged(dated, "section").where(within).join(released, ["_dataset", day], "left_semi").drop("_dataset"))
+    if standing:
+        parts.append(union_tagged(standing, "section"))
+    events = reduce(lambda a, b: a.unionByName(b), parts)
+    order = [F.col(day).desc_nulls_last(), F.col("_current").desc_nulls_last(), F.col("_name").asc_nulls_last(), F.col("payload")]
+    return top_k_or_all(events, ["section", key], order, k).select("section", key, day, "payload")
+
+
 def memberships(members: DataFrame, topics: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Membership edges with the topic's name, on the full topic key."""
     return members.join(topics, list(keys))

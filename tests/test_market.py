@@ -1,5 +1,7 @@
 """Contracts of the market questions that the registered queries do not show."""
 
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 from tapeloom.errors import QueryError
@@ -80,3 +82,25 @@ def test_recovery_needs_a_later_success(spark):
         "batch_id int, task_name string, scope_key string, status string, finished_at int")
     batches = spark.createDataFrame([(1, 1, None), (2, 2, None), (3, 3, None)], "batch_id int, scheduled_at int, business_date date")
     assert rows(ops.unresolved_collection(tasks, batches), "task_name") == [("b",)]
+
+
+def test_event_sections(spark):
+    day = [date(2024, 1, d) for d in range(1, 6)]
+    steps = spark.createDataFrame([("A", day[0], 1, None), ("A", day[1], 2, "n"), ("A", day[2], 3, "n"), ("A", day[2], 3, "n"), ("B", day[3], 4, "n"), (None, day[1], 5, "n")],
+                                  "ts_code string, trade_date date, nums int, name string")
+    boards = spark.createDataFrame([("A", "z", True), ("A", "y", False), ("A", "x", True), ("B", "x", None)], "ts_code string, topic_name string, is_current boolean")
+    log = spark.createDataFrame([("stock_limit_step_daily", d) for d in (*day[:3], day[0])] + [("other", day[3])], "dataset string, trade_date date")
+    tables = {"limit_steps": steps, "concepts": boards}
+    got = rows(mk.event_sections(tables, log, limit_per_type=2).where("ts_code = 'A'"), "section", "trade_date", "payload")
+    text = '{"topic_name":"%s","is_current":true}'
+    third = (day[2], '{"name":"n","nums":3}')
+    assert got == sorted([("concepts", None, text % "x"), ("concepts", None, text % "z"), ("limit_steps", *third), ("limit_steps", *third)], key=repr)
+    everything = mk.event_sections(tables, log, limit_per_type=None)
+    assert everything.count() == 4 + 1 + 4  # B's day is not released, the row without a code stays
+    assert ("limit_steps", '{"name":null,"nums":1}') in rows(everything, "section", "payload")
+    one = mk.event_sections(tables, log, code="a", start="2024-01-02", end="2024-01-02")
+    assert rows(one.where("section = 'limit_steps'"), "payload") == [('{"name":"n","nums":2}',)] and one.count() == 4
+    assert mk.event_sections({"limit_steps": steps.where("false")}, log).count() == 0
+    assert code(lambda: mk.event_sections({"gossip": steps}, log)) == "INVALID_REQUEST"
+    plan = mk.event_sections(tables, log)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("LeftSemi") == 1
