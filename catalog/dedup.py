@@ -42,6 +42,16 @@ def dedup_alias_conflicts(v: Views):
     return dd.alias_conflicts(alias_rows(v), ["code", "trade_date", "slot"], ["rank"])
 
 
+@query("dedup_alias_replaced", f"""WITH {_ALIAS},
+    placed AS (SELECT *, min(event_id) FILTER (WHERE NOT is_alias) OVER (PARTITION BY code, trade_date) AS current FROM mapped)
+    SELECT code, trade_date, is_alias, count(DISTINCT rank) + max(CASE WHEN rank IS NULL THEN 1 ELSE 0 END) AS variants FROM placed
+    WHERE NOT is_alias OR current IS NULL OR event_id < current GROUP BY ALL
+    HAVING count(DISTINCT rank) + max(CASE WHEN rank IS NULL THEN 1 ELSE 0 END) > 1""")
+def dedup_alias_replaced(v: Views):
+    """Conflicts of a day when the first quote under the new code replaces all that came under the old one."""
+    return dd.alias_conflicts(alias_rows(v), ["code", "trade_date"], ["rank"], order="event_id")
+
+
 @query("dedup_alias_report", f"""WITH {_ALIAS}
     SELECT CAST(sum(n) AS BIGINT) AS rows_read, count(*) AS rows_kept, CAST(sum(n) - count(*) AS BIGINT) AS duplicates,
            (SELECT count(DISTINCT source_code) FROM mapped WHERE is_alias) AS codes_mapped

@@ -299,6 +299,25 @@ def asset_constituents(v: Views):
     return mk.constituents(weights, v.parts.select("member", "name", "industry"), F.lit("2000-06-15").cast("date"), stock_key="member", limit=1000)
 
 
+@query("asset_constituents_released", """
+    WITH w AS (SELECT 'T' || l_suppkey AS index_code, 'P' || l_partkey AS con_code, CAST(date_trunc('month', l_shipdate) AS DATE) AS snapshot_date,
+               CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS weight FROM lineitem GROUP BY ALL),
+    r AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS released FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1 HAVING min(l_orderkey) % 3 = 0),
+    m AS (SELECT index_code, max(snapshot_date) AS snapshot_date FROM w WHERE snapshot_date <= (SELECT max(released) FROM r) GROUP BY ALL)
+    SELECT index_code, snapshot_date, con_code, weight, name, industry FROM w JOIN m USING (index_code, snapshot_date) JOIN v_parts p ON p.member = w.con_code""")
+def asset_constituents_released(v: Views):
+    """All members of each index's newest snapshot up to the newest released month."""
+    month = F.to_date(F.date_trunc("month", "l_shipdate"))
+    lines = v.table("lineitem")
+    released = lines.where("l_shipdate IS NOT NULL").groupBy(month.alias("trade_date")).agg(F.min("l_orderkey").alias("least")).where("least % 3 = 0").select(
+        F.lit("market_index_weight").alias("dataset"), "trade_date")
+    weights = lines.groupBy(
+        F.concat(F.lit("T"), F.col("l_suppkey").cast("string")).alias("index_code"),
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("con_code"), month.alias("snapshot_date"),
+    ).agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("weight"))
+    return mk.constituents(weights, v.parts.select("member", "name", "industry"), releases=released, stock_key="member", limit=None)
+
+
 @query("data_status", """
     WITH asked AS (SELECT unnest(['click', 'view', 'purchase', 'signup', 'error', 'dividends']) AS dataset),
     newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY trade_date DESC, published_at DESC) AS rn FROM v_rel) WHERE rn = 1)

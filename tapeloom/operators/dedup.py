@@ -49,10 +49,21 @@ def dedup_alias(
 
 
 def alias_conflicts(
-    mapped: DataFrame, keys: Sequence[str], matching: Sequence[str], *, alias_flag: str = "is_alias"
+    mapped: DataFrame, keys: Sequence[str], matching: Sequence[str], *, order: str | None = None, alias_flag: str = "is_alias"
 ) -> DataFrame:
-    """Keys where two rows of the same kind (both current or both aliased) disagree."""
-    variants = mapped.select(*keys, alias_flag, *[c for c in matching if c not in keys]).distinct()
+    """Keys where two rows of the same kind (both current or both aliased) disagree.
+
+    With ``order``, aliased rows count only before the key's first current row, which replaces them: those behind it (or at
+    the same place) are dropped whatever they say. Without it, all rows of a kind are compared. NULL agrees with NULL only.
+    """
+    fields = [c for c in matching if c not in keys]
+    if order is None:
+        variants = mapped.select(*keys, alias_flag, *fields).distinct()
+    else:
+        first = mapped.groupBy(*keys, alias_flag, *fields).agg(F.min(order).alias("_first"))
+        current = F.min(F.when(~F.col(alias_flag), F.col("_first"))).over(Window.partitionBy(*keys))
+        variants = first.withColumn("_current", current).where(
+            ~F.col(alias_flag) | F.col("_current").isNull() | (F.col("_first") < F.col("_current")))
     return variants.groupBy(*keys, alias_flag).agg(F.count("*").alias("variants")).where(F.col("variants") > 1)
 
 

@@ -66,10 +66,12 @@ def replace_month(target: DataFrame, stage: DataFrame, entity: str, day: str) ->
     return kept.select(*target.columns).unionByName(stage)
 
 
-def drop_stale(parents: DataFrame, day: str, synced: str = "synced_at") -> DataFrame:
-    """Remove parents of a date that the date's latest sync did not refresh."""
-    newest = parents.groupBy(day).agg(F.max(synced).alias(synced))
-    return parents.join(newest, [day, synced], "left_semi").select(*parents.columns)
+def drop_stale(parents: DataFrame, day: str, synced: str = "synced_at", *, within: Sequence[str] = ()) -> DataFrame:
+    """Remove parents of a date that the date's latest sync did not refresh; ``within`` names columns (such as the source)
+    whose values are synchronised on their own, so that one source's sync leaves the others' parents alone."""
+    scope = [*within, day]
+    newest = parents.groupBy(*scope).agg(F.max(synced).alias(synced))
+    return parents.join(newest, [*scope, synced], "left_semi").select(*parents.columns)
 
 
 def carry_over(

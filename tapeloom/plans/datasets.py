@@ -169,7 +169,7 @@ def _canonical(raw: DataFrame, aliases: DataFrame, name: str, keys: list[str], m
     mapped = dd.map_alias(raw, aliases)
     fields = matching or [c for c in raw.columns if c not in (*keys, "_ord", "_asset", "_row")]
     rows = dd.dedup_alias(mapped, keys, "_ord").drop("is_alias", "source_code")
-    return rows, [Check(lambda: dd.alias_conflicts(mapped, keys, fields), f"{name}: alias conflict")], {f"{name}_aliases": lambda: dd.alias_report(mapped, keys)}
+    return rows, [Check(lambda: dd.alias_conflicts(mapped, keys, fields, order="_ord"), f"{name}: alias conflict")], {f"{name}_aliases": lambda: dd.alias_report(mapped, keys)}
 
 
 def stock_daily_core(

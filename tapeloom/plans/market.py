@@ -365,12 +365,13 @@ def constituents(
 ) -> DataFrame:
     """Members of each index's newest snapshot, heaviest first, ``limit`` per index (None: all members).
 
-    With ``releases`` (dataset, trade_date = first day of a released month) the snapshot must lie in the newest month of
-    ``dataset`` released not after ``requested``; otherwise, or besides, it must not be after ``through``.
+    With ``releases`` (dataset, trade_date = first day of a released month) the snapshot must not lie after the newest month of
+    ``dataset`` released at or before ``requested``; otherwise, or besides, it must not be after ``through``.
     """
     rows = weights
     if releases is not None:
-        month = latest_joint(releases, [dataset], requested)
+        asked = releases if requested is None else releases.where(F.col("trade_date") <= F.lit(requested).cast("date"))
+        month = latest_joint(asked, [dataset])
         rows = rows.where(F.trunc(snapshot, "MM") <= F.trunc(month, "MM"))
         through = F.last_day(month) if through is None else F.least(through, F.last_day(month))
     if through is None:

@@ -132,6 +132,16 @@ def test_alias_dedup_prefers_the_current_code(spark):
     assert dd.alias_conflicts(mapped, ["ts_code", "trade_date"], ["v"]).count() == 0
     report = dd.alias_report(mapped, ["ts_code", "trade_date"]).first()
     assert (report["duplicates"], report["codes_mapped"]) == (2, 1)
+    def found(*quotes):
+        """Kinds in conflict for quotes of one key in source order."""
+        read = spark.createDataFrame([(c, "d", x, i) for i, (c, x) in enumerate(quotes)], raw.schema)
+        return rows(dd.alias_conflicts(dd.map_alias(read, aliases), ["ts_code", "trade_date"], ["v"], order="_ord"), "is_alias")
+
+    assert found(("OLD", 1.0), ("NEW", 2.0), ("OLD", 3.0)) == []  # the current row replaces the first and hides the last
+    assert found(("OLD", 1.0), ("OLD", 3.0), ("NEW", 2.0)) == [(True,)]
+    assert found(("NEW", 2.0), ("OLD", 1.0), ("OLD", 3.0)) == []
+    assert found(("NEW", 2.0), ("OLD", 1.0), ("NEW", 3.0)) == [(False,)]
+    assert found(("OLD", None), ("OLD", None)) == [] and found(("OLD", None), ("OLD", 1.0)) == [(True,)] and found() == []
     worse = dd.map_alias(raw.union(spark.createDataFrame([("X", "d", 9.0, 4)], raw.schema)), aliases)
     assert rows(dd.alias_conflicts(worse, ["ts_code", "trade_date"], ["v"]), "ts_code") == [("X",)]
 

@@ -104,3 +104,14 @@ def test_event_sections(spark):
     assert code(lambda: mk.event_sections({"gossip": steps}, log)) == "INVALID_REQUEST"
     plan = mk.event_sections(tables, log)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1 and plan.count("LeftSemi") == 1
+
+
+def test_constituents_of_the_newest_released_month(spark):
+    weights = spark.createDataFrame([("I", date(2024, m, 9), f"c{m}", 1.0) for m in (1, 2, 3)], "index_code string, snapshot_date date, con_code string, weight double")
+    stocks = spark.createDataFrame([(f"c{m}", "n") for m in (1, 2, 3)], "ts_code string, name string")
+    log = spark.createDataFrame([("market_index_weight", date(2024, 1, 1)), ("market_index_weight", date(2024, 2, 1)), ("other", date(2024, 3, 1))],
+                                "dataset string, trade_date date")
+
+    def members(requested):
+        return rows(mk.constituents(weights, stocks, releases=log, requested=requested), "con_code")
+    assert members(None) == members("2024-02-20") == [("c2",)] and members("2024-01-31") == [("c1",)] and members("2023-12-31") == []

@@ -66,6 +66,12 @@ def test_carry_over_needs_still_prices_and_a_valid_patch(spark):
     assert rows(got, "ts_code", "up") == [("a", 11.0), ("b", None), ("c", None)]
 
 
+def test_stale_parents_of_one_source_only(spark):
+    parents = spark.createDataFrame([("S", "1", "a", 1), ("S", "1", "b", 2), ("Z", "1", "c", 1), ("Z", "2", "d", 1)], "source string, trade_date string, code string, synced_at int")
+    assert rows(pb.drop_stale(parents, "trade_date"), "code") == [("b",), ("d",)]
+    assert rows(pb.drop_stale(parents, "trade_date", within=["source"]), "code") == [("b",), ("c",), ("d",)]
+
+
 def test_versioned_table(spark, tmp_path):
     table = pb.VersionedTable(spark, str(tmp_path / "t"), "daily")
     table.publish_scopes(frame(spark, (1, "x", 1), (2, "y", 2)), F.col("d"), "001")
