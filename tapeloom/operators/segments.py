@@ -189,10 +189,11 @@ def segment_snapshots(
         up = level.groupBy(*scope, F.shiftright("_node", FAN_BITS).alias("_up"))
         entries = up.cogroup(entries.withColumnRenamed("_node", "_up").groupBy(*scope, "_up")).applyInPandas(descend, entry_schema)
 
-    def same(left: DataFrame, right: DataFrame, names: list[str]):
-        on = [left[n].eqNullSafe(right[n]) for n in names]
-        return left.join(right, on)
-    met = same(chunks, entries, [*scope, "_node"]).select(*[chunks[c] for c in scope], "_positions", "_places", "_entry")
+    def same(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+        """Null-safe join; the right names are renamed, as one chunk makes ``entries`` a selection of ``chunks`` itself."""
+        renamed = right.withColumnsRenamed({n: f"_same_{n}" for n in names})
+        return left.join(renamed, [F.col(n).eqNullSafe(F.col(f"_same_{n}")) for n in names]).drop(*[f"_same_{n}" for n in names])
+    met = same(chunks, entries, [*scope, "_node"]).select(*scope, "_positions", "_places", "_entry")
     label_schema = T.StructType([*fields, T.StructField("_o", T.LongType()), T.StructField(segment, T.LongType())])
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
