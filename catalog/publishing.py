@@ -191,15 +191,15 @@ def stream_publish_reset(v: Views):
 
 @query("stream_dedup", "SELECT code, event_id AS delivery, trade_date FROM v_ticks")
 def stream_dedup(v: Views):
-    """Every tick is delivered, then all are delivered again in a second stream, far behind the first one's watermark; each is published once."""
+    """Every tick is delivered, then all are delivered again in a second stream; each is published once, in whatever order the files come."""
     rows = v.ticks.select("code", F.col("event_id").alias("delivery"), "trade_date", F.col("ts").cast("timestamp").alias("at"))
     table = pb.VersionedTable(v.spark, scratch_path(v.spark, "deliveries"), "deliveries")
     bloom = pb.VersionedTable(v.spark, scratch_path(v.spark, "bloom"), "deliveries", "BUCKET")
     day, keys = F.date_format(F.col("trade_date").cast("timestamp_ntz"), "yyyy-MM-dd"), ["delivery", "trade_date"]
     for _ in range(2):
-        near = st.first_delivery(_landed(v, rows, "at"), keys, "at", "2 days")
-        far = st.first_delivery_into(table, bloom, day, keys)
-        near.writeStream.foreachBatch(far).option("checkpointLocation", scratch_path(v.spark, "state")).trigger(availableNow=True).start().awaitTermination()
+        once = st.first_delivery_into(table, bloom, day, keys)
+        landed = _landed(v, rows, "at")
+        landed.writeStream.foreachBatch(once).option("checkpointLocation", scratch_path(v.spark, "state")).trigger(availableNow=True).start().awaitTermination()
     return table.read().select("code", "delivery", "trade_date")
 
 

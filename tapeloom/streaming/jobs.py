@@ -96,7 +96,11 @@ def quota_sums(table: VersionedTable, width: str) -> Callable[[DataFrame, int],
 
 
 def first_delivery(stream: DataFrame, keys: Sequence[str], at: str, lateness: str) -> DataFrame:
-    """Drop rows re-delivered on their natural key within the lateness bound."""
+    """Drop rows re-delivered on their natural key within the lateness bound.
+
+    A first delivery that comes later than the bound is dropped as well, so this is for feeds that arrive in the order of ``at``;
+    ``first_delivery_into`` keeps them whatever their order.
+    """
     return stream.withWatermark(at, lateness).dropDuplicatesWithinWatermark(list(keys))
 
 
@@ -105,7 +109,7 @@ def first_delivery_into(
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` handler that appends rows whose key was never published, however long ago the first delivery was.
 
-    ``first_delivery`` drops repeats of the near past by its state; this looks further back. A Bloom filter of all published keys
+    It needs no watermark, so no row is too late and files may come in any order. A Bloom filter of all published keys
     passes most new keys without touching the table; what it may contain is compared exactly with the keys of the scopes
     concerned (``scope`` must follow from the keys). The filter is a table of ``bits`` / 64 words at most, which is also what the
     driver holds; it is only ever added to, so a replayed batch leaves it as it was. When it fills up, more rows are compared.

@@ -82,3 +82,20 @@ def test_bars_on_a_base_of_zero_are_whole(spark):
     got = pipelines.pipe_optional_factor(views).orderBy("trade_date").collect()
     assert [(r["trade_date"].day, float(r["close"]), r["adj_factor"]) for r in got] == [(3, 0.0, None), (4, 5.0, 3)]
     assert [(r["trade_date"].day, r["reason"]) for r in pipelines.pipe_optional_factor_rejects(views).collect()] == [(2, "invalid pre_close")]
+
+
+def test_deliveries_in_files_out_of_order_are_whole(spark, monkeypatch):
+    """The newest file is read first: a watermark would drop the two that lie days behind it."""
+    views = Views(spark, "")
+    views.__dict__["ticks"] = spark.range(9).selectExpr("concat('U', id) AS code", "id AS event_id", "date_add(DATE'2024-01-01', cast(id * 3 AS int)) AS trade_date") \
+        .withColumn("ts", F.col("trade_date").cast("timestamp"))
+
+    def landed(v, rows, at):
+        path = scratch_path(spark, "backwards")
+        for third in (2, 1, 0):
+            rows.where(F.floor(F.col("delivery") / 3) == third).coalesce(1).write.mode("append").parquet(path)
+            time.sleep(1)
+        return st.landing(spark, path, rows.schema, files_per_batch=1)
+    monkeypatch.setattr(publishing, "_landed", landed)
+    got = publishing.stream_dedup(views)
+    assert sorted(r["delivery"] for r in got.collect()) == list(range(9))
