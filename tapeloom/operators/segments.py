@@ -2,9 +2,10 @@
 
 The rule is sequential, but a run is described by its start alone once each row knows where its code or rank last occurred: a row opens
 a snapshot when that place is not before the current start. What a stretch of rows does to an incoming start is therefore a
-step function, and step functions compose. Chunks of bounded size each make theirs; a tree of fan-in ``FAN`` composes
-them upwards and hands the starts down again, so that one scope spreads over all tasks; then every chunk labels its rows along
-pointers to the next break. Chunk work is numpy over whole arrays (pointer doubling), without a loop over rows.
+step function, and step functions compose. Chunks of bounded size each make theirs, and one call of Python composes those of a block of
+chunks; a tree of fan-in ``FAN`` composes the blocks upwards and hands the starts down again, so that one scope spreads over all tasks;
+then every chunk labels its rows along pointers to the next break. Chunk work is numpy over whole arrays (pointer doubling), without a
+loop over rows.
 
 A step function has one step per place before the stretch that can cause a break, up to the first repeat inside the
 stretch: never more than one snapshot has rows.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -29,7 +31,7 @@ from tapeloom.session import scratch_path
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NONE = -(2**62)  # no start yet, no earlier place
-FAN_BITS = 3
+FAN_BITS = 5
 FAN = 1 << FAN_BITS
 
 
@@ -91,7 +93,8 @@ def next_breaks(positions: np.ndarray, prev: np.ndarray) -> np.ndarray:
 
 def chunk_steps(positions: np.ndarray, prev: np.ndarray) -> Steps:
     n = len(positions)
-    jump = np.where(next_breaks(positions, prev)[:n] < n, next_breaks(positions, prev)[:n], np.arange(n))
+    ends = next_breaks(positions, prev)[:n]
+    jump = np.where(ends < n, ends, np.arange(n))
     for _ in range(n.bit_length()):
         jump = jump[jump]
     final = positions[jump]
@@ -113,21 +116,36 @@ def chunk_labels(positions: np.ndarray, prev: np.ndarray, start: int) -> np.ndar
     return np.where(last < 0, start, positions[last])
 
 
+def chunks_of(positions: np.ndarray, bits: int) -> list[slice]:
+    """The chunks of a block's rows."""
+    cuts = np.flatnonzero(np.diff(positions >> bits)) + 1
+    return [slice(a, b) for a, b in zip([0, *cuts], [*cuts, len(positions)], strict=True)]
+
+
 def segment_snapshots(
-    feed: DataFrame, scope: Sequence[str], order: str, code: str, rank: str, *, chunk_rows: int = 8192,
+    feed: DataFrame, scope: Sequence[str], order: str, code: str, rank: str, *, chunk_rows: int = 8192, block_rows: int = 8192,
     segment: str = "segment_start",
 ) -> DataFrame:
     """``feed`` with the ``order`` at which the snapshot of each row starts.
 
-    ``order`` is a whole-number position, unique inside a scope; ``chunk_rows`` is a power of two. Missing codes and ranks
-    count as one value; scopes may be null. What the chunks found is written below the checkpoint folder, 16 bytes a row.
+    ``order`` is a whole-number position, unique inside a scope; ``chunk_rows`` and ``block_rows`` are powers of two. Missing
+    codes and ranks count as one value; scopes may be null. A call of Python takes a block of chunks, so that small chunks do not cost
+    a call each. What the blocks found, the levels of the tree and the labels are written below the checkpoint folder, about 40
+    bytes a row, so that no use of the result computes them again.
     """
-    if chunk_rows < 1 or chunk_rows & (chunk_rows - 1):
-        raise ValueError("chunk_rows must be a power of two")
+    if any(n < 1 or n & (n - 1) for n in (chunk_rows, block_rows)):
+        raise ValueError("chunk_rows and block_rows must be powers of two")
     scope = list(scope)
+    chunk_bits = chunk_rows.bit_length() - 1
+    block_bits = max(chunk_bits, block_rows.bit_length() - 1)
+
+    def written(frame: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(feed.sparkSession, name)
+        frame.write.parquet(path)
+        return feed.sparkSession.read.schema(frame.schema).parquet(path)
     position = F.col(order).cast("bigint")
     rows = feed.select(
-        *scope, F.shiftright(position, chunk_rows.bit_length() - 1).alias("_node"), position.alias("_o"),
+        *scope, F.shiftright(position, block_bits).alias("_node"), position.alias("_o"),
         F.coalesce(F.col(code).cast("string"), F.lit("\0")).alias("_code"), F.coalesce(F.col(rank).cast("string"), F.lit("\0")).alias("_rank"))
     marks = F.explode(F.array(
         F.struct(F.lit("c").alias("kind"), F.col("_code").alias("value")), F.struct(F.lit("r").alias("kind"), F.col("_rank").alias("value"))))
@@ -145,21 +163,20 @@ def segment_snapshots(
         values = [*key, steps.first, steps.fresh, steps.limits, steps.ends, *more.values()]
         return pd.DataFrame({n: pd.Series([v], dtype=object if isinstance(v, np.ndarray) else None) for n, v in zip([*(f.name for f in node_fields), *more], values, strict=True)})
 
-    def make_chunk(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def make_block(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("_o")
         positions = left["_o"].to_numpy()
         seen = [right[right["kind"] == k].set_index("value")["_prev"] for k in "cr"]
         prev = np.maximum(previous(positions, left["_code"], seen[0]), previous(positions, left["_rank"], seen[1]))
-        return row_of(key, chunk_steps(positions, prev), _positions=positions, _places=prev)
+        steps = reduce(compose, [chunk_steps(positions[at], prev[at]) for at in chunks_of(positions, chunk_bits)])
+        return row_of(key, steps, _positions=positions, _places=prev)
 
     made = rows.groupBy(*scope, "_node").cogroup(earlier.groupBy(*scope, "_node")).applyInPandas(
-        make_chunk, T.StructType([*node_fields, T.StructField("_positions", longs), T.StructField("_places", longs)]))
-    path = scratch_path(feed.sparkSession, "segments")
-    made.write.parquet(path)
-    chunks = feed.sparkSession.read.schema(made.schema).parquet(path)
-    lowest, highest = chunks.agg(F.min("_node"), F.max("_node")).first()
+        make_block, T.StructType([*node_fields, T.StructField("_positions", longs), T.StructField("_places", longs)]))
+    blocks = written(made, "segments")
+    lowest, highest = blocks.agg(F.min("_node"), F.max("_node")).first()
     span = 0 if lowest is None else highest - lowest
-    chunks = chunks.withColumn("_node", F.col("_node") - (lowest or 0))
+    blocks = blocks.withColumn("_node", F.col("_node") - (lowest or 0))
 
     def steps_of(pdf: pd.DataFrame) -> list[Steps]:
         return [Steps(*r) for r in pdf.sort_values("_node")[["_first", "_fresh", "_limits", "_ends"]].itertuples(index=False, name=None)]
@@ -179,9 +196,10 @@ def segment_snapshots(
         out["_entry"] = np.array(starts, dtype="int64")
         return out
 
-    levels = [chunks.select(*[f.name for f in node_fields])]
+    levels = [blocks.select(*[f.name for f in node_fields])]
     while span > 0:
-        levels.append(levels[-1].groupBy(*scope, F.shiftright("_node", FAN_BITS).alias("_node")).applyInPandas(ascend, T.StructType(node_fields)))
+        level = levels[-1].groupBy(*scope, F.shiftright("_node", FAN_BITS).alias("_node")).applyInPandas(ascend, T.StructType(node_fields))
+        levels.append(written(level, "segment-level"))
         span >>= FAN_BITS
     entry_schema = T.StructType([*fields, T.StructField("_node", T.LongType()), T.StructField("_entry", T.LongType())])
     entries = levels[-1].select(*scope, "_node", F.lit(NONE).alias("_entry"))
@@ -190,10 +208,10 @@ def segment_snapshots(
         entries = up.cogroup(entries.withColumnRenamed("_node", "_up").groupBy(*scope, "_up")).applyInPandas(descend, entry_schema)
 
     def same(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
-        """Null-safe join; the right names are renamed, as one chunk makes ``entries`` a selection of ``chunks`` itself."""
+        """Null-safe join; the right names are renamed, as one block makes ``entries`` a selection of ``blocks`` itself."""
         renamed = right.withColumnsRenamed({n: f"_same_{n}" for n in names})
         return left.join(renamed, [F.col(n).eqNullSafe(F.col(f"_same_{n}")) for n in names]).drop(*[f"_same_{n}" for n in names])
-    met = same(chunks, entries, [*scope, "_node"]).select(*scope, "_positions", "_places", "_entry")
+    met = same(blocks, entries, [*scope, "_node"]).select(*scope, "_positions", "_places", "_entry")
     label_schema = T.StructType([*fields, T.StructField("_o", T.LongType()), T.StructField(segment, T.LongType())])
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,7 +219,11 @@ def segment_snapshots(
             for record in pdf.itertuples(index=False, name=None):
                 *where, positions, prev, entry = record
                 out = {n: pd.Series([v] * len(positions), dtype=pdf[n].dtype) for n, v in zip(scope, where, strict=True)}
-                yield pd.DataFrame({**out, "_o": positions, segment: chunk_labels(positions, prev, int(entry))})
+                found, start = [], int(entry)
+                for at in chunks_of(positions, chunk_bits):
+                    found.append(chunk_labels(positions[at], prev[at], start))
+                    start = int(found[-1][-1])
+                yield pd.DataFrame({**out, "_o": positions, segment: np.concatenate(found)})
 
-    labels = met.mapInPandas(label, label_schema).withColumnRenamed("_o", order)
+    labels = written(met.mapInPandas(label, label_schema), "segment-labels").withColumnRenamed("_o", order)
     return same(feed, labels, [*scope, order]).select(*[feed[c] for c in feed.columns], segment)

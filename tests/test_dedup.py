@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tapeloom.operators import dedup as dd
+from tapeloom.session import scratch_path
 from tests.conftest import rows
 
 RULES = dd.MergeRules(["k"], "o", free=["name"], money=["amt"], rate=["rate"])
@@ -187,3 +188,18 @@ def test_step_functions_compose_in_any_order(data):
         for p in tail:
             value = p.apply(value)
         assert later.apply(np.array([s])) == value
+
+
+@pytest.mark.parametrize("block", [4, 64])
+def test_a_call_takes_a_block_of_chunks(spark, monkeypatch, block):
+    """Chunks of two rows: as many are composed in Python as there are, but calls and rows written only per block."""
+    from tapeloom.operators import segments as sg
+    rng, written = random.Random(block), []
+    order = sorted(rng.sample(range(3000), 400))
+    items = [(o, f"c{rng.randint(0, 9)}", rng.randint(0, 9)) for o in order]
+    monkeypatch.setattr(sg, "scratch_path", lambda s, name: written.append(scratch_path(s, name)) or written[-1])
+    df = spark.createDataFrame([("s", *i) for i in items], "scope string, o long, code string, rank int")
+    out = sg.segment_snapshots(df, ["scope"], "o", "code", "rank", chunk_rows=2, block_rows=block)
+    assert rows(out, "o", "segment_start") == sorted(zip(order, cut(items), strict=True), key=repr)
+    assert spark.read.parquet(written[0]).count() == len({o // block for o in order})
+    assert sum("segment-level" in p for p in written) == 2
