@@ -24,6 +24,7 @@ from tapeloom.operators import quality as qa
 from tapeloom.operators.sets import union_tagged
 from tapeloom.plans import cleaning as cl
 from tapeloom.plans.cleaning import Check, Prepared
+from tapeloom.session import scratch_path
 
 KEY = ["ts_code", "trade_date"]
 PRICES = "open high low close pre_close"
@@ -388,6 +389,26 @@ def _hot_rows(df: DataFrame, source: str, rank_type: Column, business_date: Colu
         cl.numbers(tt.SCORE, "hot"), [cl.Out("rank_time", F.col("_captured"), F.col("_captured").isNull(), "invalid rank_time")])
 
 
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    """Rows that several checks and the result read, written once below the checkpoint folder."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _newest_capture(captured: DataFrame, scope: str) -> DataFrame:
+    """The rows of each scope's newest complete capture; times are parsed once per distinct text, not per row."""
+    keys = [scope, "trade_date"]
+    times = captured.groupBy(*keys, "rank_time").agg(F.count("*").alias("_n")).withColumn(
+        "_captured", sc.capture_time("rank_time", sc.strict_date("trade_date")))
+    sizes = times.groupBy(*keys, "_captured").agg(F.sum("_n").alias("_size"))
+    best = sizes.groupBy(*keys).agg(F.max(F.struct("_size", "_captured"))["_captured"].alias("_captured"))
+    chosen = times.join(best, [*keys, "_captured"], "left_semi").select(
+        *[F.col(c).alias(f"_{c}") for c in keys], F.col("rank_time").alias("_time"), "_captured")
+    same = [F.col(c) == F.col(f"_{c}") for c in keys]
+    return captured.join(chosen, [*same, F.col("rank_time").eqNullSafe(F.col("_time"))]).select(*captured.columns, "_captured")
+
+
 def stock_hot_rank_daily(
     ordered: DataFrame | None, captured: DataFrame | None, stock_master: DataFrame, business_date: Column | None = None,
     *, scope: str = "scope_key", chunk_rows: int = 8192,
@@ -402,11 +423,10 @@ def stock_hot_rank_daily(
     if ordered is not None:
         ordered = ordered.withColumn("_captured", sc.capture_time("rank_time", sc.strict_date("trade_date")))
         segments = dd.segment_snapshots(ordered, [scope, "trade_date"], "_ord", "ts_code", "rank", chunk_rows=chunk_rows)
-        newest = dd.latest_complete_segment(segments, [scope, "trade_date"], "_captured")
+        newest = _kept(dd.latest_complete_segment(segments, [scope, "trade_date"], "_captured"), "hot-segments")
         parts.append(cl.usable(_hot_rows(newest, "THS", F.lit("FINAL"), business_date), "ths_hot"))
     if captured is not None:
-        captured = captured.withColumn("_captured", sc.capture_time("rank_time", sc.strict_date("trade_date")))
-        newest = dd.latest_complete_snapshot(captured, [scope, "trade_date"], "_captured")
+        newest = _kept(_newest_capture(captured, scope), "hot-captures")
         parts.append(cl.usable(_hot_rows(newest, "DC", sc.scope_param(scope, "hot_type"), business_date), "dc_hot"))
     rows = reduce(lambda a, b: a.unionByName(b), [frame for frame, _ in parts])
     checks = [check for _, check in parts]

@@ -257,3 +257,13 @@ def test_registry_is_complete(spark):
     assert rows(ds.DATASETS["etf_daily"].publish(target, stage), "ts_code") == [("b",), ("c",)]
     assert rows(ds.DATASETS["etf_daily"].publish(target, stage.where("false"), stage), "ts_code") == [("b",)]
     assert rows(ds.DATASETS["stock_daily.limit"].publish(target, stage.withColumn("ts_code", F.lit("a"))), "ts_code", "v") == [("a", 3), ("b", 2)]
+
+
+def test_newest_capture_over_spellings_of_a_time(spark, make, stock):
+    """Two spellings of a time, and a missing one, are one capture each; what the checks read is written once."""
+    base = {"trade_date": D, "data_type": "x", "ts_name": "n", "hot": 1.0}
+    times = ["09:00:00", "90000", "10:00:00", None, "22:30:00"]
+    dc = make("dc_hot", *[{**base, "ts_code": f"{i}.SZ", "rank": i, "rank_time": t} for i, t in enumerate(times)]).withColumn("scope_key", F.lit("m=1;hot_type=UP"))
+    out = ds.stock_hot_rank_daily(None, dc, stock).verify()
+    assert rows(out.rows, "ts_code") == [("3.SZ",), ("4.SZ",)]
+    assert any("hot-captures" in f for f in out.rows.inputFiles())
