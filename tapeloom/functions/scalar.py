@@ -23,15 +23,22 @@ BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\
 
 
 def clean_text(value: Column | str) -> Column:
-    """Drop NUL characters, strip white space of any kind; empty text becomes NULL."""
-    text = F.replace(_col(value).cast("string"), F.lit("\0"), F.lit(""))
-    return F.nullif(F.btrim(text, F.lit(BLANKS)), F.lit(""))
+    """Drop NUL characters, strip white space of any kind; empty text becomes NULL.
+
+    Text that begins and ends with a printable ASCII character has nothing to strip and is not searched for white space.
+    """
+    raw = _col(value).cast("string")
+    text = F.replace(raw, F.lit("\0"), F.lit(""))
+    bare = F.substring(raw, 1, 1).between("!", "~") & F.substring(raw, -1, 1).between("!", "~")
+    return F.when(bare, text).otherwise(F.nullif(F.btrim(text, F.lit(BLANKS)), F.lit("")))
 
 
 def strict_date(value: Column | str) -> Column:
-    """``yyyyMMdd`` text to a date; anything else is NULL."""
-    text = clean_text(value)
-    return F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
+    """``yyyyMMdd`` text to a date; anything else is NULL. Eight bare digits are not cleaned first, nor parsed by a pattern."""
+    raw = _col(value).cast("string")
+    text = clean_text(raw)
+    iso = F.concat_ws("-", F.substring(raw, 1, 4), F.substring(raw, 5, 2), F.substring(raw, 7, 2))
+    return F.when(raw.rlike(r"\A[0-9]{8}\z"), iso.try_cast("date")).when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
 
 
 def decimal_value(value: Column | str, dtype: T.DecimalType = tt.PRICE, *, text: bool = True) -> Column:

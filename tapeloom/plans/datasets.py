@@ -24,7 +24,7 @@ from tapeloom.operators import quality as qa
 from tapeloom.operators.sets import union_tagged
 from tapeloom.plans import cleaning as cl
 from tapeloom.plans.cleaning import Check, Prepared
-from tapeloom.session import scratch_path
+from tapeloom.session import written
 
 KEY = ["ts_code", "trade_date"]
 PRICES = "open high low close pre_close"
@@ -175,14 +175,15 @@ def _canonical(raw: DataFrame, aliases: DataFrame, name: str, keys: list[str], m
 
 def stock_daily_core(
     daily: DataFrame, basic: DataFrame, factor: DataFrame, aliases: DataFrame, stock_master: DataFrame, *,
-    business_date: Column | None = None, previous: DataFrame | None = None, patch_dates: DataFrame | None = None,
+    business_date: Column | None = None, previous: DataFrame | None = None, patch_dates: DataFrame | None = None, keep: cl.Keep | None = None,
 ) -> Prepared:
     """Quotes with adjustment factors and, where both sources agree, valuation columns.
 
     Change and percent change are always recomputed. A market segment whose valuation feed
     repeats the previous close is left without valuation as a whole. Few defects are
     isolated and reported, many stop the batch. With a previous version, limit prices are
-    carried over where prices did not move.
+    carried over where prices did not move. All checks and the result read the same cleaned
+    feeds: ``keep`` writes them once where more than one is wanted.
     """
     d_raw, checks, reports = _canonical(daily, aliases, "daily", KEY)
     b_raw, more, rep = _canonical(basic, aliases, "daily_basic", KEY)
@@ -193,11 +194,11 @@ def stock_daily_core(
         d_raw, *base, cl.numbers(tt.PRICE, "open high low close", required=True), cl.numbers(tt.PRICE, "pre_close"),
         cl.numbers(tt.PRICE, source_change="change"), cl.numbers(tt.RATIO, source_pct="pct_chg"),
         cl.scaled(100, volume="vol", required=True), cl.scaled(1_000, amount="amount", required=True),
-        cl.scaled(100, after_hours_volume="ah_vol"), cl.scaled(1_000, after_hours_amount="ah_amount")), "daily")
+        cl.scaled(100, after_hours_volume="ah_vol"), cl.scaled(1_000, after_hours_amount="ah_amount")), "daily", keep)
     values, values_ok = cl.usable(cl.cleaned(
         b_raw, *base, cl.numbers(tt.PRICE, basic_close="close"), cl.numbers(tt.RATIO, RATIOS), cl.numbers(tt.PRICE, MULTIPLES),
-        cl.scaled(10_000, SHARES)), "daily_basic")
-    factors, factors_ok = cl.usable(cl.cleaned(f_raw, *base, cl.numbers(tt.FACTOR, "adj_factor", required=True)), "adj_factor")
+        cl.scaled(10_000, SHARES)), "daily_basic", keep)
+    factors, factors_ok = cl.usable(cl.cleaned(f_raw, *base, cl.numbers(tt.FACTOR, "adj_factor", required=True)), "adj_factor", keep)
     checks += [ok, values_ok, factors_ok, Check(lambda: jn.uncovered(quotes, factors, KEY), "adj_factor does not cover daily"),
                Check(lambda: quotes.where(ohlc_invalid() | (F.col("pre_close") <= 0)), "daily: inconsistent prices")]
 
@@ -211,6 +212,8 @@ def stock_daily_core(
         isolate=bse & F.coalesce("lagging", F.lit(False))).drop("lagging")
 
     def issues() -> DataFrame:
+    if keep is not None:
+        enriched = keep(enriched, "enriched")
         extra = jn.extra_keys(values, quotes, KEY)
         return enriched.select(*KEY, "enrich_issue", F.lit(True).alias("quoted")).unionByName(
             extra.select(*KEY, F.lit("no daily row").alias("enrich_issue"), F.lit(False).alias("quoted")))
@@ -389,13 +392,6 @@ def _hot_rows(df: DataFrame, source: str, rank_type: Column, business_date: Colu
         cl.numbers(tt.SCORE, "hot"), [cl.Out("rank_time", F.col("_captured"), F.col("_captured").isNull(), "invalid rank_time")])
 
 
-def _kept(rows: DataFrame, name: str) -> DataFrame:
-    """Rows that several checks and the result read, written once below the checkpoint folder."""
-    path = scratch_path(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def _newest_capture(captured: DataFrame, scope: str) -> DataFrame:
     """The rows of each scope's newest complete capture; times are parsed once per distinct text, not per row."""
     keys = [scope, "trade_date"]
@@ -423,10 +419,10 @@ def stock_hot_rank_daily(
     if ordered is not None:
         ordered = ordered.withColumn("_captured", sc.capture_time("rank_time", sc.strict_date("trade_date")))
         segments = dd.segment_snapshots(ordered, [scope, "trade_date"], "_ord", "ts_code", "rank", chunk_rows=chunk_rows)
-        newest = _kept(dd.latest_complete_segment(segments, [scope, "trade_date"], "_captured"), "hot-segments")
+        newest = written(dd.latest_complete_segment(segments, [scope, "trade_date"], "_captured"), "hot-segments")
         parts.append(cl.usable(_hot_rows(newest, "THS", F.lit("FINAL"), business_date), "ths_hot"))
     if captured is not None:
-        newest = _kept(_newest_capture(captured, scope), "hot-captures")
+        newest = written(_newest_capture(captured, scope), "hot-captures")
         parts.append(cl.usable(_hot_rows(newest, "DC", sc.scope_param(scope, "hot_type"), business_date), "dc_hot"))
     rows = reduce(lambda a, b: a.unionByName(b), [frame for frame, _ in parts])
     checks = [check for _, check in parts]

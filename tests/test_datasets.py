@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tapeloom.errors import QualityError
 from tapeloom.plans import datasets as ds
+from tapeloom.session import written
 from tapeloom.sources.feeds import FEEDS
 from tests.conftest import rows
 
@@ -267,3 +268,26 @@ def test_newest_capture_over_spellings_of_a_time(spark, make, stock):
     out = ds.stock_hot_rank_daily(None, dc, stock).verify()
     assert rows(out.rows, "ts_code") == [("3.SZ",), ("4.SZ",)]
     assert any("hot-captures" in f for f in out.rows.inputFiles())
+
+
+def once(names):
+    """A ``keep`` that notes what it writes; afterwards nothing may read the raw feeds again."""
+    def keep(rows, name):
+        names.append(name)
+        return written(rows, name)
+    return keep
+
+
+def raw_scans(df):
+    """Reads of hand-written feeds, told by a column that only they have."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("_ord#")
+
+
+def test_core_checks_and_rows_read_feeds_written_once(make, aliases, stock):
+    quotes, names = [quote("A.SZ"), quote("B.SZ", pre=None), quote("O.SZ", close=10.5)], []
+    out = core(make, aliases, stock, quotes, keep=once(names))
+    assert names == ["daily", "daily_basic", "adj_factor", "enriched"]
+    assert raw_scans(out.rows) == 0 and sum(raw_scans(c.frame()) > 0 for c in out.checks) == 3  # only the alias conflicts read what was delivered
+    assert rows(out.rows) == rows(core(make, aliases, stock, quotes).rows)
+    spoiled = core(make, aliases, stock, [quote("A.SZ"), quote("B.SZ", vol=None)], keep=once([]))
+    assert rows(next(c for c in spoiled.checks if c.message == "daily: invalid rows").frame(), "ts_code", "_bad") == [("B.SZ", "invalid volume")]

@@ -1,3 +1,4 @@
+import itertools
 from datetime import date
 from decimal import Decimal
 
@@ -134,3 +135,14 @@ def test_sort_puts_nulls_like_the_declared_order(spark):
     down = [r[0] for r in df.orderBy(*CAT.ordering([pr.Sort("market.limit_status")])).collect()]
     up = [r[0] for r in df.orderBy(*CAT.ordering([pr.Sort("market.limit_status", "asc")])).collect()]
     assert down == [None, 2, 1] and up == [1, 2, None]
+
+
+def test_bare_texts_and_dates_equal_the_cleaned_ones(spark):
+    """What is not searched for white space or parsed by a pattern gives the same as what is."""
+    texts = ["".join(p) for n in range(4) for p in itertools.product("\0 \x1f\x7f\x85\u3000a!~\u00e9\U0001F600", repeat=n)]
+    days = [f"{y:04d}{m:02d}{d:02d}{end}" for y in (0, 1, 1582, 1900, 2000, 2023, 9999) for m in (0, 2, 4, 10, 13) for d in (0, 1, 5, 14, 28, 29, 30, 31) for end in ("", "\n", "a")]
+    df = spark.createDataFrame([(t,) for t in [*texts, *days, None]], "c string")
+    text = F.nullif(F.btrim(F.replace("c", F.lit("\0"), F.lit("")), F.lit(sc.BLANKS)), F.lit(""))
+    day = F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
+    differ = df.where(~text.eqNullSafe(sc.clean_text("c")) | ~day.eqNullSafe(sc.strict_date("c")))
+    assert differ.count() == 0 and df.where(day.isNotNull()).count() > 200
