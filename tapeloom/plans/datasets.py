@@ -51,8 +51,8 @@ def _listed(rows: DataFrame, master: DataFrame, *, active: bool = False) -> tupl
     return jn.in_master(rows, master, mapping, exclude=gone), lambda: jn.not_in_master(rows, master, mapping, exclude=gone)
 
 
-def _simple(df: DataFrame, name: str, keys: list[str], *groups: list[cl.Out]) -> Prepared:
-    rows, check = cl.usable(cl.cleaned(df, *groups), name)
+def _simple(df: DataFrame, name: str, keys: list[str], *groups: list[cl.Out], keep: cl.Keep | None = None) -> Prepared:
+    rows, check = cl.usable(cl.cleaned(df, *groups), name, keep)
     return Prepared(rows, [check, cl.unique(rows, keys, name)])
 
 
@@ -151,13 +151,15 @@ def index_daily_basic(raw: DataFrame, index_master: DataFrame, business_date: Co
     return out
 
 
-def market_index_weight(raw: DataFrame, index_master: DataFrame, stock_master: DataFrame, month: Column | None = None) -> Prepared:
-    """Index members of one month; published by replacing (index, month)."""
+def market_index_weight(
+    raw: DataFrame, index_master: DataFrame, stock_master: DataFrame, month: Column | None = None, *, keep: cl.Keep | None = None,
+) -> Prepared:
+    """Index members of one month; published by replacing (index, month). ``keep`` writes the cleaned feed once for checks and result."""
     day = sc.strict_date("trade_date")
     off = day.isNull() if month is None else ~F.trunc(day, "MM").eqNullSafe(month)
     out = _simple(
         raw, "market_index_weight", ["index_code", "snapshot_date", "con_code"], cl.text("index_code con_code", required=True),
-        [cl.Out("snapshot_date", day, off, "wrong month")], cl.numbers(tt.WEIGHT, "weight", required=True))
+        [cl.Out("snapshot_date", day, off, "wrong month")], cl.numbers(tt.WEIGHT, "weight", required=True), keep=keep)
     out.rows = jn.in_both_masters(out.rows, index_master, stock_master, topic={"index_code": "ts_code"}, member={"con_code": "ts_code"})
     return out
 

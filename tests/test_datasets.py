@@ -291,3 +291,14 @@ def test_core_checks_and_rows_read_feeds_written_once(make, aliases, stock):
     assert rows(out.rows) == rows(core(make, aliases, stock, quotes).rows)
     spoiled = core(make, aliases, stock, [quote("A.SZ"), quote("B.SZ", vol=None)], keep=once([]))
     assert rows(next(c for c in spoiled.checks if c.message == "daily: invalid rows").frame(), "ts_code", "_bad") == [("B.SZ", "invalid volume")]
+
+
+def test_weights_are_cleaned_once(make, stock):
+    weight, names = {"index_code": "A.SZ", "con_code": "B.SZ", "trade_date": D, "weight": 2.5}, []
+    master, month = stock.select("ts_code"), F.lit("2024-01-01").cast("date")
+    out = ds.market_index_weight(make("index_weight", weight, {**weight, "con_code": "Z"}), master, master, month, keep=once(names))
+    assert names == ["market_index_weight"] and [raw_scans(df) for df in (out.rows, *[c.frame() for c in out.checks])] == [0, 0, 0]
+    assert rows(out.verify().rows, "con_code", "weight") == [("B.SZ", Decimal("2.5"))]
+    for spoiled, why in (({"trade_date": "20240201"}, "invalid rows"), ({}, "key not unique")):
+        with pytest.raises(QualityError, match=why):
+            ds.market_index_weight(make("index_weight", weight, {**weight, **spoiled}), master, master, month, keep=once([])).verify()
