@@ -8,7 +8,7 @@ streamed in order with constant state, and only for the few keys that need it.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from decimal import Decimal
 from functools import reduce
 
@@ -80,13 +80,17 @@ def alias_report(mapped: DataFrame, keys: Sequence[str]) -> DataFrame:
 # ---------------------------------------------------------------- exact duplicates
 
 
-def dedup_exact(df: DataFrame, keys: Sequence[str], order: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Drop rows equal on all columns; also return keys whose rows still conflict."""
+def dedup_exact(
+    df: DataFrame, keys: Sequence[str], order: str | None = None, *, keep: Callable[[DataFrame, str], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Drop rows equal on all columns; also return keys whose rows still conflict. ``keep`` writes the distinct rows once for both."""
     columns = [c for c in df.columns if c != order]
     if order is None:
         unique = df.groupBy(*columns).agg(F.count("*").alias("copies"))
     else:
         unique = df.groupBy(*columns).agg(F.count("*").alias("copies"), F.min(order).alias(order))
+    if keep is not None:
+        unique = keep(unique, "distinct")
     conflicts = unique.groupBy(*keys).agg(F.count("*").alias("variants")).where(F.col("variants") > 1)
     return unique, conflicts
 

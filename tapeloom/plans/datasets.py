@@ -212,10 +212,10 @@ def stock_daily_core(
     enriched = jn.tolerant_enrich(
         tagged, values, KEY, left_close="close", right_close="basic_close", columns=columns,
         isolate=bse & F.coalesce("lagging", F.lit(False))).drop("lagging")
-
-    def issues() -> DataFrame:
     if keep is not None:
         enriched = keep(enriched, "enriched")
+
+    def issues() -> DataFrame:
         extra = jn.extra_keys(values, quotes, KEY)
         return enriched.select(*KEY, "enrich_issue", F.lit(True).alias("quoted")).unionByName(
             extra.select(*KEY, F.lit("no daily row").alias("enrich_issue"), F.lit(False).alias("quoted")))
@@ -352,13 +352,18 @@ def market_theme_daily(raw: DataFrame, business_date: Column | None = None) -> P
         cl.numbers(tt.SCORE, "strength main_change"), cl.text("lead_stock lead_stock_code"), cl.numbers(tt.RATIO, "lead_stock_pct_change"))
 
 
-def market_theme_member_daily(raw: DataFrame, stock_master: DataFrame, business_date: Column | None = None) -> Prepared:
-    """Dated theme members; byte-equal copies across pages collapse, other repeats stop the batch."""
+def market_theme_member_daily(
+    raw: DataFrame, stock_master: DataFrame, business_date: Column | None = None, *, keep: cl.Keep | None = None,
+) -> Prepared:
+    """Dated theme members; byte-equal copies across pages collapse, other repeats stop the batch.
+
+    ``keep`` writes the cleaned feed and its distinct rows once for checks and result.
+    """
     rows, ok = cl.usable(cl.cleaned(
         raw, cl.const("source", "DC"), cl.dated(business_date), cl.text("theme_code ts_code", required=True),
-        cl.text("name industry_code industry reason"), cl.whole("hot_num")), "dc_concept_cons")
+        cl.text("name industry_code industry reason"), cl.whole("hot_num")), "dc_concept_cons", keep)
     keys = ["source", "trade_date", "theme_code", "ts_code"]
-    single, conflicts = dd.dedup_exact(rows, keys)
+    single, conflicts = dd.dedup_exact(rows, keys, keep=keep)
     kept, rejected = _listed(single, stock_master)
     return Prepared(kept.drop("copies"), [ok, Check(lambda: conflicts, "dc_concept_cons: conflicting duplicates")],
                     {"rejected": rejected, "duplicates": lambda: single.where("copies > 1")})

@@ -302,3 +302,13 @@ def test_weights_are_cleaned_once(make, stock):
     for spoiled, why in (({"trade_date": "20240201"}, "invalid rows"), ({}, "key not unique")):
         with pytest.raises(QualityError, match=why):
             ds.market_index_weight(make("index_weight", weight, {**weight, **spoiled}), master, master, month, keep=once([])).verify()
+
+
+def test_members_are_cleaned_and_collapsed_once(make, stock):
+    m, names = {"trade_date": D, "theme_code": "T1", "ts_code": "A.SZ", "hot_num": 1}, []
+    out = ds.market_theme_member_daily(make("dc_concept_cons", m, m, {**m, "ts_code": "?"}), stock, keep=once(names))
+    assert names == ["dc_concept_cons", "distinct"] and [raw_scans(df) for df in (out.rows, *[c.frame() for c in out.checks])] == [0, 0, 0]
+    assert rows(out.verify().rows, "ts_code", "hot_num") == [("A.SZ", 1)]
+    for spoiled, why in (({"hot_num": 2}, "conflicting duplicates"), ({"theme_code": " "}, "invalid rows")):
+        with pytest.raises(QualityError, match=why):
+            ds.market_theme_member_daily(make("dc_concept_cons", m, {**m, **spoiled}), stock, keep=once([])).verify()
