@@ -231,6 +231,9 @@ def event_sections(
     question costs one join with the releases and one window however many sections there are. Dated rows count on days on
     which their section's dataset (``datasets`` may rename it) is released, within the range, newest first; memberships have no
     day and no range, current ones first, then by name. Equal rows follow their payload's text.
+
+    Packed rows are several times as wide as what they are packed from, so they are dealt out anew by their size before any is
+    sorted: a task sorts a bounded share, and rows of one key are trimmed in many tasks.
     """
     strange = sorted(set(tables) - set(EVENT_SECTIONS))
     if strange or not tables:
@@ -259,7 +262,7 @@ def event_sections(
         parts.append(union_tagged(dated, "section").where(within).join(released, ["_dataset", day], "left_semi").drop("_dataset"))
     if standing:
         parts.append(union_tagged(standing, "section"))
-    events = reduce(lambda a, b: a.unionByName(b), parts)
+    events = reduce(lambda a, b: a.unionByName(b), parts).hint("rebalance", "section", key, day, "payload")
     order = [F.col(day).desc_nulls_last(), F.col("_current").desc_nulls_last(), F.col("_name").asc_nulls_last(), F.col("payload")]
     return top_k_or_all(events, ["section", key], order, k).select("section", key, day, "payload")
 

@@ -106,6 +106,23 @@ def test_event_sections(spark):
     assert plan.count("Window [") == 1 and plan.count("LeftSemi") == 1
 
 
+def test_packed_rows_are_dealt_by_size_before_they_are_sorted(spark):
+    """One key holds all rows: they are trimmed in as many tasks as their size asks for, none of which sorts them all."""
+    rows_of_a = spark.range(0, 40_000, 1, 1).selectExpr("concat('A', id % 1) AS ts_code", "concat('name ', id) AS topic_name", "id % 2 = 0 AS is_current")
+    log = spark.createDataFrame([("other", date(2024, 1, 1))], "dataset string, trade_date date")
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "50k"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        asked = mk.event_sections({"concepts": rows_of_a}, log, limit_per_type=2)
+        assert [r["payload"] for r in asked.orderBy("payload").collect()] == ['{"topic_name":"name 0","is_current":true}', '{"topic_name":"name 10","is_current":true}']
+        dealt = asked._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 <= dealt.index("WindowGroupLimit") < dealt.index("RebalancePartitions")
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
 def test_constituents_of_the_newest_released_month(spark):
     weights = spark.createDataFrame([("I", date(2024, m, 9), f"c{m}", 1.0) for m in (1, 2, 3)], "index_code string, snapshot_date date, con_code string, weight double")
     stocks = spark.createDataFrame([(f"c{m}", "n") for m in (1, 2, 3)], "ts_code string, name string")
