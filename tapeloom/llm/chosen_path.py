@@ -17,7 +17,8 @@ Method:
 5. Components of the true links are the classes.
 
 ``n_links`` counts documents (copies included), ``n_text_links`` sets. Sizes of all steps follow the candidates; a class of n
-different texts costs n**2 / 2 comparisons in blocks, as its exact link counts need, but n * (n / block) rows.
+different texts costs n**2 / 2 comparisons in blocks, as its exact link counts need, but n * (n / block) rows. All joins are
+sort-merge joins: both sides grow with the documents, and what a broadcast of them would hold on the driver grows too.
 
 Recall: a pair at the threshold is missed by a chance under 1 - ``recall`` if its path is split at every level, far less
 otherwise, and not at all if it is connected over others. Hashes have 64 bits (sets: 128).
@@ -40,7 +41,7 @@ from pyspark.sql import types as T
 
 from tapeloom.llm.components import components
 from tapeloom.llm.packed import as_text, pack, unpack
-from tapeloom.llm.tables import map_arrow, quoted, store
+from tapeloom.llm.tables import growing, map_arrow, quoted, store
 from tapeloom.llm.wordhash import NOT_SPACE, U, Words, grams, mix, words_of
 
 SHINGLE, THRESHOLD, RECALL, DEPTH, BUCKET, BLOCK = 5, 0.8, 0.99999, 3, 64, 256
@@ -171,14 +172,14 @@ def candidate_edges(sets: DataFrame, threshold: float, depth: int, recall: float
     edges = None
     for level in range(1, depth + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("rid").alias("least")).where("n > 1")
-        known = store(rows.join(sizes, "path"), f"paths-{level}")
-        small = known.where(F.col("n") <= bucket).join(sets, "rid").select("path", "rid", "sampled")
+        known = store(rows.join(growing(sizes), "path"), f"paths-{level}")
+        small = known.where(F.col("n") <= bucket).join(growing(sets), "rid").select("path", "rid", "sampled")
         found = _bucket_edges(small, threshold - SLACK)
         large = known.where(F.col("n") > bucket)
         if level == depth:
             found = found.unionAll(large.where("rid <> least").select(F.col("rid").alias("a"), F.col("least").alias("b")))
         else:
-            rows = large.join(sets, "rid").select("rid", "run", F.xxhash64("path", F.get("sampled", F.col("run") * depth + level)).alias("path"))
+            rows = large.join(growing(sets), "rid").select("rid", "run", F.xxhash64("path", F.get("sampled", F.col("run") * depth + level)).alias("path"))
         edges = found if edges is None else edges.unionAll(found)
     return edges
 
@@ -190,7 +191,7 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
     part, side 1 the second, side 2 a part compared with itself.
     """
     sizes = members.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    dealt = members.join(sizes, "label").withColumn("part", F.pmod(F.xxhash64("rid"), "parts").cast("int"))
+    dealt = members.join(growing(sizes), "label").withColumn("part", F.pmod(F.xxhash64("rid"), "parts").cast("int"))
     other = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     return other.select(
         F.xxhash64("label", F.least("part", "other"), F.greatest("part", "other")).alias("job"),
@@ -224,7 +225,7 @@ def _compare(packed: DataFrame, text: str, rid: str, jobs: DataFrame, members: D
         for batch in batches:
             made = [s.tobytes() for _, _, w in words_of(as_text(unpack(batch.column(1))), NOT_SPACE) for s in shingle_sets(w, shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["rid", "tokens"])
-    texts = packed.select(F.col(quoted(rid)).alias("rid"), F.col(quoted(text)).alias("text")).join(members.select("rid"), "rid", "left_semi")
+    texts = packed.select(F.col(quoted(rid)).alias("rid"), F.col(quoted(text)).alias("text")).join(growing(members.select("rid")), "rid", "left_semi")
     sets = store(texts.select("rid", "text").mapInArrow(tokens, "rid long, tokens binary"), "candidate-sets")
 
     share = Fraction(threshold).limit_denominator(10_000)  # compared in whole numbers
@@ -251,7 +252,7 @@ def _compare(packed: DataFrame, text: str, rid: str, jobs: DataFrame, members: D
                     out[place].append(values.astype(np.int64))
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["rid", "least", "texts", "docs"])
-    dealt = jobs.join(sets, "rid").repartition("job").sortWithinPartitions("job").select("job", "side", "rid", "copies", "tokens")
+    dealt = jobs.join(growing(sets), "rid").repartition("job").sortWithinPartitions("job").select("job", "side", "rid", "copies", "tokens")
     return dealt.mapInArrow(compare, "rid long, least long, texts long, docs long")
 
 
@@ -265,21 +266,21 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     found = store(_sets(packed, text, rid, shingle, runs_needed(threshold, depth, recall) * depth), "sets")
     have = found.where("k1 IS NOT NULL")
     reps = store(have.groupBy("k1", "k2").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")), "representatives")
-    distinct = have.join(reps.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "sampled")
+    distinct = have.join(growing(reps.select(F.col("rep").alias("rid"))), "rid", "left_semi").select("rid", "sampled")
     near = components(candidate_edges(distinct, threshold, depth, recall, bucket), "a", "b")
-    members = store(near.select(F.col("id").alias("rid"), "label").join(reps.select(F.col("rep").alias("rid"), "copies"), "rid"), "candidates")
+    members = store(near.select(F.col("id").alias("rid"), "label").join(growing(reps.select(F.col("rep").alias("rid"), "copies")), "rid"), "candidates")
     checked = store(_compare(packed, text, rid, _blocks(members, block), members, shingle, threshold), "links")
     links = checked.groupBy(F.col("rid").alias("rep")).agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     true = components(checked.where("rid <> least"), "rid", "least").select(F.col("id").alias("rep"), "label")
-    per_set = reps.join(links, "rep", "left").join(true, "rep", "left").select(
+    per_set = reps.join(growing(links), "rep", "left").join(growing(true), "rep", "left").select(
         "k1", "k2", "copies", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("label", "rep").alias("label"))
     keys = packed.select(F.col(quoted(rid)).alias("rid"), F.col(quoted(doc_id)).alias("id"))
-    joined = found.select("rid", "k1", "k2").join(per_set, ["k1", "k2"], "left").select(
+    joined = found.select("rid", "k1", "k2").join(growing(per_set), ["k1", "k2"], "left").select(
         "rid", F.coalesce("label", "rid").alias("class_rid"), F.coalesce("copies", F.lit(1)).alias("n_copies"),
         F.coalesce("texts", F.lit(0)).alias("n_text_links"), (F.coalesce("docs", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"))
-    joined = store(joined.join(keys, "rid"), "classes")
+    joined = store(joined.join(growing(keys), "rid"), "classes")
     named = joined.groupBy("class_rid").agg(F.min("id").alias("class_id"))
-    return joined.join(named, "class_rid"), packed, rid
+    return joined.join(growing(named), "class_rid"), packed, rid
 
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -292,7 +293,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how)
     """``docs`` with one document of each class: the one with the least doc_id (of equal ids, the first row)."""
     verdict, packed, rid = classes(docs, doc_id, text, **how)
     best = verdict.groupBy("class_rid").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("rid"))).alias("best")).select(F.col("best.rid").alias(rid))
-    kept = packed.join(best, rid, "left_semi").select(*[quoted(c) for c in docs.columns])
+    kept = packed.join(growing(best), rid, "left_semi").select(*[quoted(c) for c in docs.columns])
     place, names = docs.columns.index(text), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.tables import store
+from tapeloom.llm.tables import growing, store
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large star: neighbours greater than a node move to its least neighbour. Small star: lesser ones and itself do."""
     ways = _both(edges) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = ways.join(least, "a")
+    joined = ways.join(growing(least), "a")
     moved = joined.where("b > a").select("b", "m") if large else joined.select("b", "m").unionAll(least.select("a", "m"))
     return moved.toDF("a", "b").where("a <> b").distinct()
 
@@ -24,7 +24,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(id, label): every id of an edge with the least id of its component.
 
-    Node labels travel by equality joins with map-side minima; hot nodes are split by AQE. The rounds grow with the
+    Node labels travel by sort-merge joins with map-side minima; hot nodes are split by AQE. The rounds grow with the
     logarithm of the longest path; every round is a written table.
     """
     now = store(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct(), "edges")

@@ -33,6 +33,14 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """``df`` as a join side that grows with the input: joined by sorting, never broadcast.
+
+    Spark takes a written table for as large as its compressed files; as a broadcast on the driver the rows are tens of times that.
+    """
+    return df.hint("merge")
+
+
 def free_name(columns: list[str], wish: str) -> str:
     """``wish``, lengthened until no column has that name in any case."""
     taken = {c.lower() for c in columns}

@@ -85,6 +85,22 @@ def test_join_of_empty_tables_null_ids_and_clashing_columns(docs, clashing):
     assert rows == sorted([(3, text, "own row_id"), (9, "other words here", "own row_id"), (8, None, "own row_id")], key=repr)
 
 
+def test_no_join_of_growing_tables_is_broadcast(docs, monkeypatch):
+    plans = []
+
+    def ran(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+    for module in (chosen_path, components):
+        monkeypatch.setattr(module, "store", lambda df, name, store=module.store: store(ran(df), name))
+    texts = near_texts(5)
+    ran(chosen_path.links(docs(texts), bucket=4, block=8))
+    ran(chosen_path.keep_one(docs(texts), bucket=4, block=8))
+    assert sum("SortMergeJoin" in p for p in plans) > 10
+    assert not [p for p in plans if "BroadcastExchange" in p or "ShuffledHashJoin" in p]
+
+
 def test_runs_reach_the_recall():
     for depth, recall in ((1, 0.9), (3, 0.99999)):
         n = chosen_path.runs_needed(0.8, depth, recall)
